@@ -40,6 +40,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, spam_urls(pages))
 
 
+def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from parlance.llm.ppm import fold_remainder, score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), fold_remainder(F.col("doc_id"), 7) == 2)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
