@@ -48,6 +48,12 @@ def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), fold_remainder(F.col("doc_id"), 7) == 2)
 
 
+def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
