@@ -48,6 +48,15 @@ def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), fold_remainder(F.col("doc_id"), 7) == 2)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from parlance.llm.ppm import fold_remainder
+    from parlance.llm.toxicity import score_toxicity
+
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_remainder(F.col("doc_id"), 4) == 2)
+
+
 def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.embeddings import near_duplicates
 
