@@ -157,7 +157,7 @@ def learn_lexicon(train: DataFrame) -> tuple[dict[str, float], dict[str, float]]
     least = max(4, -(-toxic // 200))  # a share of the toxic texts bounds the number of entries
     words = train.select("text", "toxic").mapInArrow(count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     words = materialize(words.where("length(word) > 1 and a > 0").withColumn("low", _lower_bound(F.col("a"), F.col("b"))), "words")
-    sure = (F.col("a") >= least) & (F.col("low") >= max(0.5, min(0.9, 3 * toxic / texts)))
+    sure = (F.col("a") >= least) & ((F.col("low") >= 0.8) | (F.col("a") == F.col("b")))
     chosen = words.where(sure)
     rest = words.where(~sure)
     prefix = rest.withColumn("k", F.explode(F.array(*[F.lit(k) for k in _PREFIXES]))).where("length(word) >= k")
