@@ -7,7 +7,7 @@ every link. Partitions of fewer than `least` shingles would make signatures out
 documents share. They are left out, except by sets that have more than `spare` of them: two sets that agree on
 nothing else both have, so no link is lost.
 
-Nodes that share a signature are candidates. Two rounds compare each with one pseudo-random hub per signature
+Nodes that share a signature are candidates. Three rounds compare each with one pseudo-random hub per signature
 (the closest by sketch is checked exactly) and merge what links. A last round takes, in every signature that
 still holds several components, the members outside its largest component against all others: every candidate
 pair between components is examined, whatever the rounds before found. So large groups of near copies merge
@@ -185,7 +185,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
     # one shuffle of the signatures, read twice: for those of several nodes, and for their members
     sigs = _sets(texts, k, _signature_rows(percent, most), "sig long, node long, n long").repartition("sig")
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig")
+    # (the size is asked for on both sides, or they would prune to different columns and shuffle twice)
+    shared = sigs.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max("n").alias("n")).where("x <> y and n > 0").select("sig")
     bucket = materialize(sigs.join(shared.hint("shuffle_hash"), "sig").distinct(), "buckets")
     wanted = materialize(bucket.select("node").distinct().join(nodes, "node").select(F.col("first").alias("doc_id"), "node"), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
@@ -194,9 +195,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     edges = None
     component = None  # node, component of nodes that have links so far
-    for turn in range(2):
+    for turn in range(3):
         now = _with_component(bucket, component)
-        order = F.xxhash64(F.lit(turn), "node")
+        order = F.xxhash64(F.lit(turn), "sig", "node")  # another hub for each signature, so a node meets many
         hub = now.groupBy("sig").agg(F.min_by(F.struct("node", "c", "n"), order).alias("hub"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
         pairs = now.join(hub, "sig").where((F.col("c") != F.col("hub.c")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
         near = _near(pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets, percent)
