@@ -33,6 +33,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.extract import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.urls import filter_urls, spam_urls
 
