@@ -1,6 +1,9 @@
-"""Every query of the library proper, by name, with its SQL."""
+"""Every query of the library proper, by name, with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from parlance.plans import attribution_queries, bank_queries, dataset_queries, scalar_queries, sequence_queries
+
+_PARTS = (sequence_queries, scalar_queries, bank_queries, attribution_queries, dataset_queries)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.SQL.items()}
