@@ -7,12 +7,12 @@ every link. Partitions of fewer than `least` shingles would make signatures out
 documents share. They are left out, except by sets that have more than `spare` of them: two sets that agree on
 nothing else both have, so no link is lost.
 
-Nodes that share a signature are candidates. Three rounds compare each with one pseudo-random hub per signature
-(the closest by sketch is checked exactly) and merge what links. A last round takes, in every signature that
-still holds several components, the members outside its largest component against all others: every candidate
-pair between components is examined, whatever the rounds before found. So large groups of near copies merge
-without listing their pairs, and the components are exact. A sketch (parities of hashed shingles) bounds the
-symmetric difference from below and rejects most candidates early; what passes is compared on whole sets.
+Nodes that share a signature are candidates. Two rounds compare each with one pseudo-random hub per signature
+(the closest by sketch is checked exactly) and merge what links. A last step takes every signature that
+still holds several components, in blocks of bounded size, and compares the sketches of its members within the block; only
+pairs of two components that a sketch can't reject leave it, and are compared on whole sets. A sketch (parities of hashed
+shingles) bounds the symmetric difference from below. So every candidate pair between components is
+examined, whatever the rounds before found, no pairs of a group are listed, and the components are exact.
 
 Defined cases: null text and texts without words have no shingles, n_shingles 0 and link with nothing; a text of
 fewer than k words is one shingle; repeated rows with one doc_id are one document; empty tables give no rows;
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from parlance.llm.common import connected_components, materialize
 from parlance.llm.wordhash import chunks, mix, shingles, word_hashes
 
+#: Members of a signature that are compared at once; larger signatures are cut into pairs of such blocks.
+BLOCK = 4096
 #: Candidate node ids up to which the texts to compare are picked by a broadcast join (16 bytes each).
 BROADCAST_NODES = 1_000_000
 
@@ -85,8 +87,8 @@ def signatures(s: np.ndarray, percent: int, most: int) -> np.ndarray:
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles that hash to each bit; at least two bits a shingle."""
-    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    """Parity of the number of shingles that hash to each bit; at least four bits a shingle."""
+    bits = max(64, 1 << (4 * len(s) - 1).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
@@ -176,6 +178,74 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
 
 
+def _folded(sketches: list[np.ndarray]) -> np.ndarray:
+    """Sketches of one length: longer ones are folded to the shortest."""
+    n = min(map(len, sketches))
+    return np.stack([x if len(x) == n else np.bitwise_xor.reduce(x.reshape(-1, n)) for x in sketches]).view(np.uint64)
+
+
+def _block_pairs(node, c, n, side, across: bool, sketches, percent: int):
+    """Index pairs of one block (or of two, if across) in different components that sizes and sketches allow."""
+    k, m = _folded(sketches), len(node)
+    step = max(1, 4_000_000 // (m * k.shape[1]))
+    for at in range(0, m, step):
+        r = slice(at, at + step)
+        d = np.bitwise_count(k[r, None, :] ^ k[None, :, :]).sum(2, dtype=np.int64)
+        fits = (c[r, None] != c[None, :]) & ((100 + percent) * d <= (100 - percent) * (n[r, None] + n[None, :])) & (100 * np.minimum(n[r, None], n[None, :]) >= percent * np.maximum(n[r, None], n[None, :]))
+        fits &= (side[r, None] < side[None, :]) if across else (np.arange(m)[r, None] < np.arange(m)[None, :])
+        a, b = np.nonzero(fits)
+        yield a + at, b
+
+
+def _near_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of rest (sig, node, c, n, blocks) that their sketches can't reject."""
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = rest.select("sig", "node", "c", "n", block.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("sig", "node", "c", "n", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(sets.select("node", "sketch"), "node")
+    dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").select("sig", "i", "j", "node", "c", "n", "mine", "sketch")
+
+    def pairs(batches):
+        import pyarrow as pa
+
+        kept, seen = None, set()
+
+        def compare(t):
+            sig, i, j, node, c, n, side = (t.column(x).to_numpy() for x in range(7))
+            values, offsets = t.column(7).combine_chunks().flatten().to_numpy(), t.column(7).combine_chunks().offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            first = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            new = []
+            for lo, hi in zip(first, [*first[1:], len(sig)], strict=True):
+                g = slice(lo, hi)
+                if (c[g] == c[lo]).all():
+                    continue
+                sketches = [values[offsets[x] : offsets[x + 1]] for x in range(lo, hi)]
+                for a, b in _block_pairs(node[g], c[g], n[g], side[g], i[lo] != j[lo], sketches, percent):
+                    for x, y in zip(node[g][a].tolist(), node[g][b].tolist(), strict=True):
+                        p = (x, y) if x < y else (y, x)
+                        if p not in seen:
+                            if len(seen) < 1_000_000:
+                                seen.add(p)
+                            new.append(p)
+            return pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in new], pa.int64()), "b": pa.array([y for _, y in new], pa.int64())})
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if kept is None else pa.concat_tables([kept, t])
+            if not len(t):
+                continue
+            sig, i, j = (t.column(x).to_numpy() for x in range(3))
+            last = np.flatnonzero((sig != sig[-1]) | (i != i[-1]) | (j != j[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
+            if cut:
+                yield compare(t.slice(0, cut))
+            kept = t.slice(cut)
+        if kept is not None and len(kept):
+            yield compare(kept)
+
+    return dealt.mapInArrow(pairs, "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, node, component_id; documents link when 100 * |A and B| >= percent * |A or B|."""
     texts = docs.select("doc_id", "text")
@@ -195,7 +265,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     edges = None
     component = None  # node, component of nodes that have links so far
-    for turn in range(3):
+    for turn in range(2):
         now = _with_component(bucket, component)
         order = F.xxhash64(F.lit(turn), "sig", "node")  # another hub for each signature, so a node meets many
         hub = now.groupBy("sig").agg(F.min_by(F.struct("node", "c", "n"), order).alias("hub"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
@@ -205,15 +275,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         found = materialize(_linked(best, sets, percent), "links")
         edges, component = _merge(edges, found, component)
 
-    now = materialize(_with_component(bucket, component), "open")
-    mixed = now.groupBy("sig").agg(F.mode("c").alias("main"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("sig", "main")
-    rest = now.join(mixed, "sig")
-    left = rest.where("c <> main").select("sig", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-    right = rest.select("sig", "main", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-    once = (F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))
-    pairs = left.join(right, (left["sig"] == right["sig"]) & (F.col("ca") != F.col("cb")) & once & _sizes_fit(F.col("na"), F.col("nb"), percent))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    near = materialize(_near(pairs, sets, percent), "near")
+    open_ = _with_component(bucket, component)
+    mixed = open_.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x <> y").select("sig", F.ceil(F.col("m") / BLOCK).alias("blocks"))
+    near = materialize(_near_in_blocks(open_.join(mixed, "sig"), sets, percent), "near")
     _, component = _merge(edges, materialize(_linked(near, sets, percent), "links"), component)
 
     named = nodes.join(component, "node", "left").withColumn("root", F.coalesce("component", "node"))
