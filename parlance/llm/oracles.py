@@ -2,8 +2,51 @@
 
 from __future__ import annotations
 
+from parlance.llm.quality import Risk
+
 SQL: dict[str, str] = {}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op2_jaccard_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 85 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other)
+SELECT doc_id, any_value(len(s))::BIGINT AS n_shingles, min(other) AS component_id FROM r JOIN s USING (doc_id) GROUP BY doc_id
+"""
+
+_RISK = Risk()
+_CUTS = ", ".join(f"('{r}', {i}, {c}::DOUBLE)" for r, cuts in _RISK.cutoffs.items() for i, c in enumerate(cuts))
+_P = _RISK.false_rejection / len(_RISK.cutoffs)
+
+SQL["op4_quality_rules"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM (SELECT doc_id, i, (w[i], w[i + 1], w[i + 2]) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM t))),
+rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE c > 1) GROUP BY doc_id),
+f AS (SELECT doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
+  length(regexp_replace(t, '[^\p{{Lu}}]+', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!?]+', '', 'g')) AS n_marks FROM t LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f),
+ratio AS (SELECT doc_id, lang, base_failed, unnest([
+  {{'rule': 'symbols_per_char', 'v': coalesce(n_symbols / nullif(word_chars, 0), 0)}}, {{'rule': 'marks_per_word', 'v': coalesce(n_marks / nullif(n_words, 0), 0)}},
+  {{'rule': 'upper_share', 'v': coalesce(n_upper / nullif(word_chars, 0), 0)}}, {{'rule': 'dup_line_share', 'v': coalesce(n_dup_lines / nullif(n_lines, 0), 0)}},
+  {{'rule': 'repeat_share', 'v': coalesce(n_repeat_words / nullif(n_words, 0), 0)}}, {{'rule': 'chars_per_word', 'v': coalesce(word_chars / nullif(n_words, 0), 0)}}], recursive := true) FROM b),
+cuts(rule, i, c) AS (VALUES {_CUTS}),
+held AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+k AS (SELECT lang, rule, i, any_value(c) AS c, count(*) FILTER (good) AS n, count(*) FILTER (good AND v > c) AS k, count(*) FILTER (NOT good AND v > c) AS bad
+  FROM ratio JOIN held USING (doc_id) JOIN cuts USING (rule) WHERE NOT base_failed GROUP BY ALL),
+p AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({_P}) + (n - j) * ln(1 - {_P})))) AS tail,
+  (SELECT count(DISTINCT lang) FROM k) * (SELECT count(*) FROM cuts) AS tests FROM k WHERE n > 0),
+cut AS (SELECT lang, rule, arg_min(c, (k - bad, i)) AS c FROM p WHERE tail <= {_RISK.level} / tests AND bad > k GROUP BY ALL),
+bad AS (SELECT doc_id, min(rule) AS rule FROM ratio JOIN cut USING (lang, rule) WHERE v > c GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN 'base' ELSE bad.rule END AS failed_rule, NOT base_failed AND bad.rule IS NULL AS kept FROM b LEFT JOIN bad USING (doc_id)
+"""
+
 SQL["op5_warc"] = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
@@ -13,3 +56,26 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN last <> page_id THEN last END AS refers_to
 FROM p LEFT JOIN m USING (payload_digest)
 """
+
+SQL["op7_url_filter"] = r"""
+WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '(\.html|/+)$', '')
+  || coalesce('?' || nullif(regexp_replace(regexp_replace(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '(^|&)(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', ''), ''), '') END AS canonical FROM u),
+listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, 'spam|pills|casino') AND canonical IS NOT NULL),
+r AS (SELECT *, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
+  canonical IN (SELECT canonical FROM listed) AS l FROM c)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN l THEN 'block' ELSE 'allow' END AS verdict, coalesce(rule IS NULL AND l, false) AS listed FROM r
+"""
+
+SQL["op10_embedding_near_dup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND list_dot_product(x, x) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_dot_product(a.x, b.x) >= 0.98 * sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))),
+r AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.other),
+c AS (SELECT vec_id, min(other) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
