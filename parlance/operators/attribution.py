@@ -88,14 +88,14 @@ def propagate(edges: DataFrame, seeds: DataFrame, alpha: float = 0.6, rounds: in
     Returns session, node, label, score, margin of nodes that some seed reaches.
     """
 
-    def run(key, e, y):
+    def run(rows):
         import pandas as pd
 
+        e, y = rows[rows["label"].isna()], rows[rows["label"].notna()].rename(columns={"src": "node"})
         nodes = sorted({*e["src"], *e["dst"], *y["node"]})
         labels = sorted(set(y["label"]))
-        out = pd.DataFrame({"session": [], "node": [], "label": [], "score": [], "margin": []})
         if not labels:
-            return out
+            return pd.DataFrame({"session": rows["session"].iloc[:0], "node": rows["src"].iloc[:0], "label": rows["label"].iloc[:0].astype(object), "score": rows["w"].iloc[:0], "margin": rows["w"].iloc[:0]})
         at, col = {n: i for i, n in enumerate(nodes)}, {x: i for i, x in enumerate(labels)}
         w = np.zeros((len(nodes), len(nodes)))
         np.maximum.at(w, (e["src"].map(at).to_numpy(int), e["dst"].map(at).to_numpy(int)), e["w"].to_numpy(float))
@@ -114,10 +114,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, alpha: float = 0.6, rounds: in
         ranked = np.sort(f, axis=1)[:, ::-1]
         margin = ranked[:, 0] - (ranked[:, 1] if len(labels) > 1 else 0.0)
         seen = ranked[:, 0] > 0
-        return pd.DataFrame({"session": key[0], "node": np.array(nodes)[seen], "label": np.array(labels, dtype=object)[f.argmax(1)][seen], "score": ranked[seen, 0], "margin": margin[seen]})
+        return pd.DataFrame({"session": rows["session"].iloc[0], "node": np.array(nodes)[seen], "label": [labels[i] for i in f.argmax(1)[seen]], "score": ranked[seen, 0], "margin": margin[seen]})
 
-    session = edges.schema["session"].dataType.simpleString()
-    return edges.toDF(*edges.columns).groupBy("session").cogroup(seeds.toDF(*seeds.columns).groupBy("session")).applyInPandas(run, f"session {session}, node long, label string, score double, margin double")
+    kind = edges.schema["session"].dataType.simpleString()
+    both = edges.select("session", "src", "dst", "w", F.lit(None).cast("string").alias("label")).unionByName(seeds.select("session", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"), "label"))
+    return both.groupBy("session").applyInPandas(run, f"session {kind}, node long, label string, score double, margin double")
 
 
 def overrides(local: DataFrame, graph: DataFrame, confidence: float = 0.6, margin: float = 0.1, gain: float = 0.05) -> DataFrame:
