@@ -3,9 +3,10 @@
 Texts with equal shingle sets are one node. Nodes are banded by set size so that two sets which may link
 share an instance. An instance with at most k differing shingles hashes the shingle domain into k + 1 + spare
 partitions; sets that link agree on at least 1 + spare of them, so equal partition contents (signatures) find
-every link. Partitions of fewer than `least` shingles would make signatures out of passages that many
-documents share. They are left out, except by sets that have more than `spare` of them: two sets that agree on
-nothing else both have, so no link is lost.
+every link. Low thresholds use the second level too: half the partitions, three parts each, and signatures of
+every two parts. Signatures of fewer than `least` shingles would be made of passages that many documents share.
+They are left out, except by sets with more than `spare` such partitions: two sets that agree on nothing else both
+have, so no link is lost.
 
 Nodes that share a signature are candidates. Two rounds compare each with one pseudo-random hub per signature
 (the closest by sketch is checked exactly) and merge what links. A last step takes every signature that
@@ -27,7 +28,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import connected_components, materialize
+from parlance.llm.common import connected_components, drop, materialize
 from parlance.llm.wordhash import chunks, mix, shingles, word_hashes
 
 #: Members of a signature that are compared at once; larger signatures are cut into pairs of such blocks.
@@ -36,20 +37,40 @@ BLOCK = 4096
 BROADCAST_NODES = 1_000_000
 
 
+def _few(mean: float, least: int) -> float:
+    """P(a Poisson number of shingles is under least)."""
+    return float(np.exp(-mean) * sum(mean**i / (1, 1, 2)[i] for i in range(least)))
+
+
+def _spare(base: int, low: int, part: float, ways: int, least: int) -> int | None:
+    """Partitions beyond `base` so that a set of `low` shingles rarely has more weak ones; None if that takes too many."""
+    for spare in range(1, base * 3 // 10 + 3):
+        n = base + spare
+        weak = n * min(1.0, ways * _few(part * low / n, least))
+        if weak + 3 * weak**0.5 <= spare:
+            return spare
+    return None
+
+
 @lru_cache(maxsize=64)
-def bands(percent: int, most: int) -> list[tuple[int, int, int, int, int]]:
-    """(smallest size, largest size, partitions, spare, least) of each instance, for sets of up to `most` shingles.
+def bands(percent: int, most: int) -> list[tuple[int, int, int, int, int, bool]]:
+    """(smallest size, largest size, partitions, spare, least, two levels) of each instance, for sets of up to `most` shingles.
 
-    Instance j serves pairs whose smaller set is in band j; the larger one has at most size / threshold.
+    Instance j serves pairs whose smaller set is in band j; the larger one has at most size / threshold. With at most k
+    differing shingles, k + 1 partitions have an equal one. On two levels each partition has three parts, and its
+    signatures leave out one part each: k // 2 + 1 partitions have one with at most one differing part. Low
+    thresholds, whose partitions would hold few shingles, take two levels. No partitions: only equal sets can link.
     """
     out, low = [], 1
     while low <= most:
         high = max(low, -(-low * 100 // percent) - 1)
         top = high * 100 // percent
         k = (100 - percent) * (high + top) // (100 + percent)
-        least = 2 if k >= 8 else 1
-        spare = -(-(k + 1) * 8 // 100) + 1 if least == 2 else 1
-        out.append((low, top, k + 1 + spare if k else 0, spare, least))
+        two = k >= 4 and low < 4 * k
+        base, part, ways = (k // 2 + 1, 2 / 3, 3) if two else (k + 1, 1.0, 1)
+        tried = [(_spare(base, low, part, ways, least), least) for least in (2, 1)]
+        spare, least = next((x for x in tried if x[0] is not None), (1, 1))
+        out.append((low, top, base + spare if k else 0, spare, least, two))
         low = high + 1
     return out
 
@@ -70,19 +91,20 @@ def signatures(s: np.ndarray, percent: int, most: int) -> np.ndarray:
         for i in (j, j - 1):
             if i < 0 or not b[i][2] or len(s) > b[i][1]:
                 continue
-            _, _, n, spare, least = b[i]
-            part = ((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # sorted, as s is
-            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
-            size = np.diff(np.append(first, len(s)))
-            where, total = part[first], np.add.reduceat(content, first)
-            keep = size >= least
-            if n - int(keep.sum()) > spare:  # too few partitions of enough shingles: all are used
-                full = np.zeros(n, np.uint64)
-                full[where.astype(np.int64)] = total
-                where, total = np.arange(n, dtype=np.uint64), full
-            else:
-                where, total = where[keep], total[keep]
-            out.append(mix(total ^ mix(where + np.uint64((i + 1) << 32))))
+            _, _, n, spare, least, two = b[i]
+            part = (((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+            parts = 3 if two else 1
+            cell = part * parts + (content % np.uint64(3)).astype(np.int64) if two else part
+            total = np.zeros(n * parts, np.uint64)
+            np.add.at(total, cell, content)
+            size = np.bincount(cell, minlength=n * parts)
+            if two:  # what is left without each part
+                total, size = total.reshape(n, 3), size.reshape(n, 3)
+                total, size = (total.sum(1, keepdims=True, dtype=np.uint64) - total).ravel(), (size.sum(1, keepdims=True) - size).ravel()
+            strong = size >= least
+            # with more weak partitions than spare ones, all are used
+            use = np.arange(n * parts) if int((~strong.reshape(n, parts)).any(1).sum()) > spare else np.flatnonzero(strong)
+            out.append(mix(total[use] ^ mix(use.astype(np.uint64) + np.uint64((i + 1) << 32))))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -142,10 +164,31 @@ def _signature_rows(percent: int, most: int):
     return rows
 
 
+def _sketch_rows(ids, sets):
+    import pyarrow as pa
+
+    return {"node": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s) if len(s) else np.empty(0, np.int64) for s in sets], pa.list_(pa.int64()))}
+
+
 def _set_rows(ids, sets):
     import pyarrow as pa
 
-    return {"node": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "sketch": pa.array([sketch(s) if len(s) else np.empty(0, np.int64) for s in sets], pa.list_(pa.int64())), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+    return {"node": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
+
+
+class _Texts:
+    """One document's text for each node, found again whenever sets are needed; only sketches are kept."""
+
+    def __init__(self, texts: DataFrame, first: DataFrame, k: int, once: bool):
+        self.texts, self.first, self.k, self.once = texts, first, k, once
+
+    def rows(self, nodes: DataFrame, make, kind: str) -> DataFrame:
+        """make's rows for the distinct nodes, as a table."""
+        wanted = materialize(nodes.distinct().join(self.first, "node").select(F.col("first").alias("doc_id"), "node"), "wanted")
+        few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+        chosen = self.texts.join(few, "doc_id")
+        chosen = chosen if self.once else chosen.dropDuplicates(["doc_id"])
+        return materialize(_sets(chosen.select("node", "text"), self.k, make, kind), "sets")
 
 
 def _distance_bound(x: Column, y: Column) -> Column:
@@ -170,12 +213,16 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) whose whole sets reach the threshold."""
-    s = sets.select("node", "n", "shingles")
+def _linked(pairs: DataFrame, texts: _Texts, percent: int) -> DataFrame:
+    """pairs (a, b), a table, whose whole sets reach the threshold."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    s = texts.rows(nodes, _set_rows, "node long, n long, shingles array<long>")
     both = pairs.join(s.toDF("a", "na", "sa"), "a").join(s.toDF("b", "nb", "sb"), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    out = both.withColumn("common", common).where(100 * F.col("common") >= percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    out = materialize(out, "links")
+    drop(s)
+    return out
 
 
 def _folded(sketches: list[np.ndarray]) -> np.ndarray:
@@ -258,10 +305,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # (the size is asked for on both sides, or they would prune to different columns and shuffle twice)
     shared = sigs.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max("n").alias("n")).where("x <> y and n > 0").select("sig")
     bucket = materialize(sigs.join(shared.hint("shuffle_hash"), "sig").distinct(), "buckets")
-    wanted = materialize(bucket.select("node").distinct().join(nodes, "node").select(F.col("first").alias("doc_id"), "node"), "wanted")
-    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
-    chosen = texts.join(few, "doc_id").dropDuplicates(["doc_id"]) if _repeats(members) else texts.join(few, "doc_id")
-    sets = materialize(_sets(chosen.select("node", "text"), k, _set_rows, "node long, n long, sketch array<long>, shingles array<long>"), "sets")
+    again = _Texts(texts, nodes, k, not _repeats(members))
+    sketches = again.rows(bucket.select("node"), _sketch_rows, "node long, n long, sketch array<long>")
 
     edges = None
     component = None  # node, component of nodes that have links so far
@@ -270,15 +315,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         order = F.xxhash64(F.lit(turn), "sig", "node")  # another hub for each signature, so a node meets many
         hub = now.groupBy("sig").agg(F.min_by(F.struct("node", "c", "n"), order).alias("hub"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
         pairs = now.join(hub, "sig").where((F.col("c") != F.col("hub.c")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
-        near = _near(pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sets, percent)
-        best = near.groupBy("a").agg(F.min_by("b", F.struct("bound", "b")).alias("b"))
-        found = materialize(_linked(best, sets, percent), "links")
+        near = _near(pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sketches, percent)
+        best = materialize(near.groupBy("a").agg(F.min_by("b", F.struct("bound", "b")).alias("b")), "best")
+        found = _linked(best, again, percent)
         edges, component = _merge(edges, found, component)
 
     open_ = _with_component(bucket, component)
     mixed = open_.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x <> y").select("sig", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    near = materialize(_near_in_blocks(open_.join(mixed, "sig"), sets, percent), "near")
-    _, component = _merge(edges, materialize(_linked(near, sets, percent), "links"), component)
+    near = materialize(_near_in_blocks(open_.join(mixed, "sig"), sketches, percent), "near")
+    _, component = _merge(edges, _linked(near, again, percent), component)
 
     named = nodes.join(component, "node", "left").withColumn("root", F.coalesce("component", "node"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
