@@ -9,8 +9,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Elements whose content is never text of the page.
-RAW = "script|style|noscript|template|svg|iframe|object|canvas|math|select|option|textarea|button"
+#: Elements whose content is raw text, not markup, and never text of the page; all others are left to the labeller.
+RAW = "script|style|textarea"
 _DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -19,7 +19,7 @@ _PARTS = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-_CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",)}
+_CLOSES_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "body": ("head",), "option": ("option",), "button": ("button",)}
 
 PATH, LEAF, WORDS, NUMBERS = 96, 32, 24, 8
 WIDTH = PATH + LEAF + WORDS + NUMBERS
@@ -77,7 +77,7 @@ def blocks(page: str) -> list[Block]:
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag in ("img", "input", "wbr", "embed"):
+        if tag in ("img", "input", "wbr", "embed") or (tag in ("svg", "math") and attrs.endswith("/")):
             continue
         flush()
         inline.clear()

@@ -299,6 +299,20 @@ def test_blocks_and_odd_pages(spark):
     assert got[2]["text"] == "" and got[3]["text"] == "" and got[5]["text"].count("long text here.") == 3000
 
 
+def test_blocks_keep_text_of_and_after_embedded_elements():
+    from parlance.llm.html_blocks import blocks
+
+    text = lambda page: " ".join(b.text for b in blocks(page)).split()
+    assert [b.text for b in blocks('<p>One <svg class="i"/> two</p><p>three</p>')] == ["One two", "three"]
+    for tag in "svg math noscript template object canvas iframe select option button".split():
+        assert text(f"<p>a <{tag} class=x>b</{tag}> c</p><p>d</p>") == list("abcd"), tag
+        assert text(f"<article><p>a <{tag}>b<p>c</p></article><p>d</p>") == list("abcd"), tag
+        assert [t for t, _ in blocks(f"<div><{tag}>a</{tag}></div>")[0].path] == ["div", tag]
+    assert [b.path for b in blocks("<select><option>a<option>b</select>")] == [(("select", ()), ("option", ()))] * 2
+    for tag in ("script", "style", "textarea"):
+        assert text(f"<p>a<{tag}>b<p>c</{tag}> d") == ["a", "d"], tag
+
+
 # -- 7 URLs
 def test_urls(spark):
     from parlance.llm.urls import filter_urls
