@@ -94,6 +94,6 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, broadcast_limi
 
 
 def spam_urls(pages: DataFrame) -> DataFrame:
-    """The production list: the URLs seen on hosts whose first labels hold a fixed spam word."""
+    """The production list, as the SQL fixes it: the URLs of pages whose host holds a fixed spam word anywhere; other junk hosts are not covered."""
     host = host_of(F.col("url"))
     return pages.where(host.rlike("|".join(SPAM_HOST_WORDS))).select("url")
