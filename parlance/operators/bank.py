@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.vectors import distance, dot, doubles, mean_vectors, unit
+from parlance.functions.vectors import distance, dot, doubles, mean_vectors, norm, unit
 
 #: Largest bank side (clusters times vector length, in doubles) that is broadcast.
 BROADCAST_VALUES = 4_000_000
@@ -35,10 +35,17 @@ def bank_scores(queries: DataFrame, clusters: DataFrame, radius: float = 2.5, sc
     """Candidates of each query: the best cluster per speaker within radius deviations, ranked by score.
 
     Every query meets every cluster: that is the operator. The cluster side is a few rows per speaker and is broadcast after its size
-    is checked.
+    is checked. Queries with a column own, the speaker whose entry they are, meet that speaker's cluster without themselves.
     """
-    q = unit_rows(queries).select("session", "seg_idx", "v")
-    pairs = q.join(_small(clusters.select("speaker", "centroid", "variance")), F.size("v") == F.size("centroid"))
+    own = "own" in queries.columns
+    q = unit_rows(queries).select("session", "seg_idx", "v", *["own"] * own)
+    pairs = q.join(_small(clusters.select("speaker", "centroid", "variance", *["members"] * own)), F.size("v") == F.size("centroid"))
+    if own:
+        # the members are unit vectors, so their sum's length follows from the variance, and the others' variance from their sum's length
+        length, mine, n = F.col("members") * (1 - F.col("variance") / 2), F.col("own").eqNullSafe(F.col("speaker")), F.col("members") - 1
+        pairs = pairs.where(~mine | (n > 0)).withColumn("others", F.when(mine, F.zip_with("centroid", "v", lambda c, x: c * length - x)))
+        pairs = pairs.withColumn("variance", F.when(mine, F.greatest(F.lit(0.0), 2 - 2 * F.try_divide(norm(F.col("others")), n))).otherwise(F.col("variance")))
+        pairs = pairs.withColumn("centroid", F.when(mine, unit(F.col("others"))).otherwise(F.col("centroid")))
     far = distance(F.col("v"), F.col("centroid"))
     inside = (F.col("variance") <= 0) | (far <= F.greatest(F.sqrt("variance") * radius, F.lit(1e-4)))
     scored = pairs.withColumn("distance", far).where(inside).withColumn("score", dot(F.col("v"), F.col("centroid")))

@@ -65,27 +65,27 @@ def e23_bank_summary(spark, sf):
 
 @query()
 def e15_whitened_scores(spark, sf):
-    b = A.bank(spark, sf)
+    b = A.whole_bank(spark, sf)
     mean, matrix = B.whitening(b)
     white = B.whitened(b, mean, matrix)
-    return B.bank_scores(B.whitened(A.queries(spark, sf), mean, matrix), B.clusters_by_speaker(white), 1e9)
+    return B.bank_scores(B.whitened(A.whole_queries(spark, sf), mean, matrix), B.clusters_by_speaker(white), 1e9)
 
 
 @query()
 def e20_density_clusters(spark, sf):
-    return B.density_clusters(A.bank(spark, sf), 0.75, 4)
+    return B.density_clusters(A.whole_bank(spark, sf), 0.75, 4)
 
 
 @query()
 def j5_knn_classifier(spark, sf):
-    """Distance-weighted cosine vote of the 5 nearest bank entries."""
+    """Distance-weighted cosine vote of each vector's 5 nearest other bank entries."""
     from pyspark.sql import Window
 
     from parlance.functions.vectors import dot
 
-    b = B.unit_rows(A.bank(spark, sf)).select(F.col("speaker"), "entry_idx", F.col("v").alias("w"))
-    q = B.unit_rows(A.queries(spark, sf)).select("session", "seg_idx", "v")
-    pairs = q.join(b, F.size("v") == F.size("w")).select("session", "seg_idx", "speaker", "entry_idx", (1 - dot(F.col("v"), F.col("w"))).alias("d"))
+    b = B.unit_rows(A.whole_bank(spark, sf)).select(F.col("speaker"), "entry_idx", F.col("v").alias("w"))
+    q = B.unit_rows(A.whole_queries(spark, sf)).select("session", "seg_idx", "v")
+    pairs = q.join(b, (F.size("v") == F.size("w")) & (F.col("seg_idx") != F.col("entry_idx"))).select("session", "seg_idx", "speaker", "entry_idx", (1 - dot(F.col("v"), F.col("w"))).alias("d"))
     near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("session", "seg_idx").orderBy("d", "entry_idx"))).where("r <= 5")
     votes = near.groupBy("session", "seg_idx", "speaker").agg(F.sum(1 / F.greatest("d", F.lit(1e-9))).alias("vote"))
     total = F.sum("vote").over(Window.partitionBy("session", "seg_idx"))
@@ -96,6 +96,6 @@ def j5_knn_classifier(spark, sf):
 def j2_session_graph(spark, sf):
     from parlance.operators.attribution import propagate
 
-    q = A.queries(spark, sf)
-    seeds = B.accepted(B.bank_scores(q, B.clusters_by_speaker(A.bank(spark, sf))), 0.25, 0.02).where("matched").select("session", F.col("seg_idx").alias("node"), F.col("speaker").alias("label"))
+    q = A.whole_queries(spark, sf)
+    seeds = B.accepted(B.bank_scores(q, B.clusters_by_speaker(A.whole_bank(spark, sf))), 0.25, 0.02).where("matched").select("session", F.col("seg_idx").alias("node"), F.col("speaker").alias("label"))
     return propagate(B.nearest_neighbours(q, 8, 0.1), seeds)

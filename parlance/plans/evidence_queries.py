@@ -133,8 +133,8 @@ def j3_graph_overrides(spark, sf):
     from parlance.operators.attribution import overrides, propagate
     from parlance.operators.bank import accepted, bank_scores, clusters_by_speaker, nearest_neighbours
 
-    q = A.queries(spark, sf)
-    own = accepted(bank_scores(q, clusters_by_speaker(A.bank(spark, sf))), 0.25, 0.02)
+    q = A.whole_queries(spark, sf)
+    own = accepted(bank_scores(q, clusters_by_speaker(A.whole_bank(spark, sf))), 0.25, 0.02)
     seeds = own.where("matched").select("session", F.col("seg_idx").alias("node"), F.col("speaker").alias("label"))
     local = own.select("session", "seg_idx", F.when(F.col("matched"), F.col("speaker")).otherwise("unknown").alias("speaker"), "score", F.col("matched").alias("seed"))
     return overrides(local, propagate(nearest_neighbours(q, 8, 0.1), seeds), 0.05, 0.01)

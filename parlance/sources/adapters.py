@@ -82,6 +82,16 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").where("vec_id % 5 = 0").select((F.col("vec_id") % 7).alias("session"), F.col("vec_id").alias("seg_idx"), "embedding")
 
 
+def whole_bank(spark: SparkSession, sf: str) -> DataFrame:
+    """entry_idx, speaker, embedding: all vectors."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("entry_idx"), F.concat(F.lit("spk_"), F.col("label").cast("string")).alias("speaker"), "embedding")
+
+
+def whole_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """session, seg_idx, embedding, own: all vectors of whole_bank(), each with its speaker so that a search can leave it out."""
+    return whole_bank(spark, sf).select((F.col("entry_idx") % 7).alias("session"), F.col("entry_idx").alias("seg_idx"), "embedding", F.col("speaker").alias("own"))
+
+
 BANK = """bank AS (SELECT vec_id AS entry_idx, 'spk_' || label AS speaker, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 <> 0),
 queries AS (SELECT vec_id % 7 AS session, vec_id AS seg_idx, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0)"""
 

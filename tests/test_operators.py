@@ -92,3 +92,30 @@ def test_quality_reasons(spark):
     rows = [(1, True, True, 1.0, 0.9, 0.0), (2, True, True, 1.0, 0.0, 0.95), (3, True, False, 1.0, 0.0, 0.0), (4, True, True, 1.0, 0.0, 0.0)]
     d = spark.createDataFrame(rows, "id int, decode_ok boolean, finite_ok boolean, duration double, clipping_fraction double, silence_fraction double")
     assert [r[0] for r in d.orderBy("id").select(datasets.quality_rejection()).collect()] == ["clipping", "silence", "non_finite", None]
+
+
+def test_whole_bank_scores_leave_the_vector_out(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(14, 4)) + 1
+    who = ["a"] * 8 + ["b"] * 5 + ["c"]
+    rows = [(0, i, who[i], v.tolist()) for i, v in enumerate(x)]
+    q = spark.createDataFrame(rows, "session long, seg_idx long, own string, embedding array<double>")
+    b = q.select(F.col("seg_idx").alias("entry_idx"), F.col("own").alias("speaker"), "embedding")
+    got = {(s["seg_idx"], s["speaker"]): s["score"] for s in bank.bank_scores(q, bank.clusters_by_speaker(b), 1e9).collect()}
+    v = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for i in range(14):
+        for s in "abc":
+            rest = [j for j in range(14) if who[j] == s and j != i]
+            if rest:
+                want[i, s] = v[i] @ (m := v[rest].mean(0)) / np.linalg.norm(m)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_bank_queries_without_sql_take_all_vectors(spark):
+    from parlance.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    ids = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    for name, key in (("e15_whitened_scores", "seg_idx"), ("e20_density_clusters", "entry_idx"), ("j5_knn_classifier", "seg_idx"), ("j3_graph_overrides", "seg_idx")):
+        assert {r[0] for r in QUERIES[name](spark, sf).select(key).collect()} == ids, name
