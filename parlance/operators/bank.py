@@ -10,6 +10,8 @@ from parlance.functions.vectors import distance, dot, doubles, mean_vectors, nor
 
 #: Largest bank side (clusters times vector length, in doubles) that is broadcast.
 BROADCAST_VALUES = 4_000_000
+#: Vectors of each side that one task compares.
+BLOCK = 2048
 
 
 def unit_rows(df: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -84,12 +86,57 @@ def normalised_scores(queries: DataFrame, bank: DataFrame, clusters: DataFrame,
     return out.select("session", "seg_idx", "speaker", "raw_score", F.coalesce(z, "raw_score").alias("score"))
 
 
+def _block_nearest(x: np.ndarray, y: np.ndarray, src: np.ndarray, dst: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine) of the k best columns of each row by (cosine descending, dst); summed component by component, so equal vectors tie."""
+    w = np.zeros((len(x), len(y)))
+    for i in range(x.shape[1]):
+        w += x[:, i, None] * y[None, :, i]
+    w[(src[:, None] == dst[None, :]) | ~(w >= least)] = -np.inf
+    # dst ascends, so a stable sort breaks ties by it
+    best = np.argsort(-w, axis=1, kind="stable")[:, :k]
+    row, col = np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()
+    keep = w[row, col] > -np.inf
+    return row[keep], col[keep], w[row[keep], col[keep]]
+
+
+def nearest_entries(queries: DataFrame, entries: DataFrame, k: int, least: float = -2.0) -> DataFrame:
+    """(session, src, dst, w): the k entries of the query's session with the highest cosine, at least `least`; ties to the smaller dst, never to itself.
+
+    queries: session, src, v; entries: session, dst, v; unit vectors. A task compares one block of queries with one block of entries and
+    keeps k rows a query, so no task holds a session and no list of pairs is written.
+    """
+    place = ["session", "dim"]
+    q = queries.select("session", F.size("v").alias("dim"), F.col("src").alias("id"), "v")
+    e = entries.select("session", F.size("v").alias("dim"), F.col("dst").alias("id"), "v")
+    counts = lambda df, n, size: df.groupBy(*place).agg(F.ceil(F.count("*") / size).cast("long").alias(n))
+    blocks = counts(q, "qn", BLOCK).join(counts(e, "en", BLOCK), place)
+    deal = lambda df, own, n, other, m: df.join(blocks, place).withColumn(own, F.pmod(F.xxhash64("id"), n)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1)))
+    fields = [*place, "qb", "eb", "asks", "id", "v"]
+    dealt = deal(q, "qb", F.col("qn"), "eb", "en").withColumn("asks", F.lit(True)).select(*fields).unionByName(deal(e, "eb", F.col("en"), "qb", "qn").withColumn("asks", F.lit(False)).select(*fields))
+
+    def compare(key, rows):
+        import pandas as pd
+
+        rows = rows.sort_values("id", kind="stable")
+        x, y = rows[rows["asks"]], rows[~rows["asks"]]
+        src, dst = x["id"].to_numpy(np.int64), y["id"].to_numpy(np.int64)
+        out = []
+        if len(x) and len(y):
+            xv, yv = np.stack(x["v"].to_numpy()).astype(float), np.stack(y["v"].to_numpy()).astype(float)
+            for at in range(0, len(x), 256):
+                row, col, w = _block_nearest(xv[at : at + 256], yv, src[at : at + 256], dst, k, least)
+                out.append(pd.DataFrame({"session": key[0], "src": src[at : at + 256][row], "dst": dst[col], "w": w}))
+        return pd.concat(out) if out else pd.DataFrame({"session": [], "src": [], "dst": [], "w": []})
+
+    kind = f"session {q.schema['session'].dataType.simpleString()}, src long, dst long, w double"
+    found = dealt.groupBy(*place, "qb", "eb").applyInPandas(compare, kind)
+    return found.withColumn("r", F.row_number().over(Window.partitionBy("session", "src").orderBy(F.desc("w"), "dst"))).where(F.col("r") <= k).drop("r")
+
+
 def nearest_neighbours(segments: DataFrame, k: int = 8, least: float = 0.25) -> DataFrame:
     """Edges (session, src, dst, w): each vector's k nearest of its session with cosine at least `least`, made symmetric by the larger weight."""
-    v = unit_rows(segments).select("session", "seg_idx", "v")
-    pairs = v.toDF("session", "src", "x").join(v.toDF("session", "dst", "y"), "session").where("src <> dst")
-    pairs = pairs.select("session", "src", "dst", dot(F.col("x"), F.col("y")).alias("w")).where(F.col("w") >= least)
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("session", "src").orderBy(F.desc("w"), "dst"))).where(F.col("r") <= k).drop("r")
+    v = unit_rows(segments).where("session is not null").select("session", "seg_idx", "v")
+    near = nearest_entries(v.toDF("session", "src", "v"), v.toDF("session", "dst", "v"), k, least)
     both = near.unionByName(near.select("session", F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
     return both.groupBy("session", "src", "dst").agg(F.max("w").alias("w"))
 

@@ -81,12 +81,11 @@ def j5_knn_classifier(spark, sf):
     """Distance-weighted cosine vote of each vector's 5 nearest other bank entries."""
     from pyspark.sql import Window
 
-    from parlance.functions.vectors import dot
-
-    b = B.unit_rows(A.whole_bank(spark, sf)).select(F.col("speaker"), "entry_idx", F.col("v").alias("w"))
-    q = B.unit_rows(A.whole_queries(spark, sf)).select("session", "seg_idx", "v")
-    pairs = q.join(b, (F.size("v") == F.size("w")) & (F.col("seg_idx") != F.col("entry_idx"))).select("session", "seg_idx", "speaker", "entry_idx", (1 - dot(F.col("v"), F.col("w"))).alias("d"))
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("session", "seg_idx").orderBy("d", "entry_idx"))).where("r <= 5")
+    b = B.unit_rows(A.whole_bank(spark, sf)).select("speaker", F.col("entry_idx").alias("dst"), "v")
+    q = B.unit_rows(A.whole_queries(spark, sf)).select("session", F.col("seg_idx").alias("src"), "v")
+    # all sessions search one bank
+    near = B.nearest_entries(q.select(F.lit(0).alias("session"), "src", "v"), b.select(F.lit(0).alias("session"), "dst", "v"), 5)
+    near = near.drop("session").join(q.select("session", "src"), "src").join(b.select("speaker", "dst"), "dst").select("session", F.col("src").alias("seg_idx"), "speaker", (1 - F.col("w")).alias("d"))
     votes = near.groupBy("session", "seg_idx", "speaker").agg(F.sum(1 / F.greatest("d", F.lit(1e-9))).alias("vote"))
     total = F.sum("vote").over(Window.partitionBy("session", "seg_idx"))
     return votes.select("session", "seg_idx", "speaker", (F.col("vote") / total).alias("probability"))

@@ -119,3 +119,26 @@ def test_bank_queries_without_sql_take_all_vectors(spark):
     ids = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
     for name, key in (("e15_whitened_scores", "seg_idx"), ("e20_density_clusters", "entry_idx"), ("j5_knn_classifier", "seg_idx"), ("j3_graph_overrides", "seg_idx")):
         assert {r[0] for r in QUERIES[name](spark, sf).select(key).collect()} == ids, name
+
+
+def test_nearest_entries_in_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(bank, "BLOCK", 16)
+    r = np.random.default_rng(5)
+    x = r.normal(size=(90, 6))
+    x[40:50] = x[30:40]  # equal vectors tie
+    s = spark.createDataFrame([(i % 2 if i != 89 else None, i, v.tolist()) for i, v in enumerate(x)], "session long, seg_idx long, embedding array<double>")
+    u = {t["seg_idx"]: (t["session"], np.array(t["v"])) for t in bank.unit_rows(s).collect()}
+    want = {}
+    for i, (a, v) in u.items():
+        near = sorted((-float(sum(p * q for p, q in zip(v, w, strict=True))), j) for j, (b, w) in u.items() if a is not None and a == b and i != j)
+        for w, j in near[:4]:
+            if -w >= 0.1:
+                want[i, j] = want[j, i] = -w
+    got = {(t["src"], t["dst"]): t["w"] for t in bank.nearest_neighbours(s, 4, 0.1).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_nearest_entries_write_no_pairs(spark):
+    rows = spark.range(50).select(F.lit(0).alias("session"), F.col("id").alias("seg_idx"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
+    plan = bank.nearest_neighbours(rows, 2, 0.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan.split("FlatMapGroupsInPandas")[0] and "FlatMapGroupsInPandas" in plan
