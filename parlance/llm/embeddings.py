@@ -3,7 +3,8 @@
 Equal vectors of one label are one class with a multiplicity, so groups of copies cost one vector. Coarse lists
 and codebooks are fitted on at most `sample_rows` classes (the smallest by hash; a documented bound); every class
 is indexed. A class is a member of its nearest list and queries every list whose border lies within `reach` of it
-(a share of the largest distance that a link allows). Members are coded as residuals by subspace;
+(half of the largest distance that a link allows: the border distances of a linked pair add up to at most its distance, so one of the two asks the
+other's list, and no link is lost). Members are coded as residuals by subspace;
 a query's table of subspace distances gives its distance to each code. That distance exceeds the true one by at most the member's
 own coding error, which is kept, so the cut on it loses nothing; what passes is compared exactly in double precision.
 
@@ -62,7 +63,7 @@ def encode(x: np.ndarray, model, reach: float):
     for i, o in enumerate(own):
         d = apart[o] if apart is not None else np.sqrt(np.maximum(((centres - centres[o]) ** 2).sum(1), 1e-12))
         # how far the vector is from the border between its own list and each other
-        probes.append(np.flatnonzero(square[i] - square[i, o] <= 2 * reach * d))
+        probes.append(np.flatnonzero(square[i] - square[i, o] <= 2 * reach * d + 1e-9))
     r = x - centres[own]
     codes = np.stack([np.argmax(r[:, a:b] @ c.T - 0.5 * (c**2).sum(1), axis=1) for (a, b), c in zip(bounds, books, strict=True)], axis=1)
     error = np.sqrt(sum(((r[:, a:b] - c[codes[:, s]]) ** 2).sum(1) for s, ((a, b), c) in enumerate(zip(bounds, books, strict=True))))
@@ -93,7 +94,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int = SAMPLE_ROWS, reach: float = 0.35) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int = SAMPLE_ROWS, reach: float = 0.5) -> DataFrame:
     """vec_id, n_links, component_id, kept. reach: share of the largest link distance by which lists are probed."""
     spark = vectors.sparkSession
     far = float(np.sqrt(2 - 2 * cosine))

@@ -443,6 +443,17 @@ def test_embeddings_equal_brute_force(spark):
 
 
 # -- shared
+def test_embedding_links_across_many_borders(spark, monkeypatch):
+    from parlance.llm import embeddings
+
+    monkeypatch.setattr(embeddings, "PER_LIST", 4)
+    v = np.random.default_rng(4).normal(size=(400, 3))
+    got = {x["vec_id"]: x["n_links"] for x in embeddings.near_duplicates(spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.98).sum(1) - 1
+    assert [got[i] for i in range(400)] == want.tolist() and want.sum() > 400
+
+
 def test_connected_components(spark):
     from parlance.llm.common import connected_components
 
