@@ -195,8 +195,10 @@ def _distance_bound(x: Column, y: Column) -> Column:
     """Set bits of the difference of two sketches, the larger folded to the smaller: at most the symmetric difference."""
 
     def fold(a: Column, b: Column) -> Column:
-        half = F.size(b)
-        return F.when(F.size(a) == half, a).otherwise(F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda p, q: p.bitwiseXOR(q)))
+        n = F.size(b)
+        more = F.sequence(F.lit(1), F.floor(F.size(a) / n).cast("int") - 1)
+        folded = F.aggregate(more, F.slice(a, F.lit(1), n), lambda s, i: F.zip_with(s, F.slice(a, i * n + 1, n), lambda p, q: p.bitwiseXOR(q)))
+        return F.when(F.size(a) <= n, a).otherwise(folded)
 
     return F.aggregate(F.zip_with(fold(x, y), fold(y, x), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
 

@@ -123,6 +123,21 @@ def test_components_equal_brute_force(spark, k, percent):
     assert got == {i: (len(s), want[i]) for i, s in sets.items()}
 
 
+def test_sketches_of_different_length_are_compared(spark):
+    from parlance.llm.jaccard import _near, sketch
+
+    x = np.random.default_rng(1).integers(0, 1 << 63, 1300).astype(np.uint64)
+    sets = {1: x[:256], 2: x[:257], 3: x[100:357], 4: x[:128], 5: x[:520]}
+    rows = [(i, len(v), sketch(v).tolist()) for i, v in sets.items()]
+    table = spark.createDataFrame(rows, "node long, n long, sketch array<long>")
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (4, 5), (5, 4), (1, 1)], "a long, b long")
+    got = {(r["a"], r["b"]): r["bound"] for r in _near(pairs, table, 85).collect()}
+    assert got == {(1, 2): 1, (2, 1): 1, (1, 1): 0}
+    bounds = {(r["a"], r["b"]): r["bound"] for r in _near(pairs, table, 0).collect()}
+    assert bounds.keys() == {(1, 2), (2, 1), (1, 3), (4, 5), (5, 4), (1, 1)}
+    assert all(v <= len(np.setxor1d(sets[a], sets[b])) for (a, b), v in bounds.items()) and bounds[4, 5] == bounds[5, 4] > 0
+
+
 @pytest.mark.parametrize("percent", [70, 80, 85, 95])
 def test_signatures_lose_no_link(percent):
     from parlance.llm.jaccard import signatures
