@@ -18,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile  # only for tests and local sessions, where one machine holds everything
 
         found = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="parlance-")
@@ -65,6 +67,18 @@ def drop(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", hot_rows: int = 10_000, salts: int = 64) -> DataFrame:
+    """left joined with right (one row a key), keys of `hot_rows` or more left rows dealt over `salts` tasks by the hash of `spread`.
+
+    left must be cheap to read twice. The hot keys are at most a 10,000th of the rows; they are broadcast while counted to be few.
+    """
+    hot = materialize(left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows).select(key, F.lit(salts).alias("salts")), "hot")
+    few = F.broadcast(hot) if hot.count() <= 1_000_000 else hot
+    a = left.join(few, key, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.coalesce("salts", F.lit(1)))).cast("int")).drop("salts")
+    b = right.join(few, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return a.join(b, [key, "salt"], how).drop("salt")
+
+
 def _edge_table(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
     """The edges (a, b) as a table, and a fingerprint taken while they are written."""
     from pyspark.sql import Observation

@@ -3,8 +3,8 @@
 Texts with equal shingle sets are one node. Nodes are banded by set size so that two sets which may link
 share an instance. An instance with at most k differing shingles hashes the shingle domain into k + 1 + spare
 partitions; sets that link agree on at least 1 + spare of them, so equal partition contents (signatures) find
-every link. Low thresholds use the second level too: half the partitions, three parts each, and signatures of
-every two parts. Signatures of fewer than `least` shingles would be made of passages that many documents share.
+every link. Thresholds under about 0.77, whose partitions would hold fewer than two and a half shingles, use the second level
+too: half the partitions, three parts each, and signatures of every two parts. Signatures of fewer than `least` shingles would be made of passages that many documents share.
 They are left out, except by sets with more than `spare` such partitions: two sets that agree on nothing else both
 have, so no link is lost.
 
@@ -15,9 +15,12 @@ pairs of two components that a sketch can't reject leave it, and are compared on
 shingles) bounds the symmetric difference from below. So every candidate pair between components is
 examined, whatever the rounds before found, no pairs of a group are listed, and the components are exact.
 
+Words, shingles and sets are known by 64-bit hashes (a chance of about 3e-20 for each pair of different ones).
+
 Defined cases: null text and texts without words have no shingles, n_shingles 0 and link with nothing; a text of
-fewer than k words is one shingle; repeated rows with one doc_id are one document; empty tables give no rows;
-further columns are ignored. Ties: the smallest doc_id names the component.
+fewer than k words is one shingle; repeated rows with one doc_id are one document; rows with a null doc_id link with nothing
+(component_id null) and stay in one_of_each; empty tables give no rows; further columns are ignored. Ties: the smallest
+doc_id names the component.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import connected_components, drop, materialize
+from parlance.llm.common import connected_components, drop, join_hot, materialize
 from parlance.llm.wordhash import chunks, mix, shingles, word_hashes
 
 #: Members of a signature that are compared at once; larger signatures are cut into pairs of such blocks.
 BLOCK = 4096
-#: Candidate node ids up to which the texts to compare are picked by a broadcast join (16 bytes each).
-BROADCAST_NODES = 1_000_000
+#: Bytes of the sketches of a block: very long texts make smaller blocks.
+BLOCK_BYTES = 16 << 20
+#: Ids up to which documents are picked or left out by a broadcast join (16 bytes each).
+BROADCAST_NODES = 2_000_000
 
 
 def _few(mean: float, least: int) -> float:
@@ -66,7 +71,7 @@ def bands(percent: int, most: int) -> list[tuple[int, int, int, int, int, bool]]
         high = max(low, -(-low * 100 // percent) - 1)
         top = high * 100 // percent
         k = (100 - percent) * (high + top) // (100 + percent)
-        two = k >= 4 and low < 4 * k
+        two = k >= 4 and 2 * low < 5 * k
         base, part, ways = (k // 2 + 1, 2 / 3, 3) if two else (k + 1, 1.0, 1)
         tried = [(_spare(base, low, part, ways, least), least) for least in (2, 1)]
         spare, least = next((x for x in tried if x[0] is not None), (1, 1))
@@ -104,7 +109,8 @@ def signatures(s: np.ndarray, percent: int, most: int) -> np.ndarray:
             strong = size >= least
             # with more weak partitions than spare ones, all are used
             use = np.arange(n * parts) if int((~strong.reshape(n, parts)).any(1).sum()) > spare else np.flatnonzero(strong)
-            out.append(mix(total[use] ^ mix(use.astype(np.uint64) + np.uint64((i + 1) << 32))))
+            # 48 bits are enough for candidates (a chance agreement is compared and rejected) and a quarter less to shuffle
+            out.append(mix(total[use] ^ mix(use.astype(np.uint64) + np.uint64((i + 1) << 32))) >> np.uint64(16))
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
@@ -148,7 +154,7 @@ def _signature_rows(percent: int, most: int):
     def rows(ids, sets):
         import pyarrow as pa
 
-        sig, node, size = [np.empty(0, np.int64)], [], []
+        sig, node = [], []
         for s in sets:
             if not len(s) or (v := _node(s)) in seen:
                 continue  # a copy met by this task adds nothing
@@ -157,9 +163,8 @@ def _signature_rows(percent: int, most: int):
             x = signatures(s, percent, most)
             sig.append(x.view(np.int64))
             node.append(np.full(len(x), v, np.int64))
-            size.append(np.full(len(x), len(s), np.int64))
         cat = lambda x: pa.array(np.concatenate([np.empty(0, np.int64), *x]), pa.int64())
-        return {"sig": cat(sig), "node": cat(node), "n": cat(size)}
+        return {"sig": cat(sig), "node": cat(node)}
 
     return rows
 
@@ -176,6 +181,11 @@ def _set_rows(ids, sets):
     return {"node": ids, "n": pa.array([len(s) for s in sets], pa.int64()), "shingles": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))}
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """ids (a table of a few longs a row), to be broadcast if they are counted to be few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_NODES else ids
+
+
 class _Texts:
     """One document's text for each node, found again whenever sets are needed; only sketches are kept."""
 
@@ -185,7 +195,7 @@ class _Texts:
     def rows(self, nodes: DataFrame, make, kind: str) -> DataFrame:
         """make's rows for the distinct nodes, as a table."""
         wanted = materialize(nodes.distinct().join(self.first, "node").select(F.col("first").alias("doc_id"), "node"), "wanted")
-        few = F.broadcast(wanted) if wanted.count() <= BROADCAST_NODES else wanted
+        few = _small(wanted)
         chosen = self.texts.join(few, "doc_id")
         chosen = chosen if self.once else chosen.dropDuplicates(["doc_id"])
         return materialize(_sets(chosen.select("node", "text"), self.k, make, kind), "sets")
@@ -210,7 +220,7 @@ def _near(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs.join(s.toDF("a", "na", "sa"), "a")
         .join(s.toDF("b", "nb", "sb"), "b")
         .withColumn("bound", _distance_bound(F.col("sa"), F.col("sb")))
-        .where((100 + percent) * F.col("bound") <= (100 - percent) * (F.col("na") + F.col("nb")))
+        .where(((100 + percent) * F.col("bound") <= (100 - percent) * (F.col("na") + F.col("nb"))) & _sizes_fit(F.col("na"), F.col("nb"), percent))
         .select("a", "b", "bound")
     )
 
@@ -247,10 +257,10 @@ def _block_pairs(node, c, n, side, across: bool, sketches, percent: int):
 
 
 def _near_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of rest (sig, node, c, n, blocks) that their sketches can't reject."""
+    """Distinct pairs (a, b) of rest (sig, node, c, blocks) that their sketches can't reject."""
     block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = rest.select("sig", "node", "c", "n", block.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("sig", "node", "c", "n", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(sets.select("node", "sketch"), "node")
+    dealt = rest.select("sig", "node", "c", block.alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("sig", "node", "c", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).join(sets.select("node", "n", "sketch"), "node")
     dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").select("sig", "i", "j", "node", "c", "n", "mine", "sketch")
 
     def pairs(batches):
@@ -297,15 +307,14 @@ def _near_in_blocks(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, node, component_id; documents link when 100 * |A and B| >= percent * |A or B|."""
-    texts = docs.select("doc_id", "text")
-    members = materialize(_sets(texts, k, _document_rows, "doc_id long, n_shingles long, node long"), "members")
+    members = materialize(_sets(docs.select("doc_id", "text"), k, _document_rows, "doc_id long, n_shingles long, node long"), "members")
+    texts = docs.select("doc_id", "text").where("doc_id is not null")
     most = members.agg(F.max("n_shingles")).first()[0] or 1
     most = 1 << int(most).bit_length()
-    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    nodes = members.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
     # one shuffle of the signatures, read twice: for those of several nodes, and for their members
-    sigs = _sets(texts, k, _signature_rows(percent, most), "sig long, node long, n long").repartition("sig")
-    # (the size is asked for on both sides, or they would prune to different columns and shuffle twice)
-    shared = sigs.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.max("n").alias("n")).where("x <> y and n > 0").select("sig")
+    sigs = _sets(texts, k, _signature_rows(percent, most), "sig long, node long").repartition("sig")
+    shared = sigs.groupBy("sig").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("sig")
     bucket = materialize(sigs.join(shared.hint("shuffle_hash"), "sig").distinct(), "buckets")
     again = _Texts(texts, nodes, k, not _repeats(members))
     sketches = again.rows(bucket.select("node"), _sketch_rows, "node long, n long, sketch array<long>")
@@ -315,23 +324,31 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     for turn in range(2):
         now = _with_component(bucket, component)
         order = F.xxhash64(F.lit(turn), "sig", "node")  # another hub for each signature, so a node meets many
-        hub = now.groupBy("sig").agg(F.min_by(F.struct("node", "c", "n"), order).alias("hub"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
-        pairs = now.join(hub, "sig").where((F.col("c") != F.col("hub.c")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent))
+        hub = now.groupBy("sig").agg(F.min_by(F.struct("node", "c"), order).alias("hub"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
+        pairs = now.join(hub, "sig").where(F.col("c") != F.col("hub.c"))
         near = _near(pairs.select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct(), sketches, percent)
         best = materialize(near.groupBy("a").agg(F.min_by("b", F.struct("bound", "b")).alias("b")), "best")
         found = _linked(best, again, percent)
         edges, component = _merge(edges, found, component)
-
-    open_ = _with_component(bucket, component)
-    mixed = open_.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("m")).where("x <> y").select("sig", F.ceil(F.col("m") / BLOCK).alias("blocks"))
-    near = materialize(_near_in_blocks(open_.join(mixed, "sig"), sketches, percent), "near")
+        drop(best)
+
+    open_ = materialize(_with_component(bucket, component), "open")
+    size = sketches.select("node", (8 * F.size("sketch")).alias("bytes"))
+    mixed = open_.groupBy("sig").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("sig")
+    rest = materialize(open_.join(mixed, "sig").join(size, "node"), "rest")
+    blocks = rest.groupBy("sig").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).alias("blocks"))
+    near = materialize(_near_in_blocks(rest.join(blocks, "sig"), sketches, percent), "near")
     _, component = _merge(edges, _linked(near, again, percent), component)
+    for used in (bucket, sketches, open_, rest, near):
+        drop(used)
 
-    named = nodes.join(component, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "root").select("node", "component_id")
-    whole = members.join(named, "node", "left")
-    return whole.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    # one component, or the copies of one text, may hold a third of all rows
+    linked = materialize(component.join(nodes, "node"), "linked")
+    named = join_hot(linked, linked.groupBy("component").agg(F.min("first").alias("component_id")), "component", "node").select("node", "component_id")
+    named = nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "first").alias("component_id"))
+    whole = join_hot(members, named, "node", "doc_id", "left")
+    linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return whole.select("doc_id", "n_shingles", F.when(linkable, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
 
 
 def _repeats(members: DataFrame) -> bool:
@@ -358,6 +375,9 @@ def _merge(edges: DataFrame | None, found: DataFrame, component: DataFrame | Non
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of the smallest doc_id in each component."""
-    kept = jaccard_components(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """The documents of the smallest doc_id in each component, and those with a null doc_id.
+
+    The ids of the others are counted; while they are few, texts aren't shuffled to leave them out.
+    """
+    gone = materialize(jaccard_components(docs, k, percent).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return docs.join(_small(gone), "doc_id", "left_anti").select(docs.columns)

@@ -5,22 +5,31 @@ by hash; half for the counts, half for the temperature), predicts each document'
 Nonnegative rates, one per document, are then fitted by accelerated projected gradient steps so that the expected
 tokens of each domain, sum(tokens * posterior * rate), meet the targets in least squares, with a small pull towards rate 1.
 
+Domains are any column of the labelled documents whose values a text betrays; production uses `lang`. (A classifier of `source` does no better on
+held-out rows than its commonest value, so its posteriors are the prior for every text and no rates could change the mix.)
+
 A step needs one vector of K residuals for all documents, so an iteration is one aggregation of K sums. A document's rate
 follows from its posterior and the residuals so far; tasks replay them, so no state is kept between
 iterations and a lost executor costs one task.
 
 The budget is (just over) the smallest total at which no domain as a whole must shrink; weights are met by repeating, not by
-throwing away. copies is the rate rounded by a hash of doc_id, so expected totals stay.
+throwing away. mixture_totals gives the totals achieved; a warning says when the steps end before they meet the targets. copies is the rate rounded by a hash of doc_id, so expected totals stay.
 
 Tokens are words. Defined cases: null or empty text has 0 tokens, the prior as posterior and rate 1; labelled rows with a
 null or unlisted domain aren't learned from; without labelled rows all domains are equally likely; repeated rows get equal
-rates; empty tables give no rows; further columns are ignored.
+rates; rows with a null doc_id get rates but aren't learned from; empty tables give no rows; further columns are ignored. Ties between domains go to
+the first in the order of targets.
 """
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.common import materialize
@@ -66,6 +75,17 @@ def posteriors(means: np.ndarray, words: np.ndarray, prior: np.ndarray, temperat
     return p / p.sum(1, keepdims=True)
 
 
+def mean_logs(texts: list[bytes], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, mean log probability of a word by domain) of each text."""
+    cell, bound = _cells(texts)
+    n = np.diff(bound)
+    total = np.zeros((len(texts), logs.shape[1]))
+    full = n > 0
+    if full.any():
+        total[full] = np.add.reduceat(logs[cell], bound[:-1][full], axis=0) / n[full, None]
+    return n, total
+
+
 def _with_means(rows: DataFrame, shared, kind: str) -> DataFrame:
     """id columns, tokens and mean log probabilities of rows (id, text)."""
 
@@ -75,12 +95,7 @@ def _with_means(rows: DataFrame, shared, kind: str) -> DataFrame:
         logs = shared.value
         for b in batches:
             for at, some in chunks(b.column(1).cast(pa.binary()).to_pylist()):
-                cell, bound = _cells(some)
-                n = np.diff(bound)
-                total = np.zeros((len(some), logs.shape[1]))
-                full = n > 0
-                if full.any():
-                    total[full] = np.add.reduceat(logs[cell], bound[:-1][full], axis=0) / n[full, None]
+                n, total = mean_logs(some, logs)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(some)), pa.array(n), pa.array(list(total), pa.list_(pa.float64()))], names=["id", "tokens", "means"])
 
     return rows.mapInArrow(mean, f"id {kind}, tokens long, means array<double>")
@@ -95,7 +110,7 @@ def replay(p: np.ndarray, history: list[tuple[np.ndarray, float]], step: float,
     return r, y
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray, pull: float = 1e-3, rounds: int = 40, tolerance: float = 2e-3):
+def fit_rates(soft: DataFrame, targets: np.ndarray, pull: float = 1e-4, rounds: int = 60, tolerance: float = 2e-3):
     """(history, step) for soft (tokens, posterior array): targets are shares of the mix."""
     k = len(targets)
     total = float(soft.agg(F.sum("tokens")).first()[0] or 0)
@@ -109,9 +124,10 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, pull: float = 1e-3, rounds:
     goal = targets * float((share / targets).max()) * (1 + 4 * tolerance)  # so that no rate falls under 1 by the tolerance alone
     step = 1 / (float(np.linalg.eigvalsh(m)[-1]) + pull)
     history: list[tuple[np.ndarray, float]] = []
-    residual, t = share - goal, 1.0
-    for _ in range(rounds):
-        if np.abs(residual / goal).max() <= tolerance:
+    residual, t, still = share - goal, 1.0, 0
+    while np.abs(residual / goal).max() > tolerance:
+        if len(history) == rounds or still == 3:  # no more steps, or none that changes anything
+            warnings.warn(f"targets are met within {np.abs(residual / goal).max():.2%} only, after {len(history)} steps", stacklevel=2)
             break
         t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
         history.append((residual, (before - 1) / t))
@@ -127,13 +143,48 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, pull: float = 1e-3, rounds:
             yield pd.DataFrame({"i": np.arange(k), "x": out})
 
         sums = dict(soft.select("tokens", "posterior").mapInPandas(expected, "i int, x double").groupBy("i").agg(F.sum("x")).collect())  # k rows
-        residual = np.array([sums[i] for i in range(k)]) - goal
+        before, residual = residual, np.array([sums[i] for i in range(k)]) - goal
+        still = still + 1 if np.abs((residual - before) / goal).max() < tolerance / 20 else 0
     # the last point looked at is the extrapolated one; a step without momentum ends there
     return [*history[:-1], (history[-1][0], 0.0)] if history else [], step
 
 
-def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, train_rows: int = TRAIN_ROWS, pull: float = 1e-3) -> DataFrame:
-    """doc_id, tokens, domain (likeliest), posterior (array in the order of targets), rate, copies. labels: doc_id of the labelled table."""
+@dataclass
+class Mixture:
+    """What rates are computed from: bounded by CELLS x domains, and the steps of the fit."""
+
+    names: list[str]
+    logs: np.ndarray
+    prior: np.ndarray
+    temperature: float
+    history: list[tuple[np.ndarray, float]]
+    step: float
+    pull: float
+
+    def posterior(self, means: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return posteriors(means, tokens, self.prior, self.temperature)
+
+    def rates(self, p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        return np.where(tokens > 0, replay(p, self.history, self.step, self.pull)[0], 1.0)
+
+
+def _softened(rows: DataFrame, shared) -> DataFrame:
+    """rows with soft: struct of tokens, posterior and rate, by one narrow pass over column text."""
+
+    @F.pandas_udf("tokens long, posterior array<double>, rate double")
+    def soften(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        for texts in batches:
+            parts = [mean_logs(some, m.logs) for _, some in chunks([(t or "").encode() for t in texts])]
+            n, means = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros((0, len(m.names))))
+            p = m.posterior(means, n)
+            yield pd.DataFrame({"tokens": n, "posterior": list(p), "rate": m.rates(p, n)})
+
+    return rows.withColumn("soft", soften(F.col("text")))
+
+
+def fit_mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang", targets: dict[str, float] | None = None, train_rows: int = TRAIN_ROWS, pull: float = 1e-4) -> tuple[Mixture, DataFrame]:
+    """The mixture, and the table (id, tokens, posterior) it was fitted on. labels: doc_id of the labelled table."""
     targets = targets or TARGETS
     names = list(targets)
     goal = np.array([targets[x] for x in names], float)
@@ -141,42 +192,62 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", targe
     k, spark = len(names), docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(domain).alias("domain"))
     number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i)])
-    chosen = materialize(labels.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "chosen")  # at most train_rows rows
+    chosen = materialize(labels.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "chosen")  # at most train_rows rows
     known = rows.join(F.broadcast(chosen), "doc_id").where(F.col("domain").isin(names)).withColumn("domain", number[F.col("domain")])
     half = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(2))
     counts = _domain_counts(known.where(half == 0), k)
     prior = (counts.sum(0) + 1) / (counts.sum() + k)
     shared = spark.sparkContext.broadcast(np.log((counts + 0.1) / (counts.sum(0) + 0.1 * CELLS)).astype(np.float32))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    tried = _with_means(known.where(half == 1).select(F.struct("doc_id", "domain").alias("id"), "text"), shared, f"struct<doc_id:{kind},domain:int>").select("id.domain", "tokens", "means").toPandas()  # at most train_rows rows
+    # equal means and truths are one row; the limit is for ids that repeat
+    tried = _with_means(known.where(half == 1).select(F.struct("doc_id", "domain").alias("id"), "text"), shared, f"struct<doc_id:{kind},domain:int>")
+    tried = tried.select("id.domain", "tokens", "means").orderBy(F.xxhash64("id.doc_id", "means")).limit(train_rows).toPandas()  # at most train_rows rows
     temperature = 8.0
     if len(tried):
         means, words, truth = np.stack(tried["means"].to_numpy()), tried["tokens"].to_numpy(), tried["domain"].to_numpy()
         loss = lambda t: -np.log(posteriors(means, words, prior, t)[np.arange(len(truth)), truth] + 1e-12).mean()
         temperature = min((1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0), key=loss)
-    logs = _with_means(rows.select("doc_id", "text"), shared, kind)
+    mixture = Mixture(names, shared.value, prior, temperature, [], 0.0, pull)
+    soft = _softened(rows.select(F.col("doc_id").alias("id"), "text"), spark.sparkContext.broadcast(mixture)).select("id", F.col("soft"))
+    soft = materialize(soft.select("id", "soft.tokens", "soft.posterior"), "soft")
+    mixture.history, mixture.step = fit_rates(soft, goal, pull)
+    return mixture, soft
 
-    def soften(batches):
-        for b in batches:
-            p = posteriors(np.stack(b["means"].to_numpy()), b["tokens"].to_numpy(), prior, temperature) if len(b) else np.zeros((0, k))
-            yield b[["id", "tokens"]].assign(posterior=list(p))
 
-    soft = materialize(logs.mapInPandas(soften, f"id {kind}, tokens long, posterior array<double>"), "soft")
-    history, step = fit_rates(soft, goal, pull)
+def _copies(rate: Column, key: Column) -> Column:
+    """The rate rounded up or down by a hash of the key, so that expected totals stay."""
+    return F.floor(rate + F.pmod(F.xxhash64(F.lit(4), key), F.lit(1 << 32)) / (1 << 32)).cast("int")
+
+
+def mixing_rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, tokens, domain (likeliest), posterior (array in the order of targets), rate, copies. options: those of fit_mixture."""
+    mixture, soft = fit_mixture(docs, labels, **options)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rate(batches):
         for b in batches:
-            p = np.stack(b["posterior"].to_numpy()) if len(b) else np.zeros((0, k))
-            r = replay(p, history, step, pull)[0]
-            yield b.assign(rate=np.where(b["tokens"] > 0, r, 1.0))
+            p = np.stack(b["posterior"].to_numpy()) if len(b) else np.zeros((0, len(mixture.names)))
+            yield b.assign(rate=mixture.rates(p, b["tokens"].to_numpy()))
 
     rated = soft.mapInPandas(rate, f"id {kind}, tokens long, posterior array<double>, rate double")
-    draw = F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(1 << 32)) / (1 << 32)
-    likeliest = F.array(*[F.lit(n) for n in names])[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")]
-    return rated.select(F.col("id").alias("doc_id"), "tokens", likeliest.alias("domain"), "posterior", "rate", F.floor(F.col("rate") + draw).cast("int").alias("copies"))
+    likeliest = F.array(*[F.lit(n) for n in mixture.names])[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")]
+    return rated.select(F.col("id").alias("doc_id"), "tokens", likeliest.alias("domain"), "posterior", "rate", _copies(F.col("rate"), F.col("id")).alias("copies"))
+
+
+def mixture_totals(rates: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """domain, expected_tokens, share, target: what the rates achieve. One row a domain."""
+    targets = targets or TARGETS
+    names, whole = list(targets), sum(targets.values())
+    sums = rates.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("rate") * F.col("posterior")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(len(names))])
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("domain"), F.col(f"t{i}").alias("expected_tokens"), F.lit(targets[n] / whole).alias("target")) for i, n in enumerate(names)]))
+    total = sum((F.col(f"t{i}") for i in range(len(names))), F.lit(0.0))
+    return sums.select(total.alias("total"), rows.alias("r")).select("r.domain", "r.expected_tokens", F.try_divide("r.expected_tokens", "total").alias("share"), "r.target")
 
 
 def mix(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents, each as often as its copies say."""
-    copies = mixing_rates(docs, labels, **options).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    """The rows of docs, each as often as its copies say. One more narrow pass over the texts instead of a shuffle of them."""
+    mixture, _ = fit_mixture(docs, labels, **options)
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), "text", F.col("doc_id").alias("id"))
+    copies = _copies(F.col("soft.rate"), F.col("id"))
+    times = _softened(whole, docs.sparkSession.sparkContext.broadcast(mixture)).select("doc", copies.alias("copies"))
+    return times.select("doc", F.explode(F.expr("array_repeat(0, copies)"))).select("doc.*")

@@ -7,8 +7,8 @@ the share of good documents it rejects is at most `false_rejection / number of r
 1 - level. Among the certified cutoffs of a rule the one that rejects the most bad less good documents
 is taken; if none rejects more bad than good documents, the rule is off in that stratum.
 
-Built-in functions only: text work stays inside the JVM, one narrow pass. The driver sees one row per
-stratum (holdout counts).
+Built-in functions only: text work stays inside the JVM, one narrow pass. The bounds are computed by stratum in Spark;
+the driver sees nothing but the number of strata.
 
 Defined cases: null text counts as no words; empty tables give empty results; a null stratum is a
 stratum of its own (''); a document labelled more than once counts once, as good only if all its labels
@@ -29,6 +29,8 @@ from parlance.llm.common import SPACE, materialize
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = "[#*$%&|<>]"
+#: Parts into which a stratum is dealt where its cutoffs are joined to it.
+SALTS = 16
 
 
 @dataclass(frozen=True)
@@ -50,10 +52,11 @@ class Risk:
     )
 
 
-def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, lang and exact counts over the whole text."""
+def text_features(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, lang and exact counts over the whole text; with carry the whole row too, as the struct doc."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    step = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), t.alias("t"))
+    whole = [F.struct(*docs.columns).alias("doc")] if carry else []
+    step = docs.select("doc_id", F.coalesce(F.col("lang"), F.lit("")).alias("lang"), t.alias("t"), *whole)
     step = step.withColumn("w", F.filter(F.split("t", f"{SPACE}+"), lambda x: x != ""))
     step = step.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     step = step.withColumn("n", F.size("w"))
@@ -77,6 +80,7 @@ def text_features(docs: DataFrame) -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         F.char_length(F.regexp_replace("t", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
         F.char_length(F.regexp_replace("t", "[^!?]+", "")).cast("long").alias("n_marks"),
+        *(["doc"] if carry else []),
     )
 
 
@@ -89,6 +93,7 @@ def _ratios() -> dict[str, Column]:
         "dup_line_share": over("n_dup_lines", "n_lines"),
         "repeat_share": over("n_repeat_words", "n_words"),
         "chars_per_word": over("word_chars", "n_words"),
+        "shortness": F.greatest(F.lit(0.0), 1 - F.col("n_words") / MIN_WORDS),
     }
 
 
@@ -96,64 +101,74 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def binomial_at_most(k: int, n: int, p: float) -> float:
-    """Exact P(X <= k) for X binomial(n, p), summed from the largest term down."""
-    if k >= n:
-        return 1.0
-    if k > n * p:  # the upper tail is the smaller one
-        total, i = 0.0, k + 1
-        term = math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
-        while i <= n and (term > total * 1e-17 or total == 0.0):
-            total += term
-            term *= (n - i) / (i + 1) * p / (1 - p)
-            i += 1
-            if term == 0.0:
-                break
-        return 1.0 - total
-    total, i = 0.0, k
-    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
-    while i >= 0 and term > total * 1e-17:
-        total += term
-        term *= i / (n - i + 1) * (1 - p) / p
-        i -= 1
-    return total
-
-
-def choose_cutoffs(features: DataFrame, labels: DataFrame, risk: Risk) -> dict[tuple[str, str], float]:
-    """(stratum, rule) -> certified cutoff. labels: doc_id, quality (1 is good); null labels are left out."""
-    ratios = _ratios()
+def log_binomial_at_most(k: Column, n: Column, p: float) -> Column:
+    """Exact ln P(X <= k) for X binomial(n, p): terms by their ratio, summed as logarithms.
+
+    Beyond the mean the probability is at least a half, which meets no level: 0 is returned there.
+    """
+    odds = math.log(p) - math.log1p(-p)
+
+    def add(a: Column, i: Column) -> Column:
+        term = a["term"] + F.ln((n - i + 1) / i) + odds
+        high = F.greatest(a["sum"], term)
+        return F.struct(term.alias("term"), (high + F.log1p(F.exp(F.least(a["sum"], term) - high))).alias("sum"))
+
+    first = (n * math.log1p(-p)).cast("double")
+    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.expr("cast(array() as array<bigint>)"))
+    total = F.aggregate(terms, F.struct(first.alias("term"), first.alias("sum")), add, lambda a: a["sum"])
+    return F.when(k > n * p + 1, F.lit(0.0)).otherwise(total)
+
+
+#: The rules of the pipeline's stage, where a short or repetitive text is no failure in itself: its length and repeats are
+#: certified like all else, so that the bound on false rejection covers every reason to reject.
+CERTIFIED = Risk(cutoffs=Risk().cutoffs | {"repeat_share": (0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1), "shortness": (0.96, 0.9, 0.8, 0.6, 0.4, 0.2, 0.0)})
+
+
+def choose_cutoffs(features: DataFrame, labels: DataFrame, risk: Risk, base: bool = True) -> DataFrame:
+    """One row per stratum: lang and, by rule, its certified cutoff (null: off). labels: doc_id, quality (1 is good); null labels are left out."""
+    ratios = {r: c for r, c in _ratios().items() if r in risk.cutoffs}
     held = labels.where("quality is not null").groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
-    rows = features.where(~base_failed()).select("doc_id", "lang", *[c.alias(k) for k, c in ratios.items()]).join(held, "doc_id")
+    judged = features.where(~base_failed()) if base else features
+    rows = judged.select("doc_id", "lang", *[c.alias(k) for k, c in ratios.items()]).join(held, "doc_id")
     good, bad = F.col("good"), ~F.col("good")
-    sums = [F.count_if(good).alias("good"), F.count_if(bad).alias("bad")]
-    for r, cuts in risk.cutoffs.items():
-        for i, c in enumerate(cuts):
-            sums += [F.count_if(good & (F.col(r) > c)).alias(f"{r}|{i}|good"), F.count_if(bad & (F.col(r) > c)).alias(f"{r}|{i}|bad")]
-    strata = rows.groupBy("lang").agg(*sums).collect()  # one row per language
-    tests = len(strata) * sum(map(len, risk.cutoffs.values()))
-    chosen = {}
-    for s in strata:
-        for r, cuts in risk.cutoffs.items():
-            best = 0
-            for i, c in enumerate(cuts):
-                k, b = s[f"{r}|{i}|good"], s[f"{r}|{i}|bad"]
-                # the exact (Clopper-Pearson) upper bound is at most the allowed share
-                sure = s["good"] > 0 and binomial_at_most(k, s["good"], risk.false_rejection / len(risk.cutoffs)) <= risk.level / tests
-                if sure and b - k > best:
-                    best, chosen[s["lang"], r] = b - k, c
-    return chosen
+    tries = [(r, i, c) for r, cuts in risk.cutoffs.items() for i, c in enumerate(cuts)]
+    sums = [F.struct(F.lit(r).alias("rule"), F.lit(i).alias("i"), F.lit(c).alias("cutoff"), F.count_if(good & (F.col(r) > c)).alias("k"), F.count_if(bad & (F.col(r) > c)).alias("bad")) for r, i, c in tries]
+    strata = materialize(rows.groupBy("lang").agg(F.count_if(good).alias("n"), F.array(*sums).alias("tries")), "strata")
+    tests = strata.agg(F.count("*")).first()[0] * len(tries)
+    if not tests:
+        return strata.select("lang", *[F.lit(None).cast("double").alias(r) for r in risk.cutoffs])
+    # the exact (Clopper-Pearson) upper bound is at most the allowed share; looked for only where it may matter
+    tried = strata.select("lang", "n", F.inline("tries")).where("n > 0 and bad > k")
+    sure = tried.where(F.ln(F.lit(risk.level / tests)) >= log_binomial_at_most(F.col("k"), F.col("n"), risk.false_rejection / len(risk.cutoffs)))
+    best = sure.groupBy("lang", "rule").agg(F.min_by("cutoff", F.struct(F.col("k") - F.col("bad"), "i")).alias("cutoff"))
+    return materialize(best.groupBy("lang").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(r) for r in risk.cutoffs]), "cutoffs")
+
+
+def _judged(features: DataFrame, labels: DataFrame, risk: Risk, base: bool) -> DataFrame:
+    """features with base_failed, failed_rule (the first, null if none) and kept.
+
+    Cutoffs are a row a stratum. Salts deal a stratum of many documents over tasks where there are too many strata to broadcast.
+    """
+    cut = choose_cutoffs(features, labels, risk, base).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = F.struct(F.col("lang").alias("lang"), *[F.col(r).alias(r) for r in risk.cutoffs])
+    cut = cut.select("lang", "salt", own.alias("cut"))
+    rows = features.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(cut, ["lang", "salt"], "left")
+    ratios = _ratios()
+    failed = F.coalesce(*[F.when(ratios[r] > F.col("cut")[r], F.lit(r)) for r in sorted(risk.cutoffs)])
+    reason = F.when(F.col("base_failed"), F.lit("base")).otherwise(failed) if base else failed
+    return rows.withColumn("base_failed", base_failed()).withColumn("failed_rule", reason).withColumn("kept", F.col("failed_rule").isNull())
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk | None = None) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the first failed rule (null if none)."""
-    risk = risk or Risk()
     features = materialize(text_features(docs), "quality")
-    chosen = choose_cutoffs(features, labels, risk)
-    failed = F.lit(None).cast("string")
-    for (lang, rule), cut in sorted(chosen.items()):
-        failed = F.coalesce(failed, F.when((F.col("lang") == lang) & (_ratios()[rule] > cut), F.lit(rule)))
-    return (
-        features.withColumn("base_failed", base_failed())
-        .withColumn("failed_rule", F.when(F.col("base_failed"), F.lit("base")).otherwise(failed))
-        .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept"), "failed_rule")
-    )
+    return _judged(features, labels, risk or Risk(), True).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = CERTIFIED) -> DataFrame:
+    """The rows of docs that no certified rule rejects (a null doc_id is judged like any other).
+
+    Rows and counts are written in one pass, so that texts are neither counted twice nor shuffled.
+    """
+    features = materialize(text_features(docs, carry=True), "quality")
+    return _judged(features, labels, risk, False).where("kept").select("doc.*")

@@ -180,7 +180,7 @@ def test_rates_meet_targets(spark):
     got = mixing_rates(docs, spark.read.parquet(f"{SF}/labels.parquet"), targets=targets).toPandas()
     p = np.stack(got["posterior"].to_numpy())
     total = (p * (got["tokens"] * got["rate"]).to_numpy()[:, None]).sum(0)
-    assert np.abs(total / total.sum() - list(targets.values())).max() < 0.01
+    assert np.abs(total / total.sum() - list(targets.values())).max() < 0.002
     assert (got["rate"] >= 0).all() and len(got) == docs.count()
     assert mix(docs, spark.read.parquet(f"{SF}/labels.parquet"), targets=targets).columns == docs.columns
 
@@ -199,6 +199,27 @@ def test_replay_equals_the_plain_iteration():
     assert np.allclose(replay(p, history, step, 0.001)[0], x)
 
 
+def test_rates_equal_a_plain_solver(spark):
+    """The same least squares by many plain projected gradient steps on one machine."""
+    from parlance.llm.mixing import fit_mixture, mixture_totals
+
+    docs, some = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    targets = {"en": 0.3, "de": 0.3, "fr": 0.2, "es": 0.2}
+    mixture, soft = fit_mixture(docs, some, targets=targets, pull=0.01)
+    t = soft.toPandas()
+    p, w, goal = np.stack(t["posterior"].to_numpy()), (t["tokens"] / t["tokens"].sum()).to_numpy(), np.array(list(targets.values()))
+    share = p.T @ w
+    goal = goal * (share / goal).max() * 1.008
+    r = np.ones(len(p))
+    for _ in range(20_000):
+        r = np.maximum(0, r - mixture.step * (p @ (p.T @ (w * r) - goal) + 0.01 * (r - 1)))
+    got = mixture.rates(p, t["tokens"].to_numpy())
+    assert np.abs(p.T @ (w * got) / (p.T @ (w * r)) - 1).max() < 0.01 and np.abs(got - r).max() < 0.05
+    rates = soft.withColumn("rate", F.lit(2.0))
+    totals = {x["domain"]: x for x in mixture_totals(rates, targets).collect()}
+    assert math.isclose(totals["de"]["expected_tokens"], 2 * (p[:, 1] * t["tokens"]).sum()) and math.isclose(sum(x["share"] for x in totals.values()), 1) and totals["de"]["target"] == 0.3
+
+
 def test_mixing_of_odd_documents(spark):
     from parlance.llm.mixing import mixing_rates
 
@@ -231,11 +252,15 @@ def test_quality_counts_equal_brute_force(spark):
         assert got[i]["base_failed"] == failed and got[i]["kept"] == (not failed)
 
 
-def test_binomial_bound():
-    from parlance.llm.quality import binomial_at_most
+def test_binomial_bound(spark):
+    from parlance.llm.quality import log_binomial_at_most
 
-    for n, k, p in ((10, 3, 0.3), (400, 2, 0.02), (50, 49, 0.9), (7, 7, 0.2), (30, 0, 0.1)):
-        assert math.isclose(binomial_at_most(k, n, p), sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel_tol=1e-9)
+    cases = [(10, 3, 0.3), (400, 2, 0.02), (50, 44, 0.9), (30, 0, 0.1), (20_000, 60, 0.005), (5, 5, 0.9)]
+    for n, k, p in cases:
+        got = spark.createDataFrame([(k, n)], "k long, n long").select(log_binomial_at_most(F.col("k"), F.col("n"), p)).first()[0]
+        want = math.log(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))) if n < 1000 else math.log(sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1)))
+        assert math.isclose(got, want, rel_tol=1e-8, abs_tol=1e-12), (n, k, p)
+    assert spark.createDataFrame([(7, 10)], "k long, n long").select(log_binomial_at_most(F.col("k"), F.col("n"), 0.2)).first()[0] == 0.0
 
 
 def test_cutoffs_are_certified(spark):
@@ -411,7 +436,36 @@ def test_grammar_scores_clauses():
     assert hit("what an idiot") == ["insult_plain"] and hit("an idiot you are") == ["insult_targeted"]
     assert hit("not an idiot") == ["insult_negated"] and hit("she said idiot") == ["insult_reported"]
     assert hit("not so. an idiot") == ["insult_plain"] and hit("i kill you") == ["threat_targeted"]
-    assert hit("scumbags") == ["insult_plain"] and hit("nice day") == [] == hit("")
+    assert hit("not ½ an idiot") == ["insult_negated"]  # a number doesn't end a clause
+    assert hit('"so. an idiot" he wrote') == ["insult_reported"] and hit('"so\nan idiot') == ["insult_plain"]
+    assert hit("scumbags") == ["insult_plain"] and hit("nice day") == [] == hit("") == hit(None)
+    # a clause is scored as a whole: further matches count half
+    one, two, apart = (g.features(t)[0] for t in ("idiot", "idiot idiot", "idiot. idiot"))
+    assert [round(math.expm1(x), 2) for x in (one, two, apart)] == [1.0, 1.5, 2.0]
+
+
+def test_composition_equals_the_transducers_one_by_one():
+    from parlance.llm import toxicity as T
+
+    parts = [T.negation(), T.target(), T.matches(T.INSULT), T.matches(T.THREAT)]
+    r = random.Random(3)
+
+    def rewrites(m, tape):
+        """All accepted (tape, weight) of one transducer."""
+        paths = [(m.start, [], 1.0)]
+        for x in tape:
+            paths = [(q2, [*out, y], w * v) for q, out, w in paths for q2, y, v in m.arcs.get((q, x), [])]
+        return [(out, w) for q, out, w in paths if q in m.final]
+
+    for inside in (False, True):
+        for _ in range(300):
+            tape = [r.randrange(7) for _ in range(r.randrange(9))]
+            found = [(tape, 1.0)]
+            for m in [T.reported_speech(inside), *parts]:
+                found = [(out, w * v) for x, w in found for out, v in rewrites(m, x)]
+            assert len(found) == 1 and rewrites(T.grammar_machine(inside), tape) == found
+            got = T.clause_matches(T.grammar_machine(inside), [(x, 1.0) for x in tape])
+            assert [z for z, _ in got] == [z for z in found[0][0] if isinstance(z, tuple)] and math.isclose(math.prod(w for _, w in got), found[0][1])
 
 
 def test_toxicity_on_held_out_labels(spark):
