@@ -1,6 +1,12 @@
 """The corpus pipeline: quality rules, toxicity, near duplicates, mixing, packing.
 
-Each stage gets what its predecessor kept, as a table, and is written before the next one reads it.
+Each stage gets what its predecessor kept, as a table, and is written before the next one reads it. Quality, toxicity and mixing decide in
+the pass that reads the texts, and near duplicates leaves the others out by their ids: no stage shuffles texts, unless
+more ids are to be left out than may be broadcast.
+
+Defined cases, in every stage: null and empty texts are documents without words (quality rejects them if its rules say so); rows with a null doc_id are judged
+by their text, link with nothing and stay; repeated rows are decided alike, each for itself; empty tables give no rows, with the same columns; further
+columns, whatever their names, go through all stages but the last.
 """
 
 from __future__ import annotations
@@ -12,11 +18,10 @@ from parlance.llm.common import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the certified cutoffs."""
-    from parlance.llm.quality import quality_rules
+    """Documents that pass the certified cutoffs; being short or repetitive is certified like all else, which bounds what is lost of good ones."""
+    from parlance.llm.quality import keep_good
 
-    kept = quality_rules(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
