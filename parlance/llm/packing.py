@@ -12,11 +12,14 @@ row number inside each (length, salt), so a length shared by a third of all rows
 
 Defined cases: null text is an empty document (one piece: the end token); an empty table gives no rows; repeated
 rows are packed each; ties in length are broken by doc_id and piece, and equal rows among themselves by any
-order; a text longer than the capacity is cut into full pieces but for its first; further columns are ignored.
+order; a text longer than the capacity is cut into full pieces but for its first; the text of a special token in a document is that token, as
+`tokenizers` has it; a null doc_id is packed like any other; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,25 +31,49 @@ from parlance.llm.common import materialize
 
 CAPACITY = 2048
 END_ID = 0
-SALTS = 64
-_ENCODINGS: dict[tuple[str, str], object] = {}
+SALTS, MOST_SALTS, ROWS_PER_SALT = 64, 1024, 1_000_000
+_ENCODERS: dict[int, Encoder] = {}
+_BYTES: dict[str, int] = {}
 
 
-def encoding(ranks_path: str, pattern: str):
-    """A byte-level BPE from a file of ranks; kept for the life of the Python worker.
+def _bytes_of(token: str) -> bytes:
+    """The bytes that a token of a byte-level vocabulary stands for: printable Latin-1 is itself, the others follow from 256 on."""
+    if not _BYTES:
+        own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        _BYTES.update({chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in own)})
+    return bytes(_BYTES[c] for c in token)
 
-    The ranks file holds the vocabulary and merges of the `tokenizers` JSON file of the same name, so ids are
-    equal (tests compare them), at four times the speed.
+
+class Encoder:
+    """Token ids of a `tokenizers` JSON file (byte-level BPE), add_special_tokens=False.
+
+    Most texts are encoded from the same vocabulary and split pattern by a faster library. Texts that hold an added token, or a run of
+    white space so long that its backtracking would overflow, go to `tokenizers` itself; so ids are equal for every text.
     """
-    import base64
 
-    import tiktoken
+    def __init__(self, spec: str, pattern: str):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        found = json.loads(spec)
+        self.slow = Tokenizer.from_str(spec)
+        ranks = {_bytes_of(t): i for t, i in found["model"]["vocab"].items()}
+        self.fast = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.odd = re.compile("|".join([*(re.escape(t["content"]) for t in found.get("added_tokens") or []), r"\s{1000}"]))
+
+    def ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if self.odd.search(text):
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
-    if (ranks_path, pattern) not in _ENCODINGS:
-        with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODINGS[ranks_path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[ranks_path, pattern]
+
+def encoder(spec: str, pattern: str) -> Encoder:
+    """Kept for the life of the Python worker."""
+    key = hash((spec, pattern))
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(spec, pattern)
+    return _ENCODERS[key]
 
 
 def pieces_of(ids: bytes, capacity: int, end_id: int) -> Iterator[tuple[int, int, int, int]]:
@@ -61,17 +88,22 @@ def pieces_of(ids: bytes, capacity: int, end_id: int) -> Iterator[tuple[int, int
         start, piece = start + length, piece + 1
 
 
-def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32: one row per piece of at most `capacity` tokens."""
+def token_pieces(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32: one row per piece of at most `capacity` tokens.
+
+    vocabulary: path of the `tokenizers` JSON file. The driver reads it (a few MB) and broadcasts it; executors need no such file.
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def cut(batches):
         import pyarrow as pa
 
-        encode = encoding(ranks_path, pattern).encode_to_numpy
+        encode = encoder(spec.value, pattern).ids
         for b in batches:
             ids, texts = b.column(0), b.column(1)
             for at in range(0, b.num_rows, 500):
-                encoded = (encode(t, disallowed_special=()).tobytes() for t in texts.slice(at, 500).to_pylist())
+                encoded = (encode(t) for t in texts.slice(at, 500).to_pylist())
                 rows = [(i, *p) for i, e in zip(ids.slice(at, 500).to_pylist(), encoded, strict=True) for p in pieces_of(e, capacity, end_id)]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (ids.type, pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
@@ -145,26 +177,28 @@ def slots_of(plan: list[tuple[int, list[int]]]) -> list[tuple[int, int, int, int
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces (doc_id, piece, length and more) with sequence_id and offset. pieces must be cheap to read twice."""
+    """The pieces (doc_id, piece, length and more; no names that begin with _) with sequence_id and offset. pieces must be cheap to read twice."""
     spark = pieces.sparkSession
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    by_salt = materialize(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")  # at most capacity x SALTS rows
-    before = by_salt.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
+    # more salts for more pieces, so that the row numbers of a common length stay small tasks
+    salts = min(MOST_SALTS, max(SALTS, pieces.count() // ROWS_PER_SALT))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    by_salt = materialize(salted.groupBy("length", "_salt").agg(F.count("*").alias("n")), "lengths")  # at most capacity x MOST_SALTS rows
+    before = by_salt.select("length", "_salt", (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_before"))
     counts = {r["length"]: r["n"] for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     slots = slots_of(plan_patterns(counts, capacity))
     table = spark.createDataFrame(slots, "length long, rank long, first_sequence long, offset long")
     # the slots of a length as one sorted array: at most a few thousand structs in all
-    table = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "first_sequence", "offset"))).alias("slots"))
+    table = table.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("rank", "first_sequence", "offset"))).alias("_slots"))
     ranked = (
-        salted.join(F.broadcast(before.drop("n")), ["length", "salt"])
-        .withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
+        salted.join(F.broadcast(before), ["length", "_salt"])
+        .withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1)
         .join(F.broadcast(table), "length")
-        .withColumn("slot", F.element_at(F.filter("slots", lambda s: s["rank"] <= F.col("rank")), -1))
+        .withColumn("_slot", F.element_at(F.filter("_slots", lambda s: s["rank"] <= F.col("_rank")), -1))
     )
-    place = (F.col("slot.first_sequence") + F.col("rank") - F.col("slot.rank")).alias("sequence_id")
-    return ranked.select(*pieces.columns, place, F.col("slot.offset").alias("offset"))
+    place = (F.col("_slot.first_sequence") + F.col("_rank") - F.col("_slot.rank")).alias("sequence_id")
+    return ranked.select(*pieces.columns, place, F.col("_slot.offset").alias("offset"))
 
 
-def pack_documents(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, pattern: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenize whole documents, cut those over the capacity, and pack all pieces."""
-    return pack(materialize(token_pieces(docs, ranks_path, pattern, capacity, end_id), "pieces"), capacity)
+    return pack(materialize(token_pieces(docs, vocabulary, pattern, capacity, end_id), "pieces"), capacity)
