@@ -2,18 +2,18 @@
 
 Writing: each task appends gzip members, one per record, to archives of bounded size in the shared folder, and
 returns an index row per record (file, offset, length, URL, digest). The index is a table before anything is
-read. Reading: the selected index rows are dealt by file, sorted by offset, and neighbouring ranges are read
-in one request.
+read. Reading: the selected index rows are dealt by ranges of (file, offset), as many as the bytes to read ask for, and
+neighbouring ranges are read in one request.
 
 A file's name holds a random part, so a task that is run again (a lost executor) writes new files; the index
 refers to those of the attempt that succeeded.
 
 Records with equal payloads of at least `min_revisit` bytes: the one with the largest page_id is a response, the others
-are revisits that refer to it. Payloads are dealt by digest in salted groups, so a payload that a third of all
-pages share doesn't land in one task.
+are revisits that refer to it. A digest that a third of all pages share is dealt over many tasks.
 
 Defined cases: null html is an empty payload; null url is an empty target URI; empty tables give no rows; rows
-that repeat a page_id write a record each; further columns are ignored.
+that repeat a page_id write a record each (those with the largest page_id of a payload are all responses); a row with a null page_id
+is a response; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize, new_path
+from parlance.llm.common import join_hot, materialize, new_path
 
 MIN_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -35,7 +35,8 @@ ARCHIVE_BYTES = 64 << 20
 GAP = 64 << 10
 #: A coalesced read holds at most this much, unless one record is larger.
 READ_BYTES = 8 << 20
-SALTS = 16
+#: Revisits up to which they are broadcast (about 100 bytes each).
+BROADCAST_REVISITS = 500_000
 _STAMP = "2024-01-01T00:00:00Z"
 INDEX = "file string, offset long, length long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
 
@@ -81,14 +82,20 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def with_types(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
-    """pages (page_id, url, html) with payload_bytes, payload_digest, record_type and refers_to."""
+    """pages (page_id, url, html) with payload_bytes, payload_digest, record_type and refers_to.
+
+    Digests are grouped without the payloads. Only the pages that revisit come back, by page_id and digest; while they
+    are counted to be few they are broadcast, and payloads aren't shuffled at all.
+    """
     body = F.encode(F.coalesce("html", F.lit("")), "utf-8")
     p = pages.select("page_id", "url", "html", F.octet_length(body).cast("long").alias("payload_bytes"), F.sha1(body).alias("payload_digest"))
-    found = p.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").drop("n")
-    found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    p = p.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(found, ["payload_digest", "salt"], "left")
-    revisit = (F.col("last") != F.col("page_id")) & (F.col("payload_bytes") >= min_revisit)
-    return p.select("page_id", "url", "html", "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to"))
+    digests = materialize(p.where(F.col("payload_bytes") >= min_revisit).select("page_id", "payload_digest"), "digests")
+    shared = digests.groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("payload_digest", "last")
+    revisits = join_hot(digests, shared, "payload_digest", "page_id").where("page_id <> last").distinct()
+    revisits = materialize(revisits.select("page_id", "payload_digest", "last"), "revisits")
+    few = F.broadcast(revisits) if revisits.count() <= BROADCAST_REVISITS else revisits
+    kind = F.when(F.col("last").isNotNull(), "revisit").otherwise("response").alias("record_type")
+    return p.join(few, ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "payload_bytes", "payload_digest", kind, F.col("last").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -141,10 +148,11 @@ def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = READ_BY
         yield start, end, run
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
+def read_records(index: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to, html of the indexed records.
 
-    Sorted by file and offset inside each partition, so a task reads forward. A digest that doesn't fit its payload
+    A task for every archive, or for every `archive_bytes` of the selected records if that is more; adaptive execution doesn't merge them by
+    the size of the index. Sorted by file and offset inside each partition, so a task reads forward. A digest that doesn't fit its payload
     is an error. html is null for revisits.
     """
     kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
@@ -172,7 +180,9 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
                         rows = []
             yield frame(rows, kind)
 
-    return index.select("file", "offset", "length").repartition("file").sortWithinPartitions("file", "offset").mapInPandas(read, kind)
+    size = index.agg(F.countDistinct("file").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, size["files"], -(-size["bytes"] // archive_bytes))
+    return index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInPandas(read, kind)
 
 
 def archive_round_trip(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
