@@ -8,12 +8,13 @@ other's list, and no link is lost). Members are coded as residuals by subspace;
 a query's table of subspace distances gives its distance to each code. That distance exceeds the true one by at most the member's
 own coding error, which is kept, so the cut on it loses nothing; what passes is compared exactly in double precision.
 
-Lists are worked through in blocks of members and queries, so no task holds a whole list. A block returns per class
-the number of links and a root within the block, never pairs.
+Lists are worked through in blocks of members and queries, so no task holds a whole list, however many vectors it has. A block returns per class
+the number of links and a root within the block, never pairs. The number of blocks of a list comes to its vectors by a broadcast of counted size.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and those with a null
-label, link with nothing (n_links 0, own component); vectors of different length never link (each length has its own
-lists); repeated vec_ids are vectors of their own; empty tables give no rows; further columns are ignored.
+label, link with nothing (n_links 0, own component); vectors of different length never link (each of the `MOST_LENGTHS` commonest lengths has its
+own lists; the vectors of another length are one list, which is compared without codes); repeated vec_ids are vectors of their own, but name one node, so what links to
+one of them has the component of all; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import connected_components, materialize
+from parlance.llm.common import connected_components, join_hot, materialize
 
 SAMPLE_ROWS = 20_000
 PER_LIST = 300
@@ -30,6 +31,10 @@ MOST_LISTS = 4096
 SUBSPACES = 16
 CODES = 256
 MEMBERS, QUERIES = 1024, 2048
+#: Vector lengths that have lists and codebooks of their own.
+MOST_LENGTHS = 32
+#: Lists whose numbers of blocks are broadcast (40 bytes each).
+BROADCAST_LISTS = 1_000_000
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
@@ -53,17 +58,24 @@ def fit(sample: np.ndarray, lists: int) -> tuple[np.ndarray, list[tuple[int, int
     return centres, bounds, [kmeans(residual[:, a:b], min(CODES, len(sample)), 2 + a) for a, b in bounds]
 
 
+def one_list(dim: int):
+    """The model of a rare length: one list and codes that say nothing, so that all is compared exactly."""
+    return np.zeros((1, dim)), [(0, dim)], [np.zeros((1, dim))]
+
+
 def encode(x: np.ndarray, model, reach: float):
     """(list, probed lists, codes, coding error) of each unit vector."""
     centres, bounds, books = model
-    square = 2 - 2 * (x @ centres.T) + (centres**2).sum(1) - 1
+    size = (centres**2).sum(1)
+    square = 1 - 2 * (x @ centres.T) + size
     own = np.argmin(square, axis=1)
-    apart = np.sqrt(np.maximum(((centres[:, None, :] - centres[None, :, :]) ** 2).sum(2), 1e-12)) if len(centres) <= 512 else None
-    probes = []
-    for i, o in enumerate(own):
-        d = apart[o] if apart is not None else np.sqrt(np.maximum(((centres - centres[o]) ** 2).sum(1), 1e-12))
-        # how far the vector is from the border between its own list and each other
-        probes.append(np.flatnonzero(square[i] - square[i, o] <= 2 * reach * d + 1e-9))
+    probes: list = [None] * len(x)
+    for o in np.unique(own):
+        d = np.sqrt(np.maximum(size + size[o] - 2 * (centres @ centres[o]), 1e-12))
+        mine = np.flatnonzero(own == o)
+        # how far each vector is from the border between its own list and every other
+        for i, near in zip(mine, square[mine] - square[mine, o][:, None] <= 2 * reach * d + 1e-9, strict=True):
+            probes[i] = np.flatnonzero(near)
     r = x - centres[own]
     codes = np.stack([np.argmax(r[:, a:b] @ c.T - 0.5 * (c**2).sum(1), axis=1) for (a, b), c in zip(bounds, books, strict=True)], axis=1)
     error = np.sqrt(sum(((r[:, a:b] - c[codes[:, s]]) ** 2).sum(1) for s, ((a, b), c) in enumerate(zip(bounds, books, strict=True))))
@@ -105,7 +117,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int =
     rows = rows.withColumn("key", F.when(F.col("ok"), key))
     classes = materialize(rows.where("ok").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")), "classes")
     models = {}
-    for dim, n in classes.groupBy(F.size("embedding").alias("d")).count().collect():  # one row per vector length
+    for dim, n in classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(MOST_LENGTHS).collect():
         part = classes.where(F.size("embedding") == dim)
         drawn = np.array([r[0] for r in part.orderBy(F.xxhash64(F.lit(3), "id"), "id").limit(sample_rows).select("embedding").collect()], np.float64)
         models[dim] = fit(drawn / np.linalg.norm(drawn, axis=1, keepdims=True), int(np.clip(n // PER_LIST, 1, MOST_LISTS)))
@@ -120,7 +132,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int =
                     some = part.iloc[at : at + 2000]
                     x = np.stack(some["embedding"].to_numpy()).astype(np.float64)
                     x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    own, probes, codes, error = encode(x, shared.value[dim], reach * far)
+                    own, probes, codes, error = encode(x, shared.value.get(dim) or one_list(dim), reach * far)
                     yield pd.DataFrame({"id": some["id"].to_numpy(), "copies": some["copies"].to_numpy(), "label": some["label"].astype(str).to_numpy(), "dim": dim, "v": list(x), "list": own.astype(np.int32), "probes": [p.astype(np.int32) for p in probes], "codes": [c.tobytes() for c in codes], "error": error})
 
     kind = "id long, copies long, label string, dim int, v array<double>, list int, probes array<int>, codes binary, error double"
@@ -132,6 +144,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int =
         .join(queries.groupBy("label", "dim", F.col("list_asked").alias("list")).agg(F.count("*").alias("asked")), place)
         .select(*place, F.ceil(F.col("members") / MEMBERS).cast("long").alias("mn"), F.ceil(F.col("asked") / QUERIES).cast("long").alias("qn"))
     )
+    blocks = materialize(blocks, "blocks")
+    blocks = F.broadcast(blocks) if blocks.count() <= BROADCAST_LISTS else blocks
     fields = ["label", "dim", "list", "id", "copies", "v", "home", "probes", "codes", "error"]
     members = coded.withColumn("home", F.col("list")).join(blocks, place).withColumn("mb", F.pmod(F.xxhash64("id"), F.col("mn"))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qn") - 1)))
     asks = queries.withColumn("home", F.col("list")).drop("list").withColumnRenamed("list_asked", "list").join(blocks, place).withColumn("qb", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("qn"))).withColumn("mb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("mn") - 1)))
@@ -142,7 +156,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int =
         import pandas as pd
 
         _, dim, where, _, _ = key
-        centres, bounds, books = shared.value[dim]
+        centres, bounds, books = shared.value.get(dim) or one_list(dim)
         m, q = rows[rows["codes"].notna()].reset_index(drop=True), rows[rows["codes"].isna()].reset_index(drop=True)
         out = pd.DataFrame({"id": [], "links": [], "root": []}).astype(np.int64)
         if not len(m) or not len(q):
@@ -174,7 +188,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int =
     found = materialize(dealt.groupBy("label", "dim", "list", "mb", "qb").applyInPandas(compare, "id long, links long, root long"), "found")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     component = connected_components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
+    # a vector that a third of all rows repeat is one class: its rows are dealt over many tasks
     named = classes.select("key", "id", "copies").join(links, "id", "left").join(component.withColumnRenamed("node", "id"), "id", "left")
     named = named.select("key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("vec_id", "key").join(named, "key", "left")
+    out = join_hot(materialize(rows.select("vec_id", "key"), "keyed"), named, "key", "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept"))
