@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from parlance.llm.quality import Risk
+from parlance.llm.urls import LISTED_LABELS
 
 SQL: dict[str, str] = {}
 
@@ -57,16 +58,15 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN m USING (payload_digest)
 """
 
-SQL["op7_url_filter"] = r"""
+_LABELS = ", ".join(f"'{w}'" for line in LISTED_LABELS.values() for w in line.split())
+
+SQL["op7_url_filter"] = rf"""
 WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-c AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '') || regexp_replace(path, '(\.html|/+)$', '')
-  || coalesce('?' || nullif(regexp_replace(regexp_replace(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '(^|&)(utm_[a-z]+|ref)=[^&]*', '', 'g'), '^&', ''), ''), '') END AS canonical FROM u),
-listed AS (SELECT DISTINCT canonical FROM c WHERE regexp_matches(host, 'spam|pills|casino') AND canonical IS NOT NULL),
 r AS (SELECT *, CASE WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN (host = 'org' OR suffix(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR suffix(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule,
-  canonical IN (SELECT canonical FROM listed) AS l FROM c)
+  contains(url, '://') AND len(list_intersect(regexp_split_to_array(regexp_replace(host, ':[0-9]+$', ''), '[.\-]'), [{_LABELS}])) > 0 AS l FROM u)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN l THEN 'block' ELSE 'allow' END AS verdict, coalesce(rule IS NULL AND l, false) AS listed FROM r
 """
 

@@ -46,10 +46,9 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from parlance.llm.urls import filter_urls, spam_urls
+    from parlance.llm.urls import filter_urls, production_list
 
-    pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, spam_urls(pages))
+    return filter_urls(table(spark, sf_dir, "pages"), production_list(spark))
 
 
 def op8_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

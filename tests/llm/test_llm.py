@@ -184,13 +184,13 @@ def test_empty_tables(spark):
     from parlance.llm.ppm import score_documents
     from parlance.llm.quality import quality_rules
     from parlance.llm.toxicity import score_toxicity
-    from parlance.llm.urls import filter_urls, spam_urls
+    from parlance.llm.urls import filter_urls, production_list
     from parlance.llm.warc import archive_round_trip
 
     docs, none = documents(spark, []), labels(spark)
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     no = F.lit(False)
-    for got in (jaccard_components(docs), mixing_rates(docs, none), quality_rules(docs, none), score_documents(docs, no), score_toxicity(docs, none, no), archive_round_trip(pages), filter_urls(pages, spam_urls(pages)), near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))):
+    for got in (jaccard_components(docs), mixing_rates(docs, none), quality_rules(docs, none), score_documents(docs, no), score_toxicity(docs, none, no), archive_round_trip(pages), filter_urls(pages, production_list(spark)), near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))):
         assert got.count() == 0
 
 
@@ -401,7 +401,7 @@ def test_urls(spark):
 
     urls = ["http://a.net/x", "http://EXAMPLE.net/en/1", "https://w.example.com/de/2?q#f", "http://b.org/fr/", "http://b.org/fra", "nothing", None, "http://net", "http://xnet/", "http://www.bad.info:80/p/?utm_source=x", "http://bad.info/q", "ftp://h?x/y", "http://a.net/x"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    listed = spark.createDataFrame([("https://bad.info/p.html",), ("http://b.org/fr/",), (None,)], "url string")
+    listed = spark.createDataFrame([("url", "https://bad.info/p.html"), ("url", "http://b.org/fr/"), ("url", None), ("host", None), (None, "x")], "kind string, value string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in filter_urls(pages, listed).collect()}
     assert got[0] == ("a.net", "/x", "net/", "block") == got[12]
     assert got[1] == ("example.net", "/en/1", "example.net/en/", "allow")
@@ -412,12 +412,30 @@ def test_urls(spark):
     assert got[9][3] == "block" and got[10][3] == "allow" and got[11][:2] == ("h", "")
 
 
-def test_bloom_filter_has_no_false_negatives(spark):
-    from parlance.llm.urls import filter_urls
+def test_hosts_and_labels_are_listed(spark):
+    from parlance.llm.urls import filter_urls, production_list
+
+    urls = ["http://m.free-bets.info/", "https://ads-track.de:8080/x?y", "http://alphabet.info/bets", "http://a.bad.info/", "http://bad.info.de/", "http://notbad.info/", "casino", "http://CASINO.de", "http://a.info/q"]
+    pages = spark.createDataFrame([(i % 8, u, "x", 1, "z") for i, u in enumerate(urls * 3)], "page_id long, url string, host string, block int, key string")
+    more = spark.createDataFrame([("host", "Bad.info"), ("url", "http://a.info/q/")], "kind string, value string")
+    got = filter_urls(pages, production_list(spark).unionByName(more)).collect()
+    listed = {r["host"] + r["path"] for r in got if r["listed"]}
+    assert listed == {"m.free-bets.info/", "ads-track.de:8080/x", "a.bad.info/", "casino.de", "a.info/q"} and len(got) == 27
+    assert all((r["verdict"] == "block") == r["listed"] for r in got)
+
+
+def test_exact_join_removes_false_positives(spark):
+    """A filter of one block that is nearly full lets unlisted keys pass; the join takes them out again."""
+    from parlance.llm import urls as U
 
+    listed = spark.range(40).select(F.concat(F.lit("k"), "id").alias("key"))
+    asked = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"), "id")
+    passed = {r["id"] for r in U.possible_hits(asked, listed, 1, U.bloom_blocks(listed, 1)).collect()}
+    assert set(range(40)) < passed and len(passed) < 2000
     pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.info/"), "id").alias("url"))
+    third = pages.where("page_id % 3 = 0").select(F.lit("url").alias("kind"), F.col("url").alias("value"))
     for limit in (64 << 20, 0):
-        got = filter_urls(pages, pages.where("page_id % 3 = 0").select("url"), broadcast_limit=limit)
+        got = U.filter_urls(pages, third, broadcast_limit=limit)
         assert [tuple(r) for r in got.groupBy("verdict").count().orderBy("verdict").collect()] == [("allow", 2000), ("block", 1000)]
 
 
