@@ -132,3 +132,93 @@ def overrides(local: DataFrame, graph: DataFrame, confidence: float = 0.6, margi
 def temporal_weight(gap: Column) -> Column:
     """Edge weight of neighbours in time (fixed decay), 0 beyond two seconds."""
     return F.when(gap <= 2.0, 0.35 * F.exp(-gap / 0.75)).otherwise(0.0)
+
+
+def label_vectors(segments: DataFrame) -> DataFrame:
+    """session, label, embedding: the unit mean of a label's unit vectors; labels whose vectors cancel out have none. segments: session, label, embedding."""
+    from parlance.functions.vectors import mean_vectors, norm
+    from parlance.operators.bank import unit_rows
+
+    rows = unit_rows(segments.where("nullif(label, '') is not null")).select("session", "label", "v")
+    return mean_vectors(rows, ["session", "label"], "v", "embedding").where(norm(F.col("embedding")) > 1e-9)
+
+
+def label_fallback(labels: DataFrame, vectors: DataFrame, bank: DataFrame, threshold: float, margin: float, radius: float = 2.5) -> DataFrame:
+    """session, label, speaker, source: labels that their segments settled keep that; the others are matched by their vector.
+
+    labels: session, label, speaker, selected (one row a label, speaker null if none); those that neither settles stay, without a speaker.
+    """
+    from parlance.operators.bank import match
+
+    own = labels.select("session", "label", F.when(F.col("selected"), F.col("speaker")).alias("by_segments"))
+    rest = own.where("by_segments is null").join(vectors, ["session", "label"]).withColumn("seg_idx", F.xxhash64("session", "label"))
+    found = match(rest.select("session", "seg_idx", "embedding"), bank, threshold, margin, radius).where("matched")
+    found = rest.select("session", "label", "seg_idx").join(found.select("session", "seg_idx", F.col("speaker").alias("by_vector")), ["session", "seg_idx"]).drop("seg_idx")
+    out = own.join(found, ["session", "label"], "left")
+    source = F.when(F.col("by_segments").isNotNull(), "segments").when(F.col("by_vector").isNotNull(), "label_vector")
+    return out.select("session", "label", F.coalesce("by_segments", "by_vector").alias("speaker"), source.alias("source"))
+
+
+def duration_vote(words: DataFrame) -> DataFrame:
+    """session, seg_idx, speaker: the speaker with most spoken time among a segment's words; the first by name on ties. Words without a speaker don't vote."""
+    by = words.where("nullif(speaker, '') is not null").groupBy("session", "seg_idx", "speaker").agg(F.sum(F.greatest(F.col("end") - F.col("start"), F.lit(0.0))).alias("seconds"))
+    return by.groupBy("session", "seg_idx").agg(F.min_by(F.struct("speaker", "seconds"), F.struct(-F.col("seconds"), "speaker")).alias("b")).select("session", "seg_idx", "b.speaker", "b.seconds")
+
+
+def repair_counters(before: DataFrame, after: DataFrame) -> DataFrame:
+    """session, segments in and out, unknown before and after, and segments whose speaker changed. Both: session, seg_idx, speaker."""
+    known = lambda c: F.count_if(~F.lower(F.coalesce(F.trim(c), F.lit(""))).isin("", "unknown"))
+    b = before.groupBy("session").agg(F.count("*").alias("segments_in"), (F.count("*") - known("speaker")).alias("unknown_in"))
+    a = after.groupBy("session").agg(F.count("*").alias("segments_out"), known("speaker").alias("matched"), (F.count("*") - known("speaker")).alias("unknown_out"))
+    both = before.select("session", "seg_idx", F.col("speaker").alias("old")).join(after.select("session", "seg_idx", F.col("speaker").alias("new")), ["session", "seg_idx"])
+    changed = both.groupBy("session").agg(F.count_if(~F.col("old").eqNullSafe(F.col("new"))).alias("changed"))
+    return b.join(a, "session", "full").join(changed, "session", "full").fillna(0, ["segments_in", "unknown_in", "segments_out", "matched", "unknown_out", "changed"])
+
+
+def graph_counters(decisions: DataFrame) -> DataFrame:
+    """pair, seeds, overrides, rescued, unchanged, unresolved. decisions: pair, seed, speaker (before), final, graph_label (null: the graph says nothing)."""
+    unknown = lambda c: F.lower(F.coalesce(F.col(c), F.lit("unknown"))) == "unknown"
+    moved = F.col("final") != F.col("speaker")
+    return decisions.groupBy("pair").agg(
+        F.count_if("seed").alias("seeds"),
+        F.count_if(~F.col("seed") & moved).alias("overrides"),
+        F.count_if(~F.col("seed") & moved & unknown("speaker")).alias("rescued"),
+        F.count_if(~F.col("seed") & ~moved & F.col("graph_label").isNotNull()).alias("unchanged"),
+        F.count_if(~F.col("seed") & F.col("graph_label").isNull()).alias("unresolved"),
+    )
+
+
+def file_labels(segments: DataFrame, labels: DataFrame) -> DataFrame:
+    """segments (session, file, seg_idx, speaker, matched) renamed by their file. labels: file, label, and name by speaker in table names.
+
+    In a session of several files a segment takes its file's label unless the bank matched it; in a session of one file only missing speakers do.
+    """
+    files = segments.groupBy("session").agg(F.countDistinct("file").alias("files"))
+    s = segments.join(files, "session").join(labels.select("file", "label"), "file", "left")
+    missing = F.nullif(F.trim("speaker"), F.lit("")).isNull()
+    take = F.when(F.col("files") > 1, ~F.coalesce("matched", F.lit(False))).otherwise(missing) & F.col("label").isNotNull()
+    return s.select("session", "file", "seg_idx", F.when(take, F.col("label")).otherwise(F.col("speaker")).alias("speaker"))
+
+
+def relabelled_words(segments: DataFrame, speaker: Column) -> DataFrame:
+    """segments with the speaker set on themselves and on all their words; the first speaker_raw of each is kept."""
+    words = F.transform("words", lambda w: w.withField("speaker_raw", F.coalesce(w["speaker_raw"], w["speaker"])).withField("speaker", speaker))
+    return segments.withColumns({"words": words, "speaker_raw": F.coalesce("speaker_raw", "speaker"), "speaker": speaker})
+
+
+def apply_profile(segments: DataFrame, candidates: DataFrame, vectors: DataFrame, bank: DataFrame, threshold: float, margin: float, least_segments: int = 2) -> DataFrame:
+    """session, seg_idx, label, speaker, how: segment matches, else what the label's segments say, else the label's vector, else unknown; then short flips are smoothed.
+
+    segments: session, seg_idx, start, end, label; candidates: session, label, seg_idx, rank, speaker, score; vectors: session, seg_idx, label, embedding.
+    """
+    from parlance.operators.bank import accepted
+
+    matches = accepted(candidates, threshold, margin)
+    labels = label_speakers(candidates, threshold, margin, least_segments)
+    every = segments.select("session", "label").distinct().join(labels.select("session", "label", "speaker", "selected"), ["session", "label"], "left").fillna(False, ["selected"])
+    settled = label_fallback(every, label_vectors(vectors), bank, threshold, margin).where("speaker is not null")
+    named = resolve(segments, matches, settled.select("session", "label", "speaker", F.lit(True).alias("selected")))
+    timed = named.join(segments.select("session", "seg_idx", "start", "end"), ["session", "seg_idx"]).join(matches.select("session", "seg_idx", "score"), ["session", "seg_idx"], "left")
+    smooth = smooth_flips(timed).select("session", "seg_idx", "smoothed")
+    out = named.join(smooth, ["session", "seg_idx"])
+    return out.select("session", "seg_idx", "label", F.col("smoothed").alias("speaker"), F.when(F.col("smoothed") != F.col("speaker"), "smoothed").otherwise(F.col("how")).alias("how"))

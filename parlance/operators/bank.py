@@ -33,11 +33,27 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if n * width <= BROADCAST_VALUES else df
 
 
-def bank_scores(queries: DataFrame, clusters: DataFrame, radius: float = 2.5, score: Column | None = None) -> DataFrame:
-    """Candidates of each query: the best cluster per speaker within radius deviations, ranked by score.
+def top_rows(rows: DataFrame, keys: list[str], order: list[Column], k: int, spread: str, salts: int = 32) -> DataFrame:
+    """The first k rows of each key, with place (from 0). Each of `salts` parts of a key keeps k of its own first, so no task orders a whole key."""
+    part = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
+    part = part.withColumn("place", F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col("place") <= k).drop("_salt")
+    return part.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")).where(F.col("place") < k)
+
+
+def prototypes(bank: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
+    """speaker, place, entry_idx, v, variance: the k entries nearest each cluster's centroid, the earlier entry on ties."""
+    rows = unit_rows(bank).select("speaker", "entry_idx", "v").join(_small(clusters.select("speaker", "centroid", "variance")), "speaker")
+    rows = rows.withColumn("far", distance(F.col("v"), F.col("centroid")))
+    return top_rows(rows, ["speaker"], [F.col("far"), F.col("entry_idx")], k, "entry_idx").select("speaker", "place", "entry_idx", "v", "variance")
+
+
+def bank_scores(queries: DataFrame, clusters: DataFrame, radius: float = 2.5, examples: DataFrame | None = None) -> DataFrame:
+    """Candidates of each query: the best vector of a cluster per speaker within radius deviations, ranked by score.
 
     Every query meets every cluster: that is the operator. The cluster side is a few rows per speaker and is broadcast after its size
-    is checked. Queries with a column own, the speaker whose entry they are, meet that speaker's cluster without themselves.
+    is checked. A cluster is known by its centroid and, with examples (prototypes()), by those entries too; a query never meets itself
+    among them. Queries with a column own, the speaker whose entry they are, meet that speaker's cluster without themselves.
+    Equal scores go to the centroid, then to the nearer prototype.
     """
     own = "own" in queries.columns
     q = unit_rows(queries).select("session", "seg_idx", "v", *["own"] * own)
@@ -48,12 +64,33 @@ def bank_scores(queries: DataFrame, clusters: DataFrame, radius: float = 2.5, sc
         pairs = pairs.where(~mine | (n > 0)).withColumn("others", F.when(mine, F.zip_with("centroid", "v", lambda c, x: c * length - x)))
         pairs = pairs.withColumn("variance", F.when(mine, F.greatest(F.lit(0.0), 2 - 2 * F.try_divide(norm(F.col("others")), n))).otherwise(F.col("variance")))
         pairs = pairs.withColumn("centroid", F.when(mine, unit(F.col("others"))).otherwise(F.col("centroid")))
-    far = distance(F.col("v"), F.col("centroid"))
+    met = pairs.select("session", "seg_idx", "speaker", "v", F.col("centroid").alias("w"), "variance", F.lit(-1).cast("long").alias("place"))
+    if examples is not None:
+        e = examples.select("speaker", "place", "entry_idx", F.col("v").alias("centroid"), "variance")
+        near = q.join(_small(e), (F.size("v") == F.size("centroid")) & (F.col("seg_idx") != F.col("entry_idx")))
+        met = met.unionByName(near.select("session", "seg_idx", "speaker", "v", F.col("centroid").alias("w"), "variance", "place"))
+    far = distance(F.col("v"), F.col("w"))
     inside = (F.col("variance") <= 0) | (far <= F.greatest(F.sqrt("variance") * radius, F.lit(1e-4)))
-    scored = pairs.withColumn("distance", far).where(inside).withColumn("score", dot(F.col("v"), F.col("centroid")))
-    best = scored.groupBy("session", "seg_idx", "speaker").agg(F.max_by(F.struct("score", "distance", "variance"), "score").alias("b"))
+    scored = met.withColumn("distance", far).where(inside).withColumn("score", dot(F.col("v"), F.col("w")))
+    best = scored.groupBy("session", "seg_idx", "speaker").agg(F.max_by(F.struct("score", "distance", "variance", "place"), F.struct("score", -F.col("place"))).alias("b"))
     rank = F.row_number().over(Window.partitionBy("session", "seg_idx").orderBy(F.desc("b.score"), "speaker"))
-    return best.select("session", "seg_idx", rank.cast("long").alias("rank"), "speaker", "b.score", "b.distance")
+    source = F.when(F.col("b.place") < 0, "centroid").otherwise("prototype")
+    return best.select("session", "seg_idx", rank.cast("long").alias("rank"), "speaker", "b.score", "b.distance", source.alias("source"))
+
+
+def add_entries(bank: DataFrame, new: DataFrame) -> DataFrame:
+    """The bank with further entries (entry_idx, speaker, embedding), as unit vectors; an entry without direction is an error."""
+    odd = new.where("embedding is null").unionByName(new.where(norm(doubles(F.col("embedding"))) <= 0))
+    if not odd.isEmpty():
+        raise ValueError("an entry of the bank needs a vector that isn't zero")
+    known = lambda df: df.select("entry_idx", "speaker", doubles(F.col("embedding")).alias("embedding"))
+    return known(bank).unionByName(unit_rows(new).select("entry_idx", "speaker", F.col("v").alias("embedding")))
+
+
+def match(queries: DataFrame, bank: DataFrame, threshold: float, margin: float = 0.0, radius: float = 2.5, examples: int = 0) -> DataFrame:
+    """Score and accept in one call, by centroids and `examples` prototypes a speaker."""
+    clusters = clusters_by_speaker(bank)
+    return accepted(bank_scores(queries, clusters, radius, prototypes(bank, clusters, examples) if examples else None), threshold, margin)
 
 
 def accepted(candidates: DataFrame, threshold: float, margin: float) -> DataFrame:
@@ -63,38 +100,58 @@ def accepted(candidates: DataFrame, threshold: float, margin: float) -> DataFram
     return top.withColumn("matched", (F.col("score") >= threshold) & (F.col("margin") >= max(margin, 0.0)))
 
 
-def cohort_stats(vectors: DataFrame, bank: DataFrame, key: list[str], cohort: int) -> DataFrame:
-    """Mean and population deviation of each vector's cohort best scores against other speakers' entries, per speaker left out.
+def _best_others(vectors: DataFrame, bank: DataFrame, cohort: int) -> DataFrame:
+    """id, near: the 2 * cohort best (score, speaker) of each vector, at most cohort of one speaker, in order; the vector's own entry left out.
 
-    vectors: key, speaker (whose entries are left out), v.
+    Whatever speaker is then left out, the cohort best of the others are still among them. vectors: id, entry (its own, or null), v.
     """
-    entries = unit_rows(bank).select(F.col("speaker").alias("other"), "entry_idx", F.col("v").alias("w"))
-    pairs = vectors.join(entries, (F.col("speaker") != F.col("other")) & (F.size("v") == F.size("w"))).withColumn("s", dot(F.col("v"), F.col("w")))
-    top = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("s"), "entry_idx"))
-    return pairs.withColumn("r", top).where(F.col("r") <= cohort).groupBy(*key).agg(F.avg("s").alias("mean"), F.greatest(F.stddev_pop("s"), F.lit(1e-6)).alias("std"))
+    e = unit_rows(bank).select(F.lit(0).alias("session"), F.col("entry_idx").alias("dst"), "v", F.col("speaker").alias("kind"))
+    q = vectors.select(F.lit(0).alias("session"), F.col("id").alias("src"), "v", "entry")
+    near = nearest_entries(q, e, cohort).where(~F.col("dst").eqNullSafe(F.col("entry")))
+    first = Window.partitionBy("src").orderBy(F.desc("w"), "dst")
+    near = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 2 * cohort)
+    return near.groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col("w").alias("s"), "kind"))), lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"))).alias("near"))
+
+
+def _cohort(near: Column, speaker: Column, cohort: int) -> Column:
+    """struct(mean, std) of the cohort best scores of other speakers' entries; null without any."""
+    s = F.transform(F.slice(F.filter(near, lambda x: x["kind"] != speaker), 1, cohort), lambda x: x["s"])
+    n = F.size(s)
+    mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / n
+    std = F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    return F.when(n > 0, F.struct(mean.alias("mean"), F.greatest(std, F.lit(1e-6)).alias("std")))
 
 
 def normalised_scores(queries: DataFrame, bank: DataFrame, clusters: DataFrame, cohort: int = 50, radius: float = 1e9) -> DataFrame:
-    """Adaptive symmetric score normalisation of each (query, speaker); the raw score where there is no cohort."""
-    q = unit_rows(queries).select("session", "seg_idx", "v")
+    """Adaptive symmetric score normalisation of each (query, speaker); the raw score where there is no cohort.
+
+    Each query meets each entry once, in blocks; leaving a speaker out is a matter of the short lists that remain. Queries that are entries of
+    the bank (seg_idx = entry_idx) don't meet themselves.
+    """
     raw = bank_scores(queries, clusters, radius).select("session", "seg_idx", "speaker", F.col("score").alias("raw_score"))
-    asked = q.join(raw, ["session", "seg_idx"]).select("session", "seg_idx", "speaker", "v")
-    of_query = cohort_stats(asked, bank, ["session", "seg_idx", "speaker"], cohort).withColumnsRenamed({"mean": "qm", "std": "qs"})
-    of_cluster = cohort_stats(clusters.select("speaker", F.col("centroid").alias("v")), bank, ["speaker"], cohort).withColumnsRenamed({"mean": "cm", "std": "cs"})
-    out = raw.join(of_query, ["session", "seg_idx", "speaker"], "left").join(of_cluster, "speaker", "left")
-    z = 0.5 * ((F.col("raw_score") - F.col("cm")) / F.col("cs") + (F.col("raw_score") - F.col("qm")) / F.col("qs"))
+    q = unit_rows(queries).select(F.col("seg_idx").alias("id"), F.col("seg_idx").alias("entry"), "v")
+    c = clusters.select("speaker", F.xxhash64("speaker").alias("id"), F.lit(None).cast("long").alias("entry"), F.col("centroid").alias("v"))
+    of_query = _best_others(q, bank, cohort).select(F.col("id").alias("seg_idx"), F.col("near").alias("q_near"))
+    of_cluster = c.select("speaker", "id").join(_best_others(c, bank, cohort), "id").select("speaker", _cohort(F.col("near"), F.col("speaker"), cohort).alias("c"))
+    out = raw.join(of_query, "seg_idx", "left").join(of_cluster, "speaker", "left").withColumn("q", _cohort(F.col("q_near"), F.col("speaker"), cohort))
+    z = 0.5 * ((F.col("raw_score") - F.col("c.mean")) / F.col("c.std") + (F.col("raw_score") - F.col("q.mean")) / F.col("q.std"))
     return out.select("session", "seg_idx", "speaker", "raw_score", F.coalesce(z, "raw_score").alias("score"))
 
 
-def _block_nearest(x: np.ndarray, y: np.ndarray, src: np.ndarray, dst: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, cosine) of the k best columns of each row by (cosine descending, dst); summed component by component, so equal vectors tie."""
+def _block_nearest(x: np.ndarray, y: np.ndarray, src: np.ndarray, dst: np.ndarray, kind: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine) of the k best columns of each row and kind by (cosine descending, dst); summed component by component, so equal vectors tie."""
     w = np.zeros((len(x), len(y)))
     for i in range(x.shape[1]):
         w += x[:, i, None] * y[None, :, i]
     w[(src[:, None] == dst[None, :]) | ~(w >= least)] = -np.inf
-    # dst ascends, so a stable sort breaks ties by it
-    best = np.argsort(-w, axis=1, kind="stable")[:, :k]
-    row, col = np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()
+    rows, cols = [], []
+    for c in np.unique(kind):
+        mine = np.flatnonzero(kind == c)
+        # dst ascends, so a stable sort breaks ties by it
+        best = mine[np.argsort(-w[:, mine], axis=1, kind="stable")[:, :k]]
+        rows.append(np.repeat(np.arange(len(x)), best.shape[1]))
+        cols.append(best.ravel())
+    row, col = np.concatenate(rows), np.concatenate(cols)
     keep = w[row, col] > -np.inf
     return row[keep], col[keep], w[row[keep], col[keep]]
 
@@ -102,16 +159,18 @@ def _block_nearest(x: np.ndarray, y: np.ndarray, src: np.ndarray, dst: np.ndarra
 def nearest_entries(queries: DataFrame, entries: DataFrame, k: int, least: float = -2.0) -> DataFrame:
     """(session, src, dst, w): the k entries of the query's session with the highest cosine, at least `least`; ties to the smaller dst, never to itself.
 
-    queries: session, src, v; entries: session, dst, v; unit vectors. A task compares one block of queries with one block of entries and
+    queries: session, src, v; entries: session, dst, v; unit vectors. If entries have a kind, k of each kind are found, and kind is returned; a query with
+    a column entry may be that entry, and both are then left to the caller. A task compares one block of queries with one block of entries and
     keeps k rows a query, so no task holds a session and no list of pairs is written.
     """
-    place = ["session", "dim"]
-    q = queries.select("session", F.size("v").alias("dim"), F.col("src").alias("id"), "v")
-    e = entries.select("session", F.size("v").alias("dim"), F.col("dst").alias("id"), "v")
+    place, kinds, entry = ["session", "dim"], "kind" in entries.columns, "entry" in queries.columns
+    no = F.lit(None).cast("long")
+    q = queries.select("session", F.size("v").alias("dim"), F.col("src").alias("id"), "v", F.lit("").alias("kind"), (F.col("entry") if entry else no).alias("entry"))
+    e = entries.select("session", F.size("v").alias("dim"), F.col("dst").alias("id"), "v", (F.col("kind") if kinds else F.lit("")).alias("kind"), no.alias("entry"))
     counts = lambda df, n, size: df.groupBy(*place).agg(F.ceil(F.count("*") / size).cast("long").alias(n))
-    blocks = counts(q, "qn", BLOCK).join(counts(e, "en", BLOCK), place)
+    blocks = F.broadcast(counts(q, "qn", BLOCK).join(counts(e, "en", BLOCK), place))  # one row a session and vector length
     deal = lambda df, own, n, other, m: df.join(blocks, place).withColumn(own, F.pmod(F.xxhash64("id"), n)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1)))
-    fields = [*place, "qb", "eb", "asks", "id", "v"]
+    fields = [*place, "qb", "eb", "asks", "id", "v", "kind", "entry"]
     dealt = deal(q, "qb", F.col("qn"), "eb", "en").withColumn("asks", F.lit(True)).select(*fields).unionByName(deal(e, "eb", F.col("en"), "qb", "qn").withColumn("asks", F.lit(False)).select(*fields))
 
     def compare(key, rows):
@@ -119,18 +178,21 @@ def nearest_entries(queries: DataFrame, entries: DataFrame, k: int, least: float
 
         rows = rows.sort_values("id", kind="stable")
         x, y = rows[rows["asks"]], rows[~rows["asks"]]
-        src, dst = x["id"].to_numpy(np.int64), y["id"].to_numpy(np.int64)
+        src, dst, kind = x["id"].to_numpy(np.int64), y["id"].to_numpy(np.int64), y["kind"].to_numpy(str)
+        # without kinds a query is told from the entries by its id; with them by its column entry (one more is kept for it)
+        itself = np.full(len(src), -(1 << 62)) if entry else src
         out = []
         if len(x) and len(y):
             xv, yv = np.stack(x["v"].to_numpy()).astype(float), np.stack(y["v"].to_numpy()).astype(float)
             for at in range(0, len(x), 256):
-                row, col, w = _block_nearest(xv[at : at + 256], yv, src[at : at + 256], dst, k, least)
-                out.append(pd.DataFrame({"session": key[0], "src": src[at : at + 256][row], "dst": dst[col], "w": w}))
-        return pd.concat(out) if out else pd.DataFrame({"session": [], "src": [], "dst": [], "w": []})
+                row, col, w = _block_nearest(xv[at : at + 256], yv, itself[at : at + 256], dst, kind, k + entry, least)
+                out.append(pd.DataFrame({"session": key[0], "src": src[at : at + 256][row], "dst": dst[col], "w": w, "kind": kind[col], "entry": x["entry"].iloc[at : at + 256].to_numpy()[row]}))
+        return pd.concat(out) if out else pd.DataFrame({"session": [], "src": [], "dst": [], "w": [], "kind": [], "entry": []})
 
-    kind = f"session {q.schema['session'].dataType.simpleString()}, src long, dst long, w double"
-    found = dealt.groupBy(*place, "qb", "eb").applyInPandas(compare, kind)
-    return found.withColumn("r", F.row_number().over(Window.partitionBy("session", "src").orderBy(F.desc("w"), "dst"))).where(F.col("r") <= k).drop("r")
+    kind = f"session {q.schema['session'].dataType.simpleString()}, src long, dst long, w double, kind string, entry long"
+    found = dealt.groupBy(*place, "qb", "eb").applyInPandas(compare, kind).where(~F.col("dst").eqNullSafe(F.col("entry")))
+    found = found.withColumn("r", F.row_number().over(Window.partitionBy("session", "src", "kind").orderBy(F.desc("w"), "dst"))).where(F.col("r") <= k)
+    return found.select("session", "src", "dst", "w", *["kind"] * kinds, *["entry"] * entry)
 
 
 def nearest_neighbours(segments: DataFrame, k: int = 8, least: float = 0.25) -> DataFrame:
@@ -141,6 +203,18 @@ def nearest_neighbours(segments: DataFrame, k: int = 8, least: float = 0.25) ->
     return both.groupBy("session", "src", "dst").agg(F.max("w").alias("w"))
 
 
+def knn_votes(queries: DataFrame, bank: DataFrame, k: int, floor: float = 1e-6) -> DataFrame:
+    """(session, seg_idx, speaker, probability): votes of each query's k nearest other entries, weighted by 1 / cosine distance (at least `floor`)."""
+    b = unit_rows(bank).select("speaker", F.col("entry_idx").alias("dst"), "v")
+    q = unit_rows(queries).select("session", F.col("seg_idx").alias("src"), "v")
+    # all sessions search one bank
+    near = nearest_entries(q.select(F.lit(0).alias("session"), "src", "v"), b.select(F.lit(0).alias("session"), "dst", "v"), k)
+    near = near.drop("session").join(q.select("session", "src"), "src").join(b.select("speaker", "dst"), "dst")
+    votes = near.groupBy("session", F.col("src").alias("seg_idx"), "speaker").agg(F.sum(1 / F.greatest(1 - F.col("w"), F.lit(floor))).alias("vote"))
+    total = F.sum("vote").over(Window.partitionBy("session", "seg_idx"))
+    return votes.select("session", "seg_idx", "speaker", (F.col("vote") / total).alias("probability"))
+
+
 def whitening(bank: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(mean, matrix) that whitens unit vectors: pseudo-inverse root of the sample covariance, with a floor on eigenvalues.
 
@@ -157,14 +231,16 @@ def whitening(bank: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 x = np.stack(b["v"].to_numpy())
                 n, s, m = n + len(x), s + x.sum(0), m + x.T @ x
         if n:
-            yield pd.DataFrame({"n": [n], "s": [s], "m": [m.ravel()]})
+            x = np.concatenate([[n], s, m.ravel()])
+            yield pd.DataFrame({"i": np.arange(len(x)), "x": x})
 
-    parts = v.mapInPandas(moments, "n long, s array<double>, m array<double>").groupBy().agg(F.sum("n").alias("n"), F.collect_list("s").alias("s"), F.collect_list("m").alias("m")).first()
-    n = parts["n"] or 0
+    # one row an element, summed before they meet: the driver sees d * d + d + 1 numbers
+    parts = v.mapInPandas(moments, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
+    d = (v.select(F.size("v").alias("d")).first() or [1])[0]
+    n = parts[0] if len(parts) else 0
     if n < 2:
-        d = len(parts["s"][0]) if parts["s"] else 1
         return np.zeros(d), np.eye(d)
-    s, m = np.sum(parts["s"], axis=0), np.sum(parts["m"], axis=0).reshape(len(parts["s"][0]), -1)
+    s, m = parts[1 : d + 1], parts[d + 1 :].reshape(d, d)
     mean = s / n
     values, axes = np.linalg.eigh((m - n * np.outer(mean, mean)) / (n - 1))
     floor = max(values.max() * 1e-6, 1e-8)

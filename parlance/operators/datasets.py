@@ -68,7 +68,8 @@ def balanced(dataset: DataFrame, targets: list[str], cap: int = 500) -> DataFram
 
 def top_pairs(pairs: DataFrame, seeds: list[str], k: int) -> DataFrame:
     """Seed pairs in order, then the k commonest others (k counted before seeds are taken out)."""
-    ranked = pairs.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "pair"))).where(F.col("r") <= k)  # a k-row report
+    # a k-row report: only its rows are numbered in one task
+    ranked = pairs.orderBy(F.desc("n"), "pair").limit(k).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "pair")))
     seeded = pairs.sparkSession.createDataFrame([(s, i) for i, s in enumerate(dict.fromkeys(seeds))], "pair string, place int")
     return seeded.unionByName(ranked.join(seeded, "pair", "left_anti").select("pair", (F.col("r") + len(seeds)).alias("place")))
 
@@ -94,3 +95,41 @@ def leaks(dataset: DataFrame, holdout: DataFrame) -> DataFrame:
 def assert_disjoint(dataset: DataFrame, holdout: DataFrame) -> None:
     if not leaks(dataset, holdout).isEmpty():
         raise ValueError("held-out sessions in the training set")
+
+
+def bank_samples(bank: DataFrame, aliases: DataFrame, most: int) -> DataFrame:
+    """Entries of a bank as training samples: entry_idx, label (aliases resolved), embedding; at most `most` a label, evenly taken.
+
+    aliases: key (lower case), value; configuration, a short list.
+    """
+    known = bank.join(F.broadcast(aliases.select("key", "value")), F.lower("speaker") == F.col("key"), "left")
+    rows = known.select("entry_idx", F.coalesce("value", "speaker").alias("label"), "embedding").where("label <> ''")
+    return sample_evenly(rows, ["label"], ["entry_idx"], most)
+
+
+def relabelled_sources(dataset: DataFrame, source: str) -> DataFrame:
+    """All samples under one source."""
+    return dataset.withColumn("source", F.lit(source))
+
+
+def subset(dataset: DataFrame, row_ids: DataFrame) -> DataFrame:
+    """The samples whose row_id is listed, each once."""
+    return dataset.join(row_ids.select("row_id").distinct(), "row_id", "left_semi")
+
+
+def appended(base: DataFrame, more: DataFrame | None) -> DataFrame:
+    """base followed by more; base itself where there is nothing to add."""
+    return base if more is None else base.unionByName(more, allowMissingColumns=True)
+
+
+def clean_segments(records: DataFrame, stems: DataFrame, least: float, most: float, per_speaker: int, size: float = 0.0, stride: float = 0.0) -> DataFrame:
+    """session, seg_idx, speaker, start, end of records long enough to learn from, cut at `most` seconds; speakers without a stem go.
+
+    At most per_speaker of each, evenly taken; with a window size each is chopped further. records: session, seg_idx, start, end, speaker.
+    """
+    from parlance.operators.sequences import training_windows
+
+    end = F.least("end", F.col("start") + most)
+    rows = records.join(F.broadcast(stems.select("speaker").distinct()), "speaker", "left_semi").withColumn("end", end).where((F.col("end") - F.col("start") >= least) & (F.col("end") > F.col("start")))
+    rows = sample_evenly(rows.select("session", "seg_idx", "speaker", "start", "end"), ["speaker"], ["session", "seg_idx"], per_speaker)
+    return rows if size <= 0 else training_windows(rows, least, most, size, stride or size)

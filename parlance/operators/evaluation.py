@@ -47,3 +47,53 @@ def pair_weights(pairs: DataFrame, speakers: DataFrame, default: float = 0.5) ->
     p = pairs.withColumns({"a": names[0], "b": names[1]}).join(poor.toDF("a", "pa"), "a", "left").join(poor.toDF("b", "pb"), "b", "left").crossJoin(F.broadcast(most))
     weak = F.when(F.col("most_poor") > 0, 0.25 * (F.coalesce("pa", F.lit(0.0)) + F.coalesce("pb", F.lit(0.0))) / (2 * F.col("most_poor"))).otherwise(0.0)
     return p.select("pair", "n", F.greatest(F.lit(default), 0.5 + 0.5 * F.col("n") / F.col("most") + weak).alias("weight"))
+
+
+def summed_pair_metrics(diagnostics: DataFrame) -> DataFrame:
+    """pair, metric, value summed over sessions. diagnostics: session, pair, metric, value; null counts as 0."""
+    return diagnostics.groupBy("pair", "metric").agg(F.sum(F.coalesce("value", F.lit(0))).cast("long").alias("value"))
+
+
+def same_windows(predicted: DataFrame, reference: DataFrame) -> DataFrame:
+    """Predicted windows beside the reference of the same session and name; windows of one side only go."""
+    right = reference.select("session", "window", *[F.col(c).alias(f"ref_{c}") for c in reference.columns if c not in ("session", "window")])
+    return predicted.join(right, ["session", "window"])
+
+
+def error_patterns(segments: DataFrame) -> DataFrame:
+    """By session: segments with a reference, wrong ones, median durations of right and wrong ones, their shares up to 2 s, and sandwiches.
+
+    segments: session, seg_idx, start, end, predicted, reference. A sandwich lies between two segments of one other predicted speaker; it is
+    fixable if that speaker is the true one.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("session").orderBy("start", "end", "seg_idx")
+    c = F.col
+    s = segments.withColumns({"before": F.lag("predicted").over(w), "after": F.lead("predicted").over(w), "d": c("end") - c("start")}).where("nullif(reference, '') is not null")
+    right = F.coalesce(c("predicted") == c("reference"), F.lit(False))
+    between = F.coalesce((c("before") == c("after")) & (c("before") != c("predicted")), F.lit(False))
+    only = lambda cond: F.when(cond, c("d"))
+    return s.groupBy("session").agg(
+        F.count("*").alias("segments"),
+        F.count_if(~right).alias("wrong"),
+        F.coalesce(F.median(only(right)), F.lit(0.0)).alias("right_median"),
+        F.coalesce(F.median(only(~right)), F.lit(0.0)).alias("wrong_median"),
+        ratio(F.count_if(right & (c("d") <= 2)), F.count_if(right)).alias("right_short"),
+        ratio(F.count_if(~right & (c("d") <= 2)), F.count_if(~right)).alias("wrong_short"),
+        F.count_if(between).alias("sandwiches"),
+        F.count_if(between & ~right & (c("before") == c("reference"))).alias("fixable"),
+        F.count_if(between & right).alias("already_right"),
+    )
+
+
+def evaluate(reference: DataFrame, predicted: DataFrame, window: float, tolerance: float = 0.35) -> DataFrame:
+    """session, window and the alignment metrics of each: words matched in time, counted by the window in which the reference word's middle lies.
+
+    Both: session, seg_idx, word_idx, start, end, speaker. rolled_up() and confusion_pairs() take it from here.
+    """
+    from parlance.operators.intervals import nearest_words
+
+    key = ["session", "seg_idx", "word_idx"]
+    at = F.floor((F.col("start") + F.col("end")) / 2 / window).alias("window")
+    return alignment_metrics(nearest_words(reference, predicted, tolerance).join(reference.select(*key, at), key), ["session", "window"])

@@ -29,3 +29,15 @@ def choose_speaker(rows: DataFrame, key: str, name: str, mapping: DataFrame) ->
     hits = c.join(m, exact | part).select(key, "value", F.struct(F.when(exact, 1).otherwise(2).alias("pass"), "place", "ord").alias("o"))
     best = hits.groupBy(key).agg(F.min_by("value", "o").alias("value"))
     return rows.select(key, base.alias("stem")).join(best, key, "left").select(key, F.coalesce("value", "stem").alias("speaker"))
+
+
+def resolved_labels(rows: DataFrame, key: str, name: str, mapping: DataFrame) -> DataFrame:
+    """key, label, matched: the mapping's value for a raw label; the label itself, trimmed, where nothing fits; 'unknown' for a blank one."""
+    raw = F.trim(F.coalesce(F.col(name), F.lit("")))
+    some = rows.select(key, raw.alias("raw"))
+    marked = mapping.select("ord", "key", F.concat(F.lit("\u0001"), F.col("value")).alias("value"))  # tells a match from a fallback
+    found = choose_speaker(some, key, "raw", marked)
+    matched = F.col("speaker").startswith("\u0001")
+    out = some.join(found, key).withColumn("matched", matched)
+    label = F.when(F.col("matched"), F.substring("speaker", 2, 1 << 20)).when(F.lower("raw").isin("", "unknown"), "unknown").otherwise(F.col("raw"))
+    return out.select(key, label.alias("label"), "matched")

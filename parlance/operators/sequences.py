@@ -145,14 +145,38 @@ def every_nth(rows: DataFrame, keys: list[str], order: list[str], limit: int) ->
 
 def sample_evenly(rows: DataFrame, keys: list[str], order: list[str], limit: Column | int) -> DataFrame:
     """limit rows of each key at half-even rounded, evenly spaced places; all where there are fewer."""
-    w = Window.partitionBy(*keys)
     limit = F.lit(limit) if isinstance(limit, int) else limit
-    out = rows.withColumn("_i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w)).withColumn("_k", limit.cast("int"))
-    places = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.bround(j * (F.col("_n") - 1) / F.greatest(F.col("_k") - 1, F.lit(1))).cast("int"))
-    keep = (F.col("_k") > 0) & ((F.col("_n") <= F.col("_k")) | F.array_contains(F.when(F.col("_k") > 0, places), F.col("_i")))
+    out = numbered(rows, keys, order).withColumn("_k", limit.cast("int"))
+    # which of the limit places may round to this row: its own share of them, or the one before or after
+    step = (F.col("_n") - 1) / F.greatest(F.col("_k") - 1, F.lit(1))
+    near = F.round(F.col("_i") / F.greatest(step, F.lit(1e-9)))
+    hit = F.lit(False)
+    for d in (-1, 0, 1):
+        j = near + d
+        hit = hit | ((j >= 0) & (j < F.col("_k")) & (F.bround(j * (F.col("_n") - 1) / F.greatest(F.col("_k") - 1, F.lit(1))) == F.col("_i")))
+    keep = (F.col("_k") > 0) & ((F.col("_n") <= F.col("_k")) | hit)
     return out.where(keep).drop("_i", "_n", "_k")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], parts: int = 64) -> DataFrame:
+    """rows with _i (place within the key, from 0) and _n (rows of the key).
+
+    Rows are dealt into ranges of the first order column (if it is a number), numbered within (key, range), and moved up by what earlier ranges of the
+    key hold, so a key that holds a third of all rows is many tasks. The bounds are fixed numbers, found first; they needn't be exact quantiles.
+    """
+    numeric = rows.schema[order[0]].dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")
+    bounds = sorted(set(rows.approxQuantile(order[0], [i / parts for i in range(1, parts)], 0.005))) if numeric else []
+    part = sum(((F.col(order[0]) > x).cast("int") for x in bounds), F.lit(0))
+    spread = rows.withColumn("_part", F.coalesce(part, F.lit(0)))
+    counts = spread.groupBy(*keys, "_part").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)
+    counts = counts.select(*keys, "_part", (F.sum("_c").over(w.orderBy("_part")) - F.col("_c")).alias("_before"), F.sum("_c").over(w).alias("_n"))
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys] + [F.col("a._part") == F.col("b._part")]
+    inside = spread.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)) - 1)
+    joined = inside.alias("a").join(counts.alias("b"), same)
+    return joined.select(*[F.col(f"a.{c}").alias(c) for c in rows.columns], (F.col("a._i") + F.col("b._before")).alias("_i"), F.col("b._n").alias("_n"))
+
+
 def sandwiches(segments: DataFrame) -> DataFrame:
     """Per session: segments, short ones (2 s at most), median duration, and those between two of one other speaker."""
     w = Window.partitionBy("session").orderBy("start", "end", "seg_idx")

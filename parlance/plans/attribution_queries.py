@@ -50,14 +50,14 @@ def e1_label_vote(spark, sf):
     return _labels(spark, sf, "vote")
 
 
-@query(f"""WITH {A.SEGMENTS}, a AS (SELECT session, seg_idx, speaker, ("end" - start) / 500 AS score FROM segments WHERE seg_idx % 3 <> 0),
-b AS (SELECT session, seg_idx, CASE WHEN seg_idx % 2 = 0 THEN speaker ELSE 'other' END AS speaker, 0.3::DOUBLE AS score FROM segments WHERE seg_idx % 4 <> 0),
+@query(f"""WITH {A.SEGMENTS}, a AS (SELECT session, seg_idx, speaker, ("end" - start) / 500 AS score FROM segments WHERE speaker <> 'error'),
+b AS (SELECT session, seg_idx, CASE WHEN speaker_raw = 'S0' THEN speaker ELSE 'other' END AS speaker, 0.3::DOUBLE AS score FROM segments WHERE speaker <> 'click'),
 f AS (SELECT session, seg_idx, speaker, coalesce(a.score, 0) AS c, coalesce(b.score, 0) AS k FROM a FULL JOIN b USING (session, seg_idx, speaker))
 SELECT session, seg_idx, speaker, c, k, round(0.7 * c + 0.3 * k, 9) AS score, row_number() OVER (PARTITION BY session, seg_idx ORDER BY 0.7::DOUBLE * c + 0.3::DOUBLE * k DESC, c DESC, k DESC, speaker) AS rank FROM f""")
 def d5_fused_candidates(spark, sf):
     s = A.segments(spark, sf)
-    a = s.where("seg_idx % 3 <> 0").select("session", "seg_idx", "speaker", ((F.col("end") - F.col("start")) / 500).alias("score"))
-    b = s.where("seg_idx % 4 <> 0").select("session", "seg_idx", F.when(F.col("seg_idx") % 2 == 0, F.col("speaker")).otherwise("other").alias("speaker"), F.lit(0.3).alias("score"))
+    a = s.where("speaker <> 'error'").select("session", "seg_idx", "speaker", ((F.col("end") - F.col("start")) / 500).alias("score"))
+    b = s.where("speaker <> 'click'").select("session", "seg_idx", F.when(F.col("speaker_raw") == "S0", F.col("speaker")).otherwise("other").alias("speaker"), F.lit(0.3).alias("score"))
     return R.fused_candidates(a, b).withColumn("score", F.round("score", 9))
 
 
@@ -71,12 +71,12 @@ def d11_resolved_speakers(spark, sf):
     return R.resolve(s.drop("speaker"), matches, labels)
 
 
-@query("""WITH p AS (SELECT lang || '::' || source AS pair, doc_id % 3 AS k FROM documents), a AS (SELECT pair, count(*) AS n FROM p WHERE k < 2 GROUP BY pair), b AS (SELECT pair, count(*) AS n FROM p WHERE k = 2 GROUP BY pair)
+@query("""WITH p AS (SELECT lang || '::' || source AS pair, n_chars > 1000 AS long FROM documents), a AS (SELECT pair, count(*) AS n FROM p WHERE NOT long GROUP BY pair), b AS (SELECT pair, count(*) AS n FROM p WHERE long GROUP BY pair)
 SELECT pair, coalesce(a.n, 0) AS pre, coalesce(b.n, 0) AS post, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b USING (pair)""")
 def d14_pair_diagnostics(spark, sf):
-    p = table(spark, sf, "documents").select(F.concat_ws("::", "lang", "source").alias("pair"), (F.col("doc_id") % 3).alias("k"))
+    p = table(spark, sf, "documents").select(F.concat_ws("::", "lang", "source").alias("pair"), (F.col("n_chars") > 1000).alias("long"))
     count = lambda d: d.groupBy("pair").agg(F.count("*").alias("n"))
-    return R.diagnostics(count(p.where("k < 2")), count(p.where("k = 2")))
+    return R.diagnostics(count(p.where("not long")), count(p.where("long")))
 
 
 @query(f"""WITH {A.SEGMENTS}, o AS (SELECT * FROM (VALUES ('click::view', 0.3), ('error::view', 0.1)) t(pair, margin)),

@@ -10,13 +10,30 @@ from parlance.sources import adapters as A
 
 QUERIES, SQL, query = registry()
 
-_CENTRES = A.BANK + """, un AS (SELECT entry_idx, speaker, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM bank),
-qn AS (SELECT session, seg_idx, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM queries),
-ex AS (SELECT speaker, i, avg(v[i]) AS x FROM (SELECT speaker, v, unnest(generate_series(1, len(v))) AS i FROM un) GROUP BY ALL),
+_UNITS = A.BANK + """, un AS (SELECT entry_idx, speaker, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM bank),
+qn AS (SELECT session, seg_idx, own, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM queries)"""
+
+_CENTRES = _UNITS + """, ex AS (SELECT speaker, i, avg(v[i]) AS x FROM (SELECT speaker, v, unnest(generate_series(1, len(v))) AS i FROM un) GROUP BY ALL),
 mean AS (SELECT speaker, list(x ORDER BY i) AS m FROM ex GROUP BY speaker),
 centre AS (SELECT speaker, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS centroid FROM mean),
-clusters AS (SELECT speaker, any_value(centroid) AS centroid, avg(pow(list_distance(v, centroid), 2)) AS variance, count(*) AS members FROM un JOIN centre USING (speaker) GROUP BY speaker),
-raw AS (SELECT session, seg_idx, speaker, list_dot_product(v, centroid) AS score, list_distance(v, centroid) AS distance, variance FROM qn CROSS JOIN clusters)"""
+clusters AS (SELECT speaker, any_value(centroid) AS centroid, avg(pow(list_distance(v, centroid), 2)) AS variance, count(*) AS members FROM un JOIN centre USING (speaker) GROUP BY speaker)"""
+
+#: Each query meets the clusters of all entries but itself.
+_RAW = _CENTRES + """, qx AS (SELECT seg_idx, u.speaker, u.v, unnest(generate_series(1, len(u.v))) AS i FROM qn q JOIN un u ON u.speaker = q.own AND u.entry_idx <> q.seg_idx),
+qm AS (SELECT seg_idx, speaker, list(x ORDER BY i) AS m FROM (SELECT seg_idx, speaker, i, avg(v[i]) AS x FROM qx GROUP BY ALL) GROUP BY ALL),
+qc AS (SELECT seg_idx, speaker, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS centroid FROM qm),
+qv AS (SELECT qc.seg_idx, qc.speaker, any_value(centroid) AS centroid, avg(pow(list_distance(u.v, centroid), 2)) AS variance FROM qc JOIN un u ON u.speaker = qc.speaker AND u.entry_idx <> qc.seg_idx GROUP BY ALL),
+met AS (SELECT q.session, q.seg_idx, q.v, c.speaker, c.centroid AS w, c.variance, -1 AS place FROM qn q JOIN clusters c ON c.speaker IS DISTINCT FROM q.own
+  UNION ALL SELECT q.session, q.seg_idx, q.v, speaker, centroid, variance, -1 FROM qn q JOIN qv USING (seg_idx)),
+raw AS (SELECT session, seg_idx, speaker, list_dot_product(v, w) AS score, list_distance(v, w) AS distance, variance, place FROM met)"""
+
+_RANKED = _RAW + """, ranked AS (SELECT session, seg_idx, speaker, score, distance, row_number() OVER (PARTITION BY session, seg_idx ORDER BY score DESC, speaker) AS rank FROM raw WHERE distance <= greatest(sqrt(variance) * 2.5, 1e-4))"""
+
+_EXAMPLES = """, ex3 AS (SELECT speaker, entry_idx, un.v, variance, row_number() OVER (PARTITION BY speaker ORDER BY list_distance(v, centroid), entry_idx) - 1 AS place FROM un JOIN clusters USING (speaker) QUALIFY place < 3)"""
+
+
+def _scores(spark, sf, radius=2.5):
+    return B.bank_scores(A.queries(spark, sf), B.clusters_by_speaker(A.bank(spark, sf)), radius)
 
 
 @query(f"WITH {_CENTRES} SELECT speaker, round(variance, 6) AS variance, members, round(centroid[1], 6) AS first FROM clusters")
@@ -25,22 +42,35 @@ def e2_e3_centroids(spark, sf):
     return c.select("speaker", F.round("variance", 6).alias("variance"), "members", F.round(F.col("centroid")[0], 6).alias("first"))
 
 
-@query(f"""WITH {_CENTRES} SELECT session, seg_idx, row_number() OVER (PARTITION BY session, seg_idx ORDER BY score DESC, speaker) AS rank, speaker, round(score, 6) AS score, round(distance, 6) AS distance
-FROM raw WHERE distance <= greatest(sqrt(variance) * 2.5, 1e-4)""")
+@query(f"WITH {_RANKED} SELECT session, seg_idx, rank, speaker, round(score, 6) AS score, round(distance, 6) AS distance FROM ranked")
 def d4_bank_scores(spark, sf):
-    s = B.bank_scores(A.queries(spark, sf), B.clusters_by_speaker(A.bank(spark, sf)))
-    return s.withColumns({c: F.round(c, 6) for c in ("score", "distance")})
+    return _scores(spark, sf).select("session", "seg_idx", "rank", "speaker", F.round("score", 6).alias("score"), F.round("distance", 6).alias("distance"))
 
 
-@query(f"""WITH {_CENTRES}, r AS (SELECT *, row_number() OVER (PARTITION BY session, seg_idx ORDER BY score DESC, speaker) AS rank FROM raw WHERE distance <= greatest(sqrt(variance) * 2.5, 1e-4)),
-t AS (SELECT session, seg_idx, arg_min(speaker, rank) AS speaker, max(score) FILTER (rank = 1) AS score, coalesce(max(score) FILTER (rank = 2), 0) AS second FROM r WHERE rank <= 2 GROUP BY ALL)
+@query(f"WITH {_CENTRES}{_EXAMPLES} SELECT speaker, place, entry_idx FROM ex3")
+def g5_prototypes(spark, sf):
+    b = A.bank(spark, sf)
+    return B.prototypes(b, B.clusters_by_speaker(b), 3).select("speaker", "place", "entry_idx")
+
+
+@query(f"""WITH {_RAW}{_EXAMPLES}, all_met AS (SELECT session, seg_idx, speaker, score, distance, variance, place FROM raw UNION ALL
+  SELECT session, seg_idx, speaker, list_dot_product(qn.v, ex3.v), list_distance(qn.v, ex3.v), variance, place FROM qn JOIN ex3 ON entry_idx <> seg_idx),
+best AS (SELECT session, seg_idx, speaker, arg_max({{'score': score, 'source': CASE WHEN place < 0 THEN 'centroid' ELSE 'prototype' END}}, (score, -place)) AS b FROM all_met WHERE distance <= greatest(sqrt(variance) * 2.5, 1e-4) GROUP BY ALL)
+SELECT session, seg_idx, row_number() OVER (PARTITION BY session, seg_idx ORDER BY b.score DESC, speaker) AS rank, speaker, round(b.score, 6) AS score, b.source AS source FROM best""")
+def d4_prototype_scores(spark, sf):
+    b = A.bank(spark, sf)
+    c = B.clusters_by_speaker(b)
+    s = B.bank_scores(A.queries(spark, sf), c, 2.5, B.prototypes(b, c, 3))
+    return s.select("session", "seg_idx", "rank", "speaker", F.round("score", 6).alias("score"), "source")
+
+
+@query(f"""WITH {_RANKED}, t AS (SELECT session, seg_idx, arg_min(speaker, rank) AS speaker, max(score) FILTER (rank = 1) AS score, coalesce(max(score) FILTER (rank = 2), 0) AS second FROM ranked WHERE rank <= 2 GROUP BY ALL)
 SELECT session, seg_idx, speaker, round(score - second, 6) AS margin, score >= 0.2 AND score - second >= 0.03 AS matched FROM t""")
 def c11_accept_rule(spark, sf):
-    a = B.accepted(B.bank_scores(A.queries(spark, sf), B.clusters_by_speaker(A.bank(spark, sf))), 0.2, 0.03)
-    return a.select("session", "seg_idx", "speaker", F.round("margin", 6).alias("margin"), "matched")
+    return B.accepted(_scores(spark, sf), 0.2, 0.03).select("session", "seg_idx", "speaker", F.round("margin", 6).alias("margin"), "matched")
 
 
-@query(f"""WITH {_CENTRES}, qs AS (SELECT r.session, r.seg_idx, r.speaker, list_dot_product(q.v, u.v) AS s, u.entry_idx FROM raw r JOIN qn q USING (session, seg_idx) JOIN un u ON u.speaker <> r.speaker),
+@query(f"""WITH {_RAW}, qs AS (SELECT r.session, r.seg_idx, r.speaker, list_dot_product(q.v, u.v) AS s, u.entry_idx FROM raw r JOIN qn q USING (session, seg_idx) JOIN un u ON u.speaker <> r.speaker AND u.entry_idx <> r.seg_idx),
 qr AS (SELECT session, seg_idx, speaker, avg(s) AS qm, greatest(stddev_pop(s), 1e-6) AS qs FROM (SELECT *, row_number() OVER (PARTITION BY session, seg_idx, speaker ORDER BY s DESC, entry_idx) AS r FROM qs) WHERE r <= 20 GROUP BY ALL),
 cs AS (SELECT c.speaker, list_dot_product(c.centroid, u.v) AS s, entry_idx FROM clusters c JOIN un u ON u.speaker <> c.speaker),
 cr AS (SELECT speaker, avg(s) AS cm, greatest(stddev_pop(s), 1e-6) AS cs FROM (SELECT *, row_number() OVER (PARTITION BY speaker ORDER BY s DESC, entry_idx) AS r FROM cs) WHERE r <= 20 GROUP BY ALL)
@@ -51,11 +81,29 @@ def e14_normalised_scores(spark, sf):
     return s.select("session", "seg_idx", "speaker", F.round("raw_score", 6).alias("raw_score"), F.round("score", 4).alias("score"))
 
 
-@query(f"""WITH {_CENTRES}, p AS (SELECT a.session, a.seg_idx AS src, b.seg_idx AS dst, list_dot_product(a.v, b.v) AS w FROM qn a JOIN qn b ON a.session = b.session AND a.seg_idx <> b.seg_idx),
+@query(f"""WITH {_UNITS}, p AS (SELECT a.entry_idx % 7 AS session, a.entry_idx AS src, b.entry_idx AS dst, list_dot_product(a.v, b.v) AS w FROM un a JOIN un b ON a.entry_idx % 7 = b.entry_idx % 7 AND a.entry_idx <> b.entry_idx),
 n AS (SELECT session, src, dst, w FROM p WHERE w >= 0.05 QUALIFY row_number() OVER (PARTITION BY session, src ORDER BY w DESC, dst) <= 3),
 u AS (SELECT * FROM n UNION ALL SELECT session, dst, src, w FROM n) SELECT session, src, dst, round(max(w), 6) AS w FROM u GROUP BY session, src, dst""")
 def d6_knn_edges(spark, sf):
-    return B.nearest_neighbours(A.queries(spark, sf), 3, 0.05).withColumn("w", F.round("w", 6))
+    return B.nearest_neighbours(A.sessions_of_vectors(spark, sf), 3, 0.05).withColumn("w", F.round("w", 6))
+
+
+@query(f"""WITH {_CENTRES} SELECT speaker, members, round(variance, 6) AS variance FROM clusters""")
+def j16_grown_bank(spark, sf):
+    """A bank that begins with half of the speakers and is extended with the others."""
+    b = A.bank(spark, sf)
+    grown = B.add_entries(b.where("speaker < 'spk_5'"), b.where("speaker >= 'spk_5'"))
+    return B.clusters_by_speaker(grown).select("speaker", "members", F.round("variance", 6).alias("variance"))
+
+
+@query(f"""WITH {A.BANK}, k AS (SELECT entry_idx, CASE lower(speaker) WHEN 'spk_1' THEN 'spk_0' ELSE speaker END AS label FROM bank WHERE speaker <> 'spk_9'),
+n AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY entry_idx) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM k)
+SELECT entry_idx, label FROM n WHERE n <= 20 OR list_contains(list_transform(generate_series(0, 19), lambda j: CAST(round_even(j * (n - 1) / 19::DOUBLE, 0) AS BIGINT)), i)""")
+def a23_bank_dataset(spark, sf):
+    from parlance.operators.datasets import bank_samples
+
+    aliases = spark.createDataFrame([("spk_1", "spk_0")], "key string, value string")
+    return bank_samples(A.bank(spark, sf).where("speaker <> 'spk_9'"), aliases, 20).select("entry_idx", "label")
 
 
 @query(f"WITH {A.BANK} SELECT speaker, count(*) AS entries FROM bank GROUP BY speaker")
@@ -65,36 +113,28 @@ def e23_bank_summary(spark, sf):
 
 @query()
 def e15_whitened_scores(spark, sf):
-    b = A.whole_bank(spark, sf)
+    b = A.bank(spark, sf)
     mean, matrix = B.whitening(b)
     white = B.whitened(b, mean, matrix)
-    return B.bank_scores(B.whitened(A.whole_queries(spark, sf), mean, matrix), B.clusters_by_speaker(white), 1e9)
+    return B.bank_scores(B.whitened(A.sessions_of_vectors(spark, sf), mean, matrix), B.clusters_by_speaker(white), 1e9)
 
 
 @query()
 def e20_density_clusters(spark, sf):
-    return B.density_clusters(A.whole_bank(spark, sf), 0.75, 4)
+    return B.density_clusters(A.bank(spark, sf), 0.75, 4)
 
 
-@query()
+@query(f"""WITH {_UNITS}, n AS (SELECT a.entry_idx AS seg_idx, b.speaker, 1 - list_dot_product(a.v, b.v) AS d FROM un a JOIN un b ON a.entry_idx <> b.entry_idx QUALIFY row_number() OVER (PARTITION BY a.entry_idx ORDER BY list_dot_product(a.v, b.v) DESC, b.entry_idx) <= 5),
+v AS (SELECT seg_idx, speaker, sum(1 / greatest(d, 1e-6)) AS vote FROM n GROUP BY ALL) SELECT seg_idx % 7 AS session, seg_idx, speaker, round(vote / sum(vote) OVER (PARTITION BY seg_idx), 4) AS probability FROM v""")
 def j5_knn_classifier(spark, sf):
     """Distance-weighted cosine vote of each vector's 5 nearest other bank entries."""
-    from pyspark.sql import Window
-
-    b = B.unit_rows(A.whole_bank(spark, sf)).select("speaker", F.col("entry_idx").alias("dst"), "v")
-    q = B.unit_rows(A.whole_queries(spark, sf)).select("session", F.col("seg_idx").alias("src"), "v")
-    # all sessions search one bank
-    near = B.nearest_entries(q.select(F.lit(0).alias("session"), "src", "v"), b.select(F.lit(0).alias("session"), "dst", "v"), 5)
-    near = near.drop("session").join(q.select("session", "src"), "src").join(b.select("speaker", "dst"), "dst").select("session", F.col("src").alias("seg_idx"), "speaker", (1 - F.col("w")).alias("d"))
-    votes = near.groupBy("session", "seg_idx", "speaker").agg(F.sum(1 / F.greatest("d", F.lit(1e-9))).alias("vote"))
-    total = F.sum("vote").over(Window.partitionBy("session", "seg_idx"))
-    return votes.select("session", "seg_idx", "speaker", (F.col("vote") / total).alias("probability"))
+    return B.knn_votes(A.sessions_of_vectors(spark, sf), A.bank(spark, sf), 5).withColumn("probability", F.round("probability", 4))
 
 
 @query()
 def j2_session_graph(spark, sf):
     from parlance.operators.attribution import propagate
 
-    q = A.whole_queries(spark, sf)
-    seeds = B.accepted(B.bank_scores(q, B.clusters_by_speaker(A.whole_bank(spark, sf))), 0.25, 0.02).where("matched").select("session", F.col("seg_idx").alias("node"), F.col("speaker").alias("label"))
+    q = A.sessions_of_vectors(spark, sf)
+    seeds = B.accepted(B.bank_scores(q, B.clusters_by_speaker(A.bank(spark, sf))), 0.25, 0.02).where("matched").select("session", F.col("seg_idx").alias("node"), F.col("speaker").alias("label"))
     return propagate(B.nearest_neighbours(q, 8, 0.1), seeds)

@@ -61,11 +61,10 @@ def e10_breakdown(spark, sf):
     return D.breakdown(A.dataset(spark, sf))
 
 
-@query(f"""WITH {A.DATASET}, b AS (SELECT domain, label, count(*) AS samples, count(DISTINCT session) AS sessions FROM dataset WHERE label <> 'spk_5' OR session < 'Session 13' GROUP BY ALL), m AS (SELECT domain, median(samples) AS median_samples FROM b GROUP BY domain)
+@query(f"""WITH {A.DATASET}, b AS (SELECT domain, label, count(*) AS samples, count(DISTINCT session) AS sessions FROM dataset GROUP BY ALL), m AS (SELECT domain, median(samples) AS median_samples FROM b GROUP BY domain)
 SELECT domain, label, samples, sessions, median_samples, sessions < 10 AS low_session_count, median_samples > 0 AND samples < median_samples * 0.5 AS low_sample_count FROM b JOIN m USING (domain)""")
 def e11_coverage(spark, sf):
-    d = A.dataset(spark, sf).where("label <> 'spk_5' or session < 'Session 13'")
-    return D.coverage(d, 10, 0.5)
+    return D.coverage(A.dataset(spark, sf), 10, 0.5)
 
 
 @query(f"""WITH {A.DATASET}, t AS (SELECT * FROM dataset WHERE label IN ('spk_0', 'spk_1', 'spk_2')), c AS (SELECT source, label, count(*) AS n FROM t GROUP BY ALL),
@@ -110,10 +109,10 @@ def e19_pair_weights(spark, sf):
     return E.pair_weights(pairs, speakers).withColumn("weight", F.round("weight", 9))
 
 
-@query("SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT doc_id, source FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, source FROM documents WHERE source <> 'src0'")
 def h1_union_all(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source")
-    return d.where("doc_id % 2 = 0").unionByName(d.where("doc_id % 3 = 0"))
+    d = table(spark, sf, "documents")
+    return d.where("lang = 'en'").unionByName(d.where("source <> 'src0'")).select("doc_id", "source")
 
 
 @query("SELECT DISTINCT source, lang FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE lang = 'es' AND n_chars > 15000)")
@@ -123,10 +122,10 @@ def h3_deduplicated_sources(spark, sf):
     return d.select("source", "lang").dropDuplicates().join(out, "source", "left_anti").select("source", "lang")
 
 
-@query("SELECT source, lang FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT source, lang FROM documents WHERE doc_id % 2 = 1")
+@query("SELECT source FROM documents WHERE lang = 'en' AND n_chars > 3000 INTERSECT SELECT source FROM documents WHERE lang = 'de' AND n_chars > 3000")
 def h4_intersection(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "source", "lang")
-    return d.where("doc_id % 2 = 0").select("source", "lang").intersect(d.where("doc_id % 2 = 1").select("source", "lang"))
+    d = table(spark, sf, "documents").where("n_chars > 3000")
+    return d.where("lang = 'en'").select("source").intersect(d.where("lang = 'de'").select("source"))
 
 
 @query("SELECT source AS key FROM documents UNION SELECT lang FROM documents")

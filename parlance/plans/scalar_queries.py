@@ -46,24 +46,26 @@ def i14_i17_interval_scalars(spark, sf):
     return s.select("session", "seg_idx", F.round((c("start") + c("end")) / 2, 3).alias("midpoint"), F.round(overlap(c("start"), c("end"), c("ns"), c("ne")), 6).alias("overlap"), ((c("end") > 1000) & (c("start") < 2000000)).alias("in_window"), F.round(style, 6).alias("style"))
 
 
-@query("""SELECT vec_id, round(list_dot_product(e, e), 9) AS squared, round(sqrt(list_dot_product(e, e)), 9) AS norm, list_transform(list_transform(e[1:4], lambda x: exp(x)), lambda x: round(x / (exp(e[1]) + exp(e[2]) + exp(e[3]) + exp(e[4])), 9)) AS soft
-FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)""")
+@query("""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), x AS (SELECT *, list_transform(e, lambda x: exp(x - list_max(e))) AS p FROM v)
+SELECT vec_id, round(list_dot_product(e, e), 9) AS squared, round(sqrt(list_dot_product(e, e)), 9) AS norm, list_transform(p, lambda x: round(x / list_sum(p), 9)) AS soft FROM x""")
 def i12_i16_vector_scalars(spark, sf):
     from parlance.functions import vectors as V
 
     v = table(spark, sf, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("e"))
-    soft = F.transform(V.softmax(F.slice("e", 1, 4)), lambda x: F.round(x, 9))
+    soft = F.transform(V.softmax(F.col("e")), lambda x: F.round(x, 9))
     return v.select("vec_id", F.round(V.dot(F.col("e"), F.col("e")), 9).alias("squared"), F.round(V.norm(F.col("e")), 9).alias("norm"), soft.alias("soft"))
 
 
-@query(f"""WITH {A.TURNS}, l AS (SELECT *, lpad(CAST(seg_idx // 60 AS VARCHAR), 1, '0') AS z FROM turns)
-SELECT session, seg_idx, speaker || ' 0:00:' || lpad(CAST(seg_idx AS VARCHAR), 2, '0') || ' ' || left(coalesce(regexp_extract(text, '^([^\\n]*)', 1), ''), 20) AS line, speaker, seg_idx::DOUBLE AS start FROM l WHERE seg_idx < 60 AND length(trim(left(regexp_extract(text, '^([^\\n]*)', 1), 20))) > 0""")
+@query(rf"""WITH {A.TURNS}, l AS (SELECT session, seg_idx, speaker || ' ' || printf('%02d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) || ' ' || regexp_extract(coalesce(text, ''), '^([^
+]*)', 1) AS line FROM (SELECT *, CAST(floor(start) AS BIGINT) AS s FROM turns)),
+p AS (SELECT session, seg_idx, line, regexp_extract(line, '{T.SPEAKER_FIRST}', 1) AS speaker, regexp_extract(line, '{T.SPEAKER_FIRST}', 2) AS clock, regexp_extract(line, '{T.SPEAKER_FIRST}', 3) AS said FROM l WHERE regexp_matches(line, '{T.SPEAKER_FIRST}'))
+SELECT session, seg_idx, line, speaker, (split_part(clock, ':', 1)::BIGINT * 3600 + split_part(clock, ':', 2)::BIGINT * 60 + split_part(clock, ':', 3)::BIGINT)::DOUBLE AS start, said AS text FROM p""")
 def a9_i4_transcript_lines(spark, sf):
-    t = A.turn_records(spark, sf).where("seg_idx < 60")
-    said = F.substring(F.regexp_extract("text", r"^([^\n]*)", 1), 1, 20)
-    line = F.concat("speaker", F.lit(" 0:00:"), F.lpad(F.col("seg_idx").cast("string"), 2, "0"), F.lit(" "), said)
-    t = t.where(F.length(F.trim(said)) > 0).select("session", "seg_idx", line.alias("line")).withColumn("p", T.transcript_line(F.col("line")))
-    return t.select("session", "seg_idx", "line", "p.speaker", "p.start")
+    """Every turn's first line, written with its clock and read back; lines without a text aren't transcript lines."""
+    t = A.turn_records(spark, sf)
+    line = F.concat("speaker", F.lit(" "), T.clock(F.col("start")), F.lit(" "), F.regexp_extract(F.coalesce("text", F.lit("")), r"^([^\n]*)", 1))
+    t = t.select("session", "seg_idx", line.alias("line")).withColumn("p", T.transcript_line(F.col("line"))).where("p is not null")
+    return t.select("session", "seg_idx", "line", "p.speaker", "p.start", "p.text")
 
 
 @query(f"""WITH {A.TURNS}, s AS (SELECT session, seg_idx, start, row_number() OVER (PARTITION BY session ORDER BY start, seg_idx) AS idx, speaker, text FROM turns)

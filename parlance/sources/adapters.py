@@ -72,28 +72,22 @@ SHIFTED = WORDS + """, shifted AS (
 
 
 def bank(spark: SparkSession, sf: str) -> DataFrame:
-    """entry_idx, speaker, embedding: four of five vectors."""
-    e = table(spark, sf, "embeddings").where("vec_id % 5 <> 0")
-    return e.select(F.col("vec_id").alias("entry_idx"), F.concat(F.lit("spk_"), F.col("label").cast("string")).alias("speaker"), "embedding")
-
-
-def queries(spark: SparkSession, sf: str) -> DataFrame:
-    """session, seg_idx, embedding: every fifth vector."""
-    return table(spark, sf, "embeddings").where("vec_id % 5 = 0").select((F.col("vec_id") % 7).alias("session"), F.col("vec_id").alias("seg_idx"), "embedding")
-
-
-def whole_bank(spark: SparkSession, sf: str) -> DataFrame:
     """entry_idx, speaker, embedding: all vectors."""
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("entry_idx"), F.concat(F.lit("spk_"), F.col("label").cast("string")).alias("speaker"), "embedding")
 
 
-def whole_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """session, seg_idx, embedding, own: all vectors of whole_bank(), each with its speaker so that a search can leave it out."""
-    return whole_bank(spark, sf).select((F.col("entry_idx") % 7).alias("session"), F.col("entry_idx").alias("seg_idx"), "embedding", F.col("speaker").alias("own"))
+def sessions_of_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """session, seg_idx, embedding, own: all vectors of bank(), each with its speaker so that a search can leave it out."""
+    return bank(spark, sf).select((F.col("entry_idx") % 7).alias("session"), F.col("entry_idx").alias("seg_idx"), "embedding", F.col("speaker").alias("own"))
 
 
-BANK = """bank AS (SELECT vec_id AS entry_idx, 'spk_' || label AS speaker, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 <> 0),
-queries AS (SELECT vec_id % 7 AS session, vec_id AS seg_idx, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 5 = 0)"""
+def queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The searches: vectors whose id is divisible by 100, against all others."""
+    return sessions_of_vectors(spark, sf).where("seg_idx % 100 = 0")
+
+
+BANK = """bank AS (SELECT vec_id AS entry_idx, 'spk_' || label AS speaker, embedding::DOUBLE[] AS v FROM embeddings),
+queries AS (SELECT entry_idx % 7 AS session, entry_idx AS seg_idx, speaker AS own, v FROM bank WHERE entry_idx % 100 = 0)"""
 
 
 def dataset(spark: SparkSession, sf: str) -> DataFrame:
@@ -116,3 +110,32 @@ DATASET = """dataset AS (
          CASE l_returnflag WHEN 'N' THEN 'mixed_raw' WHEN 'A' THEN 'mixed_aug_total' ELSE 'bank' END AS source, 'Session ' || (l_partkey % 40) AS session,
          l_quantity / 10 AS duration, CASE WHEN l_partkey % 13 <> 0 THEN 1 - l_discount * 4 END AS dominant_share, l_linenumber - 2 AS active_speakers
   FROM lineitem)"""
+
+
+def media_files(spark: SparkSession, sf: str) -> DataFrame:
+    """path, bytes: a listing of a watched folder, one file an event."""
+    e = table(spark, sf, "events")
+    user, n = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    path = (
+        F.when(F.col("event_type") == "click", F.concat(F.lit("in/Session "), user, F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(" "), (F.col("event_id") % 3 + 1).cast("string"), F.lit("_3"))).otherwise(""), F.lit(".zip")))
+        .when(F.col("event_type") == "view", F.concat(F.lit("in/session_"), user, F.lit("/track"), (F.col("event_id") % 5).cast("string"), F.lit(".wav")))
+        .when(F.col("event_type") == "error", F.concat(F.lit("in/processed/old"), n, F.lit(".wav")))
+        .when(F.col("event_type") == "signup", F.concat(F.lit("in/My_Talk "), n, F.lit(".mp3")))
+        .otherwise(F.concat(F.lit("in/notes/"), user, F.lit(" copy.txt")))
+    )
+    return e.select(path.alias("path"), F.round(F.col("value") * 1000).cast("long").alias("bytes"))
+
+
+FILES = """files AS (SELECT CASE event_type WHEN 'click' THEN 'in/Session ' || user_id || CASE WHEN event_id % 2 = 0 THEN ' ' || (event_id % 3 + 1) || '_3' ELSE '' END || '.zip'
+  WHEN 'view' THEN 'in/session_' || user_id || '/track' || (event_id % 5) || '.wav' WHEN 'error' THEN 'in/processed/old' || event_id || '.wav' WHEN 'signup' THEN 'in/My_Talk ' || event_id || '.mp3'
+  ELSE 'in/notes/' || user_id || ' copy.txt' END AS path, CAST(round(value * 1000) AS BIGINT) AS bytes FROM events)"""
+
+
+def transcripts(spark: SparkSession, sf: str) -> DataFrame:
+    """path: what is already written, one file a customer."""
+    key = F.col("c_custkey").cast("string")
+    path = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("out/session "), key, F.lit("/all.txt"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("out/Session"), key, F.lit(" 1_3.txt"))).otherwise(F.concat(F.lit("out/my talk "), key, F.lit(".txt")))
+    return table(spark, sf, "customer").select(path.alias("path"))
+
+
+TRANSCRIPTS = """transcripts AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'out/session ' || c_custkey || '/all.txt' WHEN 1 THEN 'out/Session' || c_custkey || ' 1_3.txt' ELSE 'out/my talk ' || c_custkey || '.txt' END AS path FROM customer)"""

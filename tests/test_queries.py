@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 from parlance.plans.catalog import QUERIES, SQL
@@ -21,7 +22,7 @@ def duck():
 
 def rows(df):
     def one(x):
-        if x is None or isinstance(x, float) and math.isnan(x):
+        if x is None or x is pd.NA or isinstance(x, float) and math.isnan(x):
             return "null"
         if isinstance(x, (int, float)) and not isinstance(x, bool):
             return repr(float(x))
