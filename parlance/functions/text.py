@@ -123,3 +123,13 @@ def human_bytes(size: Column) -> Column:
         text = F.format_string(f"%.1f {units[i]}", F.bround(x / 1024.0**i, 1))
         out = F.when(x.isNull(), "n/a").when(x < 1024.0 ** (i + 1), text).otherwise(out) if i < 4 else F.when(x.isNotNull(), text).otherwise("n/a")
     return out
+
+
+def stable_seed(*parts: Column) -> Column:
+    """A seed that depends on the parts alone, whatever the order of rows or the number of tasks."""
+    return F.xxhash64(*parts)
+
+
+def slug(text: Column) -> Column:
+    """Lower case, letters and digits, other runs as one hyphen."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")

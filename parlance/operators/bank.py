@@ -294,3 +294,21 @@ def density_clusters(bank: DataFrame, eps: float = 0.28, least: int = 5) -> Data
         return rows[["speaker", "entry_idx", "cluster"]]
 
     return unit_rows(bank).select("speaker", "entry_idx", "v").groupBy("speaker").applyInPandas(run, "speaker string, entry_idx long, cluster long")
+
+
+def embedded(segments: DataFrame, embed, least: float = 0.4, pad: float = 0.0) -> DataFrame:
+    """segments with embedding, a unit vector: embed maps an iterator of pandas frames (all columns of segments, padded start and end) to frames with a
+    further column embedding, or null where there is nothing to embed. Too short segments and vectors that are null or zero go. Keys travel with the rows."""
+    rows = segments.where(F.col("end") - F.col("start") >= least).withColumns({"start": F.greatest(F.col("start") - pad, F.lit(0.0)), "end": F.col("end") + pad})
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", embedding array<double>"
+    return rows.mapInPandas(embed, kind).withColumn("embedding", unit(F.col("embedding"))).where("embedding is not null")
+
+
+def plane(vectors: DataFrame) -> DataFrame:
+    """vectors with x and y: the two main axes of the unit vectors, for a plot. Moments are summed by the executors."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = unit_rows(vectors).withColumn("_in", array_to_vector("v"))
+    out = PCA(k=2, inputCol="_in", outputCol="_out").fit(rows).transform(rows).withColumn("_xy", vector_to_array("_out"))
+    return out.select(*vectors.columns, F.col("_xy")[0].alias("x"), F.col("_xy")[1].alias("y"))

@@ -140,13 +140,13 @@ def j3_graph_overrides(spark, sf):
     return overrides(local, propagate(nearest_neighbours(q, 8, 0.1), seeds), 0.05, 0.01)
 
 
-@query()
+@query("""SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL""")
 def k8_windowed_counts(spark, sf):
     """The batch form of the watermarked window: the same plan runs on a stream."""
     from parlance.streaming.watch import turn_counts
 
     e = table(spark, sf, "events").selectExpr("cast(ts as timestamp) ts", "event_type", "value")
-    return turn_counts(e, "10 minutes", "1 hour", "1 hour").select(F.col("window.start").alias("start"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+    return turn_counts(e, "10 minutes", "1 hour", "1 hour").select(F.unix_micros("window.start").alias("start_us"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
 
 
 @query("""WITH n AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS b FROM events), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM n)

@@ -103,3 +103,46 @@ def missing_parts(files: DataFrame) -> DataFrame:
     """session, part for every part k of n that isn't there. files: session, part, total."""
     wanted = files.groupBy("session").agg(F.max("total").alias("total")).select("session", F.explode(F.sequence(F.lit(1), F.col("total"))).alias("part"))
     return wanted.join(files.select("session", "part"), ["session", "part"], "left_anti")
+
+
+def missing(e: Exception) -> bool:
+    """Whether a read failed because nothing is there."""
+    return "PATH_NOT_FOUND" in str(e)
+
+
+def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with a given schema: a line that isn't JSON is an error, a path with nothing there is an empty table."""
+    try:
+        df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        df.isEmpty()
+        return df
+    except Exception as e:
+        if missing(e):
+            return spark.createDataFrame([], schema)
+        raise
+
+
+def read_mapping(spark: SparkSession, path: str) -> DataFrame:
+    """ord, key, value of one JSON object of strings, in the file's order; an empty file has none. Configuration: one file, read as a whole."""
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v")).where("v <> ''")
+    items = F.filter(F.regexp_extract_all("v", F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1)), lambda k: k != "")
+    return text.select(F.from_json("v", "map<string,string>").alias("m"), F.posexplode(items).alias("ord", "key")).select("ord", "key", F.col("m")[F.col("key")].alias("value")).where("value is not null")
+
+
+def with_mapping(segments: DataFrame, mapping: DataFrame) -> DataFrame:
+    """segments with canonical speakers; what the mapping doesn't know stays as it was, in speaker_raw too."""
+    from parlance.operators.names import resolved_labels
+
+    names = segments.select(F.coalesce("speaker", F.lit("")).alias("name")).distinct()
+    known = resolved_labels(names.withColumn("id", F.col("name")), "id", "name", mapping).select(F.col("id").alias("_name"), "label")
+    out = segments.join(known, F.coalesce("speaker", F.lit("")) == F.col("_name"), "left")
+    return out.select(*[F.col("label").alias(c) if c == "speaker" else F.coalesce("speaker_raw", "speaker").alias(c) if c == "speaker_raw" else F.col(c) for c in segments.columns])
+
+
+def gather_inputs(spark: SparkSession, path: str) -> DataFrame:
+    """file, content: the sound files of a folder, of archives in it, of one archive, or one sound file; in order of name they are the tracks of a session."""
+    if path.lower().endswith(".zip"):
+        return zip_members(spark, path).select(F.col("member").alias("file"), "content")
+    if path.rsplit(".", 1)[-1].lower() in AUDIO:
+        return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
+    return audio_files(spark, path).select(F.col("path").alias("file"), "content").unionByName(zip_members(spark, path).select(F.concat_ws("!", "archive", "member").alias("file"), "content"))

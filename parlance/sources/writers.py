@@ -60,3 +60,61 @@ def reusable(spark, manifest: str, signature: dict) -> bool:
             return False
         raise
     return bool(rows) and rows[0][0] == stable_id(signature)
+
+
+def diarization_json(turns: DataFrame) -> DataFrame:
+    """session, json: the turns of each file of a session as one object, in order of time. turns: session, file, start, end, speaker."""
+    by_file = turns.groupBy("session", "file").agg(F.array_sort(F.collect_list(F.struct("start", "end", "speaker"))).alias("turns"))
+    return by_file.groupBy("session").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file", "turns")))).alias("m")).select("session", F.to_json("m").alias("json"))
+
+
+def save_outputs(segments: DataFrame, path: str, turns: DataFrame | None = None, exclusive: DataFrame | None = None) -> None:
+    """All outputs of transcribed segments (file, start, end, speaker, text) below path: text, subtitles, JSON lines and, where given, both kinds of turns."""
+    write_transcript(segments, f"{path}/txt")
+    write_srt(segments, f"{path}/srt")
+    write_jsonl(segments, f"{path}/jsonl")
+    for name, table in (("diarization", turns), ("exclusive_diarization", exclusive)):
+        if table is not None:
+            diarization_json(table).select("session", F.col("json").alias("value")).write.partitionBy("session").mode("overwrite").text(f"{path}/{name}")
+
+
+def match_report(candidates: DataFrame, matches: DataFrame) -> DataFrame:
+    """session, json: what the bank said of each segment, for people to read. candidates: session, seg_idx, rank, speaker, score; matches: session, seg_idx, speaker, matched."""
+    c = candidates.groupBy("session", "seg_idx").agg(F.array_sort(F.collect_list(F.struct("rank", "speaker", "score"))).alias("candidates"))
+    rows = c.join(matches.where("matched").select("session", "seg_idx", F.col("speaker").alias("match")), ["session", "seg_idx"], "left")
+    return rows.groupBy("session").agg(F.to_json(F.array_sort(F.collect_list(F.struct("seg_idx", "match", "candidates")))).alias("json"))
+
+
+def log_metrics(spark, path: str, stage: str, status: str, session: str | None = None, elapsed_seconds: float | None = None) -> None:
+    """One more line in the stage log that streaming.watch.stage_alarms reads."""
+    import resource
+
+    rss = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
+    row = spark.createDataFrame([(stage, status, session, elapsed_seconds, rss)], "stage string, status string, session string, elapsed_seconds double, rss_bytes long")
+    row.select(F.current_timestamp().alias("timestamp"), "*").coalesce(1).write.mode("append").json(path)
+
+
+def set_state(spark, path: str, inputs: DataFrame, state: str) -> None:
+    """Append the state of inputs (path) to the status table; the latest counts."""
+    inputs.select("path", F.lit(state).alias("state"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
+
+
+def states(spark, path: str) -> DataFrame:
+    """path, state: the latest state of each input; none where nothing was written yet."""
+    try:
+        rows = spark.read.schema("path string, state string, at timestamp").parquet(path)
+        rows.isEmpty()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], "path string, state string, at timestamp")
+    return rows.groupBy("path").agg(F.max_by("state", "at").alias("state"))
+
+
+def cached_stage(spark, folder: str, stage: str, signature: dict, build) -> DataFrame:
+    """The stage's table in folder if it was made with this signature; else build() is written there, its manifest last."""
+    table, manifest = f"{folder}/{stage}/data", f"{folder}/{stage}/manifest"
+    if not reusable(spark, manifest, signature):
+        build().write.mode("overwrite").parquet(table)
+        write_manifest(spark, manifest, stage, signature)
+    return spark.read.parquet(table)

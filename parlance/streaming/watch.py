@@ -61,3 +61,24 @@ def stage_alarms(metrics: DataFrame, most_seconds: float, most_bytes: int) -> Da
     """Stage events that ran too long or grew too large."""
     why = F.when(F.col("elapsed_seconds") > most_seconds, "stall").when(F.col("rss_bytes") > most_bytes, "memory")
     return metrics.withColumn("alarm", why).where("alarm is not null")
+
+
+def watch_step(spark: SparkSession, files: DataFrame, status: str, transcripts: DataFrame, transcribe: Callable[[DataFrame], None], postprocess: Callable[[DataFrame], None], now, seconds: float = 5.0, backfill: bool = False) -> DataFrame:
+    """One look at a watched folder: files that are old enough are routed by the status table, worked on and marked; returns path and task.
+
+    files: path, modificationTime. Files too young, and those whose work fails, keep their state and come up again next time. Call it from
+    foreachBatch with the batch's listing, or on a schedule.
+    """
+    from parlance.operators.discovery import already_done, candidate_media
+    from parlance.sources.writers import set_state, states
+
+    ready, _ = stable(candidate_media(files), now, seconds)
+    known = already_done(ready.select("path"), transcripts).select("path", F.lit(True).alias("has_transcript"))
+    tasks = pending(ready.select("path").join(known, "path", "left").fillna(False, ["has_transcript"]), states(spark, status), backfill)
+    tasks = spark.createDataFrame(tasks.collect(), tasks.schema)  # a listing of new files; its tasks are fixed before work changes the status
+    for task, work in (("transcribe", transcribe), ("postprocess", postprocess)):
+        some = tasks.where(F.col("task") == task)
+        if not some.isEmpty():
+            work(some.select("path"))
+            set_state(spark, status, some, "transcribed" if task == "transcribe" else "completed")
+    return tasks
