@@ -27,10 +27,23 @@ def clusters_by_speaker(bank: DataFrame) -> DataFrame:
     return centres.join(spread, "speaker")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast df if its size, counted, is within bounds; else leave the join to Spark."""
+def _small(df: DataFrame) -> DataFrame | None:
+    """df to be broadcast if its size, counted, is within bounds; None beyond."""
     n, width = df.agg(F.count("*"), F.coalesce(F.max(F.size("centroid")), F.lit(0))).first()
-    return F.broadcast(df) if n * width <= BROADCAST_VALUES else df
+    return F.broadcast(df) if n * width <= BROADCAST_VALUES else None
+
+
+def _meet(queries: DataFrame, clusters: DataFrame, also: Column | None = None, salts: int = 256) -> DataFrame:
+    """Every query beside every cluster of its length: by a broadcast of the clusters or, where they are too many, by `salts` parts of the queries
+    that each meet a copy of them (the length alone would be one key for all rows)."""
+    fits = F.size("v") == F.size("centroid")
+    fits = fits if also is None else fits & also
+    small = _small(clusters)
+    if small is not None:
+        return queries.join(small, fits)
+    q = queries.withColumn("_part", F.pmod(F.xxhash64("session", "seg_idx"), F.lit(salts)))
+    c = clusters.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return q.join(c, "_part").where(fits).drop("_part")
 
 
 def top_rows(rows: DataFrame, keys: list[str], order: list[Column], k: int, spread: str, salts: int = 32) -> DataFrame:
@@ -42,7 +55,7 @@ def top_rows(rows: DataFrame, keys: list[str], order: list[Column], k: int, spre
 
 def prototypes(bank: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
     """speaker, place, entry_idx, v, variance: the k entries nearest each cluster's centroid, the earlier entry on ties."""
-    rows = unit_rows(bank).select("speaker", "entry_idx", "v").join(_small(clusters.select("speaker", "centroid", "variance")), "speaker")
+    rows = unit_rows(bank).select("speaker", "entry_idx", "v").join(clusters.select("speaker", "centroid", "variance"), "speaker")
     rows = rows.withColumn("far", distance(F.col("v"), F.col("centroid")))
     return top_rows(rows, ["speaker"], [F.col("far"), F.col("entry_idx")], k, "entry_idx").select("speaker", "place", "entry_idx", "v", "variance")
 
@@ -51,13 +64,13 @@ def bank_scores(queries: DataFrame, clusters: DataFrame, radius: float = 2.5, ex
     """Candidates of each query: the best vector of a cluster per speaker within radius deviations, ranked by score.
 
     Every query meets every cluster: that is the operator. The cluster side is a few rows per speaker and is broadcast after its size
-    is checked. A cluster is known by its centroid and, with examples (prototypes()), by those entries too; a query never meets itself
+    is checked, or copied to parts of the queries. A cluster is known by its centroid and, with examples (prototypes()), by those entries too; a query never meets itself
     among them. Queries with a column own, the speaker whose entry they are, meet that speaker's cluster without themselves.
     Equal scores go to the centroid, then to the nearer prototype.
     """
     own = "own" in queries.columns
     q = unit_rows(queries).select("session", "seg_idx", "v", *["own"] * own)
-    pairs = q.join(_small(clusters.select("speaker", "centroid", "variance", *["members"] * own)), F.size("v") == F.size("centroid"))
+    pairs = _meet(q, clusters.select("speaker", "centroid", "variance", *["members"] * own))
     if own:
         # the members are unit vectors, so their sum's length follows from the variance, and the others' variance from their sum's length
         length, mine, n = F.col("members") * (1 - F.col("variance") / 2), F.col("own").eqNullSafe(F.col("speaker")), F.col("members") - 1
@@ -67,7 +80,7 @@ def bank_scores(queries: DataFrame, clusters: DataFrame, radius: float = 2.5, ex
     met = pairs.select("session", "seg_idx", "speaker", "v", F.col("centroid").alias("w"), "variance", F.lit(-1).cast("long").alias("place"))
     if examples is not None:
         e = examples.select("speaker", "place", "entry_idx", F.col("v").alias("centroid"), "variance")
-        near = q.join(_small(e), (F.size("v") == F.size("centroid")) & (F.col("seg_idx") != F.col("entry_idx")))
+        near = _meet(q, e, F.col("seg_idx") != F.col("entry_idx"))
         met = met.unionByName(near.select("session", "seg_idx", "speaker", "v", F.col("centroid").alias("w"), "variance", "place"))
     far = distance(F.col("v"), F.col("w"))
     inside = (F.col("variance") <= 0) | (far <= F.greatest(F.sqrt("variance") * radius, F.lit(1e-4)))

@@ -14,9 +14,9 @@ METRIC = "timestamp timestamp, stage string, status string, session string, elap
 
 
 def new_segments(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Rows of segment files as they arrive; the source remembers the files it has given."""
-    s = spark.readStream.schema(SEGMENT).option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").json(folder)
-    return s.withColumn("path", F.input_file_name())
+    """Rows of segment files as they arrive, without lines that aren't JSON; the source remembers the files it has given."""
+    s = spark.readStream.schema(f"{SEGMENT}, _bad string").option("columnNameOfCorruptRecord", "_bad").option("maxFilesPerTrigger", files_per_batch).option("recursiveFileLookup", "true").json(folder)
+    return s.withColumn("path", F.input_file_name()).where("_bad is null").drop("_bad")
 
 
 def process(stream: DataFrame, work: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, available_now: bool = False, seconds: int = 10) -> StreamingQuery:

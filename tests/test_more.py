@@ -182,3 +182,12 @@ def test_watching(spark, tmp_path):
     step(True)
     assert seen["postprocess"] == ["in/Session 2.zip"]
     assert {r["path"]: r["state"] for r in writers.states(spark, status).collect()}["in/Session 2.zip"] == "completed"
+
+
+def test_many_clusters_are_met_in_parts(spark, monkeypatch):
+    b = spark.createDataFrame([(i, f"S{i % 9}", [1.0, i / 10, 0.3]) for i in range(40)], ENTRY)
+    q = spark.createDataFrame([("s", 100 + i, [1.0, i / 3, 0.0]) for i in range(5)], "session string, seg_idx long, embedding array<double>")
+    c = bank.clusters_by_speaker(b)
+    whole = sorted(map(str, bank.bank_scores(q, c, examples=bank.prototypes(b, c, 2)).collect()))
+    monkeypatch.setattr(bank, "BROADCAST_VALUES", 0)
+    assert sorted(map(str, bank.bank_scores(q, c, examples=bank.prototypes(b, c, 2)).collect())) == whole and len(whole) > 5
