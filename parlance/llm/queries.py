@@ -74,6 +74,12 @@ def op10_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.infill import infill_digests
+
+    return infill_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -1,6 +1,9 @@
 """The corpus queries with SQL give the same rows in DuckDB."""
 
+import numbers
+
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -17,5 +20,5 @@ def test_same_as_sql(spark, name):
     want, got = c.sql(Q.oracle_sql()[name]).df(), Q.queries()[name](spark, SF).toPandas()
     cols = sorted(want.columns)
     assert cols == sorted(got.columns)
-    text = lambda d: sorted(tuple("" if pd.isna(x) else str(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r) for r in d[cols].itertuples(index=False))
+    text = lambda d: sorted(tuple("" if pd.isna(x) else str(float(x)) if isinstance(x, numbers.Number) and not isinstance(x, (bool, np.bool_)) else str(x) for x in r) for r in d[cols].itertuples(index=False))
     assert text(want) == text(got)
