@@ -80,6 +80,12 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings")).drop("tried")
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
