@@ -95,17 +95,17 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS
 
 def _centroid_sql(k: int = 8, rounds: int = 10) -> str:
     """Every round as two tables: the assignment by all exact distances, and the floors of the means (// truncates, hence the remainder)."""
-    near = """SELECT id, min((d, c)).c AS c, min((d, c)).d AS d FROM (SELECT id, c, list_sum(list_transform(list_zip(x.v, m.v), p -> (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM x, {m} m) GROUP BY id"""
+    near = """SELECT id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT id, c, list_sum(list_transform(list_zip(x.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM x, {m} m) GROUP BY id"""
     parts = [
-        "k AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding::DOUBLE[], y -> y IS NOT NULL AND isfinite(y))) = 64)",
-        "x AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(e, y -> floor(1024 * y)::BIGINT) AS v, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), e) - 1 AS draw FROM k)",
+        "k AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding::DOUBLE[], lambda y: y IS NOT NULL AND isfinite(y))) = 64)",
+        "x AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(e, lambda y: floor(1024 * y)::BIGINT) AS v, row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), e) - 1 AS draw FROM k)",
         f"m0 AS (SELECT draw AS c, v FROM x WHERE draw < {k})",
     ]
     for i in range(rounds):
         parts.append(f"a{i} AS MATERIALIZED ({near.format(m=f'm{i}')})")
         parts.append(
-            f"s{i} AS (SELECT c, at, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT a.c, unnest(x.v) AS y, generate_subscripts(x.v, 1) AS at FROM a{i} a JOIN x USING (id)) GROUP BY c, at),"
-            f" m{i + 1} AS MATERIALIZED (SELECT c, coalesce(w.v, m.v) AS v FROM m{i} m LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY at) AS v FROM s{i} GROUP BY c) w USING (c))"
+            f"s{i} AS (SELECT c, i, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT a.c, unnest(x.v) AS y, unnest(range(1, 65)) AS i FROM a{i} a JOIN x USING (id)) GROUP BY c, i),"
+            f" m{i + 1} AS MATERIALIZED (SELECT c, coalesce(w.v, m.v) AS v FROM m{i} m LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY c) w USING (c))"
         )
     parts.append(f"f AS MATERIALIZED ({near.format(m=f'm{rounds}')})")
     return f"""

@@ -80,6 +80,12 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill_digests(table(spark, sf_dir, "documents"))
 
 
+def op12_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from parlance.llm.sharding import sharded
+
+    return sharded(table(spark, sf_dir, "documents"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from parlance.llm.centroids import clustered
 
