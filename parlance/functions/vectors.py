@@ -34,8 +34,42 @@ def softmax(x: Column) -> Column:
     return F.transform(e, lambda v: v / total)
 
 
-def mean_vectors(rows: DataFrame, keys: list[str], vector: str, out: str = "centroid") -> DataFrame:
-    """Unit mean vector per key: means by component are pre-aggregated, so a key's vectors never meet in one place."""
-    parts = rows.select(*keys, F.posexplode(doubles(F.col(vector))).alias("i", "x")).groupBy(*keys, "i").agg(F.avg("x").alias("x"))
-    whole = parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(out))
-    return whole.withColumn(out, F.coalesce(unit(F.col(out)), F.col(out)))
+def mean_vectors(rows: DataFrame, keys: list[str], vector: str, out: str = "centroid", as_unit: bool = True, held: int = 4096) -> DataFrame:
+    """Mean vector per key, made a unit vector unless told otherwise: tasks add up whole vectors, so a key's vectors never meet in one place.
+
+    A task holds the sums of at most `held` keys and hands them on beyond that. Vectors of a key that differ in length are averaged component by component, each over those that have it.
+    """
+    import numpy as np
+
+    kind = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def add(batches):
+        import pandas as pd
+
+        sums: dict = {}
+
+        def told():
+            table = pd.DataFrame([(*k[:-1], n, v.tolist()) for k, (n, v) in sums.items()], columns=[*keys, "n", "v"])
+            for k in keys:
+                if pd.api.types.is_float_dtype(table[k]) and table[k].isna().any():
+                    table[k] = table[k].astype(object).where(table[k].notna(), None)
+            return table
+
+        for b in batches:
+            b = b[b["_v"].notna()]
+            lengths = b["_v"].map(len)
+            for key, part in b.groupby([*(b[k] for k in keys), lengths], dropna=False, sort=False):
+                key = tuple(None if x is None or x != x else x for x in key)
+                x = np.stack(part["_v"].to_numpy())
+                n, v = sums.get(key, (0, 0.0))
+                sums[key] = n + len(x), v + x.sum(0)
+            if len(sums) > held:
+                yield told()
+                sums.clear()
+        if sums:
+            yield told()
+
+    parts = rows.select(*keys, doubles(F.col(vector)).alias("_v")).mapInPandas(add, f"{kind}, n long, v array<double>")
+    by = parts.select(*keys, "n", F.posexplode("v").alias("i", "x")).groupBy(*keys, "i").agg((F.sum("x") / F.sum("n")).alias("x"))
+    whole = by.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias(out))
+    return whole.withColumn(out, F.coalesce(unit(F.col(out)), F.col(out))) if as_unit else whole

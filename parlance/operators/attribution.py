@@ -1,8 +1,7 @@
-"""From candidates to speakers: fusion, label aggregation, gates, smoothing, the session graph."""
+"""From candidates to speakers: fusion, label aggregation, gates, smoothing."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,54 +80,6 @@ def smooth_flips(segments: DataFrame, most_run: int = 2, most_seconds: float = 2
     return segments.select("session", "seg_idx", "start", "end", "speaker", "score").groupBy("session").applyInPandas(run, kind)
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, alpha: float = 0.6, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
-    """Label propagation per session: F = alpha * S * F + (1 - alpha) * Y, S row-normalised, seeds held.
-
-    edges: session, src, dst, w; seeds: session, node, label. A session's graph is one Arrow batch; sessions are spread over the cluster.
-    Returns session, node, label, score, margin of nodes that some seed reaches.
-    """
-
-    def run(rows):
-        import pandas as pd
-
-        e, y = rows[rows["label"].isna()], rows[rows["label"].notna()].rename(columns={"src": "node"})
-        nodes = sorted({*e["src"], *e["dst"], *y["node"]})
-        labels = sorted(set(y["label"]))
-        if not labels:
-            return pd.DataFrame({"session": rows["session"].iloc[:0], "node": rows["src"].iloc[:0], "label": rows["label"].iloc[:0].astype(object), "score": rows["w"].iloc[:0], "margin": rows["w"].iloc[:0]})
-        at, col = {n: i for i, n in enumerate(nodes)}, {x: i for i, x in enumerate(labels)}
-        w = np.zeros((len(nodes), len(nodes)))
-        np.maximum.at(w, (e["src"].map(at).to_numpy(int), e["dst"].map(at).to_numpy(int)), e["w"].to_numpy(float))
-        total = w.sum(1, keepdims=True)
-        w = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
-        start = np.zeros((len(nodes), len(labels)))
-        start[y["node"].map(at).to_numpy(int), y["label"].map(col).to_numpy(int)] = 1.0
-        held, f = start.sum(1) > 0, start.copy()
-        for _ in range(rounds):
-            new = alpha * w @ f + (1 - alpha) * start
-            new[held] = start[held]
-            moved = np.abs(new - f).max()
-            f = new
-            if moved <= tolerance:
-                break
-        ranked = np.sort(f, axis=1)[:, ::-1]
-        margin = ranked[:, 0] - (ranked[:, 1] if len(labels) > 1 else 0.0)
-        seen = ranked[:, 0] > 0
-        return pd.DataFrame({"session": rows["session"].iloc[0], "node": np.array(nodes)[seen], "label": [labels[i] for i in f.argmax(1)[seen]], "score": ranked[seen, 0], "margin": margin[seen]})
-
-    kind = edges.schema["session"].dataType.simpleString()
-    both = edges.select("session", "src", "dst", "w", F.lit(None).cast("string").alias("label")).unionByName(seeds.select("session", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"), "label"))
-    return both.groupBy("session").applyInPandas(run, f"session {kind}, node long, label string, score double, margin double")
-
-
-def overrides(local: DataFrame, graph: DataFrame, confidence: float = 0.6, margin: float = 0.1, gain: float = 0.05) -> DataFrame:
-    """Nodes that aren't seeds take the graph's label if it is sure enough and they were unknown or it beats their own score."""
-    both = local.join(graph.select("session", F.col("node").alias("seg_idx"), F.col("label").alias("graph_label"), F.col("score").alias("graph_score"), F.col("margin").alias("graph_margin")), ["session", "seg_idx"], "left")
-    take = ~F.col("seed") & (F.col("graph_score") >= confidence) & (F.col("graph_margin") >= margin) & ((F.col("speaker") == "unknown") | (F.col("graph_score") >= F.col("score") + gain))
-    take = F.coalesce(take, F.lit(False))
-    return both.select("session", "seg_idx", F.when(take, F.col("graph_label")).otherwise(F.col("speaker")).alias("speaker"), take.alias("overridden"))
-
-
 def temporal_weight(gap: Column) -> Column:
     """Edge weight of neighbours in time (fixed decay), 0 beyond two seconds."""
     return F.when(gap <= 2.0, 0.35 * F.exp(-gap / 0.75)).otherwise(0.0)

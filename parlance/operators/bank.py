@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.vectors import distance, dot, doubles, mean_vectors, norm, unit
+from parlance.functions.vectors import distance, dot, doubles, norm, unit
 
 #: Largest bank side (clusters times vector length, in doubles) that is broadcast.
 BROADCAST_VALUES = 4_000_000
@@ -20,11 +20,10 @@ def unit_rows(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def clusters_by_speaker(bank: DataFrame) -> DataFrame:
-    """speaker, centroid, variance (mean squared distance to the unit centroid), members."""
-    rows = unit_rows(bank).select("speaker", "v")
-    centres = mean_vectors(rows, ["speaker"], "v")
-    spread = rows.join(centres, "speaker").groupBy("speaker").agg(F.avg(F.pow(distance(F.col("v"), F.col("centroid")), 2)).alias("variance"), F.count("*").alias("members"))
-    return centres.join(spread, "speaker")
+    """speaker, cluster_id, centroid, variance (mean squared distance to the unit centroid), members: one cluster a speaker."""
+    from parlance.operators.clusters import clusters_of, members
+
+    return clusters_of(members(bank))
 
 
 def _small(df: DataFrame) -> DataFrame | None:
@@ -53,42 +52,42 @@ def top_rows(rows: DataFrame, keys: list[str], order: list[Column], k: int, spre
     return part.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long")).where(F.col("place") < k)
 
 
-def prototypes(bank: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
-    """speaker, place, entry_idx, v, variance: the k entries nearest each cluster's centroid, the earlier entry on ties."""
-    rows = unit_rows(bank).select("speaker", "entry_idx", "v").join(clusters.select("speaker", "centroid", "variance"), "speaker")
-    rows = rows.withColumn("far", distance(F.col("v"), F.col("centroid")))
-    return top_rows(rows, ["speaker"], [F.col("far"), F.col("entry_idx")], k, "entry_idx").select("speaker", "place", "entry_idx", "v", "variance")
+def prototypes(bank: DataFrame, clusters: DataFrame, k: int, method: str = "central") -> DataFrame:
+    """speaker, cluster_id, place, entry_idx, v, variance: the k entries that stand for each speaker. clusters: of clusters_by_speaker()."""
+    from parlance.operators.clusters import members, prototypes_of
+
+    return prototypes_of(members(bank), clusters, k, method)
 
 
 def bank_scores(queries: DataFrame, clusters: DataFrame, radius: float = 2.5, examples: DataFrame | None = None) -> DataFrame:
-    """Candidates of each query: the best vector of a cluster per speaker within radius deviations, ranked by score.
+    """Candidates of each query: the best vector of the best cluster per speaker within radius deviations, ranked by score, with its cluster_id.
 
     Every query meets every cluster: that is the operator. The cluster side is a few rows per speaker and is broadcast after its size
     is checked, or copied to parts of the queries. A cluster is known by its centroid and, with examples (prototypes()), by those entries too; a query never meets itself
-    among them. Queries with a column own, the speaker whose entry they are, meet that speaker's cluster without themselves.
-    Equal scores go to the centroid, then to the nearer prototype.
+    among them. Queries with a column own_cluster, the cluster_id of the entry that they are, or own, its speaker (of one cluster), meet that cluster without themselves.
+    Equal scores go to the centroid, then to the nearer prototype, then to the first cluster_id.
     """
-    own = "own" in queries.columns
-    q = unit_rows(queries).select("session", "seg_idx", "v", *["own"] * own)
-    pairs = _meet(q, clusters.select("speaker", "centroid", "variance", *["members"] * own))
+    own, of = next(((c, of) for c, of in (("own_cluster", "cluster_id"), ("own", "speaker")) if c in queries.columns), (None, None))
+    q = unit_rows(queries).select("session", "seg_idx", "v", *[own] * bool(own))
+    pairs = _meet(q, clusters.select("speaker", "cluster_id", "centroid", "variance", *["members"] * bool(own)))
     if own:
         # the members are unit vectors, so their sum's length follows from the variance, and the others' variance from their sum's length
-        length, mine, n = F.col("members") * (1 - F.col("variance") / 2), F.col("own").eqNullSafe(F.col("speaker")), F.col("members") - 1
+        length, mine, n = F.col("members") * (1 - F.col("variance") / 2), F.col(own).eqNullSafe(F.col(of)), F.col("members") - 1
         pairs = pairs.where(~mine | (n > 0)).withColumn("others", F.when(mine, F.zip_with("centroid", "v", lambda c, x: c * length - x)))
         pairs = pairs.withColumn("variance", F.when(mine, F.greatest(F.lit(0.0), 2 - 2 * F.try_divide(norm(F.col("others")), n))).otherwise(F.col("variance")))
         pairs = pairs.withColumn("centroid", F.when(mine, unit(F.col("others"))).otherwise(F.col("centroid")))
-    met = pairs.select("session", "seg_idx", "speaker", "v", F.col("centroid").alias("w"), "variance", F.lit(-1).cast("long").alias("place"))
+    met = pairs.select("session", "seg_idx", "speaker", "cluster_id", "v", F.col("centroid").alias("w"), "variance", F.lit(-1).cast("long").alias("place"))
     if examples is not None:
-        e = examples.select("speaker", "place", "entry_idx", F.col("v").alias("centroid"), "variance")
+        e = examples.select("speaker", "cluster_id", "place", "entry_idx", F.col("v").alias("centroid"), "variance")
         near = _meet(q, e, F.col("seg_idx") != F.col("entry_idx"))
-        met = met.unionByName(near.select("session", "seg_idx", "speaker", "v", F.col("centroid").alias("w"), "variance", "place"))
+        met = met.unionByName(near.select("session", "seg_idx", "speaker", "cluster_id", "v", F.col("centroid").alias("w"), "variance", "place"))
     far = distance(F.col("v"), F.col("w"))
     inside = (F.col("variance") <= 0) | (far <= F.greatest(F.sqrt("variance") * radius, F.lit(1e-4)))
     scored = met.withColumn("distance", far).where(inside).withColumn("score", dot(F.col("v"), F.col("w")))
-    best = scored.groupBy("session", "seg_idx", "speaker").agg(F.max_by(F.struct("score", "distance", "variance", "place"), F.struct("score", -F.col("place"))).alias("b"))
+    best = scored.groupBy("session", "seg_idx", "speaker").agg(F.min_by(F.struct("score", "distance", "variance", "place", "cluster_id"), F.struct(-F.col("score"), "place", "cluster_id")).alias("b"))
     rank = F.row_number().over(Window.partitionBy("session", "seg_idx").orderBy(F.desc("b.score"), "speaker"))
     source = F.when(F.col("b.place") < 0, "centroid").otherwise("prototype")
-    return best.select("session", "seg_idx", rank.cast("long").alias("rank"), "speaker", "b.score", "b.distance", source.alias("source"))
+    return best.select("session", "seg_idx", rank.cast("long").alias("rank"), "speaker", "b.score", "b.distance", source.alias("source"), "b.cluster_id")
 
 
 def add_entries(bank: DataFrame, new: DataFrame) -> DataFrame:
@@ -277,38 +276,6 @@ def whitened(df: DataFrame, mean: np.ndarray, matrix: np.ndarray) -> DataFrame:
     return df.mapInPandas(run, kind)
 
 
-def dbscan(x: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Labels by density on cosine distance of unit vectors; -1 is noise. Clusters are numbered by their first core row."""
-    near = (1 - x @ x.T) <= eps
-    core = near.sum(1) >= least
-    label = np.full(len(x), -1)
-    n = 0
-    for i in range(len(x)):
-        if label[i] >= 0 or not core[i]:
-            continue
-        stack = [i]
-        label[i] = n
-        while stack:
-            j = stack.pop()
-            if core[j]:
-                new = np.flatnonzero(near[j] & (label < 0))
-                label[new] = n
-                stack += new.tolist()
-        n += 1
-    return label
-
-
-def density_clusters(bank: DataFrame, eps: float = 0.28, least: int = 5) -> DataFrame:
-    """speaker, entry_idx, cluster (-1 for noise): density clusters within each speaker's entries."""
-
-    def run(rows):
-        rows = rows.sort_values("entry_idx")
-        rows["cluster"] = dbscan(np.stack(rows["v"].to_numpy()), eps, least)
-        return rows[["speaker", "entry_idx", "cluster"]]
-
-    return unit_rows(bank).select("speaker", "entry_idx", "v").groupBy("speaker").applyInPandas(run, "speaker string, entry_idx long, cluster long")
-
-
 def embedded(segments: DataFrame, embed, least: float = 0.4, pad: float = 0.0) -> DataFrame:
     """segments with embedding, a unit vector: embed maps an iterator of pandas frames (all columns of segments, padded start and end) to frames with a
     further column embedding, or null where there is nothing to embed. Too short segments and vectors that are null or zero go. Keys travel with the rows."""

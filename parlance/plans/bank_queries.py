@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.operators import bank as B
+from parlance.operators import clusters as K
 from parlance.plans.registry import registry
 from parlance.sources import adapters as A
 
@@ -119,9 +120,80 @@ def e15_whitened_scores(spark, sf):
     return B.bank_scores(B.whitened(A.sessions_of_vectors(spark, sf), mean, matrix), B.clusters_by_speaker(white), 1e9)
 
 
-@query()
+#: Density clusters by distance 0.75 and 4 neighbours: cores, what they reach (recursively), and entries beside a core; clusters are numbered by their first core.
+_DENSE = _UNITS + """, nb AS MATERIALIZED (SELECT a.speaker, a.entry_idx AS a, b.entry_idx AS b FROM un a JOIN un b ON a.speaker = b.speaker WHERE 1 - list_dot_product(a.v, b.v) <= 0.75),
+core AS MATERIALIZED (SELECT a FROM nb GROUP BY a HAVING count(*) >= 4),
+cc AS MATERIALIZED (SELECT a, b FROM nb WHERE a IN (FROM core) AND b IN (FROM core)),
+reach AS (SELECT a, a AS b FROM core UNION SELECT reach.a, cc.b FROM reach JOIN cc ON cc.a = reach.b),
+firsts AS (SELECT a AS entry_idx, min(b) AS f FROM reach GROUP BY a UNION ALL SELECT nb.a, min(r.f) FROM nb JOIN (SELECT a, min(b) AS f FROM reach GROUP BY a) r ON r.a = nb.b WHERE nb.a NOT IN (FROM core) GROUP BY nb.a),
+dense AS MATERIALIZED (SELECT speaker, entry_idx, CASE WHEN f IS NULL THEN -1 ELSE dense_rank() OVER (PARTITION BY speaker, f IS NULL ORDER BY f) - 1 END AS cluster FROM un LEFT JOIN firsts USING (entry_idx))"""
+
+#: The same as clusters: members by cluster_id, centroids, variances.
+_GROUPS = _DENSE + """, mem AS MATERIALIZED (SELECT un.speaker, entry_idx, v, CASE WHEN cluster < 0 THEN un.speaker || '_solo_' || entry_idx ELSE un.speaker || '_c' || cluster END AS cluster_id FROM un JOIN dense USING (entry_idx)),
+gx AS (SELECT cluster_id, i, avg(v[i]) AS x FROM (SELECT cluster_id, v, unnest(generate_series(1, len(v))) AS i FROM mem) GROUP BY ALL),
+gm AS (SELECT cluster_id, list(x ORDER BY i) AS m FROM gx GROUP BY ALL),
+groups AS MATERIALIZED (SELECT speaker, cluster_id, any_value(list_transform(m, lambda x: x / sqrt(list_dot_product(m, m)))) AS centroid, avg(pow(list_distance(v, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m)))), 2)) AS variance, count(*) AS members FROM mem JOIN gm USING (cluster_id) GROUP BY ALL)"""
+_DENSE, _GROUPS = (f"RECURSIVE {x}" for x in (_DENSE, _GROUPS))
+
+
+def _dense(spark, sf):
+    b = A.bank(spark, sf)
+    return K.members(b, K.density_clusters(b, 0.75, 4))
+
+
+@query(f"WITH {_DENSE} SELECT speaker, entry_idx, cluster FROM dense")
 def e20_density_clusters(spark, sf):
-    return B.density_clusters(A.bank(spark, sf), 0.75, 4)
+    return K.density_clusters(A.bank(spark, sf), 0.75, 4)
+
+
+@query(f"WITH {_GROUPS} SELECT speaker, cluster_id, members, round(variance, 6) AS variance, round(centroid[1], 6) AS first FROM groups")
+def e20_cluster_table(spark, sf):
+    """Centroid and variance of every cluster of every speaker; noise entries are clusters of their own."""
+    c = K.clusters_of(_dense(spark, sf))
+    return c.select("speaker", "cluster_id", "members", F.round("variance", 6).alias("variance"), F.round(F.col("centroid")[0], 6).alias("first"))
+
+
+@query(f"""WITH {_GROUPS}, own AS (SELECT q.session, q.seg_idx, q.v, m.cluster_id AS own FROM qn q JOIN mem m ON m.entry_idx = q.seg_idx),
+ox AS (SELECT seg_idx, m.v, unnest(generate_series(1, len(m.v))) AS i FROM own o JOIN mem m ON m.cluster_id = o.own AND m.entry_idx <> o.seg_idx),
+om AS (SELECT seg_idx, list(x ORDER BY i) AS m FROM (SELECT seg_idx, i, avg(v[i]) AS x FROM ox GROUP BY ALL) GROUP BY ALL),
+oc AS (SELECT seg_idx, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS centroid FROM om),
+ov AS (SELECT o.seg_idx, any_value(centroid) AS centroid, avg(pow(list_distance(m.v, centroid), 2)) AS variance FROM own o JOIN oc USING (seg_idx) JOIN mem m ON m.cluster_id = o.own AND m.entry_idx <> o.seg_idx GROUP BY ALL),
+met AS (SELECT session, seg_idx, v, speaker, cluster_id, centroid, variance FROM own JOIN groups ON cluster_id <> own UNION ALL SELECT o.session, o.seg_idx, o.v, g.speaker, own, ov.centroid, ov.variance FROM own o JOIN ov USING (seg_idx) JOIN groups g ON g.cluster_id = own),
+near AS (SELECT session, seg_idx, speaker, cluster_id, list_dot_product(v, centroid) AS score FROM met WHERE variance <= 1e-12 OR list_distance(v, centroid) <= greatest(sqrt(variance) * 1.2, 1e-4)),
+best AS (SELECT session, seg_idx, speaker, max(score) AS score, arg_max(cluster_id, score) AS cluster_id FROM near GROUP BY ALL)
+SELECT session, seg_idx, row_number() OVER (PARTITION BY session, seg_idx ORDER BY score DESC, speaker) AS rank, speaker, cluster_id, round(score, 6) AS score FROM best""")
+def d4_cluster_scores(spark, sf):
+    """Each query against all clusters of all speakers, its own cluster without itself; the best cluster counts."""
+    rows = _dense(spark, sf)
+    clusters = K.clusters_of(rows).withColumn("variance", F.when(F.col("members") > 1, F.col("variance")).otherwise(0.0))
+    q = A.queries(spark, sf).join(rows.select(F.col("entry_idx").alias("seg_idx"), F.col("cluster_id").alias("own_cluster")), "seg_idx")
+    s = B.bank_scores(q, clusters, 1.2)
+    return s.select("session", "seg_idx", "rank", "speaker", "cluster_id", F.round("score", 6).alias("score"))
+
+
+def _kmeans_sql(k: int, rounds: int) -> str:
+    parts = [f"kn AS (SELECT speaker, entry_idx, un.v, centroid, row_number() OVER (PARTITION BY speaker ORDER BY entry_idx) - 1 AS i, count(*) OVER (PARTITION BY speaker) AS n FROM un JOIN clusters USING (speaker))",
+             f"c0 AS (SELECT speaker, j AS ctr, v FROM kn JOIN (SELECT unnest(range({k})) AS j) ON j < least({k}, n) AND i = j * n // least({k}, n))"]
+    near = "SELECT x.speaker, x.entry_idx, x.v, arg_min(c.ctr, (list_distance(x.v, c.v), c.ctr)) AS ctr FROM kn x JOIN c{r} c USING (speaker) GROUP BY ALL"
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED ({near.format(r=r)})")
+        parts.append(f"m{r} AS (SELECT speaker, ctr, list(x ORDER BY i) AS v FROM (SELECT speaker, ctr, i, avg(v[i]) AS x FROM (SELECT speaker, ctr, v, unnest(generate_series(1, len(v))) AS i FROM a{r}) GROUP BY ALL) GROUP BY ALL)")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT speaker, ctr, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m USING (speaker, ctr))")
+    # each centre in turn takes the nearest entry that is left
+    parts.append(f"d AS MATERIALIZED (SELECT speaker, ctr, entry_idx, list_distance(x.v, c.v) AS d FROM kn x JOIN c{rounds} c USING (speaker))")
+    for j in range(k):
+        gone = " AND ".join(["true", *(f"(speaker, entry_idx) NOT IN (SELECT (speaker, entry_idx) FROM p{i})" for i in range(j))])
+        parts.append(f"p{j} AS MATERIALIZED (SELECT speaker, arg_min(entry_idx, (d, entry_idx)) AS entry_idx, {j} AS place FROM d WHERE ctr = {j} AND {gone} GROUP BY speaker)")
+    return _CENTRES + ", " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT speaker, place, entry_idx FROM p{j}" for j in range(k))
+
+
+@query(f"WITH {_kmeans_sql(3, 8)}")
+def g5_kmeans_prototypes(spark, sf):
+    """The entries nearest the centres of 8 rounds of k-means inside each speaker's cluster."""
+    b = A.bank(spark, sf)
+    rows = K.members(b)
+    out = K.prototypes_of(rows, K.clusters_of(rows), 3, "kmeans", 8)
+    return out.select("speaker", "place", "entry_idx")
 
 
 @query(f"""WITH {_UNITS}, n AS (SELECT a.entry_idx AS seg_idx, b.speaker, 1 - list_dot_product(a.v, b.v) AS d FROM un a JOIN un b ON a.entry_idx <> b.entry_idx QUALIFY row_number() OVER (PARTITION BY a.entry_idx ORDER BY list_dot_product(a.v, b.v) DESC, b.entry_idx) <= 5),
@@ -129,12 +201,3 @@ v AS (SELECT seg_idx, speaker, sum(1 / greatest(d, 1e-6)) AS vote FROM n GROUP B
 def j5_knn_classifier(spark, sf):
     """Distance-weighted cosine vote of each vector's 5 nearest other bank entries."""
     return B.knn_votes(A.sessions_of_vectors(spark, sf), A.bank(spark, sf), 5).withColumn("probability", F.round("probability", 4))
-
-
-@query()
-def j2_session_graph(spark, sf):
-    from parlance.operators.attribution import propagate
-
-    q = A.sessions_of_vectors(spark, sf)
-    seeds = B.accepted(B.bank_scores(q, B.clusters_by_speaker(A.bank(spark, sf))), 0.25, 0.02).where("matched").select("session", F.col("seg_idx").alias("node"), F.col("speaker").alias("label"))
-    return propagate(B.nearest_neighbours(q, 8, 0.1), seeds)

@@ -128,18 +128,6 @@ def c13_allowed_excluded(spark, sf):
     return s.groupBy("session").agg(F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"))
 
 
-@query()
-def j3_graph_overrides(spark, sf):
-    from parlance.operators.attribution import overrides, propagate
-    from parlance.operators.bank import accepted, bank_scores, clusters_by_speaker, nearest_neighbours
-
-    q = A.sessions_of_vectors(spark, sf)
-    own = accepted(bank_scores(q, clusters_by_speaker(A.bank(spark, sf))), 0.25, 0.02)
-    seeds = own.where("matched").select("session", F.col("seg_idx").alias("node"), F.col("speaker").alias("label"))
-    local = own.select("session", "seg_idx", F.when(F.col("matched"), F.col("speaker")).otherwise("unknown").alias("speaker"), "score", F.col("matched").alias("seed"))
-    return overrides(local, propagate(nearest_neighbours(q, 8, 0.1), seeds), 0.05, 0.01)
-
-
 @query("""SELECT epoch_us(ts) // 3600000000 * 3600000000 AS start_us, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL""")
 def k8_windowed_counts(spark, sf):
     """The batch form of the watermarked window: the same plan runs on a stream."""

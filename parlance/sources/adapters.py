@@ -139,3 +139,15 @@ def transcripts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TRANSCRIPTS = """transcripts AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'out/session ' || c_custkey || '/all.txt' WHEN 1 THEN 'out/Session' || c_custkey || ' 1_3.txt' ELSE 'out/my talk ' || c_custkey || '.txt' END AS path FROM customer)"""
+
+
+def vector_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """session, seg_idx, start, end, speaker_raw, overlap_heavy, was_split: the segments that sessions_of_vectors() belong to."""
+    i = F.col("vec_id")
+    start = i * 0.5
+    flags = [(i % 11 == 0).alias("overlap_heavy"), (i % 13 == 0).alias("was_split")]
+    return table(spark, sf, "embeddings").select((i % 7).alias("session"), i.alias("seg_idx"), start.alias("start"), (start + 1 + (i * 37 % 50) / 10.0).alias("end"), F.concat(F.lit("S"), F.floor(i / 21 % 4).cast("string")).alias("speaker_raw"), *flags)
+
+
+VECTOR_SEGMENTS = """vsegments AS (SELECT vec_id % 7 AS session, vec_id AS seg_idx, vec_id * 0.5::DOUBLE AS start, vec_id * 0.5::DOUBLE + 1 + (vec_id * 37 % 50) / 10.0::DOUBLE AS "end",
+  'S' || (vec_id // 21 % 4) AS speaker_raw, vec_id % 11 = 0 AS overlap_heavy, vec_id % 13 = 0 AS was_split FROM embeddings)"""

@@ -4,34 +4,65 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.sources.readers import missing
+from parlance.tables import replace
+
 ENTRIES = "entry_idx long, speaker string, embedding array<double>"
+CLUSTERS = "speaker string, cluster_id string, centroid array<double>, variance double, members long"
+PROTOTYPES = "speaker string, cluster_id string, place long, entry_idx long, v array<double>, variance double"
+
 
+def save_bank(bank: DataFrame, path: str, labels: DataFrame | None = None, examples: int = 0, method: str = "central") -> None:
+    """Entries as unit vectors with their cluster, the clusters, and `examples` prototypes of each, in place of what path holds.
 
-def save_bank(bank: DataFrame, path: str) -> None:
-    """Entries as unit vectors, and their clusters beside them; the clusters are for readers that want no more, a bank that is loaded makes its own."""
+    bank may be made from the bank at path: everything is written beside it and takes its place at the end. labels: of density_clusters(); without them a
+    speaker is one cluster.
+    """
     from pyspark.sql import functions as F
 
-    from parlance.operators.bank import clusters_by_speaker, unit_rows
+    from parlance.operators.clusters import clusters_of, members, prototypes_of
 
-    unit_rows(bank).select("entry_idx", "speaker", F.col("v").alias("embedding")).write.mode("overwrite").parquet(f"{path}/entries")
-    clusters_by_speaker(load_bank(bank.sparkSession, path)).write.mode("overwrite").parquet(f"{path}/clusters")
+    spark = bank.sparkSession
 
+    def write(folder: str) -> None:
+        members(bank, labels).select("entry_idx", "speaker", F.col("v").alias("embedding"), "cluster_id").write.parquet(f"{folder}/entries")
+        rows = spark.read.schema(f"{ENTRIES}, cluster_id string").parquet(f"{folder}/entries").withColumnRenamed("embedding", "v")
+        clusters_of(rows).write.parquet(f"{folder}/clusters")
+        if examples:
+            prototypes_of(rows, load_clusters(spark, folder), examples, method).select("speaker", "cluster_id", "place", "entry_idx", "v", "variance").write.parquet(f"{folder}/prototypes")
 
-def load_bank(spark: SparkSession, path: str) -> DataFrame:
-    """The entries at path; none where there is no bank."""
+    replace(spark, path, write)
+
+
+def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        entries = spark.read.schema(ENTRIES).parquet(f"{path}/entries")
-        entries.isEmpty()
-        return entries
+        found = spark.read.schema(schema).parquet(path)
+        found.isEmpty()
+        return found
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        if not missing(e):
             raise
-        return spark.createDataFrame([], ENTRIES)
+        return spark.createDataFrame([], schema)
+
+
+def load_bank(spark: SparkSession, path: str) -> DataFrame:
+    """The entries at path; none where there is no bank."""
+    return _table(spark, f"{path}/entries", ENTRIES)
+
+
+def load_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """The clusters of a saved bank, as bank_scores() takes them."""
+    return _table(spark, f"{path}/clusters", CLUSTERS)
+
+
+def load_prototypes(spark: SparkSession, path: str) -> DataFrame:
+    """The prototypes of a saved bank; none if it was saved without."""
+    return _table(spark, f"{path}/prototypes", PROTOTYPES)
 
 
 def save_vectors(vectors: DataFrame, path: str) -> None:
     """A map of vectors (session, seg_idx, embedding), one folder a session."""
-    vectors.write.mode("overwrite").partitionBy("session").parquet(path)
+    replace(vectors.sparkSession, path, lambda folder: vectors.write.partitionBy("session").parquet(folder))
 
 
 def load_vectors(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
-from parlance.operators import attribution, bank, datasets, intervals, names, sequences
+from parlance.operators import attribution, bank, datasets, graph, intervals, names, sequences
 
 
 def test_word_alignment(spark):
@@ -55,12 +55,6 @@ def test_bank_match_and_whitening(spark):
     assert np.allclose(np.cov((x - mean) @ matrix, rowvar=False), np.eye(3), atol=1e-6)
 
 
-def test_density_clusters():
-    x = np.array([[1, 0], [0.99, 0.1], [0.98, 0.2], [0, 1], [-1, 0]], float)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    assert bank.dbscan(x, 0.05, 2).tolist() == [0, 0, 0, -1, -1]
-
-
 def test_label_mean_dilutes_rare_support(spark):
     rows = [("s", "L", i, 1, "A", 0.9) for i in range(2)] + [("s", "L", i, 1, "B", 0.61) for i in range(2, 6)]
     c = spark.createDataFrame(rows, "session string, label string, seg_idx long, rank long, speaker string, score double")
@@ -71,7 +65,7 @@ def test_label_mean_dilutes_rare_support(spark):
 def test_propagation(spark):
     e = spark.createDataFrame([("s", 0, 1, 1.0), ("s", 1, 0, 1.0), ("s", 1, 2, 0.1), ("s", 2, 1, 0.1)], "session string, src long, dst long, w double")
     y = spark.createDataFrame([("s", 0, "A"), ("s", 2, "B")], "session string, node long, label string")
-    got = {r["node"]: r["label"] for r in attribution.propagate(e, y).collect()}
+    got = {r["node"]: r["label"] for r in graph.best_labels(graph.propagate(e, y, alpha=0.6)).collect()}
     assert got == {0: "A", 1: "A", 2: "B"}
 
 

@@ -1,6 +1,7 @@
 """Every query with SQL gives the same rows in DuckDB."""
 
 import math
+import numbers
 
 import duckdb
 import numpy as np
@@ -25,7 +26,7 @@ def rows(df):
     def one(x):
         if x is None or x is pd.NA or isinstance(x, float) and math.isnan(x):
             return "null"
-        if isinstance(x, (int, float)) and not isinstance(x, bool):
+        if isinstance(x, numbers.Number) and not isinstance(x, (bool, np.bool_)):
             return repr(float(x))
         return str(list(x)) if hasattr(x, "__len__") and not isinstance(x, str) else str(x)
 
@@ -44,27 +45,6 @@ def vectors(duck):
     return [r[0] for r in t], [f"spk_{r[1]}" for r in t], x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def test_density_clusters_equal_plain_ones(spark, duck):
-    ids, who, x = vectors(duck)
-    want = {}
-    for s in set(who):
-        mine = [i for i in range(len(ids)) if who[i] == s]
-        near = {i: [j for j in mine if 1 - x[i] @ x[j] <= 0.75] for i in mine}
-        core, label, n = {i for i in mine if len(near[i]) >= 4}, {}, 0
-        for i in mine:
-            if i in core and i not in label:
-                todo = [i]
-                while todo:
-                    j = todo.pop()
-                    if j not in label:
-                        label[j] = n
-                        todo += near[j] if j in core else []
-                n += 1
-        want |= {ids[i]: label.get(i, -1) for i in mine}
-    got = {r["entry_idx"]: r["cluster"] for r in QUERIES["e20_density_clusters"](spark, SF).collect()}
-    assert got == want
-
-
 def test_whitened_scores_equal_plain_ones(spark, duck):
     ids, who, x = vectors(duck)
     values, axes = np.linalg.eigh(np.cov(x, rowvar=False))
@@ -99,36 +79,5 @@ def test_smoothing_equals_plain_steps(spark, duck):
     assert got == want and any(got[k] != s for k, s in ((r[:2], r[4]) for r in rows))
 
 
-def test_graph_equals_plain_propagation(spark, duck):
-    from parlance.operators import bank
-    from parlance.sources import adapters as A
-
-    q = A.sessions_of_vectors(spark, SF)
-    edges = bank.nearest_neighbours(q, 8, 0.1).collect()
-    own = {r["seg_idx"]: r for r in bank.accepted(bank.bank_scores(q, bank.clusters_by_speaker(A.bank(spark, SF))), 0.25, 0.02).collect()}
-    labels = sorted({r["speaker"] for r in own.values() if r["matched"]})
-    out, score = {}, {}
-    for e in edges:
-        out.setdefault(e["src"], {})[e["dst"]] = e["w"]
-    nodes = sorted({e["src"] for e in edges} | {i for i, r in own.items() if r["matched"]})
-    start = {i: {own[i]["speaker"]: 1.0} if i in own and own[i]["matched"] else {} for i in nodes}
-    f = start
-    for _ in range(30):
-        f = {i: start[i] if start[i] else {x: 0.6 * sum(w * f[j].get(x, 0.0) for j, w in out.get(i, {}).items()) / sum(out[i].values()) for x in labels} if i in out else {} for i in nodes}
-    got = {r["node"]: r for r in QUERIES["j2_session_graph"](spark, SF).collect()}
-    for i in nodes:
-        score[i] = max(f[i].values(), default=0.0)
-        assert (i in got) == (score[i] > 0)
-        if score[i] > 0:
-            assert abs(got[i]["score"] - score[i]) < 2e-3
-    changed = {r["seg_idx"]: r for r in QUERIES["j3_graph_overrides"](spark, SF).collect()}
-    assert changed.keys() == own.keys()
-    for i, r in changed.items():
-        before = own[i]["speaker"] if own[i]["matched"] else "unknown"
-        g = got.get(i)
-        clear = g is not None and not own[i]["matched"] and g["score"] >= 0.05 and g["margin"] >= 0.01 and (before == "unknown" or g["score"] >= own[i]["score"] + 0.05)
-        assert r["overridden"] == clear and r["speaker"] == (g["label"] if clear else before)
-
-
 def test_every_query_is_tested():
-    assert set(QUERIES) - set(SQL) == {"e15_whitened_scores", "e20_density_clusters", "f6_smooth_flips", "j2_session_graph", "j3_graph_overrides"}
+    assert set(QUERIES) - set(SQL) == {"e15_whitened_scores", "f6_smooth_flips"}
