@@ -15,21 +15,21 @@ def fused_candidates(classifier: DataFrame, bank: DataFrame, a: float = 0.7, b:
     return both.select(*key, "c", "k", "score", rank.cast("long").alias("rank"))
 
 
-def label_speakers(candidates: DataFrame, threshold: float, margin: float, least_segments: int, how: str = "mean") -> DataFrame:
-    """One row per (session, label): the speaker its segments point to, if the bars are met.
+def label_speakers(candidates: DataFrame, threshold: float, margin: float, least_segments: int, how: str = "mean", by: list[str] | None = None) -> DataFrame:
+    """One row per (session, label) and, where given, the columns of by: the speaker its segments point to, if the bars are met.
 
     candidates: session, label, seg_idx, rank, speaker, score. A speaker's mean is over all segments with candidates, so speakers that
     few segments support are diluted. 'vote' ranks by first places, then means, and its margin is a difference of shares.
     """
-    key = ["session", "label"]
+    key = [*(by or []), "session", "label"]
     embedded = candidates.groupBy(*key).agg(F.countDistinct("seg_idx").alias("embedded"))
-    by = candidates.groupBy(*key, "speaker").agg(F.sum("score").alias("total"), F.count("*").alias("support"), F.count_if(F.col("rank") == 1).alias("votes"), F.max("score").alias("score_max"))
-    by = by.join(embedded, key).withColumn("mean", F.col("total") / F.col("embedded"))
+    means = candidates.groupBy(*key, "speaker").agg(F.sum("score").alias("total"), F.count("*").alias("support"), F.count_if(F.col("rank") == 1).alias("votes"), F.max("score").alias("score_max"))
+    means = means.join(embedded, key).withColumn("mean", F.col("total") / F.col("embedded"))
     order = [F.desc("mean"), "speaker"] if how == "mean" else [F.desc("votes"), F.desc("mean"), "speaker"]
     metric = F.col("mean") if how == "mean" else F.col("votes") / F.col("embedded")
-    by = by.withColumn("metric", metric).withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("r <= 2")
+    means = means.withColumn("metric", metric).withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("r <= 2")
     first = lambda c: F.max(F.when(F.col("r") == 1, F.col(c)))
-    out = by.groupBy(*key).agg(first("speaker").alias("speaker"), first("mean").alias("score"), first("score_max").alias("score_max"), first("support").alias("support"), F.max("embedded").alias("embedded"), (first("metric") - F.coalesce(F.max(F.when(F.col("r") == 2, F.col("metric"))), F.lit(0.0))).alias("margin"))
+    out = means.groupBy(*key).agg(first("speaker").alias("speaker"), first("mean").alias("score"), first("score_max").alias("score_max"), first("support").alias("support"), F.max("embedded").alias("embedded"), (first("metric") - F.coalesce(F.max(F.when(F.col("r") == 2, F.col("metric"))), F.lit(0.0))).alias("margin"))
     return out.withColumn("selected", (F.col("embedded") >= max(1, least_segments)) & (F.col("score") >= threshold) & (F.col("margin") >= margin))
 
 

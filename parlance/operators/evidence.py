@@ -89,14 +89,6 @@ def accepted_experiments(d: DataFrame, gain: float = 0.01, most_loss: float = 0.
     return by.withColumn("rank", rank.cast("long"))
 
 
-def parameter_grid(spark, **values: list) -> DataFrame:
-    """Every combination of the values, one column each; a driver-sized list."""
-    import itertools
-
-    names = sorted(values)
-    return spark.createDataFrame([dict(zip(names, x, strict=True)) for x in itertools.product(*(values[n] for n in names))])
-
-
 def passes(windows: DataFrame, n: int) -> DataFrame:
     """Windows replayed n times with a pass index and a seed that depends on both."""
     return windows.withColumn("pass_index", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("seed", F.xxhash64(*[F.col(c) for c in windows.columns], "pass_index"))

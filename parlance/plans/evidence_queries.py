@@ -97,11 +97,6 @@ def j8_replayed_passes(spark, sf):
     return V.passes(d, 3).select("row_id", "pass_index")
 
 
-@query("SELECT unnest([0.3, 0.35, 0.4]) AS threshold, unnest([1, 2, 3]) AS least WHERE false UNION ALL SELECT t, l FROM (SELECT unnest([0.3, 0.35, 0.4])::DOUBLE AS t) CROSS JOIN (SELECT unnest([1, 2, 3])::BIGINT AS l)")
-def j12_parameter_grid(spark, sf):
-    return V.parameter_grid(spark, threshold=[0.3, 0.35, 0.4], least=[1, 2, 3])
-
-
 @query(f"""WITH {A.SHIFTED} SELECT session, seg_idx, string_agg(word, ' ' ORDER BY start, "end", word_idx) AS text, count(*) AS n FROM shifted GROUP BY session, seg_idx""")
 def i10_i11_segment_text(spark, sf):
     w = A.shifted_words(spark, sf).groupBy("session", "seg_idx").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word_idx", "word"))).alias("w"), F.count("*").alias("n"))

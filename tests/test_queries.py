@@ -80,4 +80,4 @@ def test_smoothing_equals_plain_steps(spark, duck):
 
 
 def test_every_query_is_tested():
-    assert set(QUERIES) - set(SQL) == {"e15_whitened_scores", "f6_smooth_flips"}
+    assert set(QUERIES) - set(SQL) == {"e15_whitened_scores", "f6_smooth_flips", "j5_lda_knn", "j5_lda_logreg", "j5_logreg", "j5_logreg_unbalanced"}
