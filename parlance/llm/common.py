@@ -1,13 +1,14 @@
-"""What the corpus operators share: tables in the shared folder, word hashes, connected components."""
+"""What the corpus operators share: word classes, joins of hot keys, and the library's tables in the shared folder."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.tables import connected_components, drop, materialize, new_path, shared_dir
+
+__all__ = ["SPACE", "WORD", "connected_components", "drop", "join_hot", "materialize", "new_path", "shared_dir", "table"]
+
 #: Word separators of the contracts (space, and tab to carriage return), as a Java regex class.
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,56 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile  # only for tests and local sessions, where one machine holds everything
-
-        found = _OWN.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="parlance-")
-        _OWN[spark.sparkContext.applicationId] = found
-    root = f"{found.rstrip('/')}/parlance-{spark.sparkContext.applicationId}"
-    if root not in _ROOTS:
-        _ROOTS.add(root)
-        atexit.register(_remove, spark, root)
-    return root
-
-
-_ROOTS: set[str] = set()
-_OWN: dict[str, str] = {}
-
-
-def _remove(spark: SparkSession, root: str) -> None:
-    try:
-        jvm, sc = spark._jvm, spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # the session may be gone already; the folder is then the cluster's to clean
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete a table of materialize() that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str, how: str = "inner", hot_rows: int = 10_000, salts: int = 64) -> DataFrame:
     """left joined with right (one row a key), keys of `hot_rows` or more left rows dealt over `salts` tasks by the hash of `spread`.
 
@@ -77,41 +28,3 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, spread: str, how: str
     a = left.join(few, key, "left").withColumn("salt", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.coalesce("salts", F.lit(1)))).cast("int")).drop("salts")
     b = right.join(few, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     return a.join(b, [key, "salt"], how).drop("salt")
-
-
-def _edge_table(edges: DataFrame, name: str) -> tuple[DataFrame, tuple]:
-    """The edges (a, b) as a table, and a fingerprint taken while they are written."""
-    from pyspark.sql import Observation
-
-    seen = Observation()
-    h = lambda *c: F.coalesce(F.bit_xor(F.xxhash64(*c)), F.lit(0))
-    out = materialize(edges.observe(seen, F.count("*").alias("n"), h("a", "b").alias("x"), h(F.lit(1), "b", "a").alias("y")), name)
-    return out, (seen.get["n"], seen.get["x"], seen.get["y"])
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges(a, b): component is the smallest node reachable.
-
-    Alternating large-star and small-star steps: each round is two aggregations by node, so
-    a hub never gathers its neighbours in one task (min is pre-aggregated map-side, and the join back
-    on a hub key is left to adaptive skew handling). Each round is written to the shared folder.
-    """
-    e, seen = _edge_table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    for _ in range(max_rounds):
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
-        large = materialize(large, "large")
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(low, "b")
-        small = joined.select(F.col("m").alias("a"), "b").unionByName(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-        small, now = _edge_table(small, "small")
-        same, seen = now == seen, now  # equal number and equal sums of two hashes: the same edges
-        drop(large)
-        drop(e)
-        e = small
-        if same:
-            break
-    else:
-        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
-    return e.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

@@ -371,7 +371,7 @@ def _merge(edges: DataFrame | None, found: DataFrame, component: DataFrame | Non
         return edges, component
     # earlier members hang on their component's smallest node
     known = found if component is None else found.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return known, materialize(connected_components(known), "components")
+    return known, connected_components(known)
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -2,18 +2,20 @@
 
 A naive Bayes classifier over hashed words, fitted on a labelled table (at most `train_rows` of its rows, the smallest
 by hash; half for the counts, half for the temperature), predicts each document's posterior over the domains.
-Nonnegative rates, one per document, are then fitted by accelerated projected gradient steps so that the expected
-tokens of each domain, sum(tokens * posterior * rate), meet the targets in least squares, with a small pull towards rate 1.
+Nonnegative rates, one per document, are then fitted by projected gradient steps so that the expected
+tokens of each domain, sum(tokens * posterior * rate), meet the targets in least squares, with a small pull towards rate 1. The squares are weighed by
+the inverse of the K x K second moments of the posteriors (of the rows whose rate isn't 0 yet), so a domain of a hundred-thousandth of the tokens counts like any other and few steps are needed.
 
 Domains are any column of the labelled documents whose values a text betrays; production uses `lang`. (A classifier of `source` does no better on
 held-out rows than its commonest value, so its posteriors are the prior for every text and no rates could change the mix.)
 
-A step needs one vector of K residuals for all documents, so an iteration is one aggregation of K sums. A document's rate
-follows from its posterior and the residuals so far; tasks replay them, so no state is kept between
+A step needs one vector of K numbers for all documents, so an iteration is one aggregation of K (K + 2) sums. A document's rate
+follows from its posterior and the steps so far; tasks replay them, so no state is kept between
 iterations and a lost executor costs one task.
 
 The budget is (just over) the smallest total at which no domain as a whole must shrink; weights are met by repeating, not by
-throwing away. mixture_totals gives the totals achieved; a warning says when the steps end before they meet the targets. copies is the rate rounded by a hash of doc_id, so expected totals stay.
+throwing away. mixture_totals gives the totals achieved, and the column missed of mixing_rates the largest relative distance to a target. A domain that is the likeliest of no document can't be
+made by repeating documents: it isn't steered, the others meet their targets in proportion, and missed is 1 (with a warning). copies is the rate rounded by a hash of doc_id, so expected totals stay.
 
 Tokens are words. Defined cases: null or empty text has 0 tokens, the prior as posterior and rate 1; labelled rows with a
 null or unlisted domain aren't learned from; without labelled rows all domains are equally likely; repeated rows get equal
@@ -32,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize
+from parlance.llm.common import drop, materialize
 from parlance.llm.wordhash import chunks, word_hashes
 
 TRAIN_ROWS = 200_000
@@ -101,52 +103,71 @@ def _with_means(rows: DataFrame, shared, kind: str) -> DataFrame:
     return rows.mapInArrow(mean, f"id {kind}, tokens long, means array<double>")
 
 
-def replay(p: np.ndarray, history: list[tuple[np.ndarray, float]], step: float, pull: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, extrapolated rates) of rows with posteriors p after the steps in history (residuals, momentum)."""
-    r = y = np.ones(len(p))
-    for residual, momentum in history:
-        new = np.maximum(0.0, y - step * (p @ residual + pull * (y - 1)))
-        r, y = new, new + momentum * (new - r)
-    return r, y
+def replay(p: np.ndarray, history: list[np.ndarray], step: float, pull: float) -> np.ndarray:
+    """Rates of rows with posteriors p after the steps in history (directions)."""
+    r = np.ones(len(p))
+    for direction in history:
+        r = np.maximum(0.0, r - step * (p @ direction + pull * (r - 1)))
+    return r
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray, pull: float = 1e-4, rounds: int = 60, tolerance: float = 2e-3):
-    """(history, step) for soft (tokens, posterior array): targets are shares of the mix."""
+def _inverse(m: np.ndarray, present: np.ndarray) -> np.ndarray:
+    """The inverse of the second moments of the domains that are present; directions in which no rates differ count nothing."""
+    out = np.zeros_like(m)
+    values, axes = np.linalg.eigh(m[np.ix_(present, present)])
+    keep = values > 1e-12 * max(values.max(), 1e-300)
+    out[np.ix_(present, present)] = (axes[:, keep] / values[keep]) @ axes[:, keep].T
+    return out
+
+
+def _moments(soft: DataFrame, total: float, k: int, history: list[np.ndarray], step: float, pull: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(expected tokens by domain under the rates so far, second moments of the rows with a rate, tokens by likeliest domain), as shares of total."""
+
+    def add(batches):
+        import pandas as pd
+
+        out, m, h = np.zeros(k), np.zeros((k, k)), np.zeros(k)
+        for b in batches:
+            if len(b):
+                q, w = np.stack(b["posterior"].to_numpy()), b["tokens"].to_numpy() / total
+                rate = replay(q, history, step, pull)
+                out += q.T @ (w * rate)
+                on = rate > 0
+                m += q[on].T @ (w[on, None] * q[on])
+                np.add.at(h, q.argmax(1), w)
+        yield pd.DataFrame({"i": np.arange(k * (k + 2)), "x": np.concatenate([out, m.ravel(), h])})
+
+    sums = dict(soft.select("tokens", "posterior").mapInPandas(add, "i int, x double").groupBy("i").agg(F.sum("x")).collect())  # k * (k + 2) rows
+    x = np.array([sums[i] for i in range(k * (k + 2))])
+    return x[:k], x[k : k + k * k].reshape(k, k), x[k + k * k :]
+
+
+def fit_rates(soft: DataFrame, targets: np.ndarray, pull: float = 1e-4, rounds: int = 60, tolerance: float = 1e-3) -> tuple[list[np.ndarray], float, float]:
+    """(history, step, missed) for soft (tokens, posterior array): targets are shares of the mix; missed is the largest relative distance that is left."""
     k = len(targets)
     total = float(soft.agg(F.sum("tokens")).first()[0] or 0)
     if not total:
-        return [], 0.0
-    p = [F.col("posterior")[i] for i in range(k)]
-    w = F.col("tokens") / total
-    first = soft.agg(*[F.sum(w * x).alias(f"s{i}") for i, x in enumerate(p)], *[F.sum(w * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]).first()
-    share = np.array([first[f"s{i}"] for i in range(k)])
-    m = np.array([[first[f"m{i}_{j}"] for j in range(k)] for i in range(k)])
-    goal = targets * float((share / targets).max()) * (1 + 4 * tolerance)  # so that no rate falls under 1 by the tolerance alone
-    step = 1 / (float(np.linalg.eigvalsh(m)[-1]) + pull)
-    history: list[tuple[np.ndarray, float]] = []
-    residual, t, still = share - goal, 1.0, 0
-    while np.abs(residual / goal).max() > tolerance:
-        if len(history) == rounds or still == 3:  # no more steps, or none that changes anything
-            warnings.warn(f"targets are met within {np.abs(residual / goal).max():.2%} only, after {len(history)} steps", stacklevel=2)
-            break
-        t, before = (1 + (1 + 4 * t * t) ** 0.5) / 2, t
-        history.append((residual, (before - 1) / t))
-        done = list(history)
-
-        def expected(batches, done=done):
-            import pandas as pd
-
-            out = np.zeros(k)
-            for b in batches:
-                q = np.stack(b["posterior"].to_numpy()) if len(b) else np.zeros((0, k))
-                out += (q * (b["tokens"].to_numpy() / total * replay(q, done, step, pull)[1])[:, None]).sum(0)
-            yield pd.DataFrame({"i": np.arange(k), "x": out})
-
-        sums = dict(soft.select("tokens", "posterior").mapInPandas(expected, "i int, x double").groupBy("i").agg(F.sum("x")).collect())  # k rows
-        before, residual = residual, np.array([sums[i] for i in range(k)]) - goal
-        still = still + 1 if np.abs((residual - before) / goal).max() < tolerance / 20 else 0
-    # the last point looked at is the extrapolated one; a step without momentum ends there
-    return [*history[:-1], (history[-1][0], 0.0)] if history else [], step
+        return [], 0.0, 0.0
+    step, history = 1 / (1 + pull), []
+    share, m, likeliest = _moments(soft, total, k, history, step, pull)
+    present = np.flatnonzero((likeliest > 0) & (targets > 0))
+    if not len(present):
+        return [], step, 1.0
+    goal = targets * float((share[present] / targets[present]).max()) * (1 + 4 * tolerance)  # so that no rate falls under 1 by the tolerance alone
+    left = lambda r: float(np.abs(r[present] / goal[present]).max())
+    residual, still = share - goal, 0
+    best = left(residual), 0
+    while left(residual) > tolerance and len(history) < rounds and still < 5:  # further steps that bring nothing are not taken
+        history.append(_inverse(m, present) @ residual)
+        now, m, _ = _moments(soft, total, k, history, step, pull)
+        residual = now - goal
+        still = 0 if left(residual) < 0.95 * best[0] else still + 1
+        best = min(best, (left(residual), len(history)))
+    history = history[: best[1]]
+    missed = 1.0 if len(present) < (targets > 0).sum() else best[0]
+    if missed > tolerance:
+        warnings.warn(f"targets are met within {best[0]:.2%} after {len(history)} steps; {int((targets > 0).sum()) - len(present)} domains have no documents", stacklevel=2)
+    return history, step, missed
 
 
 @dataclass
@@ -157,15 +178,16 @@ class Mixture:
     logs: np.ndarray
     prior: np.ndarray
     temperature: float
-    history: list[tuple[np.ndarray, float]]
+    history: list[np.ndarray]
     step: float
     pull: float
+    missed: float = 0.0
 
     def posterior(self, means: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         return posteriors(means, tokens, self.prior, self.temperature)
 
     def rates(self, p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        return np.where(tokens > 0, replay(p, self.history, self.step, self.pull)[0], 1.0)
+        return np.where(tokens > 0, replay(p, self.history, self.step, self.pull), 1.0)
 
 
 def _softened(rows: DataFrame, shared) -> DataFrame:
@@ -210,7 +232,8 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang", target
     mixture = Mixture(names, shared.value, prior, temperature, [], 0.0, pull)
     soft = _softened(rows.select(F.col("doc_id").alias("id"), "text"), spark.sparkContext.broadcast(mixture)).select("id", F.col("soft"))
     soft = materialize(soft.select("id", "soft.tokens", "soft.posterior"), "soft")
-    mixture.history, mixture.step = fit_rates(soft, goal, pull)
+    drop(chosen)
+    mixture.history, mixture.step, mixture.missed = fit_rates(soft, goal, pull)
     return mixture, soft
 
 
@@ -220,7 +243,7 @@ def _copies(rate: Column, key: Column) -> Column:
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """doc_id, tokens, domain (likeliest), posterior (array in the order of targets), rate, copies. options: those of fit_mixture."""
+    """doc_id, tokens, domain (likeliest), posterior (array in the order of targets), rate, copies, missed (the same for all). options: those of fit_mixture."""
     mixture, soft = fit_mixture(docs, labels, **options)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -231,7 +254,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     rated = soft.mapInPandas(rate, f"id {kind}, tokens long, posterior array<double>, rate double")
     likeliest = F.array(*[F.lit(n) for n in mixture.names])[(F.array_position("posterior", F.array_max("posterior")) - 1).cast("int")]
-    return rated.select(F.col("id").alias("doc_id"), "tokens", likeliest.alias("domain"), "posterior", "rate", _copies(F.col("rate"), F.col("id")).alias("copies"))
+    return rated.select(F.col("id").alias("doc_id"), "tokens", likeliest.alias("domain"), "posterior", "rate", _copies(F.col("rate"), F.col("id")).alias("copies"), F.lit(mixture.missed).alias("missed"))
 
 
 def mixture_totals(rates: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -246,7 +269,8 @@ def mixture_totals(rates: DataFrame, targets: dict[str, float] | None = None) ->
 
 def mix(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as its copies say. One more narrow pass over the texts instead of a shuffle of them."""
-    mixture, _ = fit_mixture(docs, labels, **options)
+    mixture, soft = fit_mixture(docs, labels, **options)
+    drop(soft)
     whole = docs.select(F.struct(*docs.columns).alias("doc"), "text", F.col("doc_id").alias("id"))
     copies = _copies(F.col("soft.rate"), F.col("id"))
     times = _softened(whole, docs.sparkSession.sparkContext.broadcast(mixture)).select("doc", copies.alias("copies"))
