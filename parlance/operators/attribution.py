@@ -155,21 +155,3 @@ def relabelled_words(segments: DataFrame, speaker: Column) -> DataFrame:
     """segments with the speaker set on themselves and on all their words; the first speaker_raw of each is kept."""
     words = F.transform("words", lambda w: w.withField("speaker_raw", F.coalesce(w["speaker_raw"], w["speaker"])).withField("speaker", speaker))
     return segments.withColumns({"words": words, "speaker_raw": F.coalesce("speaker_raw", "speaker"), "speaker": speaker})
-
-
-def apply_profile(segments: DataFrame, candidates: DataFrame, vectors: DataFrame, bank: DataFrame, threshold: float, margin: float, least_segments: int = 2) -> DataFrame:
-    """session, seg_idx, label, speaker, how: segment matches, else what the label's segments say, else the label's vector, else unknown; then short flips are smoothed.
-
-    segments: session, seg_idx, start, end, label; candidates: session, label, seg_idx, rank, speaker, score; vectors: session, seg_idx, label, embedding.
-    """
-    from parlance.operators.bank import accepted
-
-    matches = accepted(candidates, threshold, margin)
-    labels = label_speakers(candidates, threshold, margin, least_segments)
-    every = segments.select("session", "label").distinct().join(labels.select("session", "label", "speaker", "selected"), ["session", "label"], "left").fillna(False, ["selected"])
-    settled = label_fallback(every, label_vectors(vectors), bank, threshold, margin).where("speaker is not null")
-    named = resolve(segments, matches, settled.select("session", "label", "speaker", F.lit(True).alias("selected")))
-    timed = named.join(segments.select("session", "seg_idx", "start", "end"), ["session", "seg_idx"]).join(matches.select("session", "seg_idx", "score"), ["session", "seg_idx"], "left")
-    smooth = smooth_flips(timed).select("session", "seg_idx", "smoothed")
-    out = named.join(smooth, ["session", "seg_idx"])
-    return out.select("session", "seg_idx", "label", F.col("smoothed").alias("speaker"), F.when(F.col("smoothed") != F.col("speaker"), "smoothed").otherwise(F.col("how")).alias("how"))

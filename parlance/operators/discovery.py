@@ -16,8 +16,8 @@ IGNORED = ("processed", "quarantine", ".cache", "outputs")
 POINTS = {"jsonl": 40.0, "txt": 20.0, "same stem": 200.0, "same parent": 120.0, "session": 100.0, "parent session": 60.0, "name holds it": 30.0, "parent holds it": 20.0}
 PENALTIES = {"copy of": 40.0, "overview": 30.0, "test": 20.0, "(1)": 15.0}
 LEAST = 80.0
-#: Configuration-sized listings are broadcast up to this many rows.
-BROADCAST_ROWS = 100_000
+#: Characters of a name's end by which files that hold it are found.
+GRAM = 5
 
 
 def suffix(path: Column) -> Column:
@@ -56,7 +56,7 @@ def session_sources(files: DataFrame, root: str) -> DataFrame:
 def likeness(path: Column, wanted: Column) -> Column:
     """Points of a transcript at path for a source whose stem is wanted; null if it is neither .jsonl nor .txt."""
     own, name, parent, _ = (F.lower(x) for x in path_parts(path))
-    names = F.array_distinct(F.array(*[F.lower(x) for x in (wanted, F.regexp_replace(wanted, "_", " "), F.regexp_replace(wanted, " ", "_"))]))
+    names = _variants(wanted)
     number = F.when(wanted.rlike("(?i)session"), session_number(wanted))
     points = F.when(suffix(path) == "jsonl", POINTS["jsonl"]).when(suffix(path) == "txt", POINTS["txt"])
     add = lambda cond, key: F.when(F.coalesce(cond, F.lit(False)), POINTS[key]).otherwise(0.0)
@@ -69,19 +69,30 @@ def likeness(path: Column, wanted: Column) -> Column:
     return points
 
 
+def _variants(wanted: Column) -> Column:
+    return F.array_distinct(F.array(*[F.lower(x) for x in (wanted, F.regexp_replace(wanted, "_", " "), F.regexp_replace(wanted, " ", "_"))]))
+
+
 def transcript_of(sources: DataFrame, files: DataFrame) -> DataFrame:
     """source, transcript, points: the likeliest transcript of each source (the first path on ties), if it has enough points.
 
-    Only files that share the session's number or one of its names with the source can have enough, so both are joined on those
-    keys, never every source with every file.
+    A file has enough points only if it shares the session's number with the source, or if its name or its folder's holds one of the source's names. So both are joined on
+    numbers, and on the last characters of those names, which files give for every place in theirs; never every source with every file.
     """
     s = sources.select("source", stem(F.col("source")).alias("wanted"))
-    keys = lambda x: F.array(F.concat(F.lit("#"), session_number(x).cast("string")), watch_name(x))
-    asked = s.select("source", "wanted", F.explode(keys(F.col("wanted"))).alias("key"))
-    own, _, parent, _ = path_parts(F.col("path"))
-    held = files.where(suffix(F.col("path")).isin("jsonl", "txt")).select("path", F.explode(F.array_distinct(F.concat(keys(own), keys(parent)))).alias("key"))
-    pairs = asked.where("key is not null").join(held.where("key is not null"), "key").select("source", "wanted", "path").distinct()
-    scored = pairs.withColumn("points", likeness(F.col("path"), F.col("wanted"))).where(F.col("points") >= LEAST)
+    texts = files.where(suffix(F.col("path")).isin("jsonl", "txt")).select("path").distinct()
+    number = lambda x: F.concat(F.lit("#"), session_number(x).cast("string"))
+    own, name, parent, _ = path_parts(F.col("path"))
+    by_number = s.select("source", "wanted", number(F.col("wanted")).alias("key")).where("key is not null")
+    held = texts.select("path", F.explode(F.array_distinct(F.array(number(own), number(parent)))).alias("key")).where("key is not null")
+    ends = s.select("source", "wanted", F.explode(_variants(F.col("wanted"))).alias("v")).where("v <> ''").select("source", "wanted", F.right("v", F.lit(GRAM)).alias("key"))
+    lengths = [r[0] for r in ends.select(F.length("key")).distinct().collect()]  # GRAM values at most
+    grams = lambda x, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(x) - n + 1)), lambda i: F.substr(x, i, F.lit(n)))
+    pairs = by_number.join(held, "key").select("source", "wanted", "path")
+    if lengths:
+        every = F.array_distinct(F.flatten(F.array(*[grams(F.lower(x), n) for x in (name, parent) for n in lengths])))
+        pairs = pairs.unionByName(ends.join(texts.select("path", F.explode(every).alias("key")), "key").select("source", "wanted", "path"))
+    scored = pairs.distinct().withColumn("points", likeness(F.col("path"), F.col("wanted"))).where(F.col("points") >= LEAST)
     return scored.groupBy("source").agg(F.min_by(F.struct("path", "points"), F.struct(-F.col("points"), "path")).alias("b")).select("source", F.col("b.path").alias("transcript"), F.col("b.points").alias("points"))
 
 
@@ -131,3 +142,59 @@ def file_identity(files: DataFrame) -> DataFrame:
     own = [F.col(c).cast("string") for c in ("path", "length", "modificationTime")]
     content = [F.sha2("content", 256)] if "content" in files.columns else []
     return files.select("path", F.sha2(F.concat_ws("|", *own, *content), 256).alias("id"))
+
+
+def folder_identity(files: DataFrame, depth: int) -> DataFrame:
+    """folder, files, id of the folders `depth` parts deep, by the identities of all files below; the order of the listing doesn't matter."""
+    own = file_identity(files)
+    folder = F.array_join(F.slice(F.split("path", "/"), 1, depth), "/")
+    below = own.where(F.size(F.split("path", "/")) > depth).select(folder.alias("folder"), "path", "id")
+    # sums of hashes, added up before they meet: a folder of a third of all files is no single task's
+    part = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "path", "id"))
+    by = below.groupBy("folder").agg(F.count("*").alias("files"), part(1).alias("x"), part(2).alias("y"))
+    return by.select("folder", "files", F.sha2(F.concat_ws("|", F.col("files").cast("string"), F.col("x").cast("string"), F.col("y").cast("string")), 256).alias("id"))
+
+
+def bundles(inputs: DataFrame, files: DataFrame) -> DataFrame:
+    """path, head: each input with itself and, for an archive, the .json of the same name beside it, if the listing has it."""
+    own = inputs.select("path", F.col("path").alias("head")).distinct()
+    beside = own.where(suffix(F.col("path")) == "zip").select(F.regexp_replace("path", r"\.[^./]+$", ".json").alias("path"), "head")
+    return own.unionByName(beside.join(files.select("path").distinct(), "path", "left_semi"))
+
+
+def bundle_moves(inputs: DataFrame, files: DataFrame, archived: DataFrame, folder: str) -> DataFrame:
+    """path, target of inputs and what belongs to them: a bundle moves under one new name, the first that none of its files finds taken."""
+    heads = archive_moves(inputs, archived, folder).select(F.col("path").alias("head"), F.regexp_replace("target", r"\.[^./]+$", "").alias("stem"))
+    return bundles(inputs, files).join(heads, "head").select("path", F.concat("stem", F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("target"))
+
+
+def failing(status: DataFrame, most: int = 3) -> DataFrame:
+    """path, failures of inputs that failed `most` times or more since they last succeeded: for the quarantine. status: path, state, at."""
+    good = status.where(~F.col("state").isin("failed", "started")).groupBy("path").agg(F.max("at").alias("good"))
+    bad = status.where("state = 'failed'").join(good, "path", "left").where("good is null or at > good")
+    return bad.groupBy("path").agg(F.count("*").alias("failures")).where(F.col("failures") >= most)
+
+
+def moved(moves: DataFrame) -> DataFrame:
+    """path, target, outcome of renaming every path to its target: moved, there (an earlier try did it), missing, taken (something else has that name).
+
+    The renames are tasks' work, in any store that pyarrow knows; a task that runs again finds what is done and leaves it. Nothing is overwritten.
+    """
+
+    def run(batches):
+        import pandas as pd
+        from pyarrow import fs
+
+        for b in batches:
+            said = []
+            for path, target in zip(b["path"], b["target"], strict=True):
+                store, here = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+                there = fs.FileSystem.from_uri(target)[1] if "://" in target else target
+                a, z = (i.type != fs.FileType.NotFound for i in store.get_file_info([here, there]))
+                if a and not z:
+                    store.create_dir(there.rsplit("/", 1)[0], recursive=True)
+                    store.move(here, there)
+                said.append("moved" if a and not z else "taken" if a else "there" if z else "missing")
+            yield pd.DataFrame({"path": b["path"], "target": b["target"], "outcome": said})
+
+    return moves.select("path", "target").mapInPandas(run, "path string, target string, outcome string")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import pair_key, valid_label
 from parlance.operators.datasets import capped
+from parlance.tables import replace
 
 #: Fixed reasons for which a mixed window was turned down that make it a hard negative.
 HARD_REASONS = ("low_share", "not_dominant")
@@ -17,7 +18,8 @@ POOL = "row_id long, session string, window_index long, speaker string, second_s
 
 
 def save_pool(pool: DataFrame, path: str) -> None:
-    pool.write.mode("overwrite").parquet(path)
+    """The pool in place of what path holds; it may be made from that."""
+    replace(pool.sparkSession, path, lambda folder: pool.write.parquet(folder))
 
 
 def load_pool(spark: SparkSession, path: str) -> DataFrame:

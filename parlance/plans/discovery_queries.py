@@ -49,18 +49,31 @@ def a16_session_sources(spark, sf):
     return D.session_sources(A.media_files(spark, sf), "in")
 
 
-@query(f"""WITH {A.FILES}, {A.TRANSCRIPTS}, s AS (SELECT DISTINCT path AS source, {_STEM.format("path")} AS wanted FROM files WHERE path LIKE '%.zip'),
-n AS (SELECT *, list_distinct([lower(wanted), lower(replace(wanted, '_', ' ')), lower(replace(wanted, ' ', '_'))]) AS names, CAST(regexp_extract(wanted, '(?i)session[\\s_]*(\\d+)', 1) AS BIGINT) AS number FROM s),
-t AS (SELECT path, lower({_STEM.format("path")}) AS own, lower(split_part(path, '/', -1)) AS name, lower(split_part(path, '/', -2)) AS parent FROM transcripts),
+#: Every source with every transcript, and the points of each pair.
+_POINTS = """n AS (SELECT *, list_distinct([lower(wanted), lower(replace(wanted, '_', ' ')), lower(replace(wanted, ' ', '_'))]) AS names, CAST(regexp_extract(wanted, '(?i)session[\\s_]*(\\d+)', 1) AS BIGINT) AS number FROM s),
+t AS (SELECT path, lower(@STEM@) AS own, lower(split_part(path, '/', -1)) AS name, lower(split_part(path, '/', -2)) AS parent FROM transcripts),
 u AS (SELECT *, TRY_CAST(coalesce(nullif(regexp_extract(own, 'session[\\s_]*(\\d+)', 1), ''), regexp_extract(own, '(\\d+)', 1)) AS BIGINT) AS on_, TRY_CAST(coalesce(nullif(regexp_extract(parent, 'session[\\s_]*(\\d+)', 1), ''), regexp_extract(parent, '(\\d+)', 1)) AS BIGINT) AS pn FROM t),
-p AS (SELECT source, path, 20.0::DOUBLE + CASE WHEN list_contains(names, own) THEN 200 ELSE 0 END + CASE WHEN list_contains(names, parent) THEN 120 ELSE 0 END + CASE WHEN on_ = number THEN 100 ELSE 0 END + CASE WHEN pn = number THEN 60 ELSE 0 END
+p AS (SELECT source, path, CASE WHEN path LIKE '%.jsonl' THEN 40.0 ELSE 20.0 END::DOUBLE - CASE WHEN contains(name, 'copy of') THEN 40 ELSE 0 END + CASE WHEN list_contains(names, own) THEN 200 ELSE 0 END + CASE WHEN list_contains(names, parent) THEN 120 ELSE 0 END + CASE WHEN on_ = number THEN 100 ELSE 0 END + CASE WHEN pn = number THEN 60 ELSE 0 END
   + 30 * len(list_filter(names, lambda x: contains(name, x))) + 20 * len(list_filter(names, lambda x: contains(parent, x))) AS points FROM n CROSS JOIN u)
-SELECT source, arg_min(path, (-points, path)) AS transcript, max(points) AS points FROM p WHERE points >= 80 GROUP BY source""")
+SELECT source, arg_min(path, (-points, path)) AS transcript, max(points) AS points FROM p WHERE points >= 80 GROUP BY source""".replace("@STEM@", _STEM.format("path"))
+
+
+@query(f"""WITH {A.FILES}, {A.TRANSCRIPTS}, s AS (SELECT DISTINCT path AS source, {_STEM.format("path")} AS wanted FROM files WHERE path LIKE '%.zip'), {_POINTS}""")
 def a17_transcripts(spark, sf):
     sources = A.media_files(spark, sf).where("path like '%.zip'").select(F.col("path").alias("source")).distinct()
     return D.transcript_of(sources, A.transcripts(spark, sf))
 
 
+@query(f"""WITH {A.FILES}, transcripts AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 't/all of my talk ' || (c_custkey * 7) || ' here/on my talk ' || (c_custkey * 7) || '.jsonl' WHEN 1 THEN 't/My_Talk ' || (c_custkey * 7) || '/copy of xmy_talk ' || (c_custkey * 7) || 'y.jsonl' ELSE 't/x/a my talk ' || (c_custkey * 7) || '.txt' END AS path FROM customer),
+s AS (SELECT DISTINCT path AS source, {_STEM.format("path")} AS wanted FROM files WHERE path LIKE '%.mp3'), {_POINTS}""")
+def a17_transcripts_by_name(spark, sf):
+    """Sources without a session number, and transcripts whose names or folders hold theirs somewhere."""
+    n = (F.col("c_custkey") * 7).cast("string")
+    path = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("t/all of my talk "), n, F.lit(" here/on my talk "), n, F.lit(".jsonl"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("t/My_Talk "), n, F.lit("/copy of xmy_talk "), n, F.lit("y.jsonl"))).otherwise(F.concat(F.lit("t/x/a my talk "), n, F.lit(".txt")))
+    sources = A.media_files(spark, sf).where("path like '%.mp3'").select(F.col("path").alias("source")).distinct()
+    return D.transcript_of(sources, table(spark, sf, "customer").select(path.alias("path")))
+
+
 @query(f"""WITH {A.FILES}, w AS (SELECT DISTINCT path, {_STEM.format("path")} AS b FROM files WHERE path LIKE '%.wav'), l AS (SELECT DISTINCT '.outputs/track' || (c_custkey % 7) || '/track' || (c_custkey % 7) || CASE c_custkey % 3 WHEN 0 THEN '.jsonl' WHEN 1 THEN '.diarization.json' ELSE '.json' END AS a FROM customer WHERE c_custkey % 7 <> c_custkey % 3)
 SELECT path, arg_min(a, k) AS artifact FROM (SELECT path, unnest([1, 2, 3]) AS k, '.outputs/' || b || '/' || b || unnest(['.jsonl', '.diarization.json', '.json']) AS a FROM w) JOIN l USING (a) GROUP BY path""")
 def a18_segment_artifacts(spark, sf):

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import clock, srt_clock
+from parlance.tables import delete, replace
 
 
 def srt_blocks(segments: DataFrame) -> DataFrame:
@@ -38,7 +39,8 @@ def write_jsonl(segments: DataFrame, path: str) -> None:
 
 
 def write_dataset(dataset: DataFrame, path: str) -> None:
-    dataset.write.mode("overwrite").parquet(path)
+    """The data set in place of what path holds; it may be made from that."""
+    replace(dataset.sparkSession, path, lambda folder: dataset.write.parquet(folder))
 
 
 def stable_id(value: object) -> str:
@@ -85,12 +87,13 @@ def match_report(candidates: DataFrame, matches: DataFrame) -> DataFrame:
     return rows.groupBy("session").agg(F.to_json(F.array_sort(F.collect_list(F.struct("seg_idx", "match", "candidates")))).alias("json"))
 
 
-def log_metrics(spark, path: str, stage: str, status: str, session: str | None = None, elapsed_seconds: float | None = None) -> None:
-    """One more line in the stage log that streaming.watch.stage_alarms reads."""
+def log_metrics(spark, path: str, stage: str, status: str, session: str | None = None, elapsed_seconds: float | None = None, rows: int | None = None) -> None:
+    """One more line in the stage log that streaming.watch.stage_alarms reads: memory, CPU seconds and bytes of the driver's process too."""
     import resource
 
-    rss = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
-    row = spark.createDataFrame([(stage, status, session, elapsed_seconds, rss)], "stage string, status string, session string, elapsed_seconds double, rss_bytes long")
+    used = resource.getrusage(resource.RUSAGE_SELF)
+    cells = (stage, status, session, elapsed_seconds, used.ru_maxrss * 1024, used.ru_utime + used.ru_stime, used.ru_inblock * 512, used.ru_oublock * 512, rows)
+    row = spark.createDataFrame([cells], "stage string, status string, session string, elapsed_seconds double, rss_bytes long, cpu_seconds double, read_bytes long, write_bytes long, rows long")
     row.select(F.current_timestamp().alias("timestamp"), "*").coalesce(1).write.mode("append").json(path)
 
 
@@ -111,10 +114,14 @@ def states(spark, path: str) -> DataFrame:
     return rows.groupBy("path").agg(F.max_by("state", "at").alias("state"))
 
 
-def cached_stage(spark, folder: str, stage: str, signature: dict, build) -> DataFrame:
-    """The stage's table in folder if it was made with this signature; else build() is written there, its manifest last."""
+def cached_stage(spark, folder: str, stage: str, signature: dict, build, fresh: bool = False) -> DataFrame:
+    """The stage's table in folder if it was made with this signature (and fresh isn't asked for); else build() takes its place, its manifest last.
+
+    build() may read the table that is there.
+    """
     table, manifest = f"{folder}/{stage}/data", f"{folder}/{stage}/manifest"
-    if not reusable(spark, manifest, signature):
-        build().write.mode("overwrite").parquet(table)
+    if fresh or not reusable(spark, manifest, signature):
+        delete(spark, manifest)  # from here on there is no stage that could be taken for an older one
+        replace(spark, table, lambda path: build().write.parquet(path))
         write_manifest(spark, manifest, stage, signature)
     return spark.read.parquet(table)

@@ -108,15 +108,6 @@ def test_pool(spark, tmp_path):
     assert [(r["row_id"], r["partner"], r["selection_reason"]) for r in got] == [(1, "B", "mixed_rejection_low_share"), (2, "A", "mixed_rejection_not_dominant")]
 
 
-def test_profile_is_applied(spark):
-    s = spark.createDataFrame([("s", i, float(i), i + 1.0, "L0" if i < 3 else "L1") for i in range(5)], "session string, seg_idx long, start double, end double, label string")
-    cand = spark.createDataFrame([("s", "L0", i, 1, "A", 0.9 - 0.1 * i) for i in range(3)], "session string, label string, seg_idx long, rank long, speaker string, score double")
-    vectors = spark.createDataFrame([("s", 3, "L1", [0.0, 1.0]), ("s", 4, "L1", [0.1, 1.0])], "session string, seg_idx long, label string, embedding array<double>")
-    b = spark.createDataFrame([(0, "A", [1.0, 0.0]), (1, "B", [0.0, 1.0])], ENTRY)
-    got = {r["seg_idx"]: (r["speaker"], r["how"]) for r in attribution.apply_profile(s, cand, vectors, b, 0.75, 0.1).collect()}
-    assert got == {0: ("A", "segment"), 1: ("A", "segment"), 2: ("A", "label"), 3: ("B", "label"), 4: ("B", "label")}
-
-
 def test_labels_and_words(spark):
     v = spark.createDataFrame([("s", "L", [1.0, 0.0]), ("s", "L", [-1.0, 0.0]), ("s", "M", [0.0, 3.0]), ("s", "", [1.0, 1.0])], "session string, label string, embedding array<double>")
     assert [(r["label"], r["embedding"]) for r in attribution.label_vectors(v).collect()] == [("M", [0.0, 1.0])]
