@@ -50,7 +50,7 @@ def a16_session_sources(spark, sf):
 
 
 #: Every source with every transcript, and the points of each pair.
-_POINTS = """n AS (SELECT *, list_distinct([lower(wanted), lower(replace(wanted, '_', ' ')), lower(replace(wanted, ' ', '_'))]) AS names, CAST(regexp_extract(wanted, '(?i)session[\\s_]*(\\d+)', 1) AS BIGINT) AS number FROM s),
+_POINTS = """n AS (SELECT *, list_distinct([lower(wanted), lower(replace(wanted, '_', ' ')), lower(replace(wanted, ' ', '_'))]) AS names, TRY_CAST(nullif(regexp_extract(wanted, '(?i)session[\\s_]*(\\d+)', 1), '') AS BIGINT) AS number FROM s),
 t AS (SELECT path, lower(@STEM@) AS own, lower(split_part(path, '/', -1)) AS name, lower(split_part(path, '/', -2)) AS parent FROM transcripts),
 u AS (SELECT *, TRY_CAST(coalesce(nullif(regexp_extract(own, 'session[\\s_]*(\\d+)', 1), ''), regexp_extract(own, '(\\d+)', 1)) AS BIGINT) AS on_, TRY_CAST(coalesce(nullif(regexp_extract(parent, 'session[\\s_]*(\\d+)', 1), ''), regexp_extract(parent, '(\\d+)', 1)) AS BIGINT) AS pn FROM t),
 p AS (SELECT source, path, CASE WHEN path LIKE '%.jsonl' THEN 40.0 ELSE 20.0 END::DOUBLE - CASE WHEN contains(name, 'copy of') THEN 40 ELSE 0 END + CASE WHEN list_contains(names, own) THEN 200 ELSE 0 END + CASE WHEN list_contains(names, parent) THEN 120 ELSE 0 END + CASE WHEN on_ = number THEN 100 ELSE 0 END + CASE WHEN pn = number THEN 60 ELSE 0 END
