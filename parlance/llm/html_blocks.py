@@ -10,9 +10,17 @@ from functools import lru_cache
 import numpy as np
 
 #: Elements whose content is raw text, not markup, and never text of the page; all others are left to the labeller.
-RAW = "script|style|textarea"
-_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<![^>]*>|<\?[^>]*>", re.S | re.I)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""")
+RAW = frozenset("script style textarea iframe noembed noframes".split())
+#: Innermost open elements that a block's path keeps, and that end tags left out are looked for among: a page may nest without end.
+DEPTH = 64
+# One scan from left to right: a tag, once begun, ends at the first > outside a quoted value or at the end of the page. A quote has a meaning only where a value begins.
+# Nothing is tried twice (possessive quantifiers), so a page takes time in proportion to its length whatever is in it.
+_MARKUP = re.compile(
+    r"""<(?:(!--)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)"""
+    r"""((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s"'>][^\s>]*+|(?=>)))?+)*+)(?:>|\Z))"""
+)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in RAW}
+_COMMENT_END = re.compile(r"--!?>")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 #: Fixed tag groups of HTML.
@@ -32,70 +40,90 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+def _after_comment(page: str, at: int) -> int:
+    """Place behind the comment whose text begins at `at`; one that never ends takes the rest of the page."""
+    for short in (">", "->"):
+        if page.startswith(short, at):
+            return at + len(short)
+    end = _COMMENT_END.search(page, at)
+    return end.end() if end else len(page)
+
+
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order: path is ((tag, name tokens), ...) from the root; linked counts characters inside links."""
-    page = _DROP.sub(" ", page)
+    """Text blocks in page order: path is ((tag, name tokens), ...), the innermost DEPTH of them; linked counts characters inside links."""
     out: list[Block] = []
     stack: list[tuple[str, tuple]] = []
-    inline: list[str] = []  # open links
+    open_: dict[str, int] = {}  # open elements by tag
     pieces: list[str] = []
-    linked = 0
+    link, linked = False, 0
 
     def flush() -> None:
         nonlocal linked
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(text, tuple(stack), linked))
+                out.append(Block(text, tuple(stack[-DEPTH:]), linked))
             pieces.clear()
         linked = 0
 
+    def cut(i: int) -> None:
+        for tag, _ in stack[i:]:
+            open_[tag] -= 1
+        del stack[i:]
+
     def close(names) -> None:
-        for i in range(len(stack) - 1, -1, -1):
+        if not any(open_.get(n) for n in names):
+            return
+        for i in range(len(stack) - 1, max(-1, len(stack) - 1 - DEPTH), -1):
             if stack[i][0] in names:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i][0] in ("table", "ul", "ol", "article", "section", "div", "body") and names != (stack[i][0],):
                 return
 
     at = 0
-    for m in _TAG.finditer(page):
+    while m := _MARKUP.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             pieces.append(piece)
-            if inline:
+            if link:
                 linked += len(piece)
         at = m.end()
-        end, tag, attrs = m[1], m[2].lower(), m[3]
+        if m[1]:
+            at = _after_comment(page, at)
+            continue
+        if m[3] is None:  # declarations and instructions
+            continue
+        end, tag, attrs = m[2], m[3].lower(), m[4]
+        if tag in RAW and not end:
+            found = _RAW_END[tag].search(page, at)
+            at = found.start() if found else len(page)
+            continue
         if tag in INLINE:
             if tag == "a":
-                if end:
-                    inline.clear()
-                else:
-                    inline.append(tag)
+                link = not end
             continue
         if tag == "br":
             pieces.append(" ")
             continue
-        if tag in ("img", "input", "wbr", "embed") or (tag in ("svg", "math") and attrs.endswith("/")):
+        if tag in RAW or tag in ("img", "input", "wbr", "embed") or (tag in ("svg", "math") and attrs.endswith("/")):
             continue
         flush()
-        inline.clear()
+        link = False
         if tag in VOID:
             continue
         if end:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if open_.get(tag):
+                cut(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
-        if tag in _CLOSES_P and any(t == "p" for t, _ in stack):
+        if tag in _CLOSES_P:
             close(("p",))
         if tag in _CLOSES_SAME:
             close(_CLOSES_SAME[tag])
         names = tuple(w for g in _NAMES.findall(attrs) for x in g if x for w in _PARTS.findall(x.lower())) if attrs else ()
         if not attrs.endswith("/"):
             stack.append((tag, names))
+            open_[tag] = open_.get(tag, 0) + 1
     pieces.append(page[at:])
     flush()
     return out

@@ -67,7 +67,9 @@ class Maker:
         r = self.r
         before, after = [], []
         if r.random() < 0.9:
-            before.append(self.inside(r.choice(MENU), (f"<h1>{self.words(1, 4)}</h1>" if r.random() < 0.2 else "") + self.links()))
+            name = r.choice([f"<h1>{self.words(1, 3)}</h1>", f"<h2>{self.words(1, 3)}</h2>", f'<a href="/">{self.words(1, 2)}</a>', f"<p>{self.words(1, 5)}</p>"])
+            kind = r.random()  # a site's name alone, with its menu, or the menu alone
+            before.append(self.inside(r.choice(MENU), name if kind < 0.15 else name + self.links() if kind < 0.4 else self.links()))
         for names, share in ((ADVERT, 0.6), (NOTICE, 0.4), (ASIDE, 0.5), (FORM, 0.3), (MENU, 0.2), (ASIDE, 0.2)):
             if r.random() < share:
                 kind = r.random()

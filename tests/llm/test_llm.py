@@ -423,13 +423,76 @@ def test_blocks_keep_text_of_and_after_embedded_elements():
 
     text = lambda page: " ".join(b.text for b in blocks(page)).split()
     assert [b.text for b in blocks('<p>One <svg class="i"/> two</p><p>three</p>')] == ["One two", "three"]
-    for tag in "svg math noscript template object canvas iframe select option button".split():
+    for tag in "svg math noscript template object canvas select option button".split():
         assert text(f"<p>a <{tag} class=x>b</{tag}> c</p><p>d</p>") == list("abcd"), tag
         assert text(f"<article><p>a <{tag}>b<p>c</p></article><p>d</p>") == list("abcd"), tag
         assert [t for t, _ in blocks(f"<div><{tag}>a</{tag}></div>")[0].path] == ["div", tag]
     assert [b.path for b in blocks("<select><option>a<option>b</select>")] == [(("select", ()), ("option", ()))] * 2
-    for tag in ("script", "style", "textarea"):
+    for tag in ("script", "style", "textarea", "iframe", "noembed"):
         assert text(f"<p>a<{tag}>b<p>c</{tag}> d") == ["a", "d"], tag
+        assert text(f"<p>a <{tag}>b</{tag} x></{tag}>d<{tag}>rest") == ["a", "d"], tag
+
+
+def test_markup_is_read_as_html_reads_it():
+    """Quotes count only where a value begins; a tag once begun ends at >; comments and raw text as HTML has them."""
+    from parlance.llm.html_blocks import blocks
+
+    text = lambda page: [b.text for b in blocks(page)]
+    assert text("<p>it's <a href=foo'bar>link</a> here</p>") == ["it's link here"]
+    assert text("""<p a="x>y" b='z>w' c = "q>" d=e"f>one</p><p title="it's">two</p>""") == ["one", "two"]
+    assert text("<p>a < b and 3<4, 5 <6> x</p>") == ["a < b and 3<4, 5 <6> x"]
+    assert text("<p>a<!-- x > -->b<!-->c<!--->d<!-- - -- -->e<!DOCTYPE x>f<?php y ?>g</p>") == ["abcdefg"]
+    assert text("<p>one<!-- never closed <p>two") == ["one"] and text("<p>one<p class='x>two</p>") == ["one"] and text("<p>one</p><p") == ["one"]
+    assert text("<p>x<br/>y<img src=a>z</p><script>if (a<b) '</scripty>'</SCRIPT ><p>w</p>") == ["x yz", "w"]
+    assert text("<div =x a==b c='1'd='2'>t</div>") == ["t"] and text("") == text("<") [:0] == [] and text("<") == ["<"]
+    assert [t for t, _ in blocks("<ul><li>a<li>b<ul><li>c</ul></ul>")[-1].path] == ["ul", "li", "ul", "li"]
+
+
+def test_pages_take_time_in_proportion_to_their_length():
+    """Pages that made an earlier scan go back and forth: a megabyte of each in seconds."""
+    import time
+
+    from parlance.llm.extract import extract_texts, labeller
+    from parlance.llm.html_blocks import DEPTH, blocks
+
+    model = labeller()
+    took = lambda f: (lambda t: (f(), time.process_time() - t)[1])(time.process_time())
+    n = 330_000
+    for page in ("<a " * n, "<!" * n, "<script " * (n // 8), "<p a='" * (n // 6), "</div>" * (n // 6), "<p><center>" * (n // 10), "<textarea>" * (n // 10), "<a href=\"x" * (n // 9), "< " * n, "&amp" * n, "<!--" * n, "</script " * (n // 9), "class " * n + ">", "<p " + "class " * n + ">x"):
+        assert took(lambda page=page: blocks(page)) < 2.5, page[:20]
+    deep = "<div>x" * 100_000
+    assert took(lambda: blocks(deep)) < 2.5 and all(len(b.path) <= DEPTH for b in blocks(deep))
+    assert len(extract_texts([deep, "<article><p>Some words of a text.</p></article>"], model)) == 2
+
+
+#: Pages written and labelled by hand: the text that is the article, block by block.
+BY_HAND = [
+    ("<html><head><title>T</title></head><body><nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li></ul></nav><article><h1>Rain in the north</h1><p>It rained for three days, and the river rose.</p><p>People left their houses at night.</p></article><footer>&copy; 2020 The Paper</footer></body></html>",
+     "Rain in the north\nIt rained for three days, and the river rose.\nPeople left their houses at night."),
+    ("<div class=header><h1>My site</h1></div><div id=content><h2>Baking bread</h2><p>Take flour &amp; water.<p>Knead it well, then wait an hour.<ul><li>Salt helps.</li><li>So does time.</li></ul></div><div class=sidebar><a href=a>About me</a> <a href=b>Archive</a></div>",
+     "Baking bread\nTake flour & water.\nKnead it well, then wait an hour.\nSalt helps.\nSo does time."),
+    ("<body><div class='cookie-notice'>We use cookies. <a href=ok>Accept</a></div><main id=main><h1>Ten years on</h1><p>The bridge was opened by the mayor, who spoke for an hour.</p><div class=ad>Buy now!</div><p>Nobody remembers what was said.</p></main><section class=comments><h2>Comments</h2><p>Great story, thanks for it.</p></section></body>",
+     "Ten years on\nThe bridge was opened by the mayor, who spoke for an hour.\nNobody remembers what was said."),
+    ("<header class=site-header><a href=/>Logo</a></header><div class=entry-content><p>A first line with <b>bold</b> and <i>slanted</i> words.<br>And a second one.</p><blockquote>Somebody said this, long ago.</blockquote></div><aside class=related><h3>Related</h3><ul><li><a href=x>Another story</a></li></ul></aside><footer><p>Imprint</p></footer>",
+     "A first line with bold and slanted words. And a second one.\nSomebody said this, long ago."),
+    ("<article><h1>Short</h1><p>One sentence only, but a whole one.</p><form class=newsletter><label>Your mail</label><input><button>Send</button></form></article><div class=footer>Copyright us</div>",
+     "Short\nOne sentence only, but a whole one."),
+    ("<nav class=menu><a href=1>One</a> <a href=2>Two</a> <a href=3>Three</a></nav><div class=article-body><p>The first paragraph of the article goes here and is not short.</p><p>Then a <a href=y>link</a> in the middle of a sentence.</p><p>The end.</p></div><div id=disqus><p>first!</p><p>second, no, third</p></div>",
+     "The first paragraph of the article goes here and is not short.\nThen a link in the middle of a sentence.\nThe end."),
+    ("<div id=top-bar><ul class=nav><li><a href=a>A</a><li><a href=b>B</a></ul></div><div class=post><h1>Unclosed <em>things</em></h1><p>Paragraphs that nobody closes,<p>one after the other,<p>until the end of the post.</div><div class=popup>Subscribe today and save.</div>",
+     "Unclosed things\nParagraphs that nobody closes,\none after the other,\nuntil the end of the post."),
+    ("<script>var a='<p>no</p>';</script><style>p{}</style><section class=story><h1>What was found</h1><p>They dug for weeks. In the end there was a box, and in the box a letter.</p><h2>The letter</h2><p>It said: &quot;Too late.&quot;</p></section><footer class=site-footer>&copy; nobody &middot; all rights</footer>",
+     "What was found\nThey dug for weeks. In the end there was a box, and in the box a letter.\nThe letter\nIt said: \"Too late.\""),
+    ("<nav><a href=/>Home</a></nav><div class=sidebar><p>Popular now</p><ul><li><a href=q>Q</a></li></ul></div><footer>&copy; only furniture</footer>", ""),
+    ("<header><h1>Daily</h1></header><main><article><h2>Eins zwei</h2><p>Ein Satz mit Umlauten: &auml;&ouml;&uuml;, und noch einer.</p><p>Der letzte Absatz.</p></article></main><div class=reader-comments><div><b>hans</b><p>Stimmt nicht.</p></div></div>",
+     "Eins zwei\nEin Satz mit Umlauten: äöü, und noch einer.\nDer letzte Absatz."),
+]
+
+
+def test_pages_labelled_by_hand():
+    from parlance.llm.extract import extract_texts, labeller
+
+    assert extract_texts([page for page, _ in BY_HAND], labeller()) == [text for _, text in BY_HAND]
 
 
 # -- 7 URLs
