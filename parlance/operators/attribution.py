@@ -57,27 +57,37 @@ def diagnostics(before: DataFrame, after: DataFrame) -> DataFrame:
 def smooth_flips(segments: DataFrame, most_run: int = 2, most_seconds: float = 2.0, gap: float = 0.75, cap: float = 0.5) -> DataFrame:
     """Short runs between two segments of one known speaker take that speaker. Left to right with effects in place, longest runs first.
 
-    Each step may enable the next, so a session is one sequence; sessions are spread over the cluster.
+    A run that is taken over makes the next `size` places unfit (there, left and inner speaker are now one) and changes nothing beyond. So the places that fit are found at once, and of
+    each chain of them less than size + 1 apart the first is taken, then the next that isn't unfit, and so on: chains are short, and a session is many tasks if it is long.
     """
-
-    def run(rows):
-        rows = rows.sort_values(["start", "end", "seg_idx"]).reset_index(drop=True)
-        speaker, start, end, score = rows["speaker"].tolist(), rows["start"].tolist(), rows["end"].tolist(), rows["score"].tolist()
-        for size in range(most_run, 0, -1):
-            i = 1
-            while i + size < len(speaker):
-                left, right = speaker[i - 1], speaker[i + size]
-                inner = range(i, i + size)
-                near = all(start[j + 1] - end[j] <= gap for j in range(i - 1, i + size))
-                weak = all(score[j] is None or score[j] != score[j] or score[j] <= cap for j in inner)
-                if left == right and left and left != "unknown" and all(speaker[j] != left for j in inner) and near and weak and sum(end[j] - start[j] for j in inner) <= most_seconds:
-                    for j in inner:
-                        speaker[j] = left
-                i += 1
-        return rows.assign(smoothed=speaker)[["session", "seg_idx", "speaker", "smoothed"]]
-
-    kind = f"session {segments.schema['session'].dataType.simpleString()}, seg_idx long, speaker string, smoothed string"
-    return segments.select("session", "seg_idx", "start", "end", "speaker", "score").groupBy("session").applyInPandas(run, kind)
+    from parlance.operators.lines import Line
+    from parlance.tables import materialize
+
+    c = F.col
+    line = Line(segments.select("session", "seg_idx", "start", "end", "speaker", "score"), ["session"], ["start", "end", "seg_idx"], places=True)
+    rows = line.rows.withColumn("smoothed", c("speaker"))
+    for size in range(most_run, 0, -1):
+        wide = line.beside(rows, _x=(F.struct("smoothed", "end"), 1), **{f"_{j}": (F.struct("smoothed", "start", "end", "score"), -j) for j in range(1, size + 1)})
+        at = lambda j, f: (c("smoothed") if f == "smoothed" else c(f)) if j == 0 else c("_x" if j < 0 else f"_{j}")[f]
+        left = at(-1, "smoothed")
+        fits = (left == at(size, "smoothed")) & (left != "") & (left != "unknown")
+        for j in range(-1, size):
+            fits = fits & (at(j + 1, "start") - at(j, "end") <= gap)
+        for j in range(size):
+            fits = fits & ~at(j, "smoothed").eqNullSafe(left) & F.coalesce(F.isnan(at(j, "score")) | (at(j, "score") <= cap), F.lit(True))
+        fits = fits & (sum((at(j, "end") - at(j, "start") for j in range(1, size)), at(0, "end") - at(0, "start")) <= most_seconds)
+        fit = wide.withColumns({"_fits": F.coalesce(fits, F.lit(False)), "_left": left})
+        fit = line.beside(fit, **{f"_f{j}": (c("_fits"), j) for j in range(1, size + 1)})
+        first = c("_fits") & ~F.greatest(*[F.coalesce(c(f"_f{j}"), F.lit(False)) for j in range(1, size + 1)], F.lit(False))
+        fit = line.running(fit, "_chain", F.when(first, c("_i")), "max").where("_fits")
+        chains = fit.groupBy("session", "_chain").agg(F.array_sort(F.collect_list(F.struct(c("_i").cast("long").alias("i"), c("_left").alias("speaker")))).alias("all"))
+        kind = "array<struct<i:bigint,speaker:string>>"
+        first_of = F.expr(f"cast(array(struct({-size - 1}L, '')) as {kind})")  # before any place
+        take = lambda got, x: F.when(x["i"] > F.element_at(got, -1)["i"] + size, F.concat(got, F.array(x))).otherwise(got)  # noqa: E731,B023
+        taken = chains.select("session", F.explode(F.aggregate(c("all").cast(kind), first_of, take)).alias("x")).where("x.i >= 0")
+        new = materialize(taken.select("session", F.explode(F.sequence(c("x.i"), c("x.i") + size - 1)).alias("_i"), c("x.speaker").alias("_new")), "smoothed")
+        rows = rows.withColumn("_i", c("_i").cast("long")).join(new, ["session", "_i"], "left").withColumn("smoothed", F.coalesce("_new", "smoothed")).drop("_new")
+    return rows.select("session", "seg_idx", "speaker", "smoothed")
 
 
 def temporal_weight(gap: Column) -> Column:

@@ -19,12 +19,15 @@ def before(column: str, keys: list[str], order: list[str]) -> Column:
 
 def merge_turns(turns: DataFrame, gap: float = 0.2, least: float = 0.8) -> DataFrame:
     """Neighbours of one speaker at most gap apart become one turn (its end the largest so far); shorter ones than least go."""
-    keys, order = ["session"], ["start", "end", "seg_idx"]
-    w = Window.partitionBy("session").orderBy(*order)
-    same = with_runs(turns, keys, order, ~F.col("speaker").eqNullSafe(F.lag("speaker").over(w)), "stretch")
-    v = Window.partitionBy("session", "stretch").orderBy(*order)
-    so_far = F.max("end").over(v.rowsBetween(Window.unboundedPreceding, -1))
-    runs = with_runs(same.withColumn("so_far", so_far), keys, order, F.col("so_far").isNull() | (F.col("start") - F.col("so_far") > gap))
+    from parlance.operators.lines import Line
+
+    line = Line(turns, ["session"], ["start", "end", "seg_idx"])
+    same = line.beside(line.rows, _last=(F.struct("speaker"), 1))
+    same = line.running(same, "stretch", (~F.col("_last").eqNullSafe(F.struct("speaker"))).cast("int"), "sum")
+    # stretches ascend, so the largest (stretch, end) before a row is of its own stretch or of an earlier one
+    so_far = line.running(same, "_far", F.struct("stretch", "end"), "max", own=False)
+    far = F.when(F.col("_far.stretch") == F.col("stretch"), F.col("_far.end"))
+    runs = line.running(so_far, "run", (far.isNull() | (F.col("start") - far > gap)).cast("int"), "sum")
     merged = runs.groupBy("session", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("speaker").alias("speaker"), F.count("*").alias("parts"))
     return merged.where(F.col("end") - F.col("start") >= least).drop("run")
 
@@ -50,9 +53,11 @@ def split_on_label_or_gap(words: DataFrame, gap: float = 0.35) -> DataFrame:
 
 def trim_overlaps(segments: DataFrame, most: float = 0.3, heavy: float = 0.15) -> DataFrame:
     """Neighbours that overlap by up to most meet at the middle; beyond heavy both are flagged."""
-    w = Window.partitionBy("session").orderBy("start", "end", "seg_idx")
-    into_next, from_last = F.col("end") - F.lead("start").over(w), F.lag("end").over(w) - F.col("start")
-    out = segments.withColumns({"_n": into_next, "_l": from_last, "_ns": F.lead("start").over(w), "_pe": F.lag("end").over(w)})
+    from parlance.operators.lines import Line
+
+    line = Line(segments, ["session"], ["start", "end", "seg_idx"])
+    out = line.beside(line.rows, _ns=(F.col("start"), -1), _pe=(F.col("end"), 1))
+    out = out.withColumns({"_n": F.col("end") - F.col("_ns"), "_l": F.col("_pe") - F.col("start")})
     cut_n, cut_l = (F.col("_n") > 0) & (F.col("_n") <= most), (F.col("_l") > 0) & (F.col("_l") <= most)
     return out.select(
         "session",
@@ -64,24 +69,26 @@ def trim_overlaps(segments: DataFrame, most: float = 0.3, heavy: float = 0.15) -
     )
 
 
+def _joined_runs(segments: DataFrame, joins: Column, end: Column) -> DataFrame:
+    """Each row that joins the one before it is one row with that; joins may use _pe and _pr, the end and raw label before."""
+    from parlance.operators.lines import Line
+
+    line = Line(segments, ["session"], ["start", "end", "seg_idx"])
+    marked = line.beside(line.rows, _pe=(F.col("end"), 1), _pr=(F.col("speaker_raw"), 1))
+    runs = line.running(marked, "run", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1), "sum")
+    return runs.groupBy("session", "run").agg(F.min("start").alias("start"), end.alias("end"), F.first("speaker_raw").alias("speaker_raw"), F.count("*").alias("parts")).drop("run")
+
+
 def merge_same_raw(segments: DataFrame, gap: float = 0.2) -> DataFrame:
     """Repair, merging: neighbours of one non-blank raw label, 0 to gap apart. The merged row ends where its last part ends."""
-    keys, order = ["session"], ["start", "end", "seg_idx"]
-    w = Window.partitionBy("session").orderBy(*order)
-    marked = segments.withColumns({"_pe": F.lag("end").over(w), "_pr": F.lag("speaker_raw").over(w)})
     apart = F.col("start") - F.col("_pe")
-    joins = F.coalesce((F.col("speaker_raw") == F.col("_pr")) & (F.trim("speaker_raw") != "") & (apart >= 0) & (apart <= gap), F.lit(False))
-    runs = with_runs(marked, keys, order, ~joins)
-    return runs.groupBy("session", "run").agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "end", "seg_idx")).alias("end"), F.first("speaker_raw").alias("speaker_raw"), F.count("*").alias("parts")).drop("run")
+    joins = (F.col("speaker_raw") == F.col("_pr")) & (F.trim("speaker_raw") != "") & (apart >= 0) & (apart <= gap)
+    return _joined_runs(segments, joins, F.max_by("end", F.struct("start", "end", "seg_idx")))
 
 
 def absorb_short(segments: DataFrame, shorter: float = 0.35) -> DataFrame:
     """A segment under `shorter` seconds joins the one before if the raw label is the same."""
-    keys, order = ["session"], ["start", "end", "seg_idx"]
-    w = Window.partitionBy("session").orderBy(*order)
-    joins = F.coalesce((F.col("end") - F.col("start") < shorter) & (F.col("speaker_raw") == F.col("_pr")), F.lit(False))
-    runs = with_runs(segments.withColumn("_pr", F.lag("speaker_raw").over(w)), keys, order, ~joins)
-    return runs.groupBy("session", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("speaker_raw").alias("speaker_raw"), F.count("*").alias("parts")).drop("run")
+    return _joined_runs(segments, (F.col("end") - F.col("start") < shorter) & (F.col("speaker_raw") == F.col("_pr")), F.max("end"))
 
 
 def training_windows(segments: DataFrame, least: float, most: float, size: float, stride: float) -> DataFrame:
@@ -122,17 +129,28 @@ def sliding_windows(records: DataFrame, size: float, hop: float, least_speakers:
 
 
 def greedy_windows(windows: DataFrame, k: int) -> DataFrame:
-    """The k best windows of a session that don't overlap, taken greedily by score (then speakers, turns, earlier start)."""
-    w = F.struct((-F.col("score")).alias("s"), (-F.col("speaker_count")).alias("c"), (-F.col("speaker_turns")).alias("t"), "start", "end")
-    kind = "array<struct<s:double,c:bigint,t:bigint,start:double,end:double>>"
+    """The k best windows of a session that don't overlap, taken greedily by score (then speakers, turns, earlier start).
 
-    def take(chosen: Column, x: Column) -> Column:
-        clash = F.exists(chosen, lambda y: ~((x["end"] <= y["start"]) | (x["start"] >= y["end"])))
-        return F.when(clash | (F.size(chosen) >= k), chosen).otherwise(F.concat(chosen, F.array(x)))
-
-    ranked = windows.groupBy("session").agg(F.array_sort(F.collect_list(w)).cast(kind).alias("all"))
-    chosen = F.aggregate("all", F.expr(f"cast(array() as {kind})"), take)
-    return ranked.select("session", F.posexplode(chosen).alias("rank", "x")).select("session", (F.col("rank") + 1).cast("long").alias("rank"), "x.start", "x.end", (-F.col("x.s")).alias("score"))
+    In k rounds: the best of each session's windows that none of the chosen overlaps, a minimum that tasks combine before it is shuffled. The chosen, at most k a session, come to the
+    windows by a broadcast while their sessions are counted to be few.
+    """
+    from parlance.tables import materialize
+
+    rows = materialize(windows.select("session", "start", "end", "score", "speaker_count", "speaker_turns"), "windows")
+    order = F.struct(-F.col("score"), -F.col("speaker_count"), -F.col("speaker_turns"), "start", "end")
+    few = rows.select("session").distinct().count() <= 1_000_000
+    taken: DataFrame | None = None
+    for rank in range(1, k + 1):
+        left = rows
+        if taken is not None:
+            chosen = taken.groupBy("session").agg(F.collect_list(F.struct("start", "end")).alias("chosen"))
+            left = rows.join(F.broadcast(chosen) if few else chosen, "session").where(~F.exists("chosen", lambda y: ~((F.col("end") <= y["start"]) | (F.col("start") >= y["end"]))))
+        best = left.groupBy("session").agg(F.min_by(F.struct("start", "end", "score"), order).alias("b")).select("session", F.lit(rank).cast("long").alias("rank"), "b.*")
+        best = materialize(best, "best")
+        if best.isEmpty():
+            break
+        taken = best if taken is None else taken.unionByName(best)
+    return taken if taken is not None else rows.select("session", F.lit(0).cast("long").alias("rank"), "start", "end", "score").limit(0)
 
 
 def every_nth(rows: DataFrame, keys: list[str], order: list[str], limit: int) -> DataFrame:
@@ -179,6 +197,8 @@ def numbered(rows: DataFrame, keys: list[str], order: list[str], parts: int = 64
 
 def sandwiches(segments: DataFrame) -> DataFrame:
     """Per session: segments, short ones (2 s at most), median duration, and those between two of one other speaker."""
-    w = Window.partitionBy("session").orderBy("start", "end", "seg_idx")
-    s = segments.withColumns({"p": F.lag("speaker").over(w), "x": F.lead("speaker").over(w), "d": F.col("end") - F.col("start")})
+    from parlance.operators.lines import Line
+
+    line = Line(segments, ["session"], ["start", "end", "seg_idx"])
+    s = line.beside(line.rows, p=(F.col("speaker"), 1), x=(F.col("speaker"), -1)).withColumn("d", F.col("end") - F.col("start"))
     return s.groupBy("session").agg(F.count("*").alias("segments"), F.count_if(F.col("d") <= 2).alias("short"), F.round(F.median("d"), 6).alias("median_duration"), F.count_if((F.col("p") == F.col("x")) & (F.col("p") != F.col("speaker"))).alias("sandwiched"))
