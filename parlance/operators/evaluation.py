@@ -97,3 +97,55 @@ def evaluate(reference: DataFrame, predicted: DataFrame, window: float, toleranc
     key = ["session", "seg_idx", "word_idx"]
     at = F.floor((F.col("start") + F.col("end")) / 2 / window).alias("window")
     return alignment_metrics(nearest_words(reference, predicted, tolerance).join(reference.select(*key, at), key), ["session", "window"])
+
+
+def cut(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """rows (session, start, end, ...) that lie in a window (session, name, start, end) for more than a moment, once for each, with its name in place of the session."""
+    from parlance.operators.intervals import range_join
+
+    fields = [c for c in rows.columns if c != "session"]
+    met = range_join(windows.select("session", "start", "end", "name"), rows, ["session"], 60.0).where((F.col("r_end") > F.col("start")) & (F.col("r_start") < F.col("end")))
+    return met.select(F.col("name").alias("session"), *[F.col(f"r_{c}").alias(c) for c in fields])
+
+
+def evaluate_session(windows: DataFrame, reference: DataFrame, segments: DataFrame, words: DataFrame, vectors: DataFrame, bank: DataFrame, profile, tolerance: float = 0.35, frames: DataFrame | None = None, **options) -> dict[str, DataFrame]:
+    """Each window told apart under the profile and held against the reference, with the session graph and without: tables by name.
+
+    windows: session, name, start, end; reference and words: session, seg_idx, word_idx, start, end, speaker (words: of the segments, as recognised); segments: session, seg_idx, start, end,
+    speaker_raw; vectors: session, seg_idx, embedding; frames (optional): session, stem, start, end, power of the separate tracks.
+    `segments`: the final speakers; `metrics`: name, phase (pre_graph, post_graph), words and accuracy; `pairs`: confused pairs before and after; `rollup`: of all windows by phase; `purity`: how far each
+    segment belongs to one track. A window is a session of its own, so speakers are told apart within it alone.
+    """
+    from dataclasses import replace
+
+    from parlance.operators import attribution as R
+    from parlance.operators import evidence as V
+    from parlance.operators.intervals import nearest_words
+    from parlance.operators.profile import apply_profile
+    from parlance.tables import materialize
+
+    parts = materialize(cut(segments, windows), "window-segments")
+    mine = vectors.join(windows.select("session", "name"), "session").drop("session").withColumnRenamed("name", "session")
+    mine = materialize(mine.join(parts.select("session", "seg_idx"), ["session", "seg_idx"], "left_semi"), "window-vectors")
+    truth, heard = materialize(cut(reference, windows), "window-reference"), materialize(cut(words, windows), "window-words")
+    phases = {"post_graph": profile} if profile.graph is None else {"pre_graph": replace(profile, graph=None), "post_graph": profile}
+    metrics, confused, final = [], {}, None
+    for phase, p in phases.items():
+        final = materialize(apply_profile(parts, mine, bank, p, **options), phase)
+        named = heard.drop("speaker").join(final.select("session", "seg_idx", "speaker"), ["session", "seg_idx"])
+        aligned = materialize(nearest_words(truth, named, tolerance), "aligned")
+        metrics.append(alignment_metrics(aligned, ["session"]).withColumn("phase", F.lit(phase)))
+        confused[phase] = confusion_pairs(confusion(aligned))
+    table = metrics[0] if len(metrics) == 1 else metrics[0].unionByName(metrics[1])
+    table = materialize(table.withColumnRenamed("session", "name").join(windows.select("name", "session"), "name"), "metrics")
+    rollup = table.groupBy("phase").agg(F.count("*").alias("windows"), F.avg("accuracy").alias("mean_accuracy"), F.avg("coverage").alias("mean_coverage"), ratio(F.sum("correct"), F.sum("total")).alias("pooled"))
+    out = {"segments": final, "metrics": table, "pairs": R.diagnostics(confused.get("pre_graph", confused["post_graph"]), confused["post_graph"]), "rollup": rollup}
+    if frames is not None:
+        out["purity"] = V.stem_power(parts, cut(frames, windows))
+    return out
+
+
+def name_windows(windows: DataFrame) -> DataFrame:
+    """windows (session, rank, start, end, ...) with name: session, number, start and end in whole seconds."""
+    part = lambda c, n: F.lpad(F.floor(c).cast("long").cast("string"), n, "0")
+    return windows.withColumn("name", F.concat_ws("_", F.col("session").cast("string"), F.lit("window"), part(F.col("rank"), 2), part(F.col("start"), 5), part(F.col("end"), 5)))

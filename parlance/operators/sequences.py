@@ -106,19 +106,23 @@ def training_windows(segments: DataFrame, least: float, most: float, size: float
     return s.select("session", "seg_idx", "speaker", F.col("i").cast("long").alias("window_index"), F.col("at").alias("start"), F.when(last, F.col("end")).otherwise(F.col("to")).alias("end"))
 
 
-def sliding_windows(records: DataFrame, size: float, hop: float, least_speakers: int) -> DataFrame:
-    """Full windows of each session, scored: distinct speakers, speaker changes, words and their balance.
-
-    records: session, seg_idx, start, end, speaker, n_words. Rows meet the windows they touch by arithmetic on the
-    hop, not by a join.
-    """
+def _in_windows(records: DataFrame, size: float, hop: float) -> DataFrame:
+    """Spoken records with w, the number of each full window that they touch: by arithmetic on the hop, not by a join."""
     last = records.groupBy("session").agg(F.max("end").alias("until"))
     count = F.floor((F.col("until") + 1e-6 - size) / hop)
     spans = last.where(F.col("until") + 1e-6 >= size).select("session", count.alias("most"))
     rows = records.where("nullif(speaker, '') is not null").join(spans, "session")
     first = F.greatest(F.lit(0), F.floor((F.col("start") - size) / hop) + 1)
     final = F.least(F.col("most"), F.ceil(F.col("end") / hop) - 1)
-    rows = rows.where(first <= final).withColumn("w", F.explode(F.sequence(first, final)))
+    return rows.where(first <= final).withColumn("w", F.explode(F.sequence(first, final)))
+
+
+def sliding_windows(records: DataFrame, size: float, hop: float, least_speakers: int) -> DataFrame:
+    """Full windows of each session, scored: distinct speakers, speaker changes, words and their balance.
+
+    records: session, seg_idx, start, end, speaker, n_words.
+    """
+    rows = _in_windows(records, size, hop)
     w = Window.partitionBy("session", "w").orderBy("start", "seg_idx")
     rows = rows.withColumn("turned", (F.col("speaker") != F.lag("speaker").over(w)).cast("int"))
     by_speaker = rows.groupBy("session", "w", "speaker").agg(F.sum("n_words").alias("n"), F.sum("turned").alias("turns"))
@@ -128,6 +132,22 @@ def sliding_windows(records: DataFrame, size: float, hop: float, least_speakers:
     return out.select("session", (F.col("w") * hop).cast("double").alias("start"), (F.col("w") * hop + size).cast("double").alias("end"), score.alias("score"), "speaker_count", "speaker_turns", "total_words")
 
 
+#: Fixed targets and tolerances of a lively session's windows, and the score from which a window is like one.
+LIVELY = {"speaker_count": (6.0, 2.0), "speaker_turns": (100.0, 40.0), "median_turn": (1.1, 1.0), "short_share": (0.55, 0.30), "median_words": (8.0, 4.0)}
+LIVELY_LEAST, SHORT_TURN = 0.70, 1.5
+
+
+def window_styles(records: DataFrame, size: float, hop: float, least_speakers: int, like: dict[str, tuple[float, float]] | None = None, least: float = LIVELY_LEAST) -> DataFrame:
+    """sliding_windows() with median_turn (seconds), short_share (turns of 1.5 s at most), median_words, style_score (mean of triangular scores around the targets) and lively."""
+    from parlance.operators.evidence import style_score
+
+    length = F.greatest(F.col("end") - F.col("start"), F.lit(0.0))
+    turns = _in_windows(records, size, hop).groupBy("session", "w").agg(F.median(length).alias("median_turn"), F.avg((length <= SHORT_TURN).cast("int")).alias("short_share"), F.median("n_words").alias("median_words"))
+    turns = turns.select("session", (F.col("w") * hop).cast("double").alias("start"), "median_turn", "short_share", "median_words")
+    out = sliding_windows(records, size, hop, least_speakers).join(turns, ["session", "start"]).withColumn("style_score", style_score(like or LIVELY))
+    return out.withColumn("lively", F.col("style_score") >= least)
+
+
 def greedy_windows(windows: DataFrame, k: int) -> DataFrame:
     """The k best windows of a session that don't overlap, taken greedily by score (then speakers, turns, earlier start).
 

@@ -109,3 +109,18 @@ def c10_adaptive_gates(spark, sf):
 
     t, m = gates(F.col("end") - F.col("start"), F.lit(0.2), F.lit(0.05))
     return A.turn_records(spark, sf).select("session", "seg_idx", t.alias("threshold"), m.alias("margin"))
+
+
+@query(r"""SELECT 'f' || conv_id AS file, count(*) AS segments, sum(length(text)) AS chars FROM conversations WHERE conv_id % 5 < 3 AND text IS NOT NULL GROUP BY conv_id""")
+def c22_payloads(spark, sf):
+    """Conversations written as payloads of five shapes, of which three are known, and read back."""
+    from parlance.sources.readers import payload_segments
+
+    c = table(spark, sf, "conversations").where("text is not null")
+    turn = F.to_json(F.struct(F.col("turn").cast("double").alias("start"), (F.col("turn") + 1.0).alias("end"), F.col("role").alias("speaker"), "text"))
+    by = c.groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_list(turn)), ",").alias("t")).withColumn("name", F.concat(F.lit('"f'), F.col("conv_id").cast("string"), F.lit('"')))
+    shape = lambda *x: F.concat(*[F.col(p) if p in ("t", "name") else F.lit(p) for p in x])
+    kind = F.col("conv_id") % 5
+    value = F.when(kind == 0, shape("[", "name", ", [", "t", ', 7, "x"]]')).when(kind == 1, shape("{", "name", ": [", "t", "]}")).when(kind == 2, shape("{", "name", ': {"segments": [', "t", "]}}")).when(kind == 3, shape("[", "name", ', "text"]')).otherwise(shape("{", "name", ": [", "t", '], "b": []}'))
+    rows = payload_segments(by.select(value.alias("value")))
+    return rows.groupBy("file").agg(F.count("*").alias("segments"), F.sum(F.length("text")).alias("chars"))

@@ -26,6 +26,15 @@ def f1_sliding_windows(spark, sf):
     return sequences.sliding_windows(A.turn_records(spark, sf), 60, 15, 2).withColumn("score", F.round("score", 6))
 
 
+@query(f"""WITH {_WINDOWS}, st AS (SELECT session, w * 15.0::DOUBLE AS start, median("end" - start) AS mt, avg(CASE WHEN "end" - start <= 1.5 THEN 1 ELSE 0 END) AS ss, median(n_words) AS mw FROM rws GROUP BY session, w),
+y AS (SELECT *, (greatest(0, 1 - abs(speaker_count - 6) / 2) + greatest(0, 1 - abs(speaker_turns - 100) / 40) + greatest(0, 1 - abs(mt - 1.1) / 1.0) + greatest(0, 1 - abs(ss - 0.55) / 0.3) + greatest(0, 1 - abs(mw - 8) / 4)) / 5 AS style FROM scored JOIN st USING (session, start))
+SELECT session, start, round(mt, 6) AS median_turn, round(ss, 6) AS short_share, mw::DOUBLE AS median_words, round(style, 6) AS style_score, style >= 0.05 AS lively FROM y""")
+def e16_window_styles(spark, sf):
+    """Medians, short turns and style of every scored window."""
+    s = sequences.window_styles(A.turn_records(spark, sf), 60, 15, 2, least=0.05)
+    return s.select("session", "start", F.round("median_turn", 6).alias("median_turn"), F.round("short_share", 6).alias("short_share"), "median_words", F.round("style_score", 6).alias("style_score"), "lively")
+
+
 @query(f"""WITH {_WINDOWS}, o AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY score DESC, speaker_count DESC, speaker_turns DESC, start) AS r FROM scored),
 a AS (SELECT * FROM o WHERE r = 1),
 b AS (SELECT o.* FROM o JOIN a USING (session) WHERE o."end" <= a.start OR o.start >= a."end" QUALIFY row_number() OVER (PARTITION BY o.session ORDER BY o.r) = 1),

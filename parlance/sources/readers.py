@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import stem, transcript_line, word_count
@@ -122,13 +122,88 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
+MAPPING = "ord int, key string, value string"
+
+
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """ord, key, value of one JSON object of strings, in the file's order; an empty file has none. Configuration: one file, read as a whole."""
+    """ord, key, value of one JSON or YAML object of strings, in the file's order; an empty file has none, one that can't be read is an error. Configuration: one file, read as a whole."""
+    if path.lower().endswith((".yaml", ".yml")):
+        return _read_yaml(spark, path)
     text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v")).where("v <> ''")
     items = F.filter(F.regexp_extract_all("v", F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1)), lambda k: k != "")
     return text.select(F.from_json("v", "map<string,string>").alias("m"), F.posexplode(items).alias("ord", "key")).select("ord", "key", F.col("m")[F.col("key")].alias("value")).where("value is not null")
 
 
+def _read_yaml(spark: SparkSession, path: str) -> DataFrame:
+    try:
+        import yaml
+    except ImportError as e:
+        raise ImportError("mappings in YAML need the yaml package; JSON ones don't") from e
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).limit(1).collect())
+    try:
+        found = yaml.safe_load(text) or {}
+    except yaml.YAMLError as e:
+        raise ValueError(f"{path} can't be read as YAML: {e}") from e
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no mapping")
+    rows = [(i, str(k), str(v)) for i, (k, v) in enumerate(found.items()) if v is not None and not isinstance(v, (dict, list))]
+    return spark.createDataFrame(rows, MAPPING)
+
+
+def canonical(records: DataFrame, aliases: dict[str, str] | None = None, mapping: DataFrame | None = None) -> DataFrame:
+    """records with speaker set by the aliases (any case), else by the mapping, else left; speaker_raw keeps the first name."""
+    known = {k.strip().lower(): v for k, v in (aliases or {}).items()}
+    name = F.lower(F.trim("speaker"))
+    alias = F.create_map(*[F.lit(x) for kv in sorted(known.items()) for x in kv])[name] if known else F.lit(None).cast("string")
+    raw = F.coalesce("speaker_raw", "speaker") if "speaker_raw" in records.columns else F.col("speaker")
+    rows = records.withColumns({"_alias": alias, "speaker_raw": raw})
+    mapped = with_mapping(rows, mapping) if mapping is not None else rows
+    return mapped.withColumn("speaker", F.coalesce("_alias", "speaker")).drop("_alias")
+
+
+def read_labelled_records(spark: SparkSession, path: str, aliases: dict[str, str] | None = None, mapping: DataFrame | None = None) -> DataFrame:
+    """file, start, end, speaker, speaker_raw, text of labelled lines: JSON lines by the suffix .jsonl (a line that isn't JSON is an error), timed text otherwise; speakers made canonical()."""
+    if path.lower().endswith(".jsonl"):
+        rows = read_segments_jsonl(spark, path, strict=True).drop("words")
+    else:
+        rows = read_timed_transcript(spark, path).select("file", "start", "end", "speaker", F.col("speaker").alias("speaker_raw"), "text")
+    return canonical(rows, aliases, mapping)
+
+
+def _listed(text: Column) -> Column:
+    """The items of a JSON array, or of an object's array `segments`, as texts; empty for an object without; null for anything else."""
+    inner = F.get_json_object(text, "$.segments")
+    items = lambda x: F.from_json(x, "array<string>")
+    return F.when(F.ltrim(text).startswith("["), items(text)).when(F.ltrim(text).startswith("{"), F.when(F.ltrim(inner).startswith("["), items(inner)).otherwise(F.array().cast("array<string>")))
+
+
+def normalised_payloads(entries: DataFrame) -> DataFrame:
+    """file, segments (array of objects as JSON text) of payloads in any known shape; entries of another shape go, as do segments that are no objects.
+
+    entries: value, one JSON text each: [file, segments] or {file: segments}, where segments is an array or an object with an array of that name.
+    """
+    pair, keyed = F.from_json("value", "array<string>"), F.from_json("value", "map<string,string>")
+    is_pair = F.ltrim("value").startswith("[") & (F.size(pair) == 2)
+    is_keyed = F.ltrim("value").startswith("{") & (F.size(keyed) == 1)
+    rows = entries.select(F.when(is_pair, pair[0]).when(is_keyed, F.map_keys(keyed)[0]).alias("file"), F.when(is_pair, pair[1]).when(is_keyed, F.map_values(keyed)[0]).alias("body"))
+    rows = rows.where("file is not null").select("file", _listed(F.col("body")).alias("items")).where("items is not null")
+    return rows.select("file", F.filter("items", lambda x: F.ltrim(x).startswith("{")).alias("segments"))
+
+
+def payload_segments(entries: DataFrame) -> DataFrame:
+    """The segments of normalised_payloads(), as the readers give them."""
+    element = f"struct<{', '.join(x.replace(' ', ':', 1) for x in SEGMENT.replace(f'words array<{WORD}>', '').rstrip(', ').split(', '))}, words:array<{WORD}>>"
+    rows = normalised_payloads(entries).select(F.col("file").alias("name"), F.explode("segments").alias("x")).select("name", F.from_json("x", element).alias("s")).select("name", "s.*")
+    return _segments(rows, F.col("name"))
+
+
+def normalised_turns(payload: DataFrame, kept: DataFrame) -> DataFrame:
+    """file, turns (array of JSON objects) of the kept files that have any. payload: value, one JSON object of files; kept: file."""
+    rows = payload.select(F.explode(F.from_json("value", "map<string,string>")).alias("file", "body")).select("file", _listed(F.col("body")).alias("items"))
+    turns = rows.select("file", F.filter("items", lambda x: F.ltrim(x).startswith("{")).alias("turns")).where(F.size("turns") > 0)
+    return turns.join(kept.select("file").distinct(), "file", "left_semi")
+
+
 def with_mapping(segments: DataFrame, mapping: DataFrame) -> DataFrame:
     """segments with canonical speakers; what the mapping doesn't know stays as it was, in speaker_raw too."""
     from parlance.operators.names import resolved_labels
