@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.vectors import distance, dot, doubles, norm, unit
+from parlance.tables import materialize
 
 #: Largest bank side (clusters times vector length, in doubles) that is broadcast.
 BROADCAST_VALUES = 4_000_000
@@ -27,7 +28,7 @@ def clusters_by_speaker(bank: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame | None:
-    """df to be broadcast if its size, counted, is within bounds; None beyond."""
+    """df, a table, to be broadcast if its size, counted, is within bounds; None beyond."""
     n, width = df.agg(F.count("*"), F.coalesce(F.max(F.size("centroid")), F.lit(0))).first()
     return F.broadcast(df) if n * width <= BROADCAST_VALUES else None
 
@@ -35,6 +36,7 @@ def _small(df: DataFrame) -> DataFrame | None:
 def _meet(queries: DataFrame, clusters: DataFrame, also: Column | None = None, salts: int = 256) -> DataFrame:
     """Every query beside every cluster of its length: by a broadcast of the clusters or, where they are too many, by `salts` parts of the queries
     that each meet a copy of them (the length alone would be one key for all rows)."""
+    clusters = materialize(clusters, "clusters")  # made once, though it is counted and joined
     fits = F.size("v") == F.size("centroid")
     fits = fits if also is None else fits & also
     small = _small(clusters)

@@ -7,7 +7,7 @@ first of them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,7 +55,7 @@ def label_by_overlap(words: DataFrame, turns: DataFrame, width: float = 30.0) ->
     )
     labelled = words.join(best, key, "left")
     # the others: the nearest edges are the last end before and the first start after the midpoint
-    from parlance.operators.lines import Line
+    from parlance.operators.lines import HOT, Line, largest
 
     rest = labelled.where("found is null").select(*key, mid.alias("t"))
     none = F.lit(None).cast("struct<t:double,i:long,speaker:string>")
@@ -63,11 +63,15 @@ def label_by_overlap(words: DataFrame, turns: DataFrame, width: float = 30.0) ->
     edges = turns.select("session", F.col("end").alias("t"), edge("end", -1).alias("before"), none.alias("after")).unionByName(turns.select("session", F.col("start").alias("t"), none.alias("before"), edge("start", 1).alias("after")))
     word = rest.withColumns({"before": none, "after": none, "_word": F.lit(1)})
     both = word.unionByName(edges.withColumns({"seg_idx": F.lit(None).cast("long"), "word_idx": F.lit(None).cast("long"), "_word": F.lit(0)})).withColumn("_back", -F.col("t"))
-    # at one time edges come first, so a word has them behind it in either direction
-    ahead = Line(both, ["session"], ["t", "_word"])
-    told = ahead.done(ahead.running(ahead.rows, "b", F.col("before"), "max"))
-    back = Line(told, ["session"], ["_back", "_word"])
-    told = back.done(back.running(back.rows, "a", F.col("after"), "min"))
+    most = 2 * largest(words.select("session").unionByName(turns.select("session")), ["session"])
+    if most <= HOT:
+        w = Window.partitionBy("session").orderBy("t")
+        told = both.withColumn("b", F.max("before").over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("a", F.min("after").over(w.rangeBetween(0, Window.unboundedFollowing)))
+    else:  # at one time edges come first, so a word has them behind it in either direction
+        ahead = Line(both, ["session"], ["t", "_word"], most=most)
+        told = ahead.done(ahead.running(ahead.rows, "b", F.col("before"), "max"))
+        back = Line(told, ["session"], ["_back", "_word"], most=most)
+        told = back.done(back.running(back.rows, "a", F.col("after"), "min"))
     gap_b, gap_a = F.col("t") - F.col("b.t"), F.col("a.t") - F.col("t")
     nearest = F.when(F.col("a").isNull() | (gap_b < gap_a) | ((gap_b == gap_a) & (-F.col("b.i") <= F.col("a.i"))), F.col("b.speaker")).otherwise(F.col("a.speaker"))
     rest = told.where("_word = 1").select(*key, nearest.alias("near"))

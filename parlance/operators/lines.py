@@ -18,13 +18,17 @@ HOT = 1_000_000
 STRETCH = 100_000
 
 
+def largest(rows: DataFrame, keys: list[str]) -> int:
+    """Rows of the commonest key."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 class Line:
-    """rows by keys in order. The columns _i (place from 0) and _b come along; done() takes them off."""
+    """rows by keys in order. The columns _i (place from 0) and _b come along; done() takes them off. most: rows that a key may have, if the caller knows a bound."""
 
-    def __init__(self, rows: DataFrame, keys: list[str], order: list[str], places: bool = False):
-        self.keys, self.columns = keys, rows.columns
-        largest = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-        self.hot = largest > HOT
+    def __init__(self, rows: DataFrame, keys: list[str], order: list[str], places: bool = False, most: int | None = None):
+        self.keys = keys
+        self.hot = (largest(rows, keys) if most is None else most) > HOT
         if self.hot:
             self.rows = materialize(numbered(rows, keys, order).drop("_n").withColumn("_b", F.floor(F.col("_i") / STRETCH)), "line")
             self.window = Window.partitionBy(*keys, "_b").orderBy("_i")

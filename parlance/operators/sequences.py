@@ -148,21 +148,45 @@ def window_styles(records: DataFrame, size: float, hop: float, least_speakers: i
     return out.withColumn("lively", F.col("style_score") >= least)
 
 
+#: Windows of a session that one task may order; longer sessions are worked out in rounds.
+WINDOWS = 10_000
+
+
 def greedy_windows(windows: DataFrame, k: int) -> DataFrame:
     """The k best windows of a session that don't overlap, taken greedily by score (then speakers, turns, earlier start).
 
-    In k rounds: the best of each session's windows that none of the chosen overlaps, a minimum that tasks combine before it is shuffled. The chosen, at most k a session, come to the
-    windows by a broadcast while their sessions are counted to be few.
+    Sessions of at most WINDOWS windows, counted, are ordered in one array each. Beyond that k rounds find the best of each session's windows that none of the chosen overlaps, a
+    minimum that tasks combine before it is shuffled.
     """
+    from parlance.operators.lines import largest
     from parlance.tables import materialize
 
     rows = materialize(windows.select("session", "start", "end", "score", "speaker_count", "speaker_turns"), "windows")
+    return _greedy_arrays(rows, k) if largest(rows, ["session"]) <= WINDOWS else _greedy_rounds(rows, k)
+
+
+def _greedy_arrays(rows: DataFrame, k: int) -> DataFrame:
+    w = F.struct((-F.col("score")).alias("s"), (-F.col("speaker_count")).alias("c"), (-F.col("speaker_turns")).alias("t"), "start", "end")
+    kind = "array<struct<s:double,c:bigint,t:bigint,start:double,end:double>>"
+
+    def take(chosen: Column, x: Column) -> Column:
+        clash = F.exists(chosen, lambda y: ~((x["end"] <= y["start"]) | (x["start"] >= y["end"])))
+        return F.when(clash | (F.size(chosen) >= k), chosen).otherwise(F.concat(chosen, F.array(x)))
+
+    ranked = rows.groupBy("session").agg(F.array_sort(F.collect_list(w)).cast(kind).alias("all"))
+    chosen = F.aggregate("all", F.expr(f"cast(array() as {kind})"), take)
+    return ranked.select("session", F.posexplode(chosen).alias("rank", "x")).select("session", (F.col("rank") + 1).cast("long").alias("rank"), "x.start", "x.end", (-F.col("x.s")).alias("score"))
+
+
+def _greedy_rounds(rows: DataFrame, k: int) -> DataFrame:
+    from parlance.tables import materialize
+
     order = F.struct(-F.col("score"), -F.col("speaker_count"), -F.col("speaker_turns"), "start", "end")
     few = rows.select("session").distinct().count() <= 1_000_000
     taken: DataFrame | None = None
     for rank in range(1, k + 1):
         left = rows
-        if taken is not None:
+        if taken is not None:  # at most k a session
             chosen = taken.groupBy("session").agg(F.collect_list(F.struct("start", "end")).alias("chosen"))
             left = rows.join(F.broadcast(chosen) if few else chosen, "session").where(~F.exists("chosen", lambda y: ~((F.col("end") <= y["start"]) | (F.col("start") >= y["end"]))))
         best = left.groupBy("session").agg(F.min_by(F.struct("start", "end", "score"), order).alias("b")).select("session", F.lit(rank).cast("long").alias("rank"), "b.*")

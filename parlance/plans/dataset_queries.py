@@ -151,3 +151,28 @@ def h7_source_chunks(spark, sf):
 def c16_leaks(spark, sf):
     held = table(spark, sf, "part").where("p_partkey % 40 < 3").select(F.concat(F.lit("Session "), (F.col("p_partkey") % 40).cast("string")).alias("session"))
     return D.leaks(A.dataset(spark, sf), held).select("row_id", "session")
+
+
+_KEPT = f"AND ({_REASON}) IS NULL"
+_BALANCED = SQL["g8_balanced"].replace("WHERE label IN ('spk_0', 'spk_1', 'spk_2'))", f"WHERE label IN ('spk_0', 'spk_1', 'spk_2') {_KEPT})")
+
+
+@query(f"""WITH {A.DATASET}, f AS (SELECT * FROM dataset WHERE true {_KEPT}), b AS MATERIALIZED (SELECT row_id, label, source FROM ({_BALANCED})), k AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT 'rejections' AS stage, count(*) AS n FROM (SELECT DISTINCT coalesce({_REASON}, 'kept') FROM dataset) UNION ALL SELECT 'filtered', count(*) FROM f UNION ALL SELECT 'bank_samples', sum(least(n, 20))::BIGINT FROM k UNION ALL SELECT 'balanced', count(*) FROM b
+UNION ALL SELECT 'coverage', count(*) FROM (SELECT DISTINCT domain, label FROM f) UNION ALL SELECT 'breakdown', count(*) FROM (SELECT source, session, label FROM b JOIN dataset USING (row_id, label, source) GROUP BY GROUPING SETS ((source, label), (session, label)))
+UNION ALL SELECT 'training', 2 * (SELECT count(*) FROM b) + (SELECT sum(least(n, 20))::BIGINT FROM k)""")
+def j10_prepared_baseline(spark, sf):
+    """All stages of a baseline, made twice in one folder: the second time only what a changed setting asks for."""
+    from parlance.operators import baseline as P
+    from parlance.tables import new_path
+
+    data = A.dataset(spark, sf)
+    aliases, holdout = spark.createDataFrame([], "key string, value string"), spark.createDataFrame([("Session 99",)], "session string")
+    sources = {"dataset": (data, sf), "bank": (A.bank(spark, sf), sf), "aliases": (aliases, "none"), "holdout": (holdout, "99")}
+    config = {"filter": {"speakers": ["spk_0", "spk_1", "spk_2", "spk_3"], "share": 0.7, "least": 0.8, "most": 4.0}, "balance": {"targets": ["spk_0", "spk_1", "spk_2"], "cap": 100}, "bank": {"most": 20}}
+    folder = new_path(spark, "baseline")
+    P.prepare_baseline(spark, folder, sources, config)
+    tables, built = P.prepare_baseline(spark, folder, sources, {**config, "passes": 2})
+    if built != ["training"]:
+        raise RuntimeError(f"stages were built again that nothing changed for: {built}")
+    return P.stage_sizes(tables, [s.name for s in P.baseline_stages(config)])

@@ -94,3 +94,15 @@ def j5_lda_logreg(spark, sf):
 def j5_lda_knn(spark, sf):
     """Distance-weighted votes of the nearest entries on the discriminant axes."""
     return _trained(spark, sf, "lda_knn")
+
+
+@query()
+def j14_augmented(spark, sf):
+    """Every vector as 64 samples, as it is and under two draws of the heavy profile: loudness and peak."""
+    from parlance.operators.augment import augmented_passes
+    from parlance.session import table
+
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), F.lit(16000).alias("sample_rate"), F.col("embedding").cast("array<float>").alias("samples"))
+    out = augmented_passes(rows, ["row_id"], "heavy", 2)
+    square = F.aggregate("samples", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return out.select("row_id", "pass_index", F.round(F.sqrt(square / F.size("samples")), 5).alias("rms"), F.round(F.array_max(F.transform("samples", F.abs)).cast("double"), 5).alias("peak"))

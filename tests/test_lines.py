@@ -144,7 +144,9 @@ def test_running_values_and_neighbours(spark, parted):
             assert r["back"] == (part[n - 3][2] if n >= 3 else None) and r["ahead"] == (part[n + 2][1] if n + 2 < len(part) else None)
 
 
-def test_greedy_windows_one_after_the_other(spark):
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_greedy_windows_one_after_the_other(spark, monkeypatch, most):
+    monkeypatch.setattr(sequences, "WINDOWS", most)
     r = random.Random(8)
     rows = [(s, float(a), a + 10.0, r.choice([5.0, 6.0, 7.0]), r.randint(1, 3), r.randint(0, 3)) for s in ("hot", "rare") for a in r.sample(range(0, 200, 2), 60 if s == "hot" else 2)]
     got = {}

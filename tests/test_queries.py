@@ -79,5 +79,18 @@ def test_smoothing_equals_plain_steps(spark, duck):
     assert got == want and any(got[k] != s for k, s in ((r[:2], r[4]) for r in rows))
 
 
+def test_augmented_vectors_equal_plain_ones(spark, duck):
+    from parlance.operators import augment
+
+    got = {(r["row_id"], r["pass_index"]): (r["rms"], r["peak"]) for r in QUERIES["j14_augmented"](spark, SF).collect()}
+    x = {i: np.array(v, np.float32) for i, v in duck.sql("select vec_id, embedding from embeddings").fetchall()}
+    assert got.keys() == {(i, p) for i in x for p in range(3)}
+    assert all(abs(got[i, 0][0] - augment.rms(x[i])) < 1e-5 and abs(got[i, 0][1] - np.abs(x[i]).max()) < 1e-5 for i in x)
+    seeds = augment.augmented_passes(spark.createDataFrame([(int(i), 16000, v.tolist()) for i, v in x.items()], "row_id long, sample_rate int, samples array<float>"), ["row_id"], "heavy", 2)
+    for r in seeds.where("pass_index = 2 and row_id % 9 = 0").collect():
+        y = augment.augmented(x[r["row_id"]], 16000, r["seed"], "heavy")
+        assert abs(got[r["row_id"], 2][0] - augment.rms(y)) < 2e-5 and abs(got[r["row_id"], 2][1] - np.abs(y).max()) < 2e-5
+
+
 def test_every_query_is_tested():
-    assert set(QUERIES) - set(SQL) == {"e15_whitened_scores", "f6_smooth_flips", "j5_lda_knn", "j5_lda_logreg", "j5_logreg", "j5_logreg_unbalanced"}
+    assert set(QUERIES) - set(SQL) == {"e15_whitened_scores", "f6_smooth_flips", "j14_augmented", "j5_lda_knn", "j5_lda_logreg", "j5_logreg", "j5_logreg_unbalanced"}
