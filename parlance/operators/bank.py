@@ -115,15 +115,17 @@ def accepted(candidates: DataFrame, threshold: float, margin: float) -> DataFram
 
 
 def _best_others(vectors: DataFrame, bank: DataFrame, cohort: int) -> DataFrame:
-    """id, near: the 2 * cohort best (score, speaker) of each vector, at most cohort of one speaker, in order; the vector's own entry left out.
+    """id, near: the best (score, speaker) of each vector in order, until `cohort` of them lie outside the speaker that is commonest among them; the vector's own entry left out.
 
     Whatever speaker is then left out, the cohort best of the others are still among them. vectors: id, entry (its own, or null), v.
     """
     e = unit_rows(bank).select(F.lit(0).alias("session"), F.col("entry_idx").alias("dst"), "v", F.col("speaker").alias("kind"))
     q = vectors.select(F.lit(0).alias("session"), F.col("id").alias("src"), "v", "entry")
     near = nearest_entries(q, e, cohort).where(~F.col("dst").eqNullSafe(F.col("entry")))
-    first = Window.partitionBy("src").orderBy(F.desc("w"), "dst")
-    near = near.withColumn("r", F.row_number().over(first)).where(F.col("r") <= 2 * cohort)
+    order = [F.desc("w"), F.col("dst")]
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(*order))).withColumn("own", F.row_number().over(Window.partitionBy("src", "kind").orderBy(*order)))
+    before = Window.partitionBy("src").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumn("most", F.coalesce(F.max("own").over(before), F.lit(0))).where(F.col("r") - 1 - F.col("most") < cohort)
     return near.groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("r", F.col("w").alias("s"), "kind"))), lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"))).alias("near"))
 
 
@@ -152,20 +154,32 @@ def normalised_scores(queries: DataFrame, bank: DataFrame, clusters: DataFrame,
     return out.select("session", "seg_idx", "speaker", "raw_score", F.coalesce(z, "raw_score").alias("score"))
 
 
-def _block_nearest(x: np.ndarray, y: np.ndarray, src: np.ndarray, dst: np.ndarray, kind: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, cosine) of the k best columns of each row and kind by (cosine descending, dst); summed component by component, so equal vectors tie."""
+def _block_nearest(x: np.ndarray, y: np.ndarray, src: np.ndarray, dst: np.ndarray, kind: np.ndarray | None, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, cosine) of the best columns of each row by (cosine descending, dst): k of them or, with kinds, until k lie outside the commonest kind; summed component by component, so equal vectors tie."""
     w = np.zeros((len(x), len(y)))
     for i in range(x.shape[1]):
         w += x[:, i, None] * y[None, :, i]
     w[(src[:, None] == dst[None, :]) | ~(w >= least)] = -np.inf
-    rows, cols = [], []
-    for c in np.unique(kind):
-        mine = np.flatnonzero(kind == c)
-        # dst ascends, so a stable sort breaks ties by it
-        best = mine[np.argsort(-w[:, mine], axis=1, kind="stable")[:, :k]]
-        rows.append(np.repeat(np.arange(len(x)), best.shape[1]))
-        cols.append(best.ravel())
-    row, col = np.concatenate(rows), np.concatenate(cols)
+    # dst ascends, so a stable sort breaks ties by it
+    order = np.argsort(-w, axis=1, kind="stable")
+    if kind is None:
+        best = order[:, :k]
+        row, col = np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()
+    else:
+        _, number = np.unique(kind, return_inverse=True)
+        rows, cols = [], []
+        for i, near in enumerate(order):
+            seen: dict[int, int] = {}
+            most = n = 0
+            for c in number[near].tolist():
+                if n - most >= k:
+                    break
+                n += 1
+                seen[c] = seen.get(c, 0) + 1
+                most = max(most, seen[c])
+            rows.append(np.full(n, i))
+            cols.append(near[:n])
+        row, col = np.concatenate(rows), np.concatenate(cols)
     keep = w[row, col] > -np.inf
     return row[keep], col[keep], w[row[keep], col[keep]]
 
@@ -173,9 +187,9 @@ def _block_nearest(x: np.ndarray, y: np.ndarray, src: np.ndarray, dst: np.ndarra
 def nearest_entries(queries: DataFrame, entries: DataFrame, k: int, least: float = -2.0) -> DataFrame:
     """(session, src, dst, w): the k entries of the query's session with the highest cosine, at least `least`; ties to the smaller dst, never to itself.
 
-    queries: session, src, v; entries: session, dst, v; unit vectors. If entries have a kind, k of each kind are found, and kind is returned; a query with
-    a column entry may be that entry, and both are then left to the caller. A task compares one block of queries with one block of entries and
-    keeps k rows a query, so no task holds a session and no list of pairs is written.
+    queries: session, src, v; entries: session, dst, v; unit vectors. If entries have a kind, each block gives the best rows until k lie outside the commonest kind among them (so whatever kind is
+    left out, its k best of the others are there), and kind is returned; a query with a column entry may be that entry, and both are then left to the caller. A task compares one block
+    of queries with one block of entries and keeps a few rows a query, so no task holds a session and no list of pairs is written.
     """
     place, kinds, entry = ["session", "dim"], "kind" in entries.columns, "entry" in queries.columns
     no = F.lit(None).cast("long")
@@ -199,13 +213,14 @@ def nearest_entries(queries: DataFrame, entries: DataFrame, k: int, least: float
         if len(x) and len(y):
             xv, yv = np.stack(x["v"].to_numpy()).astype(float), np.stack(y["v"].to_numpy()).astype(float)
             for at in range(0, len(x), 256):
-                row, col, w = _block_nearest(xv[at : at + 256], yv, itself[at : at + 256], dst, kind, k + entry, least)
+                row, col, w = _block_nearest(xv[at : at + 256], yv, itself[at : at + 256], dst, kind if kinds else None, k + entry, least)
                 out.append(pd.DataFrame({"session": key[0], "src": src[at : at + 256][row], "dst": dst[col], "w": w, "kind": kind[col], "entry": x["entry"].iloc[at : at + 256].to_numpy()[row]}))
         return pd.concat(out) if out else pd.DataFrame({"session": [], "src": [], "dst": [], "w": [], "kind": [], "entry": []})
 
     kind = f"session {q.schema['session'].dataType.simpleString()}, src long, dst long, w double, kind string, entry long"
     found = dealt.groupBy(*place, "qb", "eb").applyInPandas(compare, kind).where(~F.col("dst").eqNullSafe(F.col("entry")))
-    found = found.withColumn("r", F.row_number().over(Window.partitionBy("session", "src", "kind").orderBy(F.desc("w"), "dst"))).where(F.col("r") <= k)
+    if not kinds:
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("session", "src").orderBy(F.desc("w"), "dst"))).where(F.col("r") <= k)
     return found.select("session", "src", "dst", "w", *["kind"] * kinds, *["entry"] * entry)
 
 

@@ -62,7 +62,7 @@ def balanced(dataset: DataFrame, targets: list[str], cap: int = 500) -> DataFram
     cells = cells.withColumn("limit", F.least(F.min("n").over(w), F.lit(max(cap, 1)))).withColumn("labels", F.count("*").over(w)).where(F.col("labels") == len(set(targets)))
     raw = rows.where("source = 'mixed_raw'").groupBy("label").agg(F.count("*").alias("raw"))
     cells = cells.join(raw, "label", "left").withColumn("limit", F.when(F.col("source") == "mixed_aug_total", F.least("limit", F.coalesce("raw", F.lit(0)))).otherwise(F.col("limit")))
-    dealt = rows.join(F.broadcast(cells.select("source", "label", "limit")), ["source", "label"])  # sources times targets
+    dealt = rows.join(cells.select("source", "label", "limit"), ["source", "label"])
     return sample_evenly(dealt, ["source", "label"], ["row_id"], F.col("limit")).drop("limit")
 
 
@@ -75,15 +75,19 @@ def top_pairs(pairs: DataFrame, seeds: list[str], k: int) -> DataFrame:
 
 
 def capped(pool: DataFrame, per_pair: int, style_target: int, per_speaker: int | None, total: int) -> DataFrame:
-    """pool: pair, speaker, weight, is_style, priority, row_id. Per pair and speaker style rows first, then the others; then a cap per speaker, then in all."""
-    best = [F.desc("weight"), "priority", "row_id"]
-    w = Window.partitionBy("pair", "speaker")
-    rows = pool.withColumn("sr", F.when(F.col("is_style"), F.row_number().over(Window.partitionBy("pair", "speaker", "is_style").orderBy(*best))))
-    rows = rows.withColumn("first", F.coalesce(F.col("sr") <= min(style_target, per_pair), F.lit(False)))
-    rows = rows.withColumn("r", F.row_number().over(w.orderBy(F.desc("first"), *best))).where(F.col("r") <= per_pair)
+    """pool: pair, speaker, weight, is_style, priority, row_id. Per pair and speaker style rows first, then the others; then a cap per speaker, then in all.
+
+    Every cap is a top-k that parts of a key take before the key is ordered.
+    """
+    from parlance.operators.bank import top_rows
+
+    best, key, style = [F.desc("weight"), F.col("priority"), F.col("row_id")], ["pair", "speaker"], min(style_target, per_pair)
+    # those that come first and as many more as a pair may have are among the best of a key's style rows and of its others
+    some = top_rows(pool, [*key, "is_style"], best, per_pair + style, "row_id").withColumn("first", F.coalesce(F.col("is_style") & (F.col("place") < style), F.lit(False))).drop("place")
+    rows = some.withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("first"), *best))).where(F.col("r") <= per_pair)
     if per_speaker is not None:
-        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("speaker").orderBy(*best))).where(F.col("r") <= per_speaker)
-    rows = rows.drop("sr", "first", "r")
+        rows = top_rows(rows, ["speaker"], best, per_speaker, "row_id").drop("place")
+    rows = rows.select(pool.columns)
     return rows.orderBy(*best).limit(total) if total > 0 else rows
 
 
@@ -102,7 +106,7 @@ def bank_samples(bank: DataFrame, aliases: DataFrame, most: int) -> DataFrame:
 
     aliases: key (lower case), value; configuration, a short list.
     """
-    known = bank.join(F.broadcast(aliases.select("key", "value")), F.lower("speaker") == F.col("key"), "left")
+    known = bank.join(aliases.select("key", "value"), F.lower("speaker") == F.col("key"), "left")
     rows = known.select("entry_idx", F.coalesce("value", "speaker").alias("label"), "embedding").where("label <> ''")
     return sample_evenly(rows, ["label"], ["entry_idx"], most)
 
@@ -130,6 +134,6 @@ def clean_segments(records: DataFrame, stems: DataFrame, least: float, most: flo
     from parlance.operators.sequences import training_windows
 
     end = F.least("end", F.col("start") + most)
-    rows = records.join(F.broadcast(stems.select("speaker").distinct()), "speaker", "left_semi").withColumn("end", end).where((F.col("end") - F.col("start") >= least) & (F.col("end") > F.col("start")))
+    rows = records.join(stems.select("speaker").distinct(), "speaker", "left_semi").withColumn("end", end).where((F.col("end") - F.col("start") >= least) & (F.col("end") > F.col("start")))
     rows = sample_evenly(rows.select("session", "seg_idx", "speaker", "start", "end"), ["speaker"], ["session", "seg_idx"], per_speaker)
     return rows if size <= 0 else training_windows(rows, least, most, size, stride or size)

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import simplified, stem
 
-#: A mapping is configuration; beyond this many rows it isn't broadcast.
-BROADCAST_ROWS = 100_000
-
 
 def choose_speaker(rows: DataFrame, key: str, name: str, mapping: DataFrame) -> DataFrame:
     """key, speaker: the mapping's value for the name, else its stem.
@@ -21,12 +18,19 @@ def choose_speaker(rows: DataFrame, key: str, name: str, mapping: DataFrame) ->
     base = stem(F.col(name))
     found = F.array(base, F.regexp_extract(base, r"([^-]*)$", 1), F.regexp_replace(base, r"^\d+-", ""))
     m = mapping.select("ord", "key", "value", simplified(F.col("key")).alias("simple"))
-    m = F.broadcast(m) if mapping.count() <= BROADCAST_ROWS else m
     c = rows.select(key, base.alias("stem"), F.posexplode(found).alias("place", "cand")).withColumn("cs", simplified(F.col("cand")))
     exact = (F.col("cand") == F.col("key")) | ((F.col("cs") == F.col("simple")) & (F.col("cs") != ""))
     long = lambda x: (F.length(x) >= 3) & x.rlike("[a-z]")
     part = long(F.col("simple")) & long(F.col("cs")) & (F.contains("cs", "simple") | F.contains("simple", "cs"))
-    hits = c.join(m, exact | part).select(key, "value", F.struct(F.when(exact, 1).otherwise(2).alias("pass"), "place", "ord").alias("o"))
+    # every kind of hit has an equal key: the name, the simplified name, or the last three characters of the one that the other holds
+    grams = lambda x: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 2), lambda i: F.substr(x, i, F.lit(3)))))
+    end = lambda df, x: df.where(long(F.col(x))).withColumn("_k", F.right(x, F.lit(3)))
+    all_ = lambda df, x: df.where(long(F.col(x))).withColumn("_k", grams(F.col(x)))
+    ways = [(c.withColumn("_k", F.col("cand")), m.withColumn("_k", F.col("key"))), (c.withColumn("_k", F.col("cs")), m.withColumn("_k", F.col("simple"))), (all_(c, "cs"), end(m, "simple")), (end(c, "cs"), all_(m, "simple"))]
+    hits = None
+    for x, y in ways:
+        met = x.join(y, "_k").where(exact | part).select(x[key], "value", F.struct(F.when(exact, 1).otherwise(2).alias("pass"), "place", "ord").alias("o"))
+        hits = met if hits is None else hits.unionByName(met)
     best = hits.groupBy(key).agg(F.min_by("value", "o").alias("value"))
     return rows.select(key, base.alias("stem")).join(best, key, "left").select(key, F.coalesce("value", "stem").alias("speaker"))
 

@@ -45,7 +45,7 @@ def hard_candidates(pool: DataFrame, pairs: DataFrame, least_share: float = 0.55
     c = F.col
     rows = pool.withColumns({"speaker": F.trim("speaker"), "second_speaker": F.trim("second_speaker"), "dominant_share": F.coalesce("dominant_share", F.lit(0.0))})
     rows = rows.where(valid_label(c("speaker")) & valid_label(c("second_speaker")) & F.trim("rejection").isin(*HARD_REASONS) & (c("dominant_share") >= least_share))
-    rows = rows.withColumn("pair", pair_key(c("speaker"), c("second_speaker"))).join(F.broadcast(pairs.select("pair").distinct()), "pair", "left_semi")  # tracked pairs are configuration
+    rows = rows.withColumn("pair", pair_key(c("speaker"), c("second_speaker"))).join(pairs.select("pair").distinct(), "pair", "left_semi")
     return rows.withColumns({"partner": partner(c("pair"), c("speaker")), "selection_reason": F.concat(F.lit("mixed_rejection_"), F.trim("rejection"))})
 
 
@@ -54,6 +54,6 @@ def hard_negatives(pool: DataFrame, weights: DataFrame, wanted: str, least_share
 
     weights: pair, weight. row_id breaks ties.
     """
-    rows = hard_candidates(pool, weights, least_share).join(F.broadcast(weights.select("pair", "weight")), "pair")
+    rows = hard_candidates(pool, weights, least_share).join(weights.select("pair", "weight"), "pair")
     style = F.coalesce(F.col("style_profile") == wanted, F.lit(False))
     return capped(rows.withColumns({"is_style": style, "priority": F.when(style, 0).otherwise(1)}), per_pair, style_target, per_speaker, total)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parlance.sources.readers import SEGMENT
+from parlance.tables import materialize
 
 METRIC = "timestamp timestamp, stage string, status string, session string, elapsed_seconds double, rss_bytes long"
 
@@ -75,7 +76,7 @@ def watch_step(spark: SparkSession, files: DataFrame, status: str, transcripts:
     ready, _ = stable(candidate_media(files), now, seconds)
     known = already_done(ready.select("path"), transcripts).select("path", F.lit(True).alias("has_transcript"))
     tasks = pending(ready.select("path").join(known, "path", "left").fillna(False, ["has_transcript"]), states(spark, status), backfill)
-    tasks = spark.createDataFrame(tasks.collect(), tasks.schema)  # a listing of new files; its tasks are fixed before work changes the status
+    tasks = materialize(tasks, "tasks")  # fixed before work changes the status
     for task, work in (("transcribe", transcribe), ("postprocess", postprocess)):
         some = tasks.where(F.col("task") == task)
         if not some.isEmpty():
