@@ -170,3 +170,27 @@ def test_grid_equals_each_point_by_itself(spark):
             taken += who is not None
             right += who == actual
         assert got[p, th, m, n] == (200, taken, right), (p, th, m, n)
+
+
+def test_from_tracks_to_a_classifier(spark, tmp_path):
+    """Segments of speakers with a track are cut, embedded by a stub, balanced and learned from; held-out sessions never come near."""
+    from parlance.operators import training
+
+    rows = [("s1" if i % 3 else "s2", i, 10.0 * i, 10.0 * i + (0.5 if i % 10 == 0 else 4.0 + i % 5), "ABX"[i % 3 if i % 7 else 0]) for i in range(90)] + [("held", 200 + i, 0.0, 5.0, "A") for i in range(5)]
+    records = spark.createDataFrame(rows, "session string, seg_idx long, start double, end double, speaker string")
+    stems = spark.createDataFrame([("A", 1.0), ("B", -1.0)], "speaker string, side double")
+    holdout = spark.createDataFrame([("held",)], "session string")
+
+    def embed(batches):
+        for b in batches:
+            yield b.assign(embedding=[[s, 0.01 * (t % 7)] for s, t in zip(b["side"], b["start"], strict=True)])
+
+    path = f"file://{tmp_path}/model"
+    fitted, data = training.train_from_tracks(records, stems, embed, path, holdout, targets=["A", "B"], cap=10, dataset_options={"least": 1.0, "size": 2.0, "stride": 2.0})
+    got = data.collect()
+    assert {r["label"] for r in got} == {"A", "B"} and sum(r["label"] == "A" for r in got) == sum(r["label"] == "B" for r in got) == 10
+    assert all(r["session"] != "held" and r["duration"] >= 1.0 - 1e-9 and r["source"] == "multitrack" for r in got) and len({r["row_id"] for r in got}) == 20
+    assert fitted.summary["train_accuracy"] == 1.0 and C.load_classifier(spark, path).summary == fitted.summary
+    more = spark.createDataFrame([(1, "C", "held", [0.0, 1.0]), (2, "C", "s9", [0.0, 1.0])], "row_id long, label string, session string, embedding array<double>")
+    fitted, data = training.train_from_tracks(records, stems, embed, path, holdout, more, model="knn", dataset_options={"least": 1.0})
+    assert fitted.labels == ["A", "B", "C"] and [r["session"] for r in data.where("label = 'C'").collect()] == ["s9"]
