@@ -102,8 +102,8 @@ def set_state(spark, path: str, inputs: DataFrame, state: str) -> None:
     inputs.select("path", F.lit(state).alias("state"), F.current_timestamp().alias("at")).write.mode("append").parquet(path)
 
 
-def states(spark, path: str) -> DataFrame:
-    """path, state: the latest state of each input; none where nothing was written yet."""
+def states(spark, path: str, without: tuple[str, ...] = ()) -> DataFrame:
+    """path, state: the latest state of each input, but for those named; none where nothing was written yet."""
     try:
         rows = spark.read.schema("path string, state string, at timestamp").parquet(path)
         rows.isEmpty()
@@ -111,6 +111,7 @@ def states(spark, path: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         rows = spark.createDataFrame([], "path string, state string, at timestamp")
+    rows = rows.where(~F.col("state").isin(*without)) if without else rows
     return rows.groupBy("path").agg(F.max_by("state", "at").alias("state"))
 
 

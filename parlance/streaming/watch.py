@@ -67,19 +67,47 @@ def stage_alarms(metrics: DataFrame, most_seconds: float, most_bytes: int) -> Da
 def watch_step(spark: SparkSession, files: DataFrame, status: str, transcripts: DataFrame, transcribe: Callable[[DataFrame], None], postprocess: Callable[[DataFrame], None], now, seconds: float = 5.0, backfill: bool = False) -> DataFrame:
     """One look at a watched folder: files that are old enough are routed by the status table, worked on and marked; returns path and task.
 
-    files: path, modificationTime. Files too young, and those whose work fails, keep their state and come up again next time. Call it from
-    foreachBatch with the batch's listing, or on a schedule.
+    files: path, modificationTime. Files too young keep their state and come up again next time, as do those whose work fails: they are marked as failed, and the error is raised once all
+    kinds of work have had their turn. Call it from foreachBatch with the batch's listing, or on a schedule.
     """
     from parlance.operators.discovery import already_done, candidate_media
     from parlance.sources.writers import set_state, states
 
     ready, _ = stable(candidate_media(files), now, seconds)
     known = already_done(ready.select("path"), transcripts).select("path", F.lit(True).alias("has_transcript"))
-    tasks = pending(ready.select("path").join(known, "path", "left").fillna(False, ["has_transcript"]), states(spark, status), backfill)
+    told = states(spark, status, without=("failed", "started"))  # a failure leaves what a file had before
+    tasks = pending(ready.select("path").join(known, "path", "left").fillna(False, ["has_transcript"]), told, backfill)
     tasks = materialize(tasks, "tasks")  # fixed before work changes the status
+    failed: list[Exception] = []
     for task, work in (("transcribe", transcribe), ("postprocess", postprocess)):
         some = tasks.where(F.col("task") == task)
         if not some.isEmpty():
-            work(some.select("path"))
-            set_state(spark, status, some, "transcribed" if task == "transcribe" else "completed")
+            try:
+                work(some.select("path"))
+            except Exception as e:
+                set_state(spark, status, some, "failed")
+                failed.append(e)
+            else:
+                set_state(spark, status, some, "transcribed" if task == "transcribe" else "completed")
+    if failed:
+        raise failed[0]
     return tasks
+
+
+def archive_step(spark: SparkSession, files: DataFrame, status: str, root: str, most_failures: int = 3) -> DataFrame:
+    """path, target, outcome: completed inputs and what belongs to them go to root/processed, those that failed too often to root/quarantine; names that are taken are left.
+
+    files: a listing of root, the two folders included. A step that is cut short is finished by the next: what is gone already isn't there to be moved.
+    """
+    from parlance.operators.discovery import bundle_moves, failing, moved
+    from parlance.sources.writers import states
+
+    there = files.select("path").distinct()
+    inside = lambda name: there.where(F.col("path").startswith(f"{root.rstrip('/')}/{name}/"))
+    open_ = there.join(inside("processed"), "path", "left_anti").join(inside("quarantine"), "path", "left_anti")
+    done = states(spark, status).where("state = 'completed'").select("path").join(open_, "path", "left_semi")
+    history = spark.read.schema("path string, state string, at timestamp").parquet(status)
+    bad = failing(history, most_failures).select("path").join(open_, "path", "left_semi")
+    plans = [bundle_moves(some, open_, inside(name), f"{root.rstrip('/')}/{name}") for some, name in ((done, "processed"), (bad, "quarantine"))]
+    plan = materialize(plans[0].unionByName(plans[1]), "moves")  # the moves are fixed before the first file moves
+    return materialize(moved(plan), "moved")

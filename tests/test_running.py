@@ -249,3 +249,45 @@ def test_transcripts_whose_names_hold_the_source(spark):
     assert got == {"in/foo bar.zip": ("t/foo_bar/test foo_bar.txt", 20.0 + 120 + 30 + 20 - 20), "in/Ab.zip": ("t/xaby/zab.jsonl", 90.0), "in/session 12.zip": ("t/a/session 12.txt", 20.0 + 200 + 100 + 30)}
     alone = discovery.transcript_of(sources.limit(1), files.where("path like 't/my%'")).first()
     assert alone["points"] == 90.0
+
+
+def test_watched_folder_from_arrival_to_archive(spark, tmp_path):
+    """One file is done and archived with its companion, one fails three times and goes to quarantine, one is too young."""
+    import datetime
+
+    root = tmp_path / "in"
+    now = datetime.datetime(2024, 1, 1, 12, 0, 0)
+    for f in ("good 1.zip", "good 1.json", "bad.wav", "young.wav"):
+        root.mkdir(exist_ok=True)
+        (root / f).write_text(f)
+
+    def listing():
+        rows = [(str(p), now + datetime.timedelta(seconds=0 if p.name == "young.wav" else -60)) for p in root.rglob("*") if p.is_file()]
+        return spark.createDataFrame(rows, "path string, modificationTime timestamp")
+
+    status, worked, none = f"file://{tmp_path}/status", [], spark.createDataFrame([], "path string")
+
+    def transcribe(paths):
+        worked.extend(r["path"].rsplit("/", 1)[1] for r in paths.collect())
+        if any(w == "bad.wav" for w in worked[-paths.count() :]):
+            raise RuntimeError("cannot decode")
+
+    step = lambda only, out: watch.watch_step(spark, listing().where(F.col("path").like(f"%{only}%")), status, out, transcribe, lambda paths: None, now, backfill=True)
+    assert [r["task"] for r in step("good", none).collect()] == ["transcribe"]
+    text = spark.createDataFrame([(f"{tmp_path}/out/good 1.txt",)], "path string")
+    assert [r["task"] for r in step("good", text).collect()] == ["postprocess"]
+    for _ in range(3):
+        with pytest.raises(RuntimeError, match="decode"):
+            step("bad", none)
+    assert step("young", none).count() == 0 and worked == ["good 1.zip", "bad.wav", "bad.wav", "bad.wav"]
+    from parlance.sources.writers import set_state, states
+
+    # a file that fails after it was transcribed is still to be postprocessed, not to be skipped
+    one = spark.createDataFrame([("z.wav",)], "path string")
+    set_state(spark, status, one, "transcribed")
+    set_state(spark, status, one, "failed")
+    assert {r["path"]: r["state"] for r in states(spark, status, without=("failed",)).collect()}["z.wav"] == "transcribed"
+    got = {(r["path"].rsplit("/", 1)[1], r["target"].replace(str(root), ""), r["outcome"]) for r in watch.archive_step(spark, listing(), status, str(root)).collect()}
+    assert got == {("good 1.zip", "/processed/good 1.zip", "moved"), ("good 1.json", "/processed/good 1.json", "moved"), ("bad.wav", "/quarantine/bad.wav", "moved")}
+    assert sorted(str(p.relative_to(root)) for p in root.rglob("*") if p.is_file()) == ["processed/good 1.json", "processed/good 1.zip", "quarantine/bad.wav", "young.wav"]
+    assert watch.archive_step(spark, listing(), status, str(root)).count() == 0
