@@ -67,7 +67,7 @@ def bank_scores(queries: DataFrame, clusters: DataFrame, radius: float = 2.5, ex
     Every query meets every cluster: that is the operator. The cluster side is a few rows per speaker and is broadcast after its size
     is checked, or copied to parts of the queries. A cluster is known by its centroid and, with examples (prototypes()), by those entries too; a query never meets itself
     among them. Queries with a column own_cluster, the cluster_id of the entry that they are, or own, its speaker (of one cluster), meet that cluster without themselves.
-    Equal scores go to the centroid, then to the nearer prototype, then to the first cluster_id.
+    Equal scores of a speaker go to the centroid, then to the nearer prototype, then to the first cluster_id; speakers of equal scores stand in the order of the bank.
     """
     own, of = next(((c, of) for c, of in (("own_cluster", "cluster_id"), ("own", "speaker")) if c in queries.columns), (None, None))
     q = unit_rows(queries).select("session", "seg_idx", "v", *[own] * bool(own))
@@ -87,7 +87,9 @@ def bank_scores(queries: DataFrame, clusters: DataFrame, radius: float = 2.5, ex
     inside = (F.col("variance") <= 0) | (far <= F.greatest(F.sqrt("variance") * radius, F.lit(1e-4)))
     scored = met.withColumn("distance", far).where(inside).withColumn("score", dot(F.col("v"), F.col("w")))
     best = scored.groupBy("session", "seg_idx", "speaker").agg(F.min_by(F.struct("score", "distance", "variance", "place", "cluster_id"), F.struct(-F.col("score"), "place", "cluster_id")).alias("b"))
-    rank = F.row_number().over(Window.partitionBy("session", "seg_idx").orderBy(F.desc("b.score"), "speaker"))
+    first = clusters.groupBy("speaker").agg(F.min("first_entry").alias("first_entry")) if "first_entry" in clusters.columns else None
+    best = best.withColumn("first_entry", F.lit(0)) if first is None else best.join(first, "speaker", "left")
+    rank = F.row_number().over(Window.partitionBy("session", "seg_idx").orderBy(F.desc("b.score"), "first_entry", "speaker"))
     source = F.when(F.col("b.place") < 0, "centroid").otherwise("prototype")
     return best.select("session", "seg_idx", rank.cast("long").alias("rank"), "speaker", "b.score", "b.distance", source.alias("source"), "b.cluster_id")
 

@@ -109,11 +109,12 @@ def members(bank: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
 
 def clusters_of(rows: DataFrame) -> DataFrame:
-    """speaker, cluster_id, centroid (unit mean), variance (mean squared distance to it), members. rows: of members()."""
+    """speaker, cluster_id, centroid (unit mean), variance (mean squared distance to it), members, first_entry (the speaker's). rows: of members()."""
     key = ["speaker", "cluster_id"]
     centres = mean_vectors(rows, key, "v")
     spread = rows.join(centres, key).groupBy(*key).agg(F.avg(F.pow(distance(F.col("v"), F.col("centroid")), 2)).alias("variance"), F.count("*").alias("members"))
-    return centres.join(spread, key)
+    order = rows.groupBy("speaker").agg(F.min("entry_idx").cast("long").alias("first_entry"))
+    return centres.join(spread, key).join(order, "speaker")
 
 
 def _assigned(rows: DataFrame, centres: DataFrame) -> DataFrame:

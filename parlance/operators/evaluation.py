@@ -101,10 +101,10 @@ def evaluate(reference: DataFrame, predicted: DataFrame, window: float, toleranc
 
 def cut(rows: DataFrame, windows: DataFrame) -> DataFrame:
     """rows (session, start, end, ...) that lie in a window (session, name, start, end) for more than a moment, once for each, with its name in place of the session."""
-    from parlance.operators.intervals import range_join
+    from parlance.operators.intervals import range_join, touches
 
     fields = [c for c in rows.columns if c != "session"]
-    met = range_join(windows.select("session", "start", "end", "name"), rows, ["session"], 60.0).where((F.col("r_end") > F.col("start")) & (F.col("r_start") < F.col("end")))
+    met = range_join(windows.select("session", "start", "end", "name"), rows, ["session"], 60.0).where(touches(F.col("r_start"), F.col("r_end"), F.col("start"), F.col("end")))
     return met.select(F.col("name").alias("session"), *[F.col(f"r_{c}").alias(c) for c in fields])
 
 

@@ -64,10 +64,10 @@ def stem_power(turns: DataFrame, frames: DataFrame, width: float = 30.0) -> Data
 
     turns: session, seg_idx, start, end; frames: session, stem, start, end, power.
     """
-    from parlance.operators.intervals import range_join
+    from parlance.operators.intervals import range_join, touches
 
     pairs = range_join(turns.select("session", "seg_idx", "start", "end"), frames, ["session"], width)
-    pairs = pairs.where((F.col("r_end") > F.col("start")) & (F.col("r_start") < F.col("end")))
+    pairs = pairs.where(touches(F.col("r_start"), F.col("r_end"), F.col("start"), F.col("end")))
     by = pairs.groupBy("session", "seg_idx", "r_stem").agg(F.avg("r_power").alias("power"))
     r = F.row_number().over(Window.partitionBy("session", "seg_idx").orderBy(F.desc("power"), "r_stem"))
     by = by.withColumn("r", r)

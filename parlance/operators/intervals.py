@@ -15,6 +15,11 @@ def overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> C
     return F.greatest(F.lit(0.0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
 
 
+def touches(start: Column, end: Column, window_start: Column, window_end: Column) -> Column:
+    """Whether an interval shares more than an edge with a window."""
+    return (end > window_start) & (start < window_end)
+
+
 def bucketed(df: DataFrame, start: Column, end: Column, width: float) -> DataFrame:
     """A row per time bucket that [start, end] touches."""
     return df.withColumn("bucket", F.explode(F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width))))

@@ -8,7 +8,7 @@ from parlance.sources.readers import missing
 from parlance.tables import replace
 
 ENTRIES = "entry_idx long, speaker string, embedding array<double>"
-CLUSTERS = "speaker string, cluster_id string, centroid array<double>, variance double, members long"
+CLUSTERS = "speaker string, cluster_id string, centroid array<double>, variance double, members long, first_entry long"
 PROTOTYPES = "speaker string, cluster_id string, place long, entry_idx long, v array<double>, variance double"
 
 

@@ -22,7 +22,8 @@ def srt_blocks(segments: DataFrame) -> DataFrame:
 
 def write_srt(segments: DataFrame, path: str) -> None:
     """One folder per file, blocks in order."""
-    srt_blocks(segments).repartition("file").sortWithinPartitions("file", "idx").select("file", "block").write.partitionBy("file").mode("overwrite").text(path)
+    rows = srt_blocks(segments).repartition("file").sortWithinPartitions("file", "idx").select("file", "block")
+    replace(segments.sparkSession, path, lambda folder: rows.write.partitionBy("file").text(folder))
 
 
 def transcript_lines(segments: DataFrame) -> DataFrame:
@@ -31,11 +32,13 @@ def transcript_lines(segments: DataFrame) -> DataFrame:
 
 
 def write_transcript(segments: DataFrame, path: str) -> None:
-    transcript_lines(segments).repartition("file").sortWithinPartitions("file", "start").select("file", F.col("line").alias("value")).write.partitionBy("file").mode("overwrite").text(path)
+    rows = transcript_lines(segments).repartition("file").sortWithinPartitions("file", "start").select("file", F.col("line").alias("value"))
+    replace(segments.sparkSession, path, lambda folder: rows.write.partitionBy("file").text(folder))
 
 
 def write_jsonl(segments: DataFrame, path: str) -> None:
-    segments.repartition("file").sortWithinPartitions("file", "start").write.partitionBy("file").mode("overwrite").json(path)
+    rows = segments.repartition("file").sortWithinPartitions("file", "start")
+    replace(segments.sparkSession, path, lambda folder: rows.write.partitionBy("file").json(folder))
 
 
 def write_dataset(dataset: DataFrame, path: str) -> None:
@@ -77,7 +80,8 @@ def save_outputs(segments: DataFrame, path: str, turns: DataFrame | None = None,
     write_jsonl(segments, f"{path}/jsonl")
     for name, table in (("diarization", turns), ("exclusive_diarization", exclusive)):
         if table is not None:
-            diarization_json(table).select("session", F.col("json").alias("value")).write.partitionBy("session").mode("overwrite").text(f"{path}/{name}")
+            rows = diarization_json(table).select("session", F.col("json").alias("value"))
+            replace(segments.sparkSession, f"{path}/{name}", lambda folder, rows=rows: rows.write.partitionBy("session").text(folder))
 
 
 def match_report(candidates: DataFrame, matches: DataFrame) -> DataFrame:

@@ -86,3 +86,25 @@ def test_session_from_windows_to_report(spark):
     pure = {(r["session"], r["seg_idx"]): r["stem"] for r in out["purity"].collect()}
     assert pure and all(stem == ("A" if (i // 4) % 2 == 0 else "B") for (_, i), stem in pure.items())
     assert out["segments"].count() == out["purity"].count() and "delta" in out["pairs"].columns
+
+
+def test_settings():
+    from parlance.functions import config
+
+    assert config.merged({"a": {"x": 1, "y": {"z": 2}}, "b": 3}, {"a": {"y": {"w": 4}}, "b": {"c": 5}}) == {"a": {"x": 1, "y": {"z": 2, "w": 4}}, "b": {"c": 5}}
+    caps = config.pair_caps([{"pair": ["B ", "A"], "value": "3"}, {"pair": ["A"], "value": 1}, {"pair": ["", "C"], "value": 1}, {"value": 2}, {"pair": ["C", "A"], "value": 4}])
+    assert caps == {"A::B": 3, "A::C": 4} and config.cap_items(caps) == [{"pair": ["A", "B"], "value": 3}, {"pair": ["A", "C"], "value": 4}] and config.pair_caps(config.cap_items(caps)) == caps
+    name = config.profile_name("run", "Phase 2!", "--", "/x")
+    assert name.startswith("run_phase_2_experiment_") and name != config.profile_name("run", "Phase 2!", "--", "/y")
+    g = config.graph_of({"session_graph": {"enabled": True, "knn": 5.0, "alpha": 0.5, "pair_overrides": {"A::B": {"override_min_delta": 1}, "C::D": {"same_top1_weight": 2}}}}, {"session_graph": {"alpha": 0.7, "pair_overrides": {"B::A": {"override_min_margin": 3}}}})
+    assert (g.knn, g.alpha) == (5, 0.7) and g.pairs == {"A::B": {"override_min_margin": 3.0}, "C::D": {"same_top1_weight": 2.0}}
+    with pytest.raises(ValueError, match="unknown settings"):
+        config.graph_of({"session_graph": {"nothing": 1}})
+
+
+def test_equal_scores_stand_in_the_order_of_the_bank(spark):
+    from parlance.operators import bank
+
+    b = spark.createDataFrame([(5, "A", [0.0, 1.0]), (3, "Z", [0.0, 2.0]), (9, "M", [1.0, 0.0])], "entry_idx long, speaker string, embedding array<double>")
+    q = spark.createDataFrame([("s", 0, [0.1, 1.0])], "session string, seg_idx long, embedding array<double>")
+    assert [r["speaker"] for r in bank.bank_scores(q, bank.clusters_by_speaker(b), 1e9).orderBy("rank").collect()] == ["Z", "A", "M"]
