@@ -196,7 +196,19 @@ def d7_adjacent_pairs(spark, sf):
     return s.where("next_idx is not null and gap <= 2").select("session", "seg_idx", "next_idx", F.round(temporal_weight(F.col("gap")), 9).alias("weight"))
 
 
-@query()
+def _flips(size: int, of: str) -> str:
+    """Places that fit, on the speakers of table `of`; of those the first, then always the next that lies more than size places on (what is between is unfit once that is done); and the speakers after it."""
+    inner = range(size)
+    at = lambda c, j: c if j == 0 else f"lag({c}) OVER w" if j < 0 else f"lead({c}, {j}) OVER w"
+    gaps = " AND ".join(f"{at('start', j + 1)} - {at(chr(34) + 'end' + chr(34), j)} <= 1e6" for j in range(-1, size))
+    fits = " AND ".join([f"{at('who', -1)} = {at('who', size)}", f"{at('who', -1)} NOT IN ('', 'unknown')", gaps, *(f"{at('who', j)} IS DISTINCT FROM {at('who', -1)} AND {at('weak', j)}" for j in inner), " + ".join(f"{at(chr(34) + 'end' + chr(34), j)} - {at('start', j)}" for j in inner) + " <= 60"])
+    return f"""c{size} AS MATERIALIZED (SELECT session, i, l FROM (SELECT session, i, {at('who', -1)} AS l, {fits} AS fits FROM {of} WINDOW w AS (PARTITION BY session ORDER BY i)) WHERE fits),
+p{size} AS (SELECT session, min(i) AS i FROM c{size} GROUP BY session UNION ALL SELECT p.session, min(c.i) AS i FROM p{size} p JOIN c{size} c ON c.session = p.session AND c.i > p.i + {size} GROUP BY p.session),
+n{size} AS MATERIALIZED (SELECT o.* REPLACE (coalesce(t.l, o.who) AS who) FROM {of} o LEFT JOIN (SELECT c.session, c.i + unnest(range({size})) AS i, l FROM c{size} c SEMI JOIN p{size} p USING (session, i)) t ON t.session = o.session AND t.i = o.i)"""
+
+
+@query(f"""WITH RECURSIVE {A.SEGMENTS}, o AS MATERIALIZED (SELECT session, seg_idx, start, "end", speaker, speaker AS who, seg_idx % 4 <> 0 AS weak, row_number() OVER (PARTITION BY session ORDER BY start, "end", seg_idx) AS i FROM segments),
+{_flips(2, 'o')}, {_flips(1, 'n2')} SELECT session, seg_idx, speaker, who AS smoothed FROM n1""")
 def f6_smooth_flips(spark, sf):
     from parlance.operators.attribution import smooth_flips
 
