@@ -13,7 +13,7 @@ Nodes that share a signature are candidates. Two rounds compare each with one ps
 still holds several components, in blocks of bounded size, and compares the sketches of its members within the block; only
 pairs of two components that a sketch can't reject leave it, and are compared on whole sets. A sketch (parities of hashed
 shingles) bounds the symmetric difference from below. So every candidate pair between components is
-examined, whatever the rounds before found, no pairs of a group are listed, and the components are exact.
+examined, whatever the rounds before found, and the components are exact. Of a group only the pairs of different components that their sketches can't tell apart from links are listed.
 
 Words, shingles and sets are known by 64-bit hashes (a chance of about 3e-20 for each pair of different ones).
 
