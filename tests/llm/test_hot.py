@@ -42,16 +42,17 @@ def test_one_url_of_most_pages(spark):
 
 @pytest.mark.parametrize("label", [0, 1])
 def test_toxicity_of_one_label(spark, label):
-    """Labels that say the same of every row teach that, and nothing breaks."""
+    """Labels that say the same of every row can't tell words apart: the weights stay those that the grammar begins with."""
     from pyspark.sql import functions as F
 
-    from parlance.llm.toxicity import score_toxicity
+    from parlance.llm.toxicity import PRIOR, fit, score_toxicity
 
     docs = spark.createDataFrame([(i, f"you are a {'fool' if i % 2 else 'friend'} of number {i}") for i in range(80)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, label) for i in range(80)], "doc_id long, quality int, toxic int")
     got = score_toxicity(docs, labels, F.lit(False)).collect()
     assert len(got) == 80 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
-    assert all(r["score"] > 0.5 for r in got) if label else all(r["score"] < 0.5 for r in got)
+    assert (fit(docs, labels, F.lit(False)).weights == PRIOR).all()
+    assert min(r["score"] for r in got if r["doc_id"] % 2) > max(r["score"] for r in got if r["doc_id"] % 2 == 0)
 
 
 def test_links_of_embeddings_are_all_found(spark):
@@ -84,7 +85,7 @@ def test_strata_without_broadcasts(spark):
     from parlance.llm.quality import quality_rules
 
     r = random.Random(5)
-    docs = spark.createDataFrame([(i, ("word " * 70 if i % 3 else "$$$ !!! " * 40) + str(r.random()), f"lang{i % 40}") for i in range(1600)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(70)) if i % 3 else " ".join(f"$$${j} !!!{r.random()}" for j in range(40)), f"lang{i % 40}") for i in range(1600)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(1600)], "doc_id long, quality int, toxic int")
     text = lambda: sorted(map(str, quality_rules(docs, labels).collect()))
     before, old = text(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
