@@ -85,8 +85,8 @@ def test_strata_without_broadcasts(spark):
     from parlance.llm.quality import quality_rules
 
     r = random.Random(5)
-    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(70)) if i % 3 else " ".join(f"$$${j} !!!{r.random()}" for j in range(40)), f"lang{i % 40}") for i in range(1600)], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(1600)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(70)) if i % 3 else " ".join(f"$$${j} !!!{r.random()}" for j in range(40)), f"lang{i // 3 % 3 if i % 100 else i}") for i in range(12_000)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1 if i % 3 else 0, 0) for i in range(12_000)], "doc_id long, quality int, toxic int")
     text = lambda: sorted(map(str, quality_rules(docs, labels).collect()))
     before, old = text(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
