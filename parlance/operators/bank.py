@@ -36,7 +36,6 @@ def _small(df: DataFrame) -> DataFrame | None:
 def _meet(queries: DataFrame, clusters: DataFrame, also: Column | None = None, salts: int = 256) -> DataFrame:
     """Every query beside every cluster of its length: by a broadcast of the clusters or, where they are too many, by `salts` parts of the queries
     that each meet a copy of them (the length alone would be one key for all rows)."""
-    clusters = materialize(clusters, "clusters")  # made once, though it is counted and joined
     fits = F.size("v") == F.size("centroid")
     fits = fits if also is None else fits & also
     small = _small(clusters)
@@ -71,6 +70,7 @@ def bank_scores(queries: DataFrame, clusters: DataFrame, radius: float = 2.5, ex
     """
     own, of = next(((c, of) for c, of in (("own_cluster", "cluster_id"), ("own", "speaker")) if c in queries.columns), (None, None))
     q = unit_rows(queries).select("session", "seg_idx", "v", *[own] * bool(own))
+    clusters = materialize(clusters, "clusters")  # made once, though they are counted, joined and put in order
     pairs = _meet(q, clusters.select("speaker", "cluster_id", "centroid", "variance", *["members"] * bool(own)))
     if own:
         # the members are unit vectors, so their sum's length follows from the variance, and the others' variance from their sum's length
@@ -80,7 +80,7 @@ def bank_scores(queries: DataFrame, clusters: DataFrame, radius: float = 2.5, ex
         pairs = pairs.withColumn("centroid", F.when(mine, unit(F.col("others"))).otherwise(F.col("centroid")))
     met = pairs.select("session", "seg_idx", "speaker", "cluster_id", "v", F.col("centroid").alias("w"), "variance", F.lit(-1).cast("long").alias("place"))
     if examples is not None:
-        e = examples.select("speaker", "cluster_id", "place", "entry_idx", F.col("v").alias("centroid"), "variance")
+        e = materialize(examples.select("speaker", "cluster_id", "place", "entry_idx", F.col("v").alias("centroid"), "variance"), "examples")
         near = _meet(q, e, F.col("seg_idx") != F.col("entry_idx"))
         met = met.unionByName(near.select("session", "seg_idx", "speaker", "cluster_id", "v", F.col("centroid").alias("w"), "variance", "place"))
     far = distance(F.col("v"), F.col("w"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.operators.sequences import sample_evenly
+from parlance.tables import materialize
 
 
 def dataset_rejection(speakers: list[str] | None = None, sources: list[str] | None = None, share: float | None = None, active: int | None = None, least: float | None = None, most: float | None = None) -> Column:
@@ -62,7 +63,8 @@ def balanced(dataset: DataFrame, targets: list[str], cap: int = 500) -> DataFram
     cells = cells.withColumn("limit", F.least(F.min("n").over(w), F.lit(max(cap, 1)))).withColumn("labels", F.count("*").over(w)).where(F.col("labels") == len(set(targets)))
     raw = rows.where("source = 'mixed_raw'").groupBy("label").agg(F.count("*").alias("raw"))
     cells = cells.join(raw, "label", "left").withColumn("limit", F.when(F.col("source") == "mixed_aug_total", F.least("limit", F.coalesce("raw", F.lit(0)))).otherwise(F.col("limit")))
-    dealt = rows.join(cells.select("source", "label", "limit"), ["source", "label"])
+    cells = materialize(cells.select("source", "label", "limit"), "cells")
+    dealt = rows.join(F.broadcast(cells) if cells.count() <= 1_000_000 else cells, ["source", "label"])
     return sample_evenly(dealt, ["source", "label"], ["row_id"], F.col("limit")).drop("limit")
 
 
