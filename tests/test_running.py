@@ -251,6 +251,21 @@ def test_transcripts_whose_names_hold_the_source(spark):
     assert alone["points"] == 90.0
 
 
+def test_transcripts_of_many_alike_names_are_few_pairs(spark, monkeypatch):
+    """4,000 sources and 4,000 transcripts of one session and with one ending: a pair of each with each would be 16 million."""
+    sources = spark.range(4000).select(F.concat(F.lit("in/session 7 take "), "id", F.lit(" 1_3.zip")).alias("source"))
+    files = spark.range(4000).select(F.concat(F.lit("out/x/session 7 take "), "id", F.lit(" 1_3"), F.when(F.col("id") % 2 == 0, ".txt").otherwise(" x.txt")).alias("path"))
+    points, pairs = discovery.likeness, spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: pairs.add(1), "double")
+    monkeypatch.setattr(discovery, "likeness", lambda path, wanted: points(path, wanted) + F.coalesce(count(path), F.lit(0.0)))
+    for most in (100_000, 0):  # by beginnings and lengths of names, and by lengths alone
+        monkeypatch.setattr(discovery, "BROADCAST_HEADS", most)
+        got = {r["source"]: (r["transcript"], r["points"]) for r in discovery.transcript_of(sources, files).collect()}
+        want = lambda i: (f"out/x/session 7 take {i} 1_3.txt", 20.0 + 200 + 100 + 30) if i % 2 == 0 else (f"out/x/session 7 take {i} 1_3 x.txt", 20.0 + 100 + 30)
+        assert got == {f"in/session 7 take {i} 1_3.zip": want(i) for i in range(4000)}
+    assert 8000 <= pairs.value < 1_000_000
+
+
 def test_watched_folder_from_arrival_to_archive(spark, tmp_path):
     """One file is done and archived with its companion, one fails three times and goes to quarantine, one is too young."""
     import datetime
