@@ -266,6 +266,14 @@ def test_transcripts_of_many_alike_names_are_few_pairs(spark, monkeypatch):
     assert 8000 <= pairs.value < 1_000_000
 
 
+def test_moves_of_many_inputs_of_one_name(spark):
+    """Free numbers are counted, not listed for each input; 0 and repeated numbers in the archive take nothing."""
+    inputs = spark.range(60_000).select(F.format_string("in/%06d/a.wav", "id").alias("path"))
+    there = spark.range(1, 60_001).select(F.concat(F.lit("done/a__"), (F.col("id") * 2).cast("string"), F.lit(".wav")).alias("path")).union(spark.createDataFrame([("done/a__0.wav",), ("done/x/a__2.wav",), ("done/b.wav",)], "path string"))
+    got = {r["path"]: r["target"] for r in discovery.archive_moves(inputs, there, "done").collect()}
+    assert got == {f"in/{i:06d}/a.wav": "done/a.wav" if i == 0 else f"done/a__{2 * i + 1}.wav" for i in range(60_000)}
+
+
 def test_watched_folder_from_arrival_to_archive(spark, tmp_path):
     """One file is done and archived with its companion, one fails three times and goes to quarantine, one is too young."""
     import datetime
