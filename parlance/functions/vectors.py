@@ -24,8 +24,8 @@ def distance(x: Column, y: Column) -> Column:
 
 def unit(x: Column) -> Column:
     """x over its norm; null for a zero vector."""
-    n = norm(x)
-    return F.when(n > 0, F.transform(x, lambda v: v / n))
+    # the norm is handed on as an element, or it would be worked out again for every component
+    return F.transform(F.array(norm(x)), lambda n: F.when(n > 0, F.transform(x, lambda v: v / n)))[0]
 
 
 def softmax(x: Column) -> Column:

@@ -13,11 +13,15 @@ from parlance.tables import materialize
 BROADCAST_VALUES = 4_000_000
 #: Vectors of each side that one task compares.
 BLOCK = 2048
+#: Values (vectors times their length) of a side that one task compares when it looks for neighbours, and the parts that a side has at least, if they aren't shorter than BLOCK.
+WIDE_VALUES, PARTS = 32_768 * 64, 8
+#: Products that a task holds at once, and pairs that it sums again.
+_SCORES, _PAIRS = 8_000_000, 500_000
 
 
 def unit_rows(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """v: the unit vector; zero and null vectors are left out."""
-    return df.withColumn("v", unit(doubles(F.col(vector)))).where("v is not null")
+    return df.where(norm(doubles(F.col(vector))) > 0).withColumn("v", unit(doubles(F.col(vector))))
 
 
 def clusters_by_speaker(bank: DataFrame) -> DataFrame:
@@ -156,34 +160,85 @@ def normalised_scores(queries: DataFrame, bank: DataFrame, clusters: DataFrame,
     return out.select("session", "seg_idx", "speaker", "raw_score", F.coalesce(z, "raw_score").alias("score"))
 
 
+def _candidates(x: np.ndarray, y: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of pairs among which are, for each row of x, the k + 1 columns of the highest product with it, with all that tie, if it is at least `least`.
+
+    Products in single precision screen, then those in double where copies leave too many; what rounding may be off is allowed for. x and y are unit vectors.
+    """
+    for kind, slack in ((np.float32, 4e-7 * (x.shape[1] + 8)), (np.float64, 1e-15 * (x.shape[1] + 8))):
+        s = x.astype(kind) @ y.astype(kind).T
+        groups = s.shape[1] // 32
+        bar = np.full(len(x), least)
+        if groups > k:  # the k + 1 best of disjoint groups' maxima are all in different columns
+            most = s[:, : groups * 32].reshape(len(x), 32, groups).max(1)
+            bar = np.maximum(bar, np.partition(most, groups - k - 1, axis=1)[:, groups - k - 1])
+        row, col = np.divmod(np.flatnonzero(s >= (bar - slack).astype(kind)[:, None] - kind(slack)), s.shape[1])
+        if len(row) <= 64 * (k + 1) * len(x):
+            break
+    return row, col
+
+
 def _block_nearest(x: np.ndarray, y: np.ndarray, src: np.ndarray, dst: np.ndarray, kind: np.ndarray | None, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, cosine) of the best columns of each row by (cosine descending, dst): k of them or, with kinds, until k lie outside the commonest kind; summed component by component, so equal vectors tie."""
-    w = np.zeros((len(x), len(y)))
-    for i in range(x.shape[1]):
-        w += x[:, i, None] * y[None, :, i]
-    w[(src[:, None] == dst[None, :]) | ~(w >= least)] = -np.inf
-    # dst ascends, so a stable sort breaks ties by it
-    order = np.argsort(-w, axis=1, kind="stable")
-    if kind is None:
-        best = order[:, :k]
-        row, col = np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()
-    else:
-        _, number = np.unique(kind, return_inverse=True)
-        rows, cols = [], []
-        for i, near in enumerate(order):
-            seen: dict[int, int] = {}
-            most = n = 0
-            for c in number[near].tolist():
-                if n - most >= k:
-                    break
-                n += 1
-                seen[c] = seen.get(c, 0) + 1
-                most = max(most, seen[c])
-            rows.append(np.full(n, i))
-            cols.append(near[:n])
-        row, col = np.concatenate(rows), np.concatenate(cols)
-    keep = w[row, col] > -np.inf
-    return row[keep], col[keep], w[row[keep], col[keep]]
+    """(row, column, cosine) of the best columns of each row by (cosine descending, dst): k of them or, with kinds, until k lie outside the commonest kind; summed component by component, so equal vectors tie.
+
+    dst ascends. Vectors that aren't finite have no neighbours.
+    """
+    number = np.zeros(len(y), np.int64) if kind is None else np.unique(kind, return_inverse=True)[1].reshape(-1)
+    fit, able = np.flatnonzero(np.isfinite(y).all(1)), np.flatnonzero(np.isfinite(x).all(1))
+    # of equal vectors (of one kind) only the first k + 1 can count
+    if len(fit):
+        _, copy = np.unique(np.ascontiguousarray(y[fit]).view(f"V{y.itemsize * y.shape[1]}").ravel(), return_inverse=True)
+        fit = fit[_place(copy.reshape(-1), number[fit]) <= k]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(16, _SCORES // max(len(fit), 1))
+    yt = np.ascontiguousarray(y[fit].T)
+    for at in range(0, len(able) if len(fit) else 0, step):
+        rows, m = able[at : at + step], k if kind is None else 2 * k
+        while len(rows):
+            near, r, c = [], *_candidates(x[rows], y[fit], m, least)
+            for p in range(0, len(r), _PAIRS):
+                i, j = r[p : p + _PAIRS], c[p : p + _PAIRS]
+                w = np.zeros(len(i))
+                for d in range(x.shape[1]):
+                    w += x[rows[i], d] * yt[d, j]
+                ok = (w >= least) & (src[rows[i]] != dst[fit[j]])
+                near.append((i[ok], fit[j[ok]], w[ok]))
+            r, c, w = (np.concatenate(a) for a in zip(*near, strict=True)) if near else found[0]
+            order = np.lexsort((c, -w, r))
+            r, c, w = r[order], c[order], w[order]
+            if kind is None:
+                best = _place(r) < k
+                found.append((rows[r[best]], c[best], w[best]))
+                break
+            short, start = [], np.searchsorted(r, np.arange(len(rows) + 1))
+            for i in range(len(rows)):
+                seen: dict[int, int] = {}
+                most = n = 0
+                near_kinds = number[c[start[i] : start[i + 1]]].tolist()
+                for q in near_kinds[: len(near_kinds) if m >= len(fit) else m]:
+                    if n - most >= k:
+                        break
+                    n += 1
+                    seen[q] = seen.get(q, 0) + 1
+                    most = max(most, seen[q])
+                if n - most < k and m < len(fit):  # too many of one kind among the m best: ask for more
+                    short.append(i)
+                else:
+                    part = slice(start[i], start[i] + n)
+                    found.append((np.full(n, rows[i]), c[part], w[part]))
+            rows, m = rows[short], 4 * m
+    return tuple(np.concatenate(a) for a in zip(*found, strict=True))
+
+
+def _place(*keys: np.ndarray) -> np.ndarray:
+    """Place of each row (from 0) among those of equal keys, in the order they stand."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    out = np.empty(len(order), np.int64)
+    out[order] = np.arange(len(order)) - first
+    return out
 
 
 def nearest_entries(queries: DataFrame, entries: DataFrame, k: int, least: float = -2.0) -> DataFrame:
@@ -191,14 +246,16 @@ def nearest_entries(queries: DataFrame, entries: DataFrame, k: int, least: float
 
     queries: session, src, v; entries: session, dst, v; unit vectors. If entries have a kind, each block gives the best rows until k lie outside the commonest kind among them (so whatever kind is
     left out, its k best of the others are there), and kind is returned; a query with a column entry may be that entry, and both are then left to the caller. A task compares one block
-    of queries with one block of entries and keeps a few rows a query, so no task holds a session and no list of pairs is written.
+    of queries with one block of entries by products of matrices and keeps a few rows a query, so no task holds a session and no list of pairs is written. Blocks grow with the
+    sessions up to a bound, so vectors are copied a few times only.
     """
     place, kinds, entry = ["session", "dim"], "kind" in entries.columns, "entry" in queries.columns
     no = F.lit(None).cast("long")
     q = queries.select("session", F.size("v").alias("dim"), F.col("src").alias("id"), "v", F.lit("").alias("kind"), (F.col("entry") if entry else no).alias("entry"))
     e = entries.select("session", F.size("v").alias("dim"), F.col("dst").alias("id"), "v", (F.col("kind") if kinds else F.lit("")).alias("kind"), no.alias("entry"))
-    counts = lambda df, n, size: df.groupBy(*place).agg(F.ceil(F.count("*") / size).cast("long").alias(n))
-    blocks = F.broadcast(counts(q, "qn", BLOCK).join(counts(e, "en", BLOCK), place))  # one row a session and vector length
+    size = F.least(F.greatest(F.count("*") / PARTS, F.lit(BLOCK)), F.greatest(F.lit(WIDE_VALUES) / F.greatest("dim", F.lit(1)), F.lit(256)))
+    counts = lambda df, n: df.groupBy(*place).agg(F.ceil(F.count("*") / size).cast("long").alias(n))
+    blocks = F.broadcast(counts(q, "qn").join(counts(e, "en"), place))  # one row a session and vector length
     deal = lambda df, own, n, other, m: df.join(blocks, place).withColumn(own, F.pmod(F.xxhash64("id"), n)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(m) - 1)))
     fields = [*place, "qb", "eb", "asks", "id", "v", "kind", "entry"]
     dealt = deal(q, "qb", F.col("qn"), "eb", "en").withColumn("asks", F.lit(True)).select(*fields).unionByName(deal(e, "eb", F.col("en"), "qb", "qn").withColumn("asks", F.lit(False)).select(*fields))
@@ -208,16 +265,14 @@ def nearest_entries(queries: DataFrame, entries: DataFrame, k: int, least: float
 
         rows = rows.sort_values("id", kind="stable")
         x, y = rows[rows["asks"]], rows[~rows["asks"]]
-        src, dst, kind = x["id"].to_numpy(np.int64), y["id"].to_numpy(np.int64), y["kind"].to_numpy(str)
+        if not len(x) or not len(y):
+            return pd.DataFrame({"session": [], "src": [], "dst": [], "w": [], "kind": [], "entry": []})
+        src, dst, kind = x["id"].to_numpy(np.int64), y["id"].to_numpy(np.int64), y["kind"].to_numpy()
         # without kinds a query is told from the entries by its id; with them by its column entry (one more is kept for it)
         itself = np.full(len(src), -(1 << 62)) if entry else src
-        out = []
-        if len(x) and len(y):
-            xv, yv = np.stack(x["v"].to_numpy()).astype(float), np.stack(y["v"].to_numpy()).astype(float)
-            for at in range(0, len(x), 256):
-                row, col, w = _block_nearest(xv[at : at + 256], yv, itself[at : at + 256], dst, kind if kinds else None, k + entry, least)
-                out.append(pd.DataFrame({"session": key[0], "src": src[at : at + 256][row], "dst": dst[col], "w": w, "kind": kind[col], "entry": x["entry"].iloc[at : at + 256].to_numpy()[row]}))
-        return pd.concat(out) if out else pd.DataFrame({"session": [], "src": [], "dst": [], "w": [], "kind": [], "entry": []})
+        flat = lambda part: np.stack(part["v"].to_numpy()).astype(float, copy=False)
+        row, col, w = _block_nearest(flat(x), flat(y), itself, dst, kind.astype(str) if kinds else None, k + entry, least)
+        return pd.DataFrame({"session": key[0], "src": src[row], "dst": dst[col], "w": w, "kind": kind[col], "entry": x["entry"].to_numpy()[row]})
 
     kind = f"session {q.schema['session'].dataType.simpleString()}, src long, dst long, w double, kind string, entry long"
     found = dealt.groupBy(*place, "qb", "eb").applyInPandas(compare, kind).where(~F.col("dst").eqNullSafe(F.col("entry")))
@@ -240,7 +295,7 @@ def knn_votes(queries: DataFrame, bank: DataFrame, k: int, floor: float = 1e-6)
     q = unit_rows(queries).select("session", F.col("seg_idx").alias("src"), "v")
     # all sessions search one bank
     near = nearest_entries(q.select(F.lit(0).alias("session"), "src", "v"), b.select(F.lit(0).alias("session"), "dst", "v"), k)
-    near = near.drop("session").join(q.select("session", "src"), "src").join(b.select("speaker", "dst"), "dst")
+    near = near.drop("session").join(queries.select("session", F.col("seg_idx").alias("src")), "src").join(bank.select("speaker", F.col("entry_idx").alias("dst")), "dst")
     votes = near.groupBy("session", F.col("src").alias("seg_idx"), "speaker").agg(F.sum(1 / F.greatest(1 - F.col("w"), F.lit(floor))).alias("vote"))
     total = F.sum("vote").over(Window.partitionBy("session", "seg_idx"))
     return votes.select("session", "seg_idx", "speaker", (F.col("vote") / total).alias("probability"))
