@@ -136,3 +136,32 @@ def test_nearest_entries_write_no_pairs(spark):
     rows = spark.range(50).select(F.lit(0).alias("session"), F.col("id").alias("seg_idx"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("embedding"))
     plan = bank.nearest_neighbours(rows, 2, 0.0)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan.split("FlatMapGroupsInPandas")[0] and "FlatMapGroupsInPandas" in plan
+
+
+def test_nearest_words_are_shuffled_once(spark):
+    """Each side is dealt once; edges of buckets, odd rows and words without a neighbour come out as a plain search has them."""
+    import random
+
+    r = random.Random(5)
+    kind = "session long, seg_idx long, word_idx long, start double, end double, speaker string"
+    word = lambda i: (i % 2, i // 7, i % 7, (s := r.choice([5.0, 10.0, r.uniform(0, 40)]) + r.choice([-0.35, 0.0, 0.35])), s + r.choice([0.0, 0.2, 6.0, -0.1]), r.choice("abc"))
+    ref, said = [word(i) for i in range(200)] + [(None, 0, 0, 1.0, 2.0, "a"), (1, 900, 0, None, 2.0, "a"), (5, 0, 0, 1.0, 1.0, "b")], [word(i) for i in range(150)]
+    df = intervals.nearest_words(spark.createDataFrame(ref, kind).repartition(3), spark.createDataFrame(said, kind).repartition(3), 0.35, 5.0, ["start"])
+    want = {}
+    for s, g, i, a, z, who in ref:
+        t, best = None if a is None else (a + z) / 2, None
+        for s2, g2, i2, a2, z2, who2 in said if t is not None else []:
+            gap = 0.0 if a2 <= t <= z2 else min(abs(t - a2), abs(t - z2))
+            if s == s2 and gap <= 0.35 and z2 >= t - 0.35 and a2 <= t + 0.35:
+                best = min(filter(None, (best, ((gap, abs((a2 + z2) / 2 - t), a2, z2, g2, i2), who2))))
+        want[s, g, i] = (who, best[1] if best else "<unmatched>", a)
+    got = {(x["session"], x["seg_idx"], x["word_idx"]): (x["actual"], x["predicted"], x["start"]) for x in df.collect()}
+    assert got == want and len({v[1] for v in got.values()}) == 4
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        few = intervals.nearest_words(spark.createDataFrame(ref, kind), spark.createDataFrame(said, kind))
+        few.collect()
+        plan = few._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("Exchange hashpartitioning") == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
