@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Values (vectors times their length) that a task turns into a matrix at once: 2 MB.
+PART_VALUES = 1 << 18
+
+
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
 
@@ -34,6 +38,23 @@ def softmax(x: Column) -> Column:
     return F.transform(e, lambda v: v / total)
 
 
+def vector_parts(vectors):
+    """(at, part, x) for short runs of an Arrow column of vectors of one length: where a run begins, the run, and those of it that aren't null as the rows of a matrix of doubles.
+
+    A task then holds an Arrow batch and a few runs' matrices, however wide the vectors are.
+    """
+    import pyarrow.compute as pc
+
+    ends = pc.min_max(pc.list_value_length(vectors)).as_py()
+    if ends["min"] != ends["max"]:
+        raise ValueError(f"vectors of {ends['min']} and of {ends['max']} components")
+    width = ends["max"] or 0
+    step = max(1, PART_VALUES // max(width, 1))
+    for at in range(0, len(vectors), step):
+        part = vectors.slice(at, step)
+        yield at, part, part.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(part) - part.null_count, width)
+
+
 def mean_vectors(rows: DataFrame, keys: list[str], vector: str, out: str = "centroid", as_unit: bool = True, held: int = 4096) -> DataFrame:
     """Mean vector per key, made a unit vector unless told otherwise: tasks add up whole vectors, so a key's vectors never meet in one place.
 

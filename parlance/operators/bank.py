@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.functions.vectors import distance, dot, doubles, norm, unit
+from parlance.functions.vectors import distance, dot, doubles, norm, unit, vector_parts
 from parlance.tables import materialize
 
 #: Largest bank side (clusters times vector length, in doubles) that is broadcast.
@@ -304,24 +304,24 @@ def knn_votes(queries: DataFrame, bank: DataFrame, k: int, floor: float = 1e-6)
 def whitening(bank: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(mean, matrix) that whitens unit vectors: pseudo-inverse root of the sample covariance, with a floor on eigenvalues.
 
-    Moments are summed by the executors; the driver sees one d x d matrix.
+    Moments are summed by the executors; the driver sees one d x d matrix. Vectors that are null, zero or not finite count nothing.
     """
     v = unit_rows(bank).select("v")
 
     def moments(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         n, s, m = 0, 0.0, 0.0
         for b in batches:
-            if len(b):
-                x = np.stack(b["v"].to_numpy())
+            for _, _, x in vector_parts(b.column("v")):
+                x = x[np.isfinite(x).all(1)]
                 n, s, m = n + len(x), s + x.sum(0), m + x.T @ x
         if n:
             x = np.concatenate([[n], s, m.ravel()])
-            yield pd.DataFrame({"i": np.arange(len(x)), "x": x})
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(x))), pa.array(x)], ["i", "x"])
 
     # one row an element, summed before they meet: the driver sees d * d + d + 1 numbers
-    parts = v.mapInPandas(moments, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
+    parts = v.mapInArrow(moments, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
     d = (v.select(F.size("v").alias("d")).first() or [1])[0]
     n = parts[0] if len(parts) else 0
     if n < 2:
@@ -335,19 +335,29 @@ def whitening(bank: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def whitened(df: DataFrame, mean: np.ndarray, matrix: np.ndarray) -> DataFrame:
-    """df with embedding replaced by the whitened unit vector."""
+    """df, as a table, with embedding replaced by the whitened unit vector; null for a vector that is null, zero or not finite.
+
+    It is written, so each vector goes through Python once however often the result is read, and no task that reads it needs a further worker for it.
+    """
 
     def run(batches):
+        import pyarrow as pa
+
         for b in batches:
-            if len(b):
-                x = np.stack(b["embedding"].to_numpy()).astype(float)
-                x = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ matrix
+            for at, part, x in vector_parts(b.column("embedding")):
+                x = x.reshape(len(x), len(mean))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    x = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ matrix
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-                b = b.assign(embedding=list(x))
-            yield b
-
-    kind = ", ".join(f"{f.name} {'array<double>' if f.name == 'embedding' else f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInPandas(run, kind)
+                finite = np.isfinite(x).all(1)
+                there = np.zeros(len(part), bool)
+                there[np.flatnonzero(part.is_valid().to_numpy(zero_copy_only=False))[finite]] = True
+                offsets = np.concatenate([[0], np.cumsum(there * len(mean))]).astype(np.int32)
+                white = pa.ListArray.from_arrays(pa.array(offsets), pa.array(x[finite].ravel()), mask=pa.array(~there))
+                yield pa.RecordBatch.from_arrays([white if f.name == "embedding" else b.column(i).slice(at, len(part)) for i, f in enumerate(b.schema)], b.schema.names)
+
+    kind = ", ".join(f"`{f.name}` {'array<double>' if f.name == 'embedding' else f.dataType.simpleString()}" for f in df.schema)
+    return materialize(df.mapInArrow(run, kind), "white")
 
 
 def embedded(segments: DataFrame, embed, least: float = 0.4, pad: float = 0.0) -> DataFrame:

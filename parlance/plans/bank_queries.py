@@ -114,10 +114,10 @@ def e23_bank_summary(spark, sf):
 
 @query()
 def e15_whitened_scores(spark, sf):
-    b = A.bank(spark, sf)
-    mean, matrix = B.whitening(b)
-    white = B.whitened(b, mean, matrix)
-    return B.bank_scores(B.whitened(A.sessions_of_vectors(spark, sf), mean, matrix), B.clusters_by_speaker(white), 1e9)
+    # the bank and the searches are the same vectors: whitened once, read as both
+    white = B.whitened(A.sessions_of_vectors(spark, sf), *B.whitening(A.bank(spark, sf)))
+    b = white.select(F.col("seg_idx").alias("entry_idx"), F.col("own").alias("speaker"), "embedding")
+    return B.bank_scores(white, B.clusters_by_speaker(b), 1e9)
 
 
 #: Density clusters by distance 0.75 and 4 neighbours: cores, what they reach (recursively), and entries beside a core; clusters are numbered by their first core.

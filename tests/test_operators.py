@@ -1,6 +1,7 @@
 """Small scenarios with known results."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from parlance.functions import text as T
@@ -55,6 +56,42 @@ def test_bank_match_and_whitening(spark):
     assert np.allclose(np.cov((x - mean) @ matrix, rowvar=False), np.eye(3), atol=1e-6)
 
 
+def test_whitened_vectors_are_written_once(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(60, 3)) * [5.0, 1.0, 0.2]
+    odd = [(60, "A", None), (61, "B", [0.0, 0.0, 0.0]), (62, "B", [1.0, float("nan"), 0.0]), (63, None, [float("inf"), 0.0, 1.0])]
+    df = spark.createDataFrame([(i, "AB"[i % 2], v.tolist()) for i, v in enumerate(x)] + odd, "entry_idx long, speaker string, embedding array<double>").repartition(3)
+    mean, matrix = bank.whitening(df)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.allclose(mean, unit.mean(0)) and np.allclose(np.cov((unit - mean) @ matrix, rowvar=False), np.eye(3), atol=1e-6)
+    white = bank.whitened(df, mean, matrix)
+    # whoever reads it reads a table: no task has a worker for it beside its own
+    assert "MapIn" not in white._jdf.queryExecution().toString() and white.columns == df.columns
+    got = {t["entry_idx"]: t for t in white.collect()}
+    want = (unit - mean) @ matrix
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert len(got) == 64 and all(np.allclose(got[i]["embedding"], want[i]) and got[i]["speaker"] == "AB"[i % 2] for i in range(60))
+    assert all(got[i]["embedding"] is None and got[i]["speaker"] == who for i, who, _ in odd)
+    assert {t["speaker"]: t["members"] for t in bank.clusters_by_speaker(white).collect()} == {"A": 30, "B": 30}
+    assert bank.whitened(df.where("entry_idx = 60"), mean, matrix).collect()[0]["embedding"] is None
+
+
+def test_vectors_come_in_short_runs(monkeypatch):
+    import pyarrow as pa
+
+    from parlance.functions import vectors
+
+    monkeypatch.setattr(vectors, "PART_VALUES", 7)
+    rows = [[float(i), 1.0] if i % 4 else None for i in range(10)]
+    parts = list(vectors.vector_parts(pa.array([[9.0, 9.0], *rows], pa.list_(pa.float32())).slice(1)))
+    assert [(at, len(part)) for at, part, _ in parts] == [(0, 3), (3, 3), (6, 3), (9, 1)]
+    assert np.concatenate([x for _, _, x in parts]).tolist() == [v for v in rows if v] and all(x.dtype == float for _, _, x in parts)
+    assert [x.shape for _, _, x in vectors.vector_parts(pa.array([None, None], pa.list_(pa.float64())))] == [(0, 0)]
+    assert not list(vectors.vector_parts(pa.array([], pa.list_(pa.float64()))))
+    with pytest.raises(ValueError, match="components"):
+        list(vectors.vector_parts(pa.array([[1.0], [1.0, 2.0]])))
+
+
 def test_label_mean_dilutes_rare_support(spark):
     rows = [("s", "L", i, 1, "A", 0.9) for i in range(2)] + [("s", "L", i, 1, "B", 0.61) for i in range(2, 6)]
     c = spark.createDataFrame(rows, "session string, label string, seg_idx long, rank long, speaker string, score double")
